@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import quality, simhash, url_filter
 from corpusmill.llm import suffix_dedup as suffixes
 
 
@@ -19,7 +20,82 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("span_start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+BAD_SITES = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, BAD_SITES))).alias("key"))
+    return url_filter.url_filter(_read(spark, sf_dir, "pages"), listed)
+
+
+OP8_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) IN ({", ".join(f"'{x}'" for x in BAD_SITES)}) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _repeated(name: str, size: int) -> str:
+    """Words of each document that lie in a string of ``size`` words found twice in it."""
+    return f"""
+{name}_at AS (SELECT doc_id, i, array_to_string(w[i:i + {size - 1}], ' ') AS s FROM texts, unnest(range(1, len(w) - {size - 2})) AS u(i)),
+{name} AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS copies FROM {name}_at), unnest(range(0, {size})) AS v(k)
+  WHERE copies > 1 GROUP BY doc_id)"""
+
+
+_LIMITS = quality.Limits()
+OP10_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+{_repeated("window_words", _LIMITS.window)},
+{_repeated("repeat_words", _LIMITS.repeat)},
+{_repeated("long_words", _LIMITS.longest + 1)},
+counts AS (
+  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(window_words.n, 0) AS n_repeat_words,
+    coalesce(repeat_words.n, 0) AS covered, coalesce(long_words.n, 0) AS long_repeats
+  FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN window_words USING (doc_id) LEFT JOIN repeat_words USING (doc_id) LEFT JOIN long_words USING (doc_id)),
+judged AS (SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.window_percent} * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * covered <= {_LIMITS.covered_percent} * n_words AND long_repeats = 0 AS kept
+FROM judged
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
