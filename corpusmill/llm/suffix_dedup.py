@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,13 +132,15 @@ class _Block:
         _, first = np.unique(uid, return_index=True)
         self.u_start, self.u_lens, self.u_docs = (x[self.live[first]] for x in (self.starts, self.lens, self.seg_docs))
 
-    def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each distinct segment its bucket and anchor, and whether a splitter names its anchor."""
+    def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct segment its bucket and anchor, and whether a splitter names its anchor; the order of those that no splitter names."""
         at = anchors(self.data, self.u_start)
         key = leading(self.data, self.u_start + at, self.u_docs)
         named = np.unique(np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, ANCHOR + 8)[:, :ANCHOR].copy().view(f"S{ANCHOR}").ravel())
         lead = np.frombuffer(key.tobytes(), np.uint8).reshape(-1, ANCHOR + 8)[:, :ANCHOR].copy().view(f"S{ANCHOR}").ravel()
-        return np.searchsorted(splitters, key, "right"), at, np.isin(lead, named)
+        crossing = np.isin(lead, named)
+        order = np.flatnonzero(~crossing)
+        return np.searchsorted(splitters, key, "right"), at, crossing, order[np.argsort(key[order], kind="stable")]
 
     def windows(self, crossing: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Distinct windows of the segments that cross a boundary: bucket, two hashes, smallest document; and which one each window is."""
@@ -211,14 +214,12 @@ def _send_segments(n_keys: int, splitters: np.ndarray):
             flags[a:b] |= _bits(got[k], b - a)
         rows = [(2 * n + me, me, b"", b"", b"", np.packbits(flags).tobytes())]
         block.distinct(flags)
-        bucket, at, crossing = block.dealt(splitters)
-        order = np.flatnonzero(~crossing)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        raw = block.data
+        bucket, at, crossing, order = block.dealt(splitters)
+        raw, packer = block.data, zstandard.ZstdCompressor(level=3)
         for k, a, b in _slices(bucket[order]):
             own = order[a:b]
             body = raw[spread(block.u_start[own], block.u_lens[own] + WINDOW - 1)]
-            rows.append((k, me, block.u_docs[own].tobytes(), block.u_lens[own].astype(np.uint32).tobytes(), at[own].astype(np.uint32).tobytes(), body.tobytes()))
+            rows.append((k, me, block.u_docs[own].tobytes(), block.u_lens[own].astype(np.uint32).tobytes(), at[own].astype(np.uint32).tobytes(), packer.compress(body.tobytes())))
         if crossing.any():
             bucket, h1, h2, docs, _ = block.windows(np.flatnonzero(crossing), n)
             for k, a, b in _slices(bucket):
@@ -256,7 +257,8 @@ def _sort_segments(table: pa.Table) -> pa.Table:
     docs = np.frombuffer(buffers(table.column("docs"))[0].tobytes(), np.int64)
     lens = np.frombuffer(buffers(table.column("lens"))[0].tobytes(), np.uint32).astype(np.int64)
     at = np.frombuffer(buffers(table.column("anchors"))[0].tobytes(), np.uint32).astype(np.int64)
-    data, _ = buffers(table.column("body"))
+    unpacker = zstandard.ZstdDecompressor()
+    data = np.frombuffer(b"".join(unpacker.decompress(x) for x in table.column("body").to_pylist()), np.uint8)
     ends = np.cumsum(lens + WINDOW - 1)
     starts = ends - lens - WINDOW + 1
     raw, bodies, leads = data.tobytes(), {}, {}
@@ -314,11 +316,9 @@ def _finish(splitters: np.ndarray):
             return _RESULT.empty_table()
         block, me, got = _Block(table), key[0].as_py(), _replies(replies)
         block.distinct(_bits(got[2 * n + me], len(block.keys)))
-        bucket, _, crossing = block.dealt(splitters)
+        bucket, _, crossing, order = block.dealt(splitters)
         window = np.concatenate(([0], np.cumsum(block.u_lens)))[:-1]
         gone = np.zeros(int(block.u_lens.sum()), bool)
-        order = np.flatnonzero(~crossing)
-        order = order[np.argsort(bucket[order], kind="stable")]
         for k, a, b in _slices(bucket[order]):
             own = order[a:b]
             gone[spread(window[own], block.u_lens[own])] = _bits(got[k], int(block.u_lens[own].sum()))
