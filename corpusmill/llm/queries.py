@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import quality, simhash, url_filter
+from corpusmill.llm import packing, quality, simhash, token_files, url_filter
 from corpusmill.llm import suffix_dedup as suffixes
 
 
@@ -20,6 +21,19 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("span_start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), WORD_VOCABULARY, "words", END_ID)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), BYTE_VOCABULARY, "spaced", END_ID).drop("ids")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -72,11 +86,13 @@ def _repeated(name: str, size: int) -> str:
 
 _LIMITS = quality.Limits()
 OP10_SQL = rf"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
 {_repeated("window_words", _LIMITS.window)},
 {_repeated("repeat_words", _LIMITS.repeat)},
 {_repeated("long_words", _LIMITS.longest + 1)},
@@ -94,6 +110,8 @@ FROM judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_token_files": op4_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_quality_rules": op10_quality_rules,
