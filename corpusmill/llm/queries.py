@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, quality, simhash, token_files, url_filter
+from corpusmill.llm import packing, quality, secrets, simhash, token_files, url_filter
 from corpusmill.llm import suffix_dedup as suffixes
 
 
@@ -69,6 +69,14 @@ FROM ruled
 """
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.secret_model(docs))
+    counts = [secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    return found.select("doc_id", *counts, F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -114,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_secret_scans": op9_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
