@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import html_text, packing, quality, secrets, simhash, token_files, url_filter
+from corpusmill.llm import html_text, packing, quality, secrets, simhash, token_files, url_filter, vector_dedup
 from corpusmill.llm import suffix_dedup as suffixes
 
 
@@ -26,6 +26,10 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -122,6 +126,7 @@ FROM judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_files": op4_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
