@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusmill.llm.common import buffers
 
@@ -26,6 +27,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CHUNK = 1 << 20
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
+_OWN = "_quality_"
 
 
 @dataclass(frozen=True)
@@ -126,13 +128,21 @@ def _measured(limits: Limits):
                 found.append(measure([raw[x:y] for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)], limits))
                 a = b
             rows = np.concatenate([*found, np.zeros((0, len(_NAMES)), np.int64)])
-            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(rows[:, i]) for i in range(len(_NAMES)))], [*names, *_NAMES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(_NAMES)))], [*batch.schema.names, *(_OWN + n for n in _NAMES)])
 
     return measured
 
 
+def _judged(rows: DataFrame, limits: Limits) -> DataFrame:
+    """rows (with a string column text) with one column more for each count, base_failed and kept, under names of our own."""
+    added = [StructField(_OWN + n, LongType()) for n in _NAMES]
+    found = rows.mapInArrow(_measured(limits), StructType([*rows.schema.fields, *added]))
+    c = {n: F.col(_OWN + n) for n in _NAMES}
+    failed = (c["n_words"] < limits.min_words) | (100 * c["n_repeat_words"] > limits.window_percent * c["n_words"])
+    repeats = (100 * c["n_covered_words"] > limits.covered_percent * c["n_words"]) | (c["longest_repeat"] > limits.longest)
+    return found.withColumn(_OWN + "base_failed", failed).withColumn(_OWN + "kept", ~failed & ~repeats)
+
+
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id of every row of docs (doc_id, text) with its counts, base_failed and kept.
 
@@ -141,7 +151,9 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     doc_id is passed on. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_measured(limits), "doc_id long, " + ", ".join(f"{n} long" for n in _NAMES))
-    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.window_percent * F.col("n_words"))
-    repeats = (100 * F.col("n_covered_words") > limits.covered_percent * F.col("n_words")) | (F.col("longest_repeat") > limits.longest)
-    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~repeats)
+    return _judged(rows, limits).select("doc_id", *(F.col(_OWN + n).alias(n) for n in (*_NAMES, "base_failed", "kept")))
+
+
+def quality_filter(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return _judged(docs, limits).where(F.col(_OWN + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import html_text, packing, quality, secrets, simhash, token_files, url_filter, vector_dedup
+from corpusmill.llm import html_text, packing, pieces, quality, secrets, simhash, token_files, url_filter, vector_dedup
 from corpusmill.llm import suffix_dedup as suffixes
 
 
@@ -23,6 +23,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -38,6 +39,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_read(spark, sf_dir, "documents"), WORD_VOCABULARY, "words", END_ID)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_pieces(_read(spark, sf_dir, "documents"), PIECE_MODEL)
+    return pieces.decode_pieces(encoded, PIECE_MODEL).select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_read(spark, sf_dir, "documents"), BYTE_VOCABULARY, "spaced", END_ID).drop("ids")
 
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_files": op4_token_files,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,

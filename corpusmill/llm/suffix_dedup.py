@@ -33,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.llm.common import NO_ID, U64, buffers, cut, ids_of, mixed, spread, text_bytes
 
@@ -108,7 +109,8 @@ class _Block:
     """The documents of a block in id order, with their segments; equal for equal rows, whatever order they come in."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.drop_columns(["block"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.carried = table.columns[2:]
         self.ids, self.docs = table.column("doc_id"), ids_of(table.column("doc_id"))
         self.data, self.offsets = buffers(table.column("text"))
         self.starts, self.lens, key = segments(self.data, self.offsets)
@@ -308,12 +310,20 @@ def _answer(n: int):
     return answer
 
 
-def _finish(splitters: np.ndarray):
+def _whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """covered, with all bytes of each UTF-8 character of which a byte is covered."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    hit = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
+    hit[character[covered]] = True
+    return hit[character]
+
+
+def _finish(splitters: np.ndarray, characters: bool, names: list[str]):
     n = len(splitters) + 1
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _RESULT.empty_table()
+            return pa.table([pa.array([], f.type) for f in _RESULT] + [pa.array([], table.schema.field(c).type) for c in names], names=[*_RESULT.names, *names])
         block, me, got = _Block(table), key[0].as_py(), _replies(replies)
         block.distinct(_bits(got[2 * n + me], len(block.keys)))
         bucket, _, crossing, order = block.dealt(splitters)
@@ -339,6 +349,8 @@ def _finish(splitters: np.ndarray):
         np.add.at(change, at, 1)
         np.add.at(change, at + WINDOW, -1)
         covered = np.cumsum(change)[:size] > 0
+        if characters:
+            covered = _whole_characters(block.data, covered)
         edge = np.zeros(size + 1, bool)
         edge[block.offsets] = True
         before, after = np.concatenate(([False], covered[:-1])), np.concatenate((covered[1:], [False]))
@@ -350,7 +362,7 @@ def _finish(splitters: np.ndarray):
         lists = [pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pa.array(x - base, pa.int64())) for x in (begin, end)]
         kept = pa.Array.from_buffers(pa.binary(), len(left) - 1, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(block.data[~covered].tobytes())])
         n_bytes = np.diff(block.offsets)
-        return pa.Table.from_arrays([pa.chunked_array(block.ids).cast(pa.int64()).combine_chunks(), pa.array(n_bytes), pa.array(n_bytes - np.diff(left)), *lists, kept], schema=_RESULT)
+        return pa.table([block.ids.cast(pa.int64()), pa.array(n_bytes), pa.array(n_bytes - np.diff(left)), *lists, kept, *block.carried], names=[*_RESULT.names, *names])
 
     return finish
 
@@ -377,20 +389,27 @@ def splitters_of(docs: DataFrame, buckets: int, total: int, sample_bytes: int) -
     return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(int)[1:-1]]) if len(found) >= buckets else np.unique(found)
 
 
-def suffix_dedup(docs: DataFrame, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
-    """For each row of docs (doc_id, text): n_bytes, n_removed, the removed byte runs and the bytes kept.
+def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
+    """For each row of docs (doc_id, text): n_bytes, n_removed, the removed byte runs and the bytes kept, then the columns in ``carry``.
 
-    Null texts are empty. Texts below 50 bytes lose nothing. Rows with the same doc_id don't
-    remove each other's strings (neither id is smaller); a null doc_id counts as larger than
-    any. Other columns are ignored, an empty table gives an empty result.
+    With ``characters``, a character of which a byte is removed goes as a whole. Null texts are
+    empty. Texts below 50 bytes lose nothing. Rows with the same doc_id don't remove each
+    other's strings (neither id is smaller); a null doc_id counts as larger than any. An empty
+    table gives an empty result. Carried columns may have any names, those of the result
+    included; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = [f"_carried_{i}" for i in range(len(carry))]
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)))
+    docs = every.select("doc_id", "text")
     total = text_bytes(docs, "text")
     n_blocks, n_keys, n_buckets = (max(1, total // size + 1) for size in (block_bytes, 8 * bucket_bytes, bucket_bytes))
     splitters = splitters_of(docs, n_buckets, total, min(sample_bytes, n_buckets << 18))
     n = len(splitters) + 1
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
+    blocks = docs.withColumn("block", number)
     twice = blocks.groupBy("block").applyInArrow(_send_keys(n_keys), _DDL[_KEYS]).groupBy("bucket").applyInArrow(_find_twice, _DDL[_REPLY])
     sent = blocks.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_send_segments(n_keys, splitters), _DDL[_SENT])
     replies = cut(sent.groupBy("bucket").applyInArrow(_answer(n), _DDL[_REPLY]))
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(splitters), _DDL[_RESULT])
+    schema = StructType([*StructType.fromDDL(_DDL[_RESULT]).fields, *(every.schema[x] for x in names)])
+    found = every.withColumn("block", number).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(splitters, characters, names), schema)
+    return found.toDF(*_RESULT.names, *carry)
