@@ -1,8 +1,9 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from corpusmill.plans import text_queries
+from corpusmill.plans.text_queries import clean_chunk_summary as clean_chunk_summary
 
-def clean_chunk_summary(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = dict(text_queries.QUERIES)
+ORACLES = dict(text_queries.ORACLES)
