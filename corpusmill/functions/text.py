@@ -26,6 +26,11 @@ MIN_LENGTH, MAX_ANGLE, MAX_PIPE, MIN_LETTERS = 20, 0.05, 0.08, 1 - 0.35
 SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 

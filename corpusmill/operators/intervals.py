@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import let, strip
 
 
 def with_offsets(df: DataFrame, length: Column, order: str, by: tuple[str, ...] = (), name: str = "offset", bucket: int = 4096) -> DataFrame:
@@ -98,6 +98,8 @@ def causal_mask(seqs: Column, width: int | None = None) -> Column:
 
 
 def visible_keys(seqs: Column, width: int | None = None) -> Column:
-    """How many inputs each input sees; padding sees none."""
-    seen = F.transform(seqs, lambda s, i: F.when(s >= 0, i + 2 - F.array_position(seqs, s)).otherwise(0).cast("long"))
-    return seen if width is None else F.transform(seen, lambda n: F.least(n, F.lit(width).cast("long")))
+    """How many inputs each input sees; padding sees none. A sequence's inputs lie side by side."""
+    firsts = lambda ids: F.struct(ids.alias("ids"), F.transform(ids, lambda s: F.array_position(seqs, s)).alias("at"))
+    seen = lambda x: F.transform(seqs, lambda s, i: F.when(s >= 0, i + 2 - F.element_at(x["at"], F.array_position(x["ids"], s).cast("int"))).otherwise(0).cast("long"))
+    out = let(let(F.array_distinct(seqs), firsts), seen)
+    return out if width is None else F.transform(out, lambda n: F.least(n, F.lit(width).cast("long")))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
+
 # Weights and limits of the trial objective.
 SPEED_WEIGHT, STABILITY_WEIGHT, LEAST_LOSS, FAILED = 0.03, 0.20, -1e-3, 1e9
 
@@ -27,8 +29,7 @@ def masked_loss(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def z_loss(scores: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def stability_penalty(evals: Column, trains: Column, norms: Column, clipped: Col
     """How unstable a run was, from arrays of evaluation losses (in order), training losses and gradient norms."""
     only = lambda xs: F.filter(xs, is_finite)
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v) / F.size(xs)
-    spread = lambda xs: F.sqrt(F.aggregate(F.transform(xs, lambda v: F.pow(v - mean(xs), 2)), F.lit(0.0), lambda s, v: s + v) / F.size(xs)) / F.greatest(mean(xs), F.lit(1.0))
+    spread = lambda xs: let(mean(xs), lambda m: F.sqrt(F.aggregate(xs, F.lit(0.0), lambda s, v: s + F.pow(v - m, 2)) / F.size(xs)) / F.greatest(m, F.lit(1.0)))
     e, t, g = only(evals), only(trains), only(norms)
     grad = F.when((F.size(g) > 0) & F.lit(clip > 0), 0.10 * F.greatest(mean(g) / clip - 1, F.lit(0.0)) + 0.05 * F.log(F.greatest(F.array_max(g) / clip, F.lit(1.0)))).otherwise(0.0)
     rise = F.when(F.size(e) >= 2, F.greatest(F.element_at(e, -1) - F.array_min(e), F.lit(0.0)) / F.greatest(F.array_min(e), F.lit(1.0)) + spread(e)).otherwise(0.0)
@@ -146,10 +147,20 @@ def momentum_warmup(step: Column, warmup: int, start: float, end: float) -> Colu
 def filtered_logits(logits: Column, top_k: int = 0, top_p: float = 1.0) -> Column:
     """Logits outside the top k, or outside the nucleus of probability top_p, become null; the largest always stays."""
     cut = F.element_at(F.sort_array(logits, False), F.least(F.lit(top_k), F.size(logits))) if top_k > 0 else F.lit(None)
-    kept = F.transform(logits, lambda x: F.when(x >= cut, x)) if top_k > 0 else logits
+    kept = let(cut, lambda c: F.transform(logits, lambda x: F.when(x >= c, x))) if top_k > 0 else logits
     if not 0 < top_p < 1:
         return kept
-    live = F.filter(kept, lambda x: x.isNotNull())
-    total, top = log_sum_exp(live), F.array_max(live)
-    before = lambda x: F.aggregate(F.filter(live, lambda y: y >= x), F.lit(0.0), lambda s, y: s + F.exp(y - total))
-    return F.transform(kept, lambda x: F.when((x == top) | (before(x) <= top_p), x))
+    ranked = F.sort_array(F.filter(kept, lambda x: x.isNotNull()), False)
+
+    def least(x: Column) -> Column:
+        """The smallest logit inside the nucleus."""
+        start = F.struct(F.lit(0.0).alias("sum"), F.element_at(x["ranked"], 1).cast("double").alias("least"))
+
+        def add(acc: Column, y: Column) -> Column:
+            total = acc["sum"] + F.exp(y - x["total"])
+            return F.struct(total.alias("sum"), F.when(total <= top_p, y.cast("double")).otherwise(acc["least"]).alias("least"))
+
+        return F.aggregate(x["ranked"], start, add, lambda acc: acc["least"])
+
+    edge = let(let(ranked, lambda r: F.struct(r.alias("ranked"), log_sum_exp(r).alias("total"))), least)
+    return let(edge, lambda e: F.transform(kept, lambda x: F.when(x >= e, x)))

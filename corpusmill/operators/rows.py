@@ -12,9 +12,9 @@ _GOLDEN, _FIRST, _SECOND = (x - (1 << 64) for x in (0x9E3779B97F4A7C15, 0xBF5847
 
 
 def dedup_first(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("stage_ord", "row_idx")) -> DataFrame:
-    """The first row of each text, by order. The smallest order comes from an aggregate with map-side combine, so copies never meet in one task."""
-    first = df.groupBy(F.sha2(text, 256).alias("_h")).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.withColumn("_h", F.sha2(text, 256)).join(first, "_h").where(F.struct(*order) == F.col("_first")).drop("_h", "_first")
+    """The first row of each text, by order. One aggregate with map-side combine: the input is read once, and copies of a text meet as one row from each task."""
+    first = df.groupBy(F.sha2(text, 256).alias("_h")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def file_seed(seed: int, name: str) -> int:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import text_queries
+from corpusmill.plans import score_queries, sequence_queries, text_queries
 from corpusmill.plans.text_queries import clean_chunk_summary as clean_chunk_summary
 
-QUERIES = dict(text_queries.QUERIES)
-ORACLES = dict(text_queries.ORACLES)
+QUERIES = text_queries.QUERIES | sequence_queries.QUERIES | score_queries.QUERIES
+ORACLES = text_queries.ORACLES | sequence_queries.ORACLES | score_queries.ORACLES
