@@ -25,9 +25,10 @@ def with_offsets(df: DataFrame, length: Column, order: str, by: tuple[str, ...]
 def chunk_texts(df: DataFrame, size: int = 2000, suffix: str = "\n\n", by: tuple[str, ...] = ("source",), order: str = "row_idx") -> DataFrame:
     """The texts of each ``by`` joined in order, each followed by suffix, cut every ``size`` characters.
 
-    Returns by, chunk (from 0) and text, stripped; chunks with nothing left are dropped.
+    Returns by, chunk (from 0) and text, stripped; chunks with nothing left are dropped,
+    and so are null and empty texts.
     """
-    rows = df.select(*by, order, F.concat("text", F.lit(suffix)).alias("text")).where("text <> ''")
+    rows = df.where("text <> ''").select(*by, order, F.concat("text", F.lit(suffix)).alias("text"))
     placed = with_offsets(rows, F.length("text"), order, by)
     end = F.col("offset") + F.length("text")
     dealt = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((end - 1) / size))))

@@ -122,7 +122,7 @@ _CHUNK_CTE = r"""
 joined AS (SELECT source, string_agg(text || E'\n\n', '' ORDER BY doc_id) AS t FROM texts GROUP BY source),
 cut AS (SELECT source, k AS chunk, trim(substr(t, (k * 2000 + 1)::BIGINT, 2000), E' \t\n') AS text FROM joined, unnest(range(0, (length(t) - 1) // 2000 + 1)) AS u(k)),
 chunks AS (SELECT * FROM cut WHERE text <> '')"""
-CHUNK_2000 = f"WITH texts AS (SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL), {_CHUNK_CTE} SELECT source, chunk, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM chunks"
+CHUNK_2000 = f"WITH texts AS (SELECT doc_id, source, text FROM documents WHERE text <> ''), {_CHUNK_CTE} SELECT source, chunk, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM chunks"
 
 
 def clean_chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
