@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import shared_path
-from corpusmill.llm.tokens import Encoder
+from corpusmill.llm.tokens import shared_encoder
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a block's items and how many blocks are filled so
 _PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long, part int, number long"
@@ -182,7 +182,7 @@ def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int]]:
 
 def _cut(path: str, style: str, end_id: int, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, numbers, part = Encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        encode, numbers, part = shared_encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -225,14 +225,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, style: str, end_id: int, size: i
 def pack(pieces: DataFrame, size: int, most_rows: int = 200_000) -> DataFrame:
     """pieces (length, part, number, ...) with sequence_id and offset: their places in blocks of ``size``.
 
-    The histogram that is collected has at most ``size`` rows. The plan is broadcast below
-    most_rows rows and shuffled beyond. Every piece gets a place; an empty table gives none.
+    The histogram that is collected has at most ``size`` rows. The plan and the counts of each
+    part are broadcast up to most_rows rows and shuffled beyond. Every piece gets a place; an empty table gives none.
     """
     spark = pieces.sparkSession
     per_part = pieces.groupBy("length", "part").agg((F.max("number") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    if per_part.count() <= most_rows:
+        bases = F.broadcast(bases)
     rows = plan_rows(bin_completion(counts, size))
     plan = spark.createDataFrame(rows, "length int, low long, high long, block long, offset long")
     if len(rows) <= most_rows:

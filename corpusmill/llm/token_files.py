@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import NO_ID, U64, ids_of, mixed, shared_path, text_bytes
-from corpusmill.llm.tokens import Encoder
+from corpusmill.llm.tokens import shared_encoder
 
 MAGIC = b"TOKSHRD1"
 _SHARDS = "shard long, first_key long, last_key long, n_records long, n_ids long, body binary"
@@ -115,7 +115,7 @@ def _encoded(path: str, style: str, end_id: int, shard_bytes: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys, ids, held, part = Encoder(path, style), [], [], 0, 0
+        encode, keys, ids, held, part = shared_encoder(path, style), [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             own = np.concatenate(keys)

@@ -5,9 +5,9 @@ So a text's ids are those of its units in turn, wherever units end at such split
 distinct unit needs to be encoded once for a cache's lifetime. The units are:
 
 *words*: runs without a space or line feed, for tokenizers that drop white space;
-*spaced*: runs that begin at a single space or line feed after a character that isn't white
-space, for tokenizers that join one space to the word after it. Texts with other white space
-in such places are cut before every run of white space.
+*spaced*: a space or line feed with the run after it, for tokenizers that join one space to
+the word after it. Texts with other white space, or several in a row, are cut before every
+run of white space instead.
 
 A unit of Latin-1 letters, perhaps with ASCII marks after them, splits only between the two, so its
 letters go to the library's merging model at once, past its normalising and splitting.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 from tokenizers import Tokenizer
 
@@ -42,7 +43,8 @@ class Cache(dict):
 
     def __init__(self, tokenizer: Tokenizer, limit: int, prefix: str = "", lower: bool = False, letters: bool = True) -> None:
         self.tokenizer, self.limit, self.prefix, self.lower, self.letters = tokenizer, limit, prefix, lower, letters
-        self.shown, self.old, self.ends = _byte_letters(), {}, {"": b""}
+        self.shown, self.old, self.ends, self.spaced = _byte_letters(), {}, {"": b""}, bool(prefix)
+        self.line = self.encode(["\n"])[0]
 
     def encode(self, units: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(units, add_special_tokens=False)]
@@ -66,22 +68,30 @@ class Cache(dict):
             if unit in old:
                 self[unit] = old[unit]
                 continue
-            word = unit.rstrip(_MARKS)
+            line, text = unit[:1] == "\n" and self.spaced, unit
+            if self.spaced and (not unit.lstrip("\n") or unit[-1].isspace() or unit[1:2].isspace() or (not line and unit[0].isspace())):
+                self[unit] = None  # white space that doesn't stand alone
+                continue
+            if line:
+                text = unit[1:]
+            word = text.rstrip(_MARKS)
             if not self.letters or not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
                 rest.append(unit)
                 continue
-            pieces = merge(head + (word.lower() if self.lower else word).translate(shown))
+            pieces = merge(("" if line else head) + (word.lower() if self.lower else word).translate(shown))
             ids = array("I", [t.id for t in pieces]).tobytes()
-            self[unit] = ids if len(word) == len(unit) else ids + self.end(unit[len(word) :])
+            ids = ids if len(word) == len(text) else ids + self.end(text[len(word) :])
+            self[unit] = self.line + ids if line else ids
         for a in range(0, len(rest), 20_000):
             some = rest[a : a + 20_000]
-            self.update(zip(some, self.encode([self.prefix + u for u in some]), strict=True))
+            found = self.encode([u[1:] if self.spaced and u[0] == "\n" else self.prefix + u for u in some])
+            self.update({u: self.line + x if self.spaced and u[0] == "\n" else x for u, x in zip(some, found, strict=True)})
 
 
 class Encoder:
     """Encodes whole texts as the tokenizer at ``path`` does with add_special_tokens=False; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, style: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, style: str, limit: int = 450_000) -> None:
         if style not in ("words", "spaced"):
             raise ValueError(f"style {style!r} is neither 'words' nor 'spaced'")
         tokenizer = Tokenizer.from_file(path)
@@ -89,7 +99,6 @@ class Encoder:
         self.style = style
         self.plain, self.spaced = Cache(tokenizer, limit, lower=style == "words"), Cache(tokenizer, limit, " ")
         self.runs = Cache(tokenizer, limit, letters=False)
-        self.line = self.plain.encode(["\n"])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -97,19 +106,21 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         units = [t.replace("\n", " ").split(" ") for t in texts]
-        self.plain.learn({u for own in units for u in own})
+        self.plain.learn(set().union(*units))
         get = self.plain.__getitem__
         return [b"".join(map(get, own)) for own in units]
 
     def _spaced(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if not _is_plain(t)]
-        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        for i in odd:
-            lines[i] = []
-        self.plain.learn({line[0] for own in lines for line in own})
-        self.spaced.learn({u for own in lines for line in own for u in line[1:]})
-        plain, spaced, line_feed = self.plain, self.spaced.__getitem__, self.line
-        out = [line_feed.join([b"".join([plain[line[0]], *map(spaced, line[1:])]) for line in own]) for own in lines]
+        """Units begin at a space, which they drop, or at a line feed, which they keep; a line feed is put before each text and taken off its ids."""
+        units = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        self.spaced.learn(set().union(*units))
+        get, skip, out, odd = self.spaced.__getitem__, len(self.spaced.line), [], []
+        for i, own in enumerate(units):
+            try:
+                out.append(b"".join(map(get, own))[skip:])
+            except TypeError:  # a None: other white space, or several in a row
+                out.append(b"")
+                odd.append(i)
         if odd:
             runs = [_RUNS.findall(texts[i]) for i in odd]
             self.runs.learn({u for own in runs for u in own})
@@ -118,9 +129,7 @@ class Encoder:
         return out
 
 
-_ODD = re.compile(r"[^\S \n]|[ \n](?=[ \n])|\A[ \n]| \Z")
-
-
-def _is_plain(text: str) -> bool:
-    """Whether its only white space is single spaces and line feeds, each after another character."""
-    return _ODD.search(text) is None
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, style: str) -> Encoder:
+    """One encoder for each worker process, so that its cache outlives a task."""
+    return Encoder(path, style)
