@@ -47,7 +47,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Pieces:
     """A byte-pair SentencePiece model with byte fallback, a leading space and no other normalisation."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         model, self.limit = self.model, limit
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)

@@ -201,10 +201,11 @@ def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
 def simhash_keep_first(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id, and one row for each doc_id, with all their columns.
 
-    Rows without a doc_id stay, one for each text, if nothing in their group has one.
+    Rows without a doc_id stay, one for each text.
     """
     found = simhash_groups(docs, radius, size, seed)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_simhash_id")).distinct()
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_simhash_id"))
+    first = first.union(docs.sparkSession.range(1).select(F.lit(NO_ID))).distinct()
     text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     rows = docs.withColumn("_simhash_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_simhash_text", text)
     return rows.join(first, "_simhash_id", "left_semi").dropDuplicates(["_simhash_id", "_simhash_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -311,11 +311,11 @@ def _answer(n: int):
 
 
 def _whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
-    """covered, with all bytes of each UTF-8 character of which a byte is covered."""
+    """covered, without UTF-8 characters that are covered in part."""
     character = np.cumsum((data & 0xC0) != 0x80)
-    hit = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
-    hit[character[covered]] = True
-    return hit[character]
+    left = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
+    left[character[~covered]] = True
+    return ~left[character]
 
 
 def _finish(splitters: np.ndarray, characters: bool, names: list[str]):
@@ -392,7 +392,7 @@ def splitters_of(docs: DataFrame, buckets: int, total: int, sample_bytes: int) -
 def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
     """For each row of docs (doc_id, text): n_bytes, n_removed, the removed byte runs and the bytes kept, then the columns in ``carry``.
 
-    With ``characters``, a character of which a byte is removed goes as a whole. Null texts are
+    With ``characters``, a character goes only if all its bytes do. Null texts are
     empty. Texts below 50 bytes lose nothing. Rows with the same doc_id don't remove each
     other's strings (neither id is smaller); a null doc_id counts as larger than any. An empty
     table gives an empty result. Carried columns may have any names, those of the result

@@ -197,7 +197,7 @@ def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFram
     """(doc_id, ids) of the keys in wanted (doc_id) that the files at path hold, by the shards' indexes; repeated keys give their first record."""
     shards = spark.read.schema(_SHARDS).parquet(path)
     keys = wanted.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    ranges = shards.select("shard", "first_key", "last_key")
+    ranges = spark.read.schema(_SHARDS).parquet(path).select("shard", "first_key", "last_key")
     dealt = keys.join(ranges, F.col("key").between(F.col("first_key"), F.col("last_key"))).select("shard", "key")
     return shards.select("shard", "body").groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_lookup, "doc_id long, ids array<long>")
 
