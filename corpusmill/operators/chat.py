@@ -147,6 +147,12 @@ def parse_list(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,\n]"), strip), lambda x: x != ""))
 
 
+def parse_values(text: Column, kind: str) -> Column:
+    """A comma-separated list as an array of ``kind``; a list without items, or with another kind of item, fails the query."""
+    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda x: x != "")
+    return F.when(F.size(items) > 0, items.cast(f"array<{kind}>")).otherwise(F.raise_error(F.lit("the list is empty")))
+
+
 def parse_lines(text: Column) -> Column:
     return F.filter(F.transform(splitlines(F.coalesce(text, F.lit(""))), strip), lambda x: x != "")
 

@@ -104,3 +104,18 @@ def visible_keys(seqs: Column, width: int | None = None) -> Column:
     seen = lambda x: F.transform(seqs, lambda s, i: F.when(s >= 0, i + 2 - F.element_at(x["at"], F.array_position(x["ids"], s).cast("int"))).otherwise(0).cast("long"))
     out = let(let(F.array_distinct(seqs), firsts), seen)
     return out if width is None else F.transform(out, lambda n: F.least(n, F.lit(width).cast("long")))
+
+
+def sample_windows(tokens: Column, start: Column, block: int) -> Column:
+    """Inputs and targets of one window of a flat stream: block tokens from ``start`` (from 0), and the same one token on."""
+    return F.struct(F.slice(tokens, start + 1, F.lit(block)).alias("inputs"), F.slice(tokens, start + 2, F.lit(block)).alias("targets"))
+
+
+def collate_spans(df: DataFrame, batch: str = "batch", spans: str = "spans") -> DataFrame:
+    """df with each row's spans (begin, end) filled up with (0, 0) to the most of its batch, and span_mask, which is true for its own."""
+    most = df.groupBy(batch).agg(F.max(F.size(spans)).alias("_most"))
+    missing = F.col("_most") - F.size(spans)
+    kind = df.schema[spans].dataType
+    empty = F.array_repeat(F.struct(F.lit(0).alias("begin"), F.lit(0).alias("end")), missing).cast(kind)
+    mask = F.concat(F.array_repeat(F.lit(True), F.size(spans)), F.array_repeat(F.lit(False), missing))
+    return df.join(most, batch).withColumn("span_mask", mask).withColumn(spans, F.concat(spans, empty)).drop("_most")

@@ -164,3 +164,14 @@ def filtered_logits(logits: Column, top_k: int = 0, top_p: float = 1.0) -> Colum
 
     edge = let(let(ranked, lambda r: F.struct(r.alias("ranked"), log_sum_exp(r).alias("total"))), least)
     return let(edge, lambda e: F.transform(kept, lambda x: F.when(x >= e, x)))
+
+
+def left_truncated(ids: Column, begin: Column, end: Column, most: int) -> Column:
+    """The last ``most`` ids, and the scored range moved with them."""
+    drop = F.greatest(F.size(ids) - most, F.lit(0))
+    return F.struct(F.slice(ids, drop + 1, F.lit(most)).alias("ids"), F.greatest(begin - drop, F.lit(0)).alias("begin"), (end - drop).alias("end"))
+
+
+def step_cap(steps: int, stages: int) -> int:
+    """Steps of each stage when ``steps`` are shared out, rounded up."""
+    return -(-steps // stages)

@@ -103,3 +103,8 @@ def few_shot(items: DataFrame, k: int, seed: int = 1234, item: str = "item_id")
     picks = ring.select(item, F.explode(F.sequence(F.lit(1), F.lit(min(k, max(0, n - 1))))).alias("rank"), "at") if n > 1 else ring.select(item, F.lit(0).alias("rank"), "at").limit(0)
     there = ring.select(F.col(item).alias("shot"), F.col("at").alias("to"))
     return picks.withColumn("to", F.pmod(F.col("at") + F.col("rank"), F.lit(max(1, n)))).join(there, "to").select(item, "rank", "shot")
+
+
+def prefix_split(df: DataFrame, ratio: float, order: str = "row_idx") -> DataFrame:
+    """df with is_train: the first ratio of the rows, by their numbers from 0."""
+    return df.withColumn("is_train", F.col(order) < int(df.count() * ratio))
