@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,14 @@ NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
+def release_memory() -> None:
+    """Give back to the system what the allocators of this worker hold but don't use; workers outlive stages, and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def use_shared_folder(spark: SparkSession) -> None:
     """Make ``checkpoint()`` write to the folder named by spark.checkpoint.dir, or to a new one where it is unset (tests)."""
     context = spark.sparkContext

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import shared_path
+from corpusmill.llm.common import release_memory, shared_path
 from corpusmill.llm.tokens import shared_encoder
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a block's items and how many blocks are filled so
@@ -182,6 +182,7 @@ def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int]]:
 
 def _cut(path: str, style: str, end_id: int, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode, numbers, part = shared_encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -206,6 +207,7 @@ def _cut(path: str, style: str, end_id: int, size: int):
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "number"],
                 )
+        encode.forget()
 
     return cut
 

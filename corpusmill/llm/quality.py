@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusmill.llm.common import buffers
+from corpusmill.llm.common import buffers, release_memory
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -120,6 +120,7 @@ def measure(texts: list[bytes], limits: Limits) -> np.ndarray:
 
 def _measured(limits: Limits):
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             raw, found, a = data.tobytes(), [], 0

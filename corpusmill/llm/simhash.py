@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import NO_ID, U64, buffers, cut, spread
+from corpusmill.llm.common import NO_ID, U64, buffers, cut, release_memory, spread
 from corpusmill.llm.components import components, merged
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,6 +60,7 @@ def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
 
 def _fingerprints(size: int, seed: int):
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             column = batch.column("text")
             data, offsets = buffers(column)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import NO_ID, U64, buffers, cut, ids_of, mixed, spread, text_bytes
+from corpusmill.llm.common import NO_ID, U64, buffers, cut, ids_of, mixed, release_memory, spread, text_bytes
 
 WINDOW = 50
 ANCHOR = 16
@@ -109,6 +109,7 @@ class _Block:
     """The documents of a block in id order, with their segments; equal for equal rows, whatever order they come in."""
 
     def __init__(self, table: pa.Table) -> None:
+        release_memory()
         table = table.drop_columns(["block"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.carried = table.columns[2:]
         self.ids, self.docs = table.column("doc_id"), ids_of(table.column("doc_id"))
@@ -256,6 +257,7 @@ def equal_prefixes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sort_segments(table: pa.Table) -> pa.Table:
+    release_memory()
     docs = np.frombuffer(buffers(table.column("docs"))[0].tobytes(), np.int64)
     lens = np.frombuffer(buffers(table.column("lens"))[0].tobytes(), np.uint32).astype(np.int64)
     at = np.frombuffer(buffers(table.column("anchors"))[0].tobytes(), np.uint32).astype(np.int64)
@@ -389,7 +391,7 @@ def splitters_of(docs: DataFrame, buckets: int, total: int, sample_bytes: int) -
     return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(int)[1:-1]]) if len(found) >= buckets else np.unique(found)
 
 
-def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
     """For each row of docs (doc_id, text): n_bytes, n_removed, the removed byte runs and the bytes kept, then the columns in ``carry``.
 
     With ``characters``, a character goes only if all its bytes do. Null texts are
@@ -402,7 +404,7 @@ def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)))
     docs = every.select("doc_id", "text")
     total = text_bytes(docs, "text")
-    n_blocks, n_keys, n_buckets = (max(1, total // size + 1) for size in (block_bytes, 8 * bucket_bytes, bucket_bytes))
+    n_blocks, n_keys, n_buckets = (max(1, total // size + 1) for size in (block_bytes, 16 * bucket_bytes, bucket_bytes))
     splitters = splitters_of(docs, n_buckets, total, min(sample_bytes, n_buckets << 18))
     n = len(splitters) + 1
     number = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")

@@ -134,6 +134,7 @@ def _encoded(path: str, style: str, end_id: int, shard_bytes: int):
                 held += sum(map(len, found))
         if keys:
             yield flush()
+        encode.forget()
 
     return encoded
 

@@ -22,6 +22,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from corpusmill.llm.common import release_memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _RUNS = re.compile(r"\s*\S+|\s+\Z")
@@ -91,7 +93,7 @@ class Cache(dict):
 class Encoder:
     """Encodes whole texts as the tokenizer at ``path`` does with add_special_tokens=False; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, style: str, limit: int = 450_000) -> None:
+    def __init__(self, path: str, style: str, limit: int = 250_000) -> None:
         if style not in ("words", "spaced"):
             raise ValueError(f"style {style!r} is neither 'words' nor 'spaced'")
         tokenizer = Tokenizer.from_file(path)
@@ -104,6 +106,12 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         return self._words(texts) if self.style == "words" else self._spaced(texts)
 
+    def forget(self) -> None:
+        """Drop the old generation of units; the worker may serve other stages next."""
+        for cache in (self.plain, self.spaced, self.runs):
+            cache.old = {}
+        release_memory()
+
     def _words(self, texts: list[str]) -> list[bytes]:
         units = [t.replace("\n", " ").split(" ") for t in texts]
         self.plain.learn(set().union(*units))
