@@ -1,12 +1,13 @@
 """Packing of token sequences into as few fixed-size blocks as possible, by bin completion.
 
 Only the lengths matter, and there are at most ``size`` different ones, so the plan is made on
-their histogram. Bin completion takes the largest length that is left and looks for the best
-undominated way to fill the rest of its block; a branch-and-bound search runs over these
-choices, with best-fit decreasing as the first incumbent, and leaves a branch once its waste
-shows that it can't use fewer blocks than the incumbent. A filling is laid out as often as
-its lengths last, so the plan's size follows the number of different lengths and not the
-number of documents.
+their histogram. Bin completion takes the largest length that is left and tries the
+undominated ways to fill the rest of its block, one by one in order of waste; a
+branch-and-bound search runs over these choices, with best-fit decreasing as the first
+incumbent, and leaves a branch once its waste shows that it can't use fewer blocks than the
+incumbent. A filling is first laid out as often as its lengths last, so the plan's size follows
+the number of different lengths and not the number of documents. The search ends with an
+optimal plan or at its limit of steps; then the gap to the lower bound is logged.
 
 Documents then find their place without a loop: each is numbered among those of its length,
 and the plan gives ranges of these numbers their blocks and offsets.
@@ -14,9 +15,10 @@ and the plan gives ranges of these numbers their blocks and offsets.
 
 from __future__ import annotations
 
+import logging
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import release_memory, shared_path
 from corpusmill.llm.tokens import shared_encoder
 
+_FEW = 8
+_LOG = logging.getLogger(__name__)
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a block's items and how many blocks are filled so
 _PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long, part int, number long"
 
@@ -58,104 +62,167 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return list(room.items())
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """The best undominated fillings of ``room``: least waste first, of equal waste those with fewer and larger items.
+def _reach(lengths: list[int], counts: dict[int, int], total: int, most: int) -> list[int]:
+    """For each i, a bit set of the totals that lengths[i:] have multisets of; with ``most``, one row of bits for each number of items up to it."""
+    row = 2 * total + 2 if most else 0
+    mask = (1 << (total + 1)) - 1
+    mask = sum(mask << (m * row) for m in range(most + 1)) if most else mask
+    reach = [1]
+    for x in reversed(lengths):
+        bits, n, step = reach[-1], min(counts[x], total // x, most or total), 1
+        while n:
+            step = min(step, n)
+            bits |= bits << (step * (x + row)) & mask
+            n, step = n - step, 2 * step
+        reach.append(bits)
+    return reach[::-1]
 
-    One item that fills as much as several dominates them. Fillings of one, two and three items
-    are looked at exactly, and the largest-first one of any number.
-    """
-    found: dict[int, tuple[int, ...]] = {}
-    have = np.array(lengths)
-
-    def offer(filling: tuple[int, ...]) -> None:
-        total = sum(filling)
-        if total <= room and (total not in found or len(filling) < len(found[total])) and all(filling.count(x) <= counts[x] for x in set(filling)):
-            found[total] = filling
-
-    def largest(limit: int) -> int:
-        k = bisect_right(lengths, limit)
-        return lengths[k - 1] if k else 0
-
-    one = largest(room)
-    if not one:
-        return [()]
-    offer((one,))
-    if one < room:
-        first = have[have < room]
-        at = np.searchsorted(have, room - first, "right") - 1
-        ok = at >= 0
-        totals = np.where(ok, first + have[np.maximum(at, 0)], 0)
-        for i in np.argsort(-totals, kind="stable")[:most].tolist():
-            if ok[i]:
-                offer(tuple(sorted((int(first[i]), int(have[at[i]])), reverse=True)))
-        if max(found) < room:
-            rest = room - first[:, None] - first[None, :]
-            at = np.searchsorted(have, rest, "right") - 1
-            totals = np.where((rest > 0) & (at >= 0), room - rest + have[np.maximum(at, 0)], 0)
-            for i in np.argsort(-totals, axis=None, kind="stable")[:most].tolist():
-                a, b = divmod(i, len(first))
-                if totals[a, b]:
-                    offer(tuple(sorted((int(first[a]), int(first[b]), int(have[at[a, b]])), reverse=True)))
-        greedy, left = [], room
-        while x := largest(left):
-            n = min(counts[x] - greedy.count(x), left // x)
-            if n <= 0:
-                k = bisect_right(lengths, x - 1)
-                while k and counts[lengths[k - 1]] <= greedy.count(lengths[k - 1]):
-                    k -= 1
-                if not k:
-                    break
-                x = min(lengths[k - 1], left)
-                if x not in counts or counts[x] <= greedy.count(x):
-                    break
-                n = 1
-            greedy += [x] * n
-            left -= x * n
-        offer(tuple(greedy))
-    return [found[t] for t in sorted(found, reverse=True)[:most]]
+
+def _sums(lengths: list[int], counts: dict[int, int], total: int) -> Iterator[tuple[int, ...]]:
+    """Every multiset of lengths (in falling order, each at most as often as counted) of exactly ``total``, ordered as by ``_key``."""
+
+    def pick(i: int, left: int, items: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield ()
+            return
+        while i < len(lengths) and reach[i] >> (left + items * row) & 1:
+            x, i = lengths[i], i + 1
+            for n in range(min(counts[x], left // x, items if row else left), 0, -1):
+                if reach[i] >> (left - n * x + (items - n) * row) & 1:
+                    for rest in pick(i, left - n * x, items - n if row else 0):
+                        yield (x,) * n + rest
+
+    row, reach = 0, _reach(lengths, counts, total, 0)
+    if not reach[0] >> total & 1:
+        return
+    if not total:
+        yield ()
+        return
+    row = 2 * total + 2
+    for few, most in ((0, 2), (2, _FEW)):
+        reach = _reach(lengths, counts, total, most)
+        for items in range(few + 1, most + 1):
+            yield from pick(0, total, items)
+    row, reach = 0, _reach(lengths, counts, total, 0)
+    yield from (x for x in pick(0, total, 0) if len(x) > _FEW)
+
+
+def _key(filling: tuple[int, ...]) -> tuple:
+    """Fillings are tried in falling order of this: least waste first, of equal waste those with fewer items (up to _FEW), then those with larger ones."""
+    return sum(filling), -min(len(filling), _FEW + 1), filling
+
+
+def candidates(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All fillings of ``room`` that leave out no item their waste has room for, by falling ``_key`` (of equal waste, without the items that are in all)."""
+    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+    small, forced = len(lengths), 0  # lengths[small:] fit into the waste, so all of them are in
+    for waste in range(room + 1):
+        if small and lengths[small - 1] <= waste:
+            small -= 1
+            forced += lengths[small] * counts[lengths[small]]
+        if forced > room - waste:
+            return
+        tail = tuple(x for x in lengths[small:] for _ in range(counts[x]))
+        for filling in _sums(lengths[:small], counts, room - waste - forced):
+            yield filling + tail
+
+
+def dominated(filling: tuple[int, ...], counts: dict[int, int], room: int) -> bool:
+    """Whether an item left out could take the place of some of the filling: it fills more, or as much as several."""
+    one, several, waste = 0, 0, room - sum(filling)  # totals of one and of several items of the filling
+    for x in filling:
+        several |= (several | one) << x
+        one |= 1 << x
+    spare = 0
+    for x, n in counts.items():
+        if n > filling.count(x):
+            spare |= 1 << x
+    return bool((_above(one | several | 1, waste) | several) & spare)
+
+
+def _above(sums: int, waste: int) -> int:
+    """sums with 1 to ``waste`` added."""
+    out, done = sums << 1 if waste else 0, 1
+    while done < waste:
+        step = min(done, waste - done)
+        out |= out << step
+        done += step
+    return out
 
 
 def _used(counts: dict[int, int], items: tuple[int, ...]) -> int:
     return min(counts[x] // items.count(x) for x in set(items))
 
 
+def _branches(left: dict[int, int], size: int, branch: tuple | None) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """The ways to go on at a node: blocks of the largest length and an undominated filling, and how many of them; None for a candidate that is none.
+
+    Blocks with equal largest items can come in any order, so they come in that of the candidates.
+    """
+    largest = max(left)
+    rest = left | {largest: left[largest] - 1}
+    before = branch[1][0] if branch and branch[1][0][0] == largest else None
+    for filling in candidates(rest, size - largest):
+        items = (largest, *filling)
+        if before and _key(items) >= _key(before) or dominated(filling, rest, size - largest):
+            yield None
+            continue
+        for n in range(_used(left, items), 0, -1):
+            yield items, n
+
+
 def bin_completion(counts: dict[int, int], size: int, nodes: int = 20_000) -> Plan:
-    """A plan for counts (length -> items, lengths up to size): optimal if the search ends, the best found after ``nodes`` steps."""
+    """A plan for counts (length -> items, lengths up to size): optimal if the search ends, the best found after ``nodes`` steps.
+
+    A step is a candidate looked at or a branch taken. Every undominated filling is tried, each
+    as often as it lasts and then less often. ``gap`` tells how far a plan may be from the optimum.
+    """
     counts = {k: n for k, n in counts.items() if n}
     incumbent = best_fit(counts, size)
     best = sum(n for _, n in incumbent)
     total = sum(k * n for k, n in counts.items())
     least = -(-total // size)
-    root = (counts, None, 0, 0)  # lengths left, the branch as (branch above, filling), its blocks and waste
-    stack: list[tuple[tuple, tuple[int, ...] | None]] = [(root, None)]
+    stack = [[counts, None, 0, 0, None, 0]]  # lengths left, the branch as (branch above, (items, blocks)), its blocks, waste, ways on and how many were taken
     while stack and best > least and nodes:
+        left, branch, bins, waste, ways, taken = stack[-1]
+        if ways is None:
+            ways = stack[-1][4] = islice(_branches(left, size, branch), taken, None)
+        way = next(ways, ())
+        stack[-1][5] += 1
+        if way == ():
+            stack.pop()
+            continue
         nodes -= 1
-        node, items = stack.pop()
-        if items:
-            node = _filled(node, items, size)
-        left, branch, bins, waste = node
-        if not left:
-            if bins < best:
-                incumbent, best = _plan(branch), bins
+        if way is None:
             continue
+        items, n = way
+        waste += n * (size - sum(items))
         if waste > (best - 1) * size - total:  # no room for fewer blocks than the incumbent's
+            if n == 1:
+                stack.pop()  # what comes next wastes as much or more
             continue
-        largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        lengths = sorted(k for k, n in rest.items() if n)
-        stack.extend((node, (largest, *filling)) for filling in reversed(fillings(rest, lengths, size - largest)))
+        left, branch, bins = _without(left, items, n), (branch, way), bins + n
+        if left:
+            stack.append([left, branch, bins, waste, None, 0])
+            if len(stack) > 32:  # their tables are large; made again when the search comes back
+                stack[-33][4] = None
+        elif bins < best:
+            incumbent, best = _plan(branch), bins
     return incumbent
 
 
-def _filled(node: tuple, items: tuple[int, ...], size: int) -> tuple:
-    left, branch, bins, waste = node
-    n, left = _used(left, items), dict(left)
+def gap(plan: Plan, size: int) -> int:
+    """Blocks of a plan beyond the total of its items over ``size``, rounded up; no plan has fewer than that."""
+    return sum(n for _, n in plan) - -(-sum(n * sum(items) for items, n in plan) // size)
+
+
+def _without(left: dict[int, int], items: tuple[int, ...], n: int) -> dict[int, int]:
+    left = dict(left)
     for x in items:
         left[x] -= n
         if not left[x]:
             del left[x]
-    return left, (branch, (items, n)), bins + n, waste + n * (size - sum(items))
+    return left
 
 
 def _plan(branch: tuple | None) -> Plan:
@@ -237,7 +304,10 @@ def pack(pieces: DataFrame, size: int, most_rows: int = 200_000) -> DataFrame:
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if per_part.count() <= most_rows:
         bases = F.broadcast(bases)
-    rows = plan_rows(bin_completion(counts, size))
+    found = bin_completion(counts, size)
+    if gap(found, size):
+        _LOG.warning("%d blocks of %d, %d more than the lower bound", sum(n for _, n in found), size, gap(found, size))
+    rows = plan_rows(found)
     plan = spark.createDataFrame(rows, "length int, low long, high long, block long, offset long")
     if len(rows) <= most_rows:
         plan = F.broadcast(plan)

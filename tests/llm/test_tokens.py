@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -90,6 +91,25 @@ def test_bin_completion_is_optimal():
         assert used == Counter(items) and sum(n for _, n in plan) == fewest(items, 20)
 
 
+def test_bin_completion_looks_at_fillings_of_many_items():
+    plan = packing.bin_completion({600: 1, 362: 2, 300: 1, 106: 4}, 1024)
+    assert sorted(plan) == [((362, 362, 300), 1), ((600, 106, 106, 106, 106), 1)] and packing.gap(plan, 1024) == 0
+
+
+def test_fillings_are_all_undominated_ones():
+    counts = {9: 1, 7: 2, 5: 2, 4: 3, 2: 1}
+    subsets = {tuple(sorted(x, reverse=True)) for n in range(11) for x in itertools.combinations([k for k, n in counts.items() for _ in range(n)], n) if sum(x) <= 16}
+    found = list(packing.candidates(counts, 16))
+    assert found == sorted(set(found), key=packing._key, reverse=True)
+    assert set(found) == {x for x in subsets if not any(n > x.count(k) and k <= 16 - sum(x) for k, n in counts.items())}
+
+    def better(x):
+        parts = {p for n in range(len(x) + 1) for p in itertools.combinations(x, n)}
+        return any(n > x.count(k) and (sum(p) < k or (sum(p) == k and len(p) > 1)) and k <= sum(p) + 16 - sum(x) for k, n in counts.items() for p in parts)
+
+    assert [x for x in found if not packing.dominated(x, counts, 16)] == [x for x in found if not better(x)]
+
+
 def test_packing(spark):
     rows = [*ROWS, (400, "x " * 4000), (401, "y")]
     got = packing.best_fit_packing(frame(spark, rows), vocabulary("byte_bpe_50k.json"), "spaced", 2).collect()
