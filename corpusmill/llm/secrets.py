@@ -7,7 +7,8 @@ places in code points.
 The models are first-order: one of random strings (hex, base64, capitals and digits), one of
 ordinary identifiers (words of the corpus, joined in the usual ways). Both are counted on
 labelled samples, with one added to each count. A run of 20 or more characters of the alphabet
-is a secret if its log-likelihood ratio exceeds the threshold, in all and for each character.
+is a secret if its log-likelihood ratio exceeds the threshold, in all and for each character;
+what a fixed pattern finds is taken out of the run first.
 """
 
 from __future__ import annotations
@@ -105,17 +106,31 @@ def train(samples: DataFrame) -> Model:
     return Model(tuple(ratios))
 
 
+def _outside(run: Column, spans: Column) -> Column:
+    """The parts of a run (start, end, value) outside of spans (by start), of 20 or more characters."""
+    meets = F.filter(spans, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(run["value"], (a - run["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
+    none = "array<struct<start:bigint,end:bigint,value:string>>"
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(part(acc["at"], b["start"]))).alias("out"))
+
+    parts = F.aggregate(meets, F.struct(run["start"].alias("at"), F.array().cast(none).alias("out")), add, lambda acc: F.concat(acc["out"], F.array(part(acc["at"], run["end"]))))
+    return F.when(F.size(meets) == 0, F.array(run)).otherwise(F.filter(parts, lambda x: x["end"] - x["start"] >= 20))
+
+
 def find_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``spans``: array of (start, rank, end, kind) by start and rank, in code points, ends exclusive.
 
     The kinds assign, access and hex follow the fixed patterns and may overlap; random is the
-    model's, and only where no other kind is. Null texts have no spans. The text and the other
+    model's, for what lies of a run outside of the other kinds. Null texts have no spans. The text and the other
     columns stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(matches(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6)
     found = docs.withColumn("_base", F.array_sort(F.concat(_as_spans(assign, "assign"), _as_spans(matches(text, ACCESS), "access"), _as_spans(matches(text, HEX), "hex"))))
-    runs = F.filter(matches(text, RUN), lambda s: _is_random(s["value"], model) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    parts = F.flatten(F.transform(matches(text, RUN), lambda s: _outside(s, F.col("_base"))))
+    runs = F.filter(parts, lambda s: _is_random(s["value"], model))
     return found.withColumn("spans", F.array_sort(F.concat("_base", _as_spans(runs, "random")))).drop("_base")
 
 
