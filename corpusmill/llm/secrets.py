@@ -74,7 +74,7 @@ def _is_random(run: Column, model: Model) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample_rows: int, random_rows: int) -> DataFrame:
-    """(value, random): random strings made from hashes, and identifiers made of neighbouring words of about sample_rows documents."""
+    """(value, random): random strings made from hashes, and identifiers made of all neighbouring words of about sample_rows documents."""
     spark = docs.sparkSession
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     size = F.pmod(F.xxhash64("id"), F.lit(21)) + 20
@@ -83,8 +83,9 @@ def labelled_samples(docs: DataFrame, sample_rows: int, random_rows: int) -> Dat
     string = F.when(kinds == 0, digest("c")).when(kinds == 1, base64).otherwise(F.regexp_replace(F.upper(base64), "[^A-Z0-9]", ""))
     random = spark.range(random_rows).select(F.substring(string, F.lit(1), size.cast("int")).alias("value"), F.lit(True).alias("random"))
     every = max(1, docs.count() // sample_rows)
-    words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0)), 1, 400).alias("w"))
-    three = words.where(F.size("w") >= 3).select(F.posexplode("w").alias("i", "first"), "w").select("i", F.slice("w", F.col("i") + 1, F.lit(3)).alias("w"))
+    words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
+    after = [F.slice("w", F.lit(k), F.size("w")).alias(f"w{k}") for k in (1, 2, 3)]
+    three = words.where(F.size("w") >= 3).select(F.posexplode(F.arrays_zip(*after)).alias("i", "p")).select("i", F.array_compact(F.array("p.w1", "p.w2", "p.w3")).alias("w"))
     lower, way = F.transform("w", F.lower), F.pmod(F.xxhash64("w", "i"), F.lit(7))
     two = lambda n: F.lpad((F.pmod("i", F.lit(n)) + 1).cast("string"), 2, "0")
     dated = F.concat_ws("-", (F.pmod("i", F.lit(40)) + 1990).cast("string"), two(12), two(28), two(24), F.element_at(lower, 1))
