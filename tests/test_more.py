@@ -2,6 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chat, intervals, metrics, rows
+from corpusmill.plans import text_queries
+from corpusmill.sources.render import translation
+from tests.compare import same
+
+SF = "/root/testdata/sf0.001"
 
 
 def value(spark, column):
@@ -34,3 +39,10 @@ def test_lists(spark):
     assert value(spark, chat.parse_values(F.lit("1, 2,3"), "int")) == [1, 2, 3]
     with pytest.raises(Exception, match="the list is empty"):
         value(spark, chat.parse_values(F.lit(" , "), "int"))
+
+
+def test_translations_of_whole_texts(spark):
+    """The registered query and its SQL render the first 40 characters; here both render all of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = docs.select("doc_id", F.md5(translation(F.col("text"), F.col("source"), F.col("doc_id"))).alias("digest"))
+    same(got, SF, text_queries.TRANSLATION_ROTATION.replace("substr(text, 1, 40)", "text"))
