@@ -374,15 +374,18 @@ def _sample(every: int):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             starts, _, key = segments(data, offsets)
-            starts = starts[mixed(key) % U64(every) == 0]
-            docs = ids_of(batch.column("doc_id"))[np.searchsorted(offsets, starts, "right") - 1]
+            row = np.searchsorted(offsets, starts, "right") - 1
+            docs = ids_of(batch.column("doc_id"))[row]
+            place = mixed(docs.astype(U64) + mixed((starts - offsets[row]).astype(U64)))
+            some = mixed(key ^ place) % U64(every) == 0
+            starts, docs = starts[some], docs[some]
             yield pa.RecordBatch.from_arrays([pa.array([leading(data, starts + anchors(data, starts), docs).tobytes()], pa.binary())], ["keys"])
 
     return sample
 
 
 def splitters_of(docs: DataFrame, buckets: int, total: int, sample_bytes: int) -> np.ndarray:
-    """Splitters between buckets, from the anchors of a sample of documents of about sample_bytes; only balance depends on it."""
+    """Splitters between buckets, from the anchors of a sample of documents of about sample_bytes, each place chosen by itself, so that frequent anchors come up as often as they occur; only balance depends on it."""
     if buckets < 2:
         return np.zeros(0, f"S{ANCHOR + 8}")
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // sample_bytes))) == 0)

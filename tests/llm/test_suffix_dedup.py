@@ -1,9 +1,14 @@
 import hashlib
+import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm.suffix_dedup import suffix_dedup
+from corpusmill.llm.common import buffers
+from corpusmill.llm.suffix_dedup import _sample, anchors, leading, segments, suffix_dedup
 from tests.llm.helpers import ODD, frame, texts
 
 
@@ -52,3 +57,18 @@ def test_carried_columns_and_characters(spark):
 
 def test_empty(spark):
     assert suffix_dedup(frame(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_each_hot_anchor_is_sampled():
+    """Of ten strings that 400 documents hold each, every one gives about an eighth of its places to the sample."""
+    rng = random.Random(8)
+    strings = ["".join(rng.choice("abcdefgh") for _ in range(70)) for _ in range(10)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": [f"{i:08d}{strings[i % 10]}{i:08d}" for i in range(4000)]})
+    data, offsets = buffers(batch.column("text"))
+    starts, _, _ = segments(data, offsets)
+    every = Counter(x[:16] for x in leading(data, starts + anchors(data, starts), np.zeros(len(starts), np.int64)).tolist())
+    hot = {x for x, n in every.items() if n >= 400}
+    [got] = _sample(8)([batch])
+    keys = got.column("keys")[0].as_py()
+    found = Counter(keys[a : a + 16] for a in range(0, len(keys), 24))
+    assert len(hot) >= 10 and all(every[x] / 16 < found[x] < every[x] / 4 for x in hot)
