@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chat, intervals, metrics, rows
-from corpusmill.plans import text_queries
+from corpusmill.plans import score_queries, text_queries
 from corpusmill.sources.render import translation
 from tests.compare import same
 
@@ -46,3 +46,12 @@ def test_translations_of_whole_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = docs.select("doc_id", F.md5(translation(F.col("text"), F.col("source"), F.col("doc_id"))).alias("digest"))
     same(got, SF, text_queries.TRANSLATION_ROTATION.replace("substr(text, 1, 40)", "text"))
+
+
+def test_stability_penalty_of_all_events(spark):
+    """The registered query and its SQL take three of ten residues of event_id as measurements; here every event is one."""
+    kind, v = F.col("event_id") % 3, F.abs("value")
+    e = spark.read.parquet(f"{SF}/events.parquet").groupBy((F.col("user_id") % 40).alias("trial"))
+    runs = e.agg(F.array_sort(F.collect_list(F.when(kind == 0, F.struct("event_id", v.alias("v"))))).alias("e"), F.collect_list(F.when(kind == 1, v)).alias("t"), F.collect_list(F.when(kind == 2, v / 40)).alias("g"), F.count_if(v > 90).alias("clipped"), F.count("*").alias("steps"), F.max(v).alias("peak"))
+    got = runs.select("trial", F.round(metrics.stability_penalty(F.col("e.v"), F.col("t"), F.col("g"), F.col("clipped"), F.col("steps"), F.col("peak"), 1.0, 50.0), 6).alias("penalty"))
+    same(got, SF, score_queries.STABILITY.replace("event_id % 10", "event_id % 3"))
