@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import release_memory, shared_path
-from corpusmill.llm.tokens import shared_encoder
+from corpusmill.llm.common import release_memory, shared_path, spread
+from corpusmill.llm.tokens import parts_of, shared_encoder, with_end
 
 _FEW = 8
 _LOG = logging.getLogger(__name__)
@@ -247,31 +247,41 @@ def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def _cut(path: str, style: str, end_id: int, size: int):
+def pieces_of(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of so many ids: each piece's document, number, first id and length. Only longer documents are cut, and the first of their pieces may be shorter."""
+    count = -(-lengths // size)
+    doc, piece = np.repeat(np.arange(len(lengths)), count), spread(np.zeros(len(lengths), np.int64), count)
+    first = lengths - (count - 1) * size
+    return doc, piece, np.where(piece > 0, first[doc] + (piece - 1) * size, 0), np.where(piece > 0, size, first[doc])
+
+
+def _numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each item among those of its length, from seen[length] on; seen is counted up."""
+    order = np.argsort(lengths, kind="stable")
+    ordered = lengths[order]
+    out = np.empty(len(lengths), np.int64)
+    out[order] = np.arange(len(lengths)) - np.searchsorted(ordered, ordered) + seen[ordered]
+    seen += np.bincount(lengths, minlength=len(seen))
+    return out
+
+
+def _cut(path: str, style: str, end_id: int, size: int, part_bytes: int = 4 << 20):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        encode, numbers, part = shared_encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encode, seen, part = shared_encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
-                rows, ids = [], []
-                for doc, found in zip(some.column("doc_id").to_pylist(), encode(some.column("text").fill_null("").to_pylist()), strict=True):
-                    found += end
-                    n = len(found) // 4
-                    first, start = n % size or size, 0
-                    for piece in range(-(-n // size)):
-                        length = first if not piece else size
-                        body = found[4 * start : 4 * (start + length)]
-                        rows.append((doc, piece, start, length, zlib.crc32(body), part, int(numbers[length])))
-                        ids.append(body)
-                        numbers[length] += 1
-                        start += length
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                edges = np.concatenate(([0], np.cumsum([r[3] for r in rows], dtype=np.int64))).astype(np.int32)
-                columns = list(zip(*rows, strict=True))
+            at = 0
+            for texts in parts_of(batch.column("text").cast(pa.large_string()), part_bytes):
+                flat, offsets = with_end(*encode(texts), end_id)
+                doc, piece, start, length = pieces_of(np.diff(offsets), size)
+                edges = np.append(offsets[doc] + start, len(flat))
+                raw = memoryview(flat.astype("<u4", copy=False).view(np.uint8))
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * edges[:-1]).tolist(), (4 * edges[1:]).tolist(), strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.view("<i4")))
+                docs = batch.column("doc_id").slice(at, len(texts)).take(pa.array(doc))
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int64())],
+                    [docs, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), ids, pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(_numbered(length, seen))],
                     ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "number"],
                 )
         encode.forget()
@@ -292,7 +302,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, style: str, end_id: int, size: i
 
 
 def pack(pieces: DataFrame, size: int, most_rows: int = 200_000) -> DataFrame:
-    """pieces (length, part, number, ...) with sequence_id and offset: their places in blocks of ``size``.
+    """pieces (length, part, number, ...) with sequence_id and offset, their places in blocks of ``size``, and the plan's ``gap``.
 
     The histogram that is collected has at most ``size`` rows. The plan and the counts of each
     part are broadcast up to most_rows rows and shuffled beyond. Every piece gets a place; an empty table gives none.
@@ -313,13 +323,17 @@ def pack(pieces: DataFrame, size: int, most_rows: int = 200_000) -> DataFrame:
         plan = F.broadcast(plan)
     numbered = pieces.join(bases, ["length", "part"]).withColumn("number", F.col("number") + F.col("base"))
     inside = (numbered["length"] == plan["length"]) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
-    return numbered.join(plan, inside).select(*(numbered[c] for c in pieces.columns if c not in ("part", "number")), (F.col("block") + F.col("number") - F.col("low")).alias("sequence_id"), "offset")
+    return numbered.join(plan, inside).select(*(numbered[c] for c in pieces.columns if c not in ("part", "number")), (F.col("block") + F.col("number") - F.col("low")).alias("sequence_id"), "offset", F.lit(gap(found, size)).cast("long").alias("gap"))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, style: str, end_id: int, size: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids, ids_crc32, sequence_id and offset of every piece of docs (doc_id, text).
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset and gap of every piece of docs (doc_id, text).
 
     Null and empty texts are one piece, their end id. Repeated rows, and rows with a null
-    doc_id, are packed like any other. Other columns are ignored.
+    doc_id, are packed like any other. A text of any length is encoded whole and cut into
+    pieces. Pieces of equal length are alike to the plan; which of them goes where follows
+    from their numbers. ``gap`` is the same in all rows: the sequences that the plan has beyond
+    the lower bound, 0 for a plan that is known to be the best. Other columns are ignored, and
+    an empty table gives an empty result.
     """
     return pack(cut_pieces(docs, tokenizer, style, end_id, size), size)

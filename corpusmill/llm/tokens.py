@@ -1,16 +1,21 @@
-"""Token ids by the tokenizers library, with the ids of repeated units kept in a bounded cache.
+"""Token ids by the tokenizers library, with the ids of repeated words kept in a bounded cache.
 
 Both vocabularies used here split a text before merging, and never merge across such a split.
-So a text's ids are those of its units in turn, wherever units end at such splits, and each
-distinct unit needs to be encoded once for a cache's lifetime. The units are:
+So a text's ids are those of its units in turn, wherever units end at such splits. The units are:
 
 *words*: runs without a space or line feed, for tokenizers that drop white space;
 *spaced*: a space or line feed with the run after it, for tokenizers that join one space to
 the word after it. Texts with other white space, or several in a row, are cut before every
 run of white space instead.
 
-A unit of Latin-1 letters, perhaps with ASCII marks after them, splits only between the two, so its
-letters go to the library's merging model at once, past its normalising and splitting.
+Many texts are encoded at once: Arrow cuts them into units and numbers the distinct ones, only
+these are looked at one by one, and the ids of all units are gathered by number.
+
+A unit of Latin-1 letters, perhaps with ASCII marks after them, splits only between the two, so
+its letters go to the library's merging model at once, past its normalising and splitting, and
+are kept without the marks and, where the tokenizer drops case, in lower case. Every other
+unit goes through the whole library, which also finds the special tokens' strings, as it does
+in whole texts.
 """
 
 from __future__ import annotations
@@ -18,14 +23,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from corpusmill.llm.common import release_memory
+from corpusmill.llm.common import buffers, release_memory, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"  # Latin-1 letters
+_BEYOND = frozenset(map(chr, range(128, 256)))
 _RUNS = re.compile(r"\s*\S+|\s+\Z")
 
 
@@ -36,105 +47,199 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
 
 
-class Cache(dict):
-    """unit -> ids as little-endian 32-bit integers.
+class Recent:
+    """string -> ids as little-endian 32-bit integers, in two generations of at most ``limit``: a full one becomes the old one, from which strings that come again are taken over."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def find(self, keys: list[str], make) -> list[bytes]:
+        """The ids of distinct keys; ``make`` gives those of keys that are not known."""
+        out = list(map(self.new.get, keys))
+        lost = [i for i, x in enumerate(out) if x is None]
+        unknown = []
+        for i in lost:
+            out[i] = self.old.get(keys[i])
+            if out[i] is None:
+                unknown.append(i)
+        for i, ids in zip(unknown, make([keys[i] for i in unknown]), strict=True):
+            out[i] = ids
+        if len(self.new) + len(lost) > self.limit:
+            self.old, self.new = self.new, {}
+        self.new.update([(keys[i], out[i]) for i in lost])
+        return out
 
-    Holds two generations of at most ``limit`` units: a full one becomes the old one, from
-    which units that come again are taken over.
-    """
+    def forget(self) -> None:
+        """Drop the old generation; the worker may serve other stages next."""
+        self.old = {}
+
+
+def parts_of(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The texts in turn, about ``size`` bytes at a time; a longer text is a part of its own."""
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(lengths), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
+class Ids:
+    """Lists of ids: ``flat`` holds them one after another, ``starts`` and ``lengths`` tell where each is."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.starts, self.lengths = flat, starts, lengths
+
+    @classmethod
+    def of(cls, found: list[bytes]) -> Ids:
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return cls(np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths, lengths)
+
+    def take(self, index: np.ndarray) -> Ids:
+        """The lists with these numbers, in turn."""
+        lengths = self.lengths[index]
+        return Ids(self.flat[spread(self.starts[index], lengths)], np.cumsum(lengths) - lengths, lengths)
 
-    def __init__(self, tokenizer: Tokenizer, limit: int, prefix: str = "", lower: bool = False, letters: bool = True) -> None:
-        self.tokenizer, self.limit, self.prefix, self.lower, self.letters = tokenizer, limit, prefix, lower, letters
-        self.shown, self.old, self.ends, self.spaced = _byte_letters(), {}, {"": b""}, bool(prefix)
-        self.line = self.encode(["\n"])[0]
-
-    def encode(self, units: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-
-    def end(self, marks: str) -> bytes:
-        if marks not in self.ends:
-            if len(self.ends) > 10_000:
-                self.ends = {"": b""}
-            self.ends[marks] = self.encode([marks])[0]
-        return self.ends[marks]
-
-    def learn(self, units: set[str]) -> None:
-        """Make sure of these units."""
-        new = units - self.keys()
-        if len(self) + len(new) > self.limit:
-            self.old = dict(self)
-            self.clear()
-            new = units
-        old, merge, shown, head, rest = self.old, self.tokenizer.model.tokenize, self.shown, self.prefix.translate(self.shown), []
-        for unit in new:
-            if unit in old:
-                self[unit] = old[unit]
-                continue
-            line, text = unit[:1] == "\n" and self.spaced, unit
-            if self.spaced and (not unit.lstrip("\n") or unit[-1].isspace() or unit[1:2].isspace() or (not line and unit[0].isspace())):
-                self[unit] = None  # white space that doesn't stand alone
-                continue
-            if line:
-                text = unit[1:]
-            word = text.rstrip(_MARKS)
-            if not self.letters or not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
-                rest.append(unit)
-                continue
-            pieces = merge(("" if line else head) + (word.lower() if self.lower else word).translate(shown))
-            ids = array("I", [t.id for t in pieces]).tobytes()
-            ids = ids if len(word) == len(text) else ids + self.end(text[len(word) :])
-            self[unit] = self.line + ids if line else ids
-        for a in range(0, len(rest), 20_000):
-            some = rest[a : a + 20_000]
-            found = self.encode([u[1:] if self.spaced and u[0] == "\n" else self.prefix + u for u in some])
-            self.update({u: self.line + x if self.spaced and u[0] == "\n" else x for u, x in zip(some, found, strict=True)})
+    def joined(self, width: int) -> Ids:
+        """Every ``width`` lists in a row as one; they must lie in turn."""
+        lengths = self.lengths.reshape(-1, width).sum(axis=1)
+        return Ids(self.flat, np.cumsum(lengths) - lengths, lengths)
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def tails(units: pa.Array, heads: pa.Array) -> pa.Array:
+    """What is left of each unit after its head."""
+    data, offsets = buffers(units)
+    own = pc.binary_length(heads).to_numpy(zero_copy_only=False).astype(np.int64)
+    left = np.diff(offsets) - own
+    body = data[spread(offsets[:-1] + own, left)]
+    return pa.Array.from_buffers(pa.large_string(), len(units), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(left))).tobytes()), pa.py_buffer(body.tobytes())])
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and offsets of texts, each with end_id behind it."""
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
 
 
 class Encoder:
-    """Encodes whole texts as the tokenizer at ``path`` does with add_special_tokens=False; special tokens' strings are ordinary text."""
+    """Encodes whole texts as the tokenizer at ``path`` does with add_special_tokens=False.
+
+    Strings of special tokens become those tokens, as the library has it; with
+    ``special_as_text`` they are ordinary text.
+    """
 
-    def __init__(self, path: str, style: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, style: str, limit: int = 250_000, special_as_text: bool = False, part_bytes: int = 4 << 20) -> None:
         if style not in ("words", "spaced"):
             raise ValueError(f"style {style!r} is neither 'words' nor 'spaced'")
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.style = style
-        self.plain, self.spaced = Cache(tokenizer, limit, lower=style == "words"), Cache(tokenizer, limit, " ")
-        self.runs = Cache(tokenizer, limit, letters=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or token.single_word or token.normalized or any(c.isspace() for c in token.content):
+                raise ValueError(f"token {token.content!r} depends on what is around it")
+        self.style, self.part_bytes, self.shown = style, part_bytes, _byte_letters()
+        self.words, self.others, self.ends = Recent(limit), Recent(limit // 4), Recent(10_000)
+        self.line = self._library(["\n"])[0]
+
+    def _library(self, units: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(units), 4096):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(units[a : a + 4096], add_special_tokens=False)]
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self._words(texts) if self.style == "words" else self._spaced(texts)
+    def _letters(self, keys: list[str]) -> list[bytes]:
+        merge, table = self.tokenizer.model.tokenize, self.shown  # which leaves the shown space as it is
+        return [array("I", [t.id for t in merge(k if k[1:].isascii() and k[0] not in _BEYOND else k.translate(table))]).tobytes() for k in keys]
 
     def forget(self) -> None:
-        """Drop the old generation of units; the worker may serve other stages next."""
-        for cache in (self.plain, self.spaced, self.runs):
-            cache.old = {}
+        for cache in (self.words, self.others, self.ends):
+            cache.forget()
         release_memory()
 
-    def _words(self, texts: list[str]) -> list[bytes]:
-        units = [t.replace("\n", " ").split(" ") for t in texts]
-        self.plain.learn(set().union(*units))
-        get = self.plain.__getitem__
-        return [b"".join(map(get, own)) for own in units]
-
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        """Units begin at a space, which they drop, or at a line feed, which they keep; a line feed is put before each text and taken off its ids."""
-        units = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        self.spaced.learn(set().union(*units))
-        get, skip, out, odd = self.spaced.__getitem__, len(self.spaced.line), [], []
-        for i, own in enumerate(units):
-            try:
-                out.append(b"".join(map(get, own))[skip:])
-            except TypeError:  # a None: other white space, or several in a row
-                out.append(b"")
-                odd.append(i)
-        if odd:
-            runs = [_RUNS.findall(texts[i]) for i in odd]
-            self.runs.learn({u for own in runs for u in own})
-            for i, own in zip(odd, runs, strict=True):
-                out[i] = b"".join(map(self.runs.__getitem__, own))
-        return out
+    def _units(self, units: pa.Array) -> tuple[Ids, np.ndarray]:
+        """The ids of distinct units, and which units have white space that doesn't stand alone (they get no ids).
+
+        Spaced units come without the space before them, but with a line feed.
+        """
+        spaced = self.style == "spaced"
+        line = pc.starts_with(units, "\n").to_numpy(zero_copy_only=False) if spaced else np.zeros(len(units), bool)
+        texts = pc.ascii_ltrim(units, "\n") if spaced else units
+        words = pc.ascii_rtrim(texts, _MARKS)
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(plain))
+        some = words.take(at)
+        keys = pc.binary_join_element_wise(pa.array(np.where(line[plain], "", self.shown[32]), pa.large_string()), some, pa.scalar("", pa.large_string())) if spaced else pc.utf8_lower(some)
+        keys = keys.dictionary_encode()
+        marks = tails(texts.take(at), some).dictionary_encode()
+        lines = Ids.of([b"", self.line])
+        heads = Ids.of(self.words.find(strings(keys.dictionary), self._letters))
+        ends = Ids.of(self.ends.find(strings(marks.dictionary), self._library))
+        odd, other = np.zeros(len(units), bool), np.flatnonzero(~plain)
+        left = strings(texts.take(pa.array(other)))
+        if spaced:
+            odd[other] = [not t or t[0].isspace() or t[-1].isspace() for t in left]
+            left = ["" if bad else t if l else " " + t for t, l, bad in zip(left, line[other].tolist(), odd[other].tolist(), strict=True)]
+        distinct = list(dict.fromkeys(left))
+        rest = Ids.of(self.others.find(distinct, self._library))
+        place = {u: k for k, u in enumerate(distinct)}
+        # a unit is a line feed or nothing, then a word or anything else, then marks or nothing; Ids number all of them
+        flat = np.concatenate((lines.flat, heads.flat, ends.flat, rest.flat))
+        shift = np.cumsum([0, len(lines.flat), len(heads.flat), len(ends.flat)])
+        every = (lines, heads, ends, rest)
+        table = Ids(flat, np.concatenate([x.starts + d for x, d in zip(every, shift, strict=True)]), np.concatenate([x.lengths for x in every]))
+        base = np.cumsum([len(x.lengths) for x in every])
+        index = np.zeros((len(units), 3), np.int64)
+        index[:, 0] = line & ~odd
+        index[plain, 1] = base[0] + keys.indices.to_numpy()
+        index[plain, 2] = base[1] + marks.indices.to_numpy()
+        index[other, 1] = base[2] + np.array([place[u] for u in left], np.int64)
+        return table.take(index.ravel()).joined(3), odd
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (nulls are empty) one after another, and the offset of each text's among them, with the end of the last."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        flat, ends = [], [np.zeros(1, np.int64)]
+        for part in parts_of(texts, self.part_bytes):
+            own, edges = (self._words if self.style == "words" else self._spaced)(part)
+            flat.append(own)
+            ends.append(edges[1:] + ends[-1][-1])
+        return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate(ends)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        units = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = units.flatten().dictionary_encode()
+        found = self._units(numbered.dictionary)[0].take(numbered.indices.to_numpy())
+        return found.flat, np.append(found.starts, len(found.flat))[units.offsets.to_numpy()]
+
+    def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A line feed is put before each text, so that all units begin alike, and taken off its ids."""
+        none = pa.scalar("", pa.large_string())
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts, none), "\n", " \n")
+        units = pc.split_pattern(marked, " ")
+        edges = units.offsets.to_numpy().astype(np.int64)
+        numbered = units.flatten().dictionary_encode()
+        table, bad = self._units(numbered.dictionary)
+        index = numbered.indices.to_numpy()
+        first = np.ones(len(index), bool)
+        first[edges[:-1]] = False  # what is before the line feed, an empty string, goes
+        found = table.take(index[first])
+        edges = edges - np.arange(len(edges))
+        odd = np.diff(np.concatenate(([0], np.cumsum(bad[index[first]])))[edges]) > 0
+        ends = np.append(found.starts, len(found.flat))[edges]
+        keep, skip = np.ones(len(found.flat), bool), len(self.line) // 4
+        keep[ends[:-1][~odd, None] + np.arange(skip)] = False
+        if not odd.any():
+            return found.flat[keep], ends - skip * np.arange(len(ends))
+        own = [found.flat[a:b][keep[a:b]] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        at = np.flatnonzero(odd).tolist()
+        runs = [_RUNS.findall(t) for t in texts.take(pa.array(at)).to_pylist()]
+        distinct = list(dict.fromkeys(u for r in runs for u in r))
+        ids = dict(zip(distinct, self.others.find(distinct, self._library), strict=True))
+        for i, r in zip(at, runs, strict=True):
+            own[i] = np.frombuffer(b"".join([ids[u] for u in r]), "<u4")
+        return np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
 
 
 @lru_cache(maxsize=2)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -17,7 +18,6 @@ KINDS = [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")]
 
 def library(name, rows):
     tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch([t or "" for t in rows], add_special_tokens=False)]
 
 
@@ -25,9 +25,29 @@ def library(name, rows):
 def test_encoder_like_the_library(name, style):
     rng = random.Random(3)
     some = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + texts(1, 60) + [t or "" for t in ODD]
-    encode = Encoder(vocabulary(name), style, limit=500)
-    got = [x for a in range(0, len(some), 97) for x in encode(some[a : a + 97])]
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library(name, some)
+    encode, got = Encoder(vocabulary(name), style, limit=500, part_bytes=3000), []
+    for a in range(0, len(some), 97):
+        ids, offsets = encode(pa.array(some[a : a + 97]))
+        got += [ids[x:y].tolist() for x, y in itertools.pairwise(offsets.tolist())]
+    assert got == library(name, some)
+
+
+def test_special_tokens_as_the_library_has_them():
+    encode = lambda name, style, **how: Encoder(vocabulary(name), style, **how)(pa.array(["hello <|endoftext|> world"]))[0].tolist()
+    assert encode(*KINDS[0]) == [3306, 49407, 1002] and encode(*KINDS[1]) == [31373, 220, 50256, 995]
+    for kind in KINDS:
+        plain = Tokenizer.from_file(vocabulary(kind[0]))
+        plain.encode_special_tokens = True
+        assert encode(*kind, special_as_text=True) == plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("name", "style"), KINDS)
+def test_no_and_very_long_texts(name, style):
+    encode = Encoder(vocabulary(name), style)
+    assert [x.tolist() for x in encode(pa.array([], pa.string()))] == [[], [0]]
+    long = " ".join(texts(2, 400)) * 20 + "\n\n" + "x" * 100_000
+    ids, offsets = encode(pa.array([None, long, None]))
+    assert len(long) > 1_000_000 and offsets[1] == 0 and ids.tolist() == library(name, [long])[0]
 
 
 ROWS = [*enumerate(texts(6, 60)), *enumerate(ODD, 100), (300, "long " * 3000), (7, "again"), (None, "no id")]
@@ -42,20 +62,33 @@ def test_token_files_round_trip(spark):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == wanted
 
 
+def test_keys_that_fill_several_shards(spark, tmp_path):
+    rows = [*((None, t) for t in texts(3, 40)), *((5, t) for t in texts(4, 40)), *enumerate(texts(5, 10), 6)]
+    token_files.write_token_files(frame(spark, rows), f"{tmp_path}/t", vocabulary("word_bpe_49k.json"), "words", 2, partition_bytes=4000, shard_bytes=900)
+    got = token_files.read_token_files(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows if i is not None)) + [None] * 40
+    assert sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens == sum(len(x) + 1 for x in library("word_bpe_49k.json", [t for _, t in rows]))
+    first = {r.doc_id: r.ids for r in token_files.lookup_tokens(spark, f"{tmp_path}/t", frame(spark, rows)).collect()}
+    assert set(first) == {i for i, _ in rows if i is not None} and first[5] == library("word_bpe_49k.json", [min(texts(4, 40))])[0] + [2]
+    assert token_files.round_trip(frame(spark, rows).limit(0), vocabulary("word_bpe_49k.json"), "words", 2).count() == 0
+
+
 def test_lookup(spark, tmp_path):
     rows = [(i * i, t) for i, t in enumerate(texts(8, 50))]
     token_files.write_token_files(frame(spark, rows), f"{tmp_path}/t", vocabulary("word_bpe_49k.json"), "words", 2, partition_bytes=3000, shard_bytes=500)
     wanted = spark.createDataFrame([(0,), (49,), (50,), (2401,), (None,), (-1,)], "doc_id long")
-    got = {r.doc_id: r.ids for r in token_files.lookup_tokens(spark, f"{tmp_path}/t", wanted).collect()}
-    assert got == {k: library("word_bpe_49k.json", [dict(rows)[k]])[0] + [2] for k in (0, 49, 2401)}
+    for most in (100, 0):
+        got = {r.doc_id: r.ids for r in token_files.lookup_tokens(spark, f"{tmp_path}/t", wanted, most).collect()}
+        assert got == {k: library("word_bpe_49k.json", [dict(rows)[k]])[0] + [2] for k in (0, 49, 2401)}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).choice(10**12, n, replace=False).astype(np.int64)
-    sizes, bits = token_files.build_index(keys)
-    assert sorted(token_files.find_slots(keys, sizes, bits).tolist()) == list(range(n))
-    shard = token_files.Shard(token_files.write_shard(np.sort(keys), [np.array([70_000 + i], "<u4").tobytes() for i in range(n)]))
+    index = token_files.build_index(keys)
+    assert sorted(token_files.find_slots(keys, *index).tolist()) == list(range(n))
+    shard = token_files.Shard(token_files.write_shard(np.sort(keys), np.arange(70_000, 70_000 + n).astype("<u4"), np.arange(n + 1)))
+    assert [shard.ids(i).tolist() for i in range(n)] == [[70_000 + i] for i in range(n)]
     assert shard.find(np.sort(keys)).tolist() == list(range(n)) and (shard.find(-1 - keys) == -1).all()
 
 
@@ -91,6 +124,18 @@ def test_bin_completion_is_optimal():
         assert used == Counter(items) and sum(n for _, n in plan) == fewest(items, 20)
 
 
+def test_bin_completion_fills_blocks_of_1024():
+    rng, instances = random.Random(1), [[465, 362, 106, 91, 85, 76, 498, 365, 86, 583, 150, 205]]
+    for _ in range(300):  # blocks cut into items, so that a plan without waste exists
+        cuts = [sorted(rng.sample(range(1, 1024), rng.randint(1, 5))) for _ in range(rng.randint(2, 5))]
+        instances.append([b - a for own in cuts for a, b in itertools.pairwise([0, *own, 1024])])
+    for items in instances:
+        assert packing.gap(packing.bin_completion(dict(Counter(items)), 1024), 1024) == 0
+    for _ in range(60):
+        items = [rng.randint(100, 900) for _ in range(rng.randint(1, 9))]
+        assert sum(n for _, n in packing.bin_completion(dict(Counter(items)), 1024)) == fewest(items, 1024)
+
+
 def test_bin_completion_looks_at_fillings_of_many_items():
     plan = packing.bin_completion({600: 1, 362: 2, 300: 1, 106: 4}, 1024)
     assert sorted(plan) == [((362, 362, 300), 1), ((600, 106, 106, 106, 106), 1)] and packing.gap(plan, 1024) == 0
