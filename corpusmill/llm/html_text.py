@@ -1,15 +1,17 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a small tree. Elements that never hold an article (menus, forms, scripts and
-the like, by tag, role or the words of their class and id) are pruned. For every other node
+Each page becomes a small tree, in time linear in its length. Elements that the result must not
+hold (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, by tag, role
+or the names in their class and id) are pruned. For every other node
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 with C characters, LC of them in links, T tags, LT of them links, and LCb, Cb the body's; in a
 page without links it is C / T. A node's density sum adds its children's densities. The node
 with the largest sum is the centre of the article, and the least density on its path to the
-body is the threshold: going down from the body, each node at or above the threshold gives
-the subtree of largest density sum below it, and these subtrees hold the text.
+body is the threshold: from the body down, through nodes at or above the threshold, each gives
+the subtree of largest density sum below it, and these subtrees hold the text. Tags such as
+``article`` have no part in the choice.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")  # up to the end of a tag; a > in quotes doesn't end it
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # Elements of HTML by how they behave, and the names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript xmp iframe noembed noframes svg math canvas object".split())
@@ -38,62 +42,142 @@ DROPPED_NAMES = frozenset(
     login signin signup register menu menus nav navbar navigation navi newsletter subscribe subscription modal overlay popup pagination pager
     related recommended recommendations recirc search share sharing social sidebar sidebars sidenav skip toolbar widget widgets teaser teasers""".split()
 )
+# Words that only say where or what kind of box a named element is.
+NEUTRAL_NAMES = frozenset(
+    """area article bar big block blog body bottom box button buttons card col column container content desktop element entry fixed float global grid group holder icon icons inline inner
+    item items layout left line link links list lower main mobile module my outer page panel part post primary reader readers region right row secondary section site slot small sticky strip
+    tab tabs text top unit upper user users view wide wrap wrapper zone""".split()
+)
 _CLOSES_P = BLOCK - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 _BARRIER = frozenset("article aside blockquote body div footer form header main nav section table td th".split())
 
 
 class _Node:
-    __slots__ = ("children", "chars", "density", "drop", "holds_title", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "closed", "density", "drop", "holds_title", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
-        self.tag, self.parent, self.children, self.drop, self.holds_title = tag, parent, [], 0, False
+        self.tag, self.parent, self.children, self.drop, self.closed = tag, parent, [], 0, False
+        self.holds_title = tag in ("h1", "article", "main")
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
         if parent:
             parent.children.append(self)
 
 
+def _dropped_name(name: str) -> bool:
+    """Whether a class or id is one of DROPPED_NAMES, or is put together of these and neutral words, as in site-footer; share-price-table is not."""
+    if name.lower() in DROPPED_NAMES:
+        return True
+    words = [w.lower() for w in _NAME_WORDS.findall(name)]
+    named = [w in DROPPED_NAMES for w in words]
+    return any(named) and all(n or w in NEUTRAL_NAMES or len(w) == 1 or w.isdigit() for n, w in zip(named, words, strict=True))
+
+
 def _dropped(tag: str, attributes: str) -> int:
     """2 for elements that never hold an article, 1 for those whose names say so."""
     if tag in DROPPED:
         return 2
     if "=" not in attributes and "hidden" not in attributes:
         return 0
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return 2
     if found.get("role", "").lower() in DROPPED_ROLES:
         return 2
-    names = {w.lower() for k in ("class", "id") if k in found for w in _NAME_WORDS.findall(found[k])}
-    return int(bool(names & DROPPED_NAMES))
+    return int(any(_dropped_name(n) for k in ("class", "id") if k in found for n in found[k].split()))
+
+
+class _Open:
+    """The open elements, with the places of each tag among them, so that no end tag makes a search."""
+
+    def __init__(self, root: _Node) -> None:
+        self.stack, self.at, self.barriers = [root], {}, [-1]
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags; -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, node: _Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BARRIER:
+            self.barriers.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from ``place`` on."""
+        while len(self.stack) > place or self.stack[-1].closed:
+            node = self.stack.pop()
+            if not node.closed:
+                self.at[node.tag].pop()
+            if node.tag in _BARRIER:
+                self.barriers.pop()
+
+    def close_p(self) -> None:
+        place = self.last("p")
+        if place > self.barriers[-1]:
+            self.cut(place)
+
+    def close(self, tag: str, add) -> None:
+        place = self.last((tag,))
+        if place < 0 or (tag == "p" or tag not in BLOCK) and place < self.barriers[-1]:
+            return
+        node = self.stack[place]
+        if tag in BLOCK:
+            add((node, None))
+            if tag != "body":
+                self.cut(place)
+        else:  # blocks that were opened inside it stay open
+            node.closed = True
+            self.at[tag].pop()
+            self.cut(len(self.stack))
 
 
 def _parse(page: str) -> tuple[_Node, list[tuple[_Node, str | None]]]:
-    """The tree, and the page's pieces of text in order; None marks a block's edge."""
+    """The tree, and the page's pieces of text in order; None marks a block's edge.
+
+    What follows a comment or tag that doesn't end is not shown.
+    """
     root = _Node("html", None)
-    stack, pieces, at = [root], [], 0
-    add = pieces.append
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if not m:
-            add((stack[-1], page[at:]))
+    open_, pieces, at, text, size, quotes = _Open(root), [], 0, 0, len(page), True
+    stack, add = open_.stack, pieces.append
+    while at < size:
+        at = page.find("<", at)
+        if at < 0:
             break
-        if m.start() > at:
-            add((stack[-1], page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        mark = page[at + 1 : at + 2]
+        m = _NAME.match(page, at)
+        if not m and (not mark or mark not in "!?/"):
+            at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            _close(stack, tag, add)
+        if at > text:
+            add((stack[-1], page[text:at]))
+        if not m:
+            comment = page.startswith("<!--", at)
+            end = page.find("-->", at + 2) if comment else page.find(">", at)
+            at = text = size if end < 0 else end + (3 if comment else 1)
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if not rest:  # a quote or the tag doesn't end; quotes count no more from here
+            quotes = False
+            end = page.find(">", m.end())
+            at = text = size if end < 0 else end + 1
+            attributes = page[m.end() : at - 1]
+        else:
+            at = text = rest.end()
+            attributes = page[m.end() : at - 1]
+        tag = m[1].lower()
+        if mark == "/":
+            open_.close(tag, add)
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(n.tag == tag for n in stack) or tag == "html":
+        if tag == "html" or tag == "body" and open_.last(("body",)) > 0:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
+            if not attributes.endswith("/"):
+                end = _raw_end(tag).search(page, at)
+                at = text = (page.find(">", end.start()) + 1 or size) if end else size
             continue
         if tag == "br":
             add((stack[-1], " "))
@@ -102,84 +186,60 @@ def _parse(page: str) -> tuple[_Node, list[tuple[_Node, str | None]]]:
                 add((stack[-1], None))
             continue
         if tag == "body":
-            del stack[1:]
+            open_.cut(1)
         elif tag in _CLOSES_P:
-            _close_p(stack)
+            open_.close_p()
         if tag in _CLOSES:
             own, limit = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in limit:
-                    break
-                if stack[i].tag in own:
-                    del stack[i:]
-                    break
+            place = open_.last(own)
+            if place > open_.last(limit):
+                open_.cut(place)
         node = _Node(tag, stack[-1])
-        node.drop = _dropped(tag, m[3])
-        if tag in ("h1", "article", "main"):
-            for n in stack:
-                n.holds_title = True
+        node.drop = _dropped(tag, attributes)
         if tag in BLOCK:
             add((node, None))
-        stack.append(node)
+        open_.push(node)
+    if text < size:
+        add((stack[-1], page[text:]))
     return root, pieces
 
 
-def _close_p(stack: list[_Node]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == "p":
-            del stack[i:]
-            return
-        if stack[i].tag in _BARRIER:
-            return
-
-
-def _close(stack: list[_Node], tag: str, add) -> None:
-    block = tag in BLOCK
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            if block:
-                add((stack[i], None))
-                if tag != "body":
-                    del stack[i:]
-            else:
-                del stack[i]  # blocks that were opened inside it stay open
-            return
-        if not block and stack[i].tag in _BARRIER or tag == "p" and stack[i].tag in _BARRIER:
-            return
-
-
-def _is_dropped(node: _Node) -> bool:
-    if node.drop == 2:
-        return node.tag not in ("header", "label") or not _in_article(node)
-    return node.drop == 1 and node.tag not in ("html", "body", "main") and not node.holds_title
-
-
-def _in_article(node: _Node) -> bool:
-    above = node.parent
-    while above:
-        if above.tag in ("article", "main"):
-            return True
-        above = above.parent
-    return False
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
 
 
-def main_text(page: str) -> str:
-    """The article's blocks, in page order, one to a line."""
-    root, pieces = _parse(page)
-    nodes, gone = [], set()
-    todo = [root]
+def _pruned(root: _Node) -> tuple[list[_Node], set[_Node]]:
+    """The nodes that are kept, parents first, and those that are not."""
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.parent in gone or _is_dropped(node):
+        order.append(node)
+        todo.extend(reversed(node.children))
+    for node in reversed(order):
+        if node.holds_title and node.parent:
+            node.parent.holds_title = True
+    nodes, gone, inside = [], set(), set()
+    for node in order:
+        if node.parent in inside or node.parent and node.parent.tag in ("article", "main"):
+            inside.add(node)
+        own_header = node.tag in ("header", "label") and node in inside  # an article's own
+        named = node.drop == 1 and node.tag not in ("html", "body", "main") and not node.holds_title
+        if node.parent in gone or node.drop == 2 and not own_header or named:
             gone.add(node)
         else:
             nodes.append(node)
-        todo.extend(reversed(node.children))
+    return nodes, gone
+
+
+def main_text(page: str) -> str:
+    """The article's blocks, in page order, one to a line."""
+    root, pieces = _parse(page)
+    nodes, gone = _pruned(root)
     texts = [(node, html.unescape(text) if text and "&" in text else text) for node, text in pieces if node not in gone or text is None]
     for node, text in texts:
         if text and node not in gone:
-            n = len(text) - text.count(" ") - text.count("\n")
-            node.chars += n
+            node.chars += len(text) - text.count(" ") - text.count("\n")
     linked = set()
     for node in nodes:  # parents first
         if node.tag == "a" or node.parent in linked:
@@ -222,26 +282,20 @@ def _density(node: _Node, root: _Node) -> float:
 
 
 def _selected(root: _Node, nodes: list[_Node], gone: set[_Node]) -> set[_Node]:
+    """The subtrees that hold the text; the whole tree if no element has text. Of equal sums the larger, then the first, node is the centre."""
     best = max(nodes, key=lambda n: (n.sum, n.chars))
     if not best.sum:
         return {root}
-    for above in _path(best):  # an element that says it is the article is taken whole
-        if above.tag == "article" or above.tag == "main" and not any(n.tag == "article" for n in nodes):
-            best = above
     least = min(n.density for n in _path(best))
     inner = {}
     for node in reversed(nodes):
         below = max((inner[c] for c in node.children if c not in gone), key=lambda n: n.sum, default=node)
         inner[node] = below if below.sum > node.sum else node
-    above, whole = set(_path(best)), best.tag in ("article", "main")
     kept, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node is best:
-            kept.add(node)
-        elif node.density >= least and node not in above and not whole:
-            kept.add(inner[node])
-        else:
+        if node.density >= least:
+            kept.add(inner[node] if inner[node].sum else node)
             todo.extend(c for c in node.children if c not in gone)
     return kept
 
@@ -268,7 +322,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html).
 
     Null and empty pages, and pages without an article, have an empty text. Pages with equal
-    content give equal texts, each its own row. Other columns are ignored.
+    content give equal texts, each its own row; of equally dense elements the larger, then the
+    first, is the centre. A page of any length is parsed whole, in linear time. Other columns
+    are ignored, and an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string")

@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from corpusmill.llm.html_text import extract_text, main_text
@@ -32,3 +37,132 @@ def test_rows(spark):
     assert sorted(tuple(r) for r in extract_text(df).where("url is not null").collect()) == [(1, "u", "a"), (1, "u", "a")]
     assert [tuple(r) for r in extract_text(df).where("url is null").collect()] == [(2, None, "")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_names_are_matched_whole():
+    words = "Shares rose again today and " * 8
+    page = f'<div id=c><p>{words}</p><div class="share-price-table"><p>{words}</p></div><div class="site-footer">gone</div><div class="commentary headermost"><p>{words}</p></div><div class="postComments">gone</div></div>'
+    assert main_text(page) == "\n".join([words.strip()] * 3)
+
+
+class Plain(HTMLParser):
+    """Well-formed pages as nested lists [tag, child or text, ...]."""
+
+    def __init__(self):
+        super().__init__()
+        self.open = [["html"]]
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1].append([tag])
+        self.open.append(self.open[-1][-1])
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+
+def plain_text(page):
+    """Composite text density by its definition, with no regard to speed."""
+    parser = Plain()
+    parser.feed(page)
+    root = parser.open[0]
+
+    def below(node):
+        return [x for child in node[1:] if isinstance(child, list) for x in (child, *below(child))]
+
+    def chars(node, linked=False):
+        return sum(chars(x, linked or x[0] == "a") if isinstance(x, list) else len(x.replace(" ", "")) * (linked is not None) for x in node[1:])
+
+    def link_chars(node):
+        return chars(node) if node[0] == "a" else sum(link_chars(x) for x in node[1:] if isinstance(x, list))
+
+    def density(node):
+        c, lc, t = chars(node), link_chars(node), max(1, len(below(node)))
+        lt = max(1, sum(x[0] == "a" for x in (node, *below(node))))
+        if not c:
+            return 0.0
+        if not link_chars(root):
+            return c / t
+        base = math.log(c / max(1, c - lc) * lc + link_chars(root) / chars(root) * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base)
+
+    def total(node):
+        return sum(density(x) for x in node[1:] if isinstance(x, list))
+
+    def path(node, to):
+        if node is to:
+            return [node]
+        found = next((p for x in node[1:] if isinstance(x, list) for p in [path(x, to)] if p), None)
+        return found and [node, *found]
+
+    every = [root, *below(root)]
+    centre = max(every, key=lambda n: (total(n), chars(n)))
+    least = min(density(n) for n in path(root, centre))
+    kept = []
+
+    def mark(node):
+        if density(node) >= least:
+            best = max([node, *below(node)], key=total)
+            kept.append(best)
+            for x in node[1:]:
+                if isinstance(x, list):
+                    mark(x)
+
+    mark(root)
+    inside = {id(y) for x in kept for y in (x, *below(x))}
+    blocks = [""]
+
+    def show(node):
+        block = node[0] not in ("a", "b")
+        blocks.append("") if block else None
+        for x in node[1:]:
+            if isinstance(x, list):
+                show(x)
+            elif id(node) in inside:
+                blocks[-1] += x
+        blocks.append("") if block else None
+
+    show(root)
+    return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+
+
+def random_page(rng):
+    def words(n):
+        return " ".join(rng.choice(["one", "three", "a", "seventeen", "of"]) for _ in range(rng.randint(1, n)))
+
+    def link():
+        return f"<a href='{rng.randint(1, 9)}'>{words(3)}</a>"
+
+    def box(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.5:
+            return f"<p>{words(60)} {link() if kind < 0.1 else ''} <b>{words(4)}</b> {words(20)}</p>"
+        if kind < 0.65:
+            return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 7))) + "</ul>"
+        return "<div>" + "".join(box(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    return "<body>" + "".join(box(3) for _ in range(rng.randint(1, 4))) + "</body>"
+
+
+def test_density_decides_like_a_plain_version():
+    rng = random.Random(4)
+    pages = [random_page(rng) for _ in range(400)]
+    found = [main_text(p) for p in pages]
+    assert found == [plain_text(p) for p in pages]
+    assert sum(len(f) < len("\n".join(p)) and "<li>" in p for f, p in zip(found, pages, strict=True)) > 50
+
+
+def test_density_leaves_out_unnamed_menus():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(30)) + "</ul>"
+    text = "It is a long paragraph of plain words that goes on for a while, and then some more."
+    page = f"<body><div>{menu}</div><div><h2>{text}</h2><p>{text}</p><p>{text} <a href=x>more</a></p></div><div>{menu}</div></body>"
+    assert main_text(page) == f"{text}\n{text}\n{text} more"
+
+
+@pytest.mark.parametrize("page", ["<a" * 100_000, "<b>x" * 20_000 + "</i>" * 20_000, "<a href=\"" * 20_000, "<a href='\">" * 20_000, "<a " + "a" * 200_000 + " b=>x", "<h1><header>" * 10_000, "<i>" + "<div><b>" * 10_000 + "</i>" * 10_000, "<!--" * 50_000, "<li>x" * 20_000, "<p>" + "word " * 1_000_000])
+def test_odd_and_very_long_pages_take_linear_time(page):
+    started = time.process_time()
+    main_text(page)
+    assert time.process_time() - started < 5
