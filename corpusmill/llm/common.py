@@ -24,11 +24,16 @@ def release_memory() -> None:
 
 
 def use_shared_folder(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` write to the folder named by spark.checkpoint.dir, or to a new one where it is unset (tests)."""
+    """Make ``checkpoint()`` write to the folder named by spark.checkpoint.dir; where that is unset, to a new one in local mode (tests), which has no other machines."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="corpusmill-")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,10 +42,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder; ``remove`` or ``clean_up`` deletes what is written there."""
     use_shared_folder(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no frame still in use reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every folder from ``shared_path``, once no result that reads them is needed any more."""
+    for path in list(_WRITTEN):
+        remove(spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

@@ -149,12 +149,16 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Words are runs without ASCII white space; null and empty texts have none and fail. Lines
     count as equal only byte by byte. Repeated rows are judged alike, each on its own; a null
-    doc_id is passed on. Other columns are ignored.
+    doc_id is passed on. A text of any length is measured whole, in memory that grows with its
+    words; rules at exactly their limit pass. Other columns are ignored, and an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _judged(rows, limits).select("doc_id", *(F.col(_OWN + n).alias(n) for n in (*_NAMES, "base_failed", "kept")))
 
 
 def quality_filter(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    return _judged(docs, limits).where(F.col(_OWN + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that the rules keep, with all their columns, whatever their names; the rest is as for ``quality_rules``."""
+    names = ["text" if c == "text" else f"_carried_{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names).withColumn("text", F.col("text").cast("string"))
+    return _judged(rows, limits).where(F.col(_OWN + "kept")).select(*names).toDF(*docs.columns)

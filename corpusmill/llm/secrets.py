@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import free_name
+
 # The patterns that every scan has, and the characters of candidate runs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -39,19 +41,35 @@ class Model:
     least_mean: float = 0.35
 
 
+def bound(x: Column, use) -> Column:
+    """use(x), with x worked out once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def sums_before(numbers: Column, chunk: int = 128) -> Column:
+    """For each of an array of longs the sum of those before it. Sums go over chunks first, so the work hardly grows faster than the array."""
+
+    def inside(own: Column, base: Column) -> Column:
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(own, F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out")), add, lambda acc: acc["out"])
+
+    def over(parts: Column) -> Column:
+        totals = F.transform(parts, lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
+        bases = bound(totals, lambda t: F.transform(t, lambda x, k: F.aggregate(F.slice(t, F.lit(1), k), F.lit(0).cast("bigint"), lambda acc, y: acc + y)))
+        return F.flatten(F.zip_with(parts, bases, inside))
+
+    parts = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / chunk).cast("int")), lambda k: F.slice(n, k * chunk + 1, F.lit(chunk)))
+    return F.when(F.size(numbers) > 0, bound(bound(numbers, parts), over)).otherwise(F.array().cast("array<bigint>"))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array of (start, end, value), in code points, of the leftmost non-overlapping matches."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, before: F.struct(m.alias("m"), before.alias("before")))
-    none = "array<struct<start:bigint,end:bigint,value:string>>"
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(none).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(none))
+    size = lambda x: F.length(x).cast("bigint")
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, before: F.struct(m.alias("m"), size(before).alias("gap"), size(m).alias("size")))
+    place = lambda x, before: F.struct((before + x["gap"]).alias("start"), (before + x["gap"] + x["size"]).alias("end"), x["m"].alias("value"))
+    every = bound(pairs, lambda p: F.zip_with(p, sums_before(F.transform(p, lambda x: x["gap"] + x["size"])), place))
+    return F.when(text.rlike(pattern), every).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
 
 def _as_spans(found: Column, kind: str) -> Column:
@@ -69,8 +87,7 @@ def log_ratio(run: Column, model: Model) -> Column:
 
 
 def _is_random(run: Column, model: Model) -> Column:
-    total = log_ratio(run, model)
-    return (total > model.least_total) & (total > model.least_mean * (F.length(run) - 1))
+    return bound(log_ratio(run, model), lambda total: (total > model.least_total) & (total > model.least_mean * (F.length(run) - 1)))
 
 
 def labelled_samples(docs: DataFrame, sample_rows: int, random_rows: int) -> DataFrame:
@@ -120,19 +137,21 @@ def _outside(run: Column, spans: Column) -> Column:
     return F.when(F.size(meets) == 0, F.array(run)).otherwise(F.filter(parts, lambda x: x["end"] - x["start"] >= 20))
 
 
-def find_secrets(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``spans``: array of (start, rank, end, kind) by start and rank, in code points, ends exclusive.
+def find_secrets(docs: DataFrame, model: Model, name: str = "spans") -> DataFrame:
+    """docs with a column ``name``: array of (start, rank, end, kind) by start and rank, in code points, ends exclusive.
 
     The kinds assign, access and hex follow the fixed patterns and may overlap; random is the
-    model's, for what lies of a run outside of the other kinds. Null texts have no spans. The text and the other
-    columns stay as they are.
+    model's, for what lies of a run outside of the other kinds. Null and empty texts have no
+    spans; texts of any length are scanned whole. Repeated rows, and rows without a doc_id, are
+    scanned alike, each on its own. The text and the other columns stay as they are, but for
+    one that has the result's name, which is replaced. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text, base = F.coalesce(F.col("text").cast("string"), F.lit("")), free_name(docs, "_base")
     assign = F.filter(matches(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6)
-    found = docs.withColumn("_base", F.array_sort(F.concat(_as_spans(assign, "assign"), _as_spans(matches(text, ACCESS), "access"), _as_spans(matches(text, HEX), "hex"))))
-    parts = F.flatten(F.transform(matches(text, RUN), lambda s: _outside(s, F.col("_base"))))
+    found = docs.withColumn(base, F.array_sort(F.concat(_as_spans(assign, "assign"), _as_spans(matches(text, ACCESS), "access"), _as_spans(matches(text, HEX), "hex"))))
+    parts = F.flatten(F.transform(matches(text, RUN), lambda s: _outside(s, F.col(base))))
     runs = F.filter(parts, lambda s: _is_random(s["value"], model))
-    return found.withColumn("spans", F.array_sort(F.concat("_base", _as_spans(runs, "random")))).drop("_base")
+    return found.withColumn(name, F.array_sort(F.concat(base, _as_spans(runs, "random")))).drop(base)
 
 
 def listing(spans: Column) -> Column:
@@ -150,10 +169,10 @@ def redacted(text: Column, spans: Column) -> Column:
     def add(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
         piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(apart, piece).otherwise(F.lit(""))).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
 
 

@@ -8,13 +8,15 @@ universe, with no join against the list.
 
 The first level's rate of false positives is set to leave about as many of them as there are
 listed keys, so the cascade's size follows the list and the logarithm of the universe, not the
-universe. Beyond ``max_bytes`` it isn't sent to tasks: the list is joined instead.
+universe. A list whose cascade would be over ``max_bytes`` is dealt by a hash of the keys to as
+many cascades as it takes, each of which judges its own part of the rows.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,17 +123,20 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str,
 
     The longest rule that fits a url decides; where none fits, sites of listed (key) are
     blocked and all others allowed. A null url, or one without ``://``, has an empty host and
-    path, fits no rule and is allowed. Rows are kept as they are, repeats included; of the
-    other columns only page_id is returned.
+    path, fits no rule and is allowed. Urls of any length are read whole. Rows are kept as they
+    are, repeats included; of the other columns only page_id is returned. Rules of equal length
+    that both fit are the same rule. An empty table gives an empty result, and an empty list
+    blocks nothing.
     """
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    site = site_of(F.col("host"))
-    universe = parts.select(site.alias("key")).distinct()
-    if planned_bytes(listed.count(), universe.count()) <= max_bytes:
-        on_list = in_cascade(site, build_cascade(universe, listed))
-    else:
-        blocked = listed.select(F.col("key").alias("site"), F.lit(True).alias("on_list")).distinct()
-        parts = parts.withColumn("site", site).join(blocked, "site", "left")
-        on_list = F.coalesce("on_list", F.lit(False))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(on_list, "block").otherwise("allow")).alias("verdict"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    site = site_of(F.col("host"))
+    universe = rows.select(site.alias("key")).distinct()
+    parts = -(-planned_bytes(listed.count(), universe.count()) // max(max_bytes, 8192))
+
+    def judged(part: int) -> DataFrame:
+        mine = lambda key: F.coalesce(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)), F.lit(0)) == part if parts > 1 else F.lit(True)
+        levels = build_cascade(universe.where(mine(F.col("key"))), listed.where(mine(F.col("key"))))
+        return rows.where(mine(site)).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_cascade(site, levels), "block").otherwise("allow")).alias("verdict"))
+
+    return reduce(DataFrame.union, map(judged, range(parts)))
