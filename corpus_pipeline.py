@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import packing, quality, secrets, simhash, suffix_dedup
-from corpusmill.llm.common import shared_path
+from corpusmill.llm.common import free_name, remove, shared_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _with_text(docs: DataFrame, text) -> DataFrame:
     """docs with another text, and the number of its characters where there is a column for it."""
     out = docs.withColumn("text", text)
@@ -25,7 +29,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; null and empty texts go."""
     return quality.quality_filter(docs)
 
 
@@ -36,15 +40,17 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that earlier documents hold; documents of which nothing but white space is left go."""
-    found = suffix_dedup.suffix_dedup(docs.withColumn("_columns", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))), carry=("_columns",), characters=True)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = suffix_dedup.suffix_dedup(docs.select("doc_id", "text", own.alias("_columns")), carry=("_columns",), characters=True)
     left = found.where((F.col("n_removed") == 0) | F.col("kept").cast("string").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_text(left.select("_columns.*", F.col("kept").cast("string").alias("text")), F.col("text")).select(*docs.columns)
+    return _with_text(left.select("_columns.*", F.col("kept").cast("string").alias("text")), F.col("text")).select(*_columns(docs))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a mark in place of each secret."""
-    found = secrets.find_secrets(docs, secrets.secret_model(docs))
-    return _with_text(found, secrets.redacted(F.col("text"), F.col("spans"))).select(*docs.columns)
+    """Texts with a mark in place of each secret; other columns, whatever their names, stay."""
+    spans = free_name(docs, "spans")
+    found = secrets.find_secrets(docs, secrets.secret_model(docs), spans)
+    return _with_text(found, secrets.redacted(F.col("text"), F.col(f"`{spans}`"))).select(*_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +71,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder and read again.
+
+    A stage's folder goes once the next stage has read it; the pieces that the result reads
+    stay until ``clean_up``. An empty table gives an empty result. Null ids and repeated rows
+    pass through the stages as each of these states.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, name)
+        before, path = path, shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, path)
+    return packed
