@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from corpusmill.llm import queries, secrets
+from corpusmill.llm import common, queries, secrets
 from tests.compare import same
 from tests.llm.helpers import frame, texts, words_of
 from tests.llm.test_quality_urls_secrets import LIMITS, PATTERNS, measured
@@ -81,5 +81,43 @@ def test_stages_like_plain_ones(spark):
     assert {r.doc_id for r in packed.collect()} == set(got)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _base string, spans array<int>, `a.b` int, _columns string, _carried_0 int, block string, kept binary"
+
+
+def odd_rows():
+    long = " ".join(f"word{i}" for i in range(150_000))
+    texts_ = [(None, "no id " + " ".join(f"n{i}" for i in range(30))), (1, None), (2, ""), (3, " \n "), (4, long), (5, "é😀 " + " ".join(f"u{i}é" for i in range(40)))]
+    texts_ += [(6, "same text " + " ".join(f"s{i}" for i in range(30)))] * 2 + [(7, "same text " + " ".join(f"s{i}" for i in range(30)))]
+    return [(i, t, None, "k", len(t or ""), "b", [1], 2, "c", 3, "x", b"y") for i, t in texts_]
+
+
+def test_run_over_odd_rows_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, tmp_path)
+        assert docs.columns == [f.name for f in spark.createDataFrame([], SCHEMA).schema], name
+    assert sorted((r.doc_id or 0, r["a.b"], r["_base"], r["spans"], r["_columns"]) for r in docs.collect()) == [(i, 2, "b", [1], "c") for i in (0, 4, 5, 6)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {None, 4, 5, 6}
+    long = sorted((r.start, r.length) for r in got if r.doc_id == 4)
+    assert len(long) > 100 and all(a + n == b for (a, n), (b, _) in zip(long, long[1:], strict=False))
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_removes_folders_of_stages(spark, tmp_path):
+    spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    common.clean_up(spark)
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in common._WRITTEN] == ["pieces"]
+    assert found.count() > 0
+    common.clean_up(spark)
+    assert not common._WRITTEN
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
