@@ -77,13 +77,17 @@ def clip_spans(spans: DataFrame, block: int, total: int, least: int = 3) -> Data
     return cut.select("window", (F.col("b") - start).alias("begin"), (F.col("e") - start).alias("end"))
 
 
+def _same_sequence(seqs: Column, block: int) -> Column:
+    return F.zip_with(F.slice(seqs, 1, block), F.slice(seqs, 2, block), lambda a, b: (a == b) & (a >= 0))
+
+
 def shifted_labels(tokens: Column, seqs: Column, block: int, ignore: int = -100) -> Column:
     """The next token at each of ``block`` positions where it is of the same sequence, else ``ignore``."""
-    return F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.when((F.element_at(seqs, i) == F.element_at(seqs, i + 1)) & (F.element_at(seqs, i) >= 0), F.element_at(tokens, i + 1)).otherwise(F.lit(ignore)))
+    return F.zip_with(F.slice(tokens, 2, block), _same_sequence(seqs, block), lambda t, same: F.when(same, t).otherwise(F.lit(ignore)))
 
 
 def loss_mask(seqs: Column, block: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: ((F.element_at(seqs, i) == F.element_at(seqs, i + 1)) & (F.element_at(seqs, i) >= 0)).cast("double"))
+    return F.transform(_same_sequence(seqs, block), lambda same: same.cast("double"))
 
 
 def start_mask(starts: Column, block: int) -> Column:

@@ -108,3 +108,24 @@ def few_shot(items: DataFrame, k: int, seed: int = 1234, item: str = "item_id")
 def prefix_split(df: DataFrame, ratio: float, order: str = "row_idx") -> DataFrame:
     """df with is_train: the first ratio of the rows, by their numbers from 0."""
     return df.withColumn("is_train", F.col(order) < int(df.count() * ratio))
+
+
+def sft_split(df: DataFrame, order: str, ratio: float) -> DataFrame:
+    """df with is_val: of n rows in a shuffled ``order`` the first min(max(1, round half even of n * ratio), n - 1), none for a ratio of 0; other ratios than [0, 1) raise ValueError."""
+    if not 0 <= ratio < 1:
+        raise ValueError("the ratio must be in [0, 1)")
+    n = df.count() if ratio else 0
+    k = min(max(1, round(n * ratio)), max(0, n - 1)) if n else 0
+    edge = df.select(order).orderBy(order).offset(k - 1).limit(1).first() if k else None
+    return df.withColumn("is_val", F.col(order) <= F.lit(edge[0]).cast(df.schema[order].dataType) if edge else F.lit(False))
+
+
+def limit_by_source(df: DataFrame, most: int, order: str = "row_idx") -> DataFrame:
+    """The first ``most`` rows of each source, by their numbers from 0 (which the readers give to accepted rows)."""
+    return df.where(F.col(order) < most)
+
+
+def buffered_place(order: str, seed: int, epoch: int = 0, index: int = 0, buffer: int = 10_000) -> Column:
+    """A place for a row of a shard that is shuffled through a buffer: rows move by less than ``buffer`` places, another way for each seed, epoch and shard."""
+    draw = F.pmod(F.xxhash64(F.lit(seed + epoch * 1009 + index), F.col(order)), F.lit(buffer))
+    return F.col(order) + draw

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import score_queries, sequence_queries, text_queries
+from corpusmill.plans import record_queries, score_queries, search_queries, sequence_queries, source_queries, text_queries
 from corpusmill.plans.text_queries import clean_chunk_summary as clean_chunk_summary
 
-QUERIES = text_queries.QUERIES | sequence_queries.QUERIES | score_queries.QUERIES
-ORACLES = text_queries.ORACLES | sequence_queries.ORACLES | score_queries.ORACLES
+QUERIES = text_queries.QUERIES | sequence_queries.QUERIES | score_queries.QUERIES | source_queries.QUERIES | record_queries.QUERIES | search_queries.QUERIES
+ORACLES = text_queries.ORACLES | sequence_queries.ORACLES | score_queries.ORACLES | source_queries.ORACLES | record_queries.ORACLES | search_queries.ORACLES

@@ -48,8 +48,12 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.pack_tokens(tokens(spark, sf_dir), BLOCK)
 
 
+def pack_sums(df: DataFrame) -> DataFrame:
+    return df.select("window", _weighed(F.col("token_ids")).alias("tokens"), _weighed(F.col("seq_ids")).alias("seqs"), _weighed(F.col("position_ids")).alias("positions"), _total(F.col("sequence_starts").cast("array<int>")).alias("starts"))
+
+
 def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark, sf_dir).select("window", _weighed(F.col("token_ids")).alias("tokens"), _weighed(F.col("seq_ids")).alias("seqs"), _weighed(F.col("position_ids")).alias("positions"), _total(F.col("sequence_starts").cast("array<int>")).alias("starts"))
+    return pack_sums(packed(spark, sf_dir))
 
 
 PACK_BLOCKS = f"""

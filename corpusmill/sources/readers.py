@@ -7,11 +7,14 @@ opening files on the driver.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
+from corpusmill.operators.checks import SFT_COLUMNS, sft_sample
+from corpusmill.operators.rows import buffered_place, shard
 from corpusmill.sources.render import translation
 
 _FILE = "_metadata.file_name"
@@ -44,10 +47,25 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt", repl
     return _numbered(out, ("path",)).select("text", "source", "row_idx")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each line that isn't empty; row_idx counts empty ones too."""
-    files = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "text"))
-    return files.where("text <> ''").select("text", "source", "row_idx")
+def line_rows(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(source, row_idx, line): every line of the files at path, numbered from 0 in each file.
+
+    Files are split like any Spark text scan. A line's number is its place in its split plus
+    the lines of the splits before, so no task sees more than a split.
+    """
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("_path"), F.col(_FILE).alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = rows.groupBy("_path", "_block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("_path", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at")) - 1
+    return rows.withColumn("_in", inside).join(bases, ["_path", "_block"]).select("_path", "source", (F.col("_base") + F.col("_in")).alias("row_idx"), "line")
+
+
+def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """One row for each line that isn't empty; row_idx counts empty ones too, and so does ``limit`` for each file."""
+    rows = line_rows(spark, path).where("line <> ''")
+    return (rows if limit is None else rows.where(F.col("row_idx") < limit)).select(F.col("line").alias("text"), "source", "row_idx")
 
 
 def read_parquet_text(spark: SparkSession, path: str) -> DataFrame:
@@ -80,12 +98,13 @@ def _jsonl_kind(record: Column) -> Column:
     return F.when(has("zh_text"), "translation").when(has("段落") & ~has("ID"), "segments").when(has("回复"), "forum").when(has("instruction"), "instruction").when(has("问"), "wikihow")
 
 
-def read_jsonl_text(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl_text(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Texts of JSONL files of five kinds, each file's kind taken from its first line that isn't blank.
 
     Blank and malformed lines and non-objects are skipped, and files of another kind as a whole.
+    ``limit`` keeps the first accepted records of each file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("_at", "line")).where(strip(F.col("line")) != "")
+    lines = line_rows(spark, path).withColumnRenamed("row_idx", "_at").where(strip(F.col("line")) != "")
     first = lines.groupBy("source").agg(F.min_by("line", "_at").alias("head")).select("source", _jsonl_kind(F.col("head")).alias("kind"))
     good = lines.where(F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"^\s*\{")).join(first.where("kind is not null"), "source")
     r = good.withColumn("r", F.from_json("line", _RECORD))
@@ -101,13 +120,19 @@ def read_jsonl_text(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("kind") == "instruction", F.concat(text("instruction"), F.when(text("input") != "", F.concat(F.lit("\n"), text("input"))).otherwise(""), F.lit("\n"), text("output")))
         .otherwise(F.concat(text("`问`"), F.lit("\n"), text("`答`")))
     )
-    return rows.select(rendered.alias("text"), "source", "row_idx")
+    out = rows.select(rendered.alias("text"), "source", "row_idx")
+    return out if limit is None else out.where(F.col("row_idx") < limit)
 
 
-def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Texts of files that each hold one JSON array of records; files of anything else give no rows. A record's own source overrides the file's name."""
+def read_json_arrays(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Texts of files that each hold one JSON array of records; files of anything else give no rows. A record's own source overrides the file's name.
+
+    An array is one value and no line begins a record for sure, so a file is read by one task;
+    ``limit`` keeps the first records of each.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("file"), "value").where(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\["))
     rows = files.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("row_idx", "record"))
+    rows = rows if limit is None else rows.where(F.col("row_idx") < limit)
     r = rows.withColumn("r", F.from_json("record", _RECORD)).withColumn("k", F.json_object_keys("record"))
     has, text = (lambda k: F.array_contains("k", k)), (lambda c: F.coalesce(F.col(f"r.{c}"), F.lit("")))
     found = F.when(has("completion"), text("completion")).when(has("query"), F.concat_ws("\n", text("query"), text("thought"), F.coalesce(F.get_json_object("record", "$.answer"), F.lit("")))).when(has("text"), text("text")).when(has("content"), text("content")).otherwise("")
@@ -115,14 +140,17 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """text, or else content, of each line."""
+    """text, or else content, of each line; files that are neither .jsonl nor .ndjson nor .json raise ValueError."""
     lines = spark.read.schema("text string, content string").json(path)
+    others = sorted(f for f in lines.inputFiles() if not f.endswith((".jsonl", ".ndjson", ".json")))
+    if others:
+        raise ValueError(f"not JSON lines: {others[:3]}")
     return lines.select(F.coalesce(F.nullif("text", F.lit("")), F.nullif("content", F.lit(""))).alias("text")).where("text is not null")
 
 
 def read_chat_jsonl(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Chat records in line order, at most ``most``; a malformed line or one without messages fails the read with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where(strip(F.col("line")) != "").orderBy("at")
+    """Chat records in the order of files and lines, at most ``most``; a malformed line or one without messages fails the read with its number."""
+    lines = line_rows(spark, path).withColumnRenamed("row_idx", "at").where(strip(F.col("line")) != "").orderBy("_path", "at")
     lines = lines.limit(most) if most is not None else lines
     bad = F.try_parse_json("line").isNull()
     missing = ~F.array_contains(F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>")), "messages")
@@ -159,6 +187,28 @@ def read_packed(spark: SparkSession, path: str, block: int) -> DataFrame:
     return df.withColumn("token_ids", F.when(right, F.col("token_ids")).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long"))))
 
 
+def read_packed_sft(spark: SparkSession, path: str, block: int) -> DataFrame:
+    """Packed rows for fine-tuning as samples (``sft_sample``); ValueError for another block size or missing columns."""
+    df = read_packed(spark, path, block)
+    missing = set(SFT_COLUMNS) - set(df.columns)
+    if missing:
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    return sft_sample(df, block)
+
+
+def read_text_shard(spark: SparkSession, path: str, column: str = "text", count: int = 1, index: int = 0, seed: int = 0, epoch: int = 0, buffer: int = 10_000) -> DataFrame:
+    """(place, text): every count-th text of a Parquet table from ``index`` on, at its place after a buffered shuffle. Only this column is read."""
+    rows = spark.read.parquet(path).select(F.col(column).alias("text"), F.concat_ws("/", _FILE, F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")).alias("_at"), F.col("_metadata.row_index").alias("_row")).where("text is not null")
+    own = shard(rows, count, index, "_row")
+    return own.select(F.struct(buffered_place("_row", seed, epoch, index, buffer).alias("at"), F.xxhash64(F.lit(seed), "_at").alias("tie")).alias("place"), "text")
+
+
+def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, n_rows) of Parquet tables. No column is read: the counts come from the files' footers."""
+    frames = [spark.read.parquet(p).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, p in paths.items()]
+    return reduce(DataFrame.union, frames)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     """The manifest that write_packed leaves in a table's folder, empty if there is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
-from corpusmill.operators.metrics import finite
+from corpusmill.operators.metrics import json_safe
 
 
 def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -17,27 +18,62 @@ def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False, form: str = "packed-v1", **manifest) -> None:
-    """Packed rows as zstd Parquet with a manifest; rows whose arrays aren't block + 1 long fail the write."""
+    """Packed rows as zstd Parquet with a manifest, each row's sequences numbered from 0.
+
+    Rows whose arrays aren't block + 1 long, or whose span arrays differ in length, fail the write.
+    """
     arrays = [c for c in ("token_ids", "seq_ids", "position_ids", "sequence_starts", "target_loss_weights", "target_role_ids") if c in df.columns]
     right = F.lit(True)
     for c in arrays:
         right = right & (F.size(c) == block + 1)
-    checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long"))))
+    if {"stp_span_starts", "stp_span_ends"} <= set(df.columns):
+        right = right & (F.size("stp_span_starts") == F.size("stp_span_ends"))
+    if "seq_ids" in df.columns:  # padding, below 0, stays
+        first = F.array_min(F.filter("seq_ids", lambda s: s >= 0))
+        df = df.withColumn("seq_ids", F.transform("seq_ids", lambda s: F.when(s >= 0, s - first).otherwise(s)))
+    checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long, or its spans have no end"))))
     checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
     note = json.dumps({"format": form, "block_size": block, **manifest}, sort_keys=True)
     df.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines, non-ASCII as it is, numbers that aren't finite as null."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
-    df.withColumns({c: finite(F.col(c)) for c in floats}).write.mode("append").option("ignoreNullFields", False).json(path)
+    """Rows as JSON lines with sorted keys, non-ASCII as it is, numbers that aren't finite as null, nested ones too."""
+    safe = {f.name: json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema}
+    df.select(*(safe[c] for c in sorted(df.columns))).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def write_verified(df: DataFrame, path: str) -> int:
-    """Write Parquet and compare the rows written with those read back; RuntimeError if they differ."""
-    df.write.mode("errorifexists").parquet(path)
-    wanted, found = df.count(), df.sparkSession.read.parquet(path).count()
+    """Write Parquet and compare the rows that went in, counted while they are written, with those read back; RuntimeError if they differ."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
+    wanted, found = seen.get["n"], df.sparkSession.read.parquet(path).count()
     if wanted != found:
         raise RuntimeError(f"{found} rows were written of {wanted}")
     return found
+
+
+def write_summary(spark: SparkSession, path: str, summary: dict, command: str | None = None) -> None:
+    """A JSON summary, and beside it the best command as text, each one file in a folder of its own."""
+    spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    if command is not None:
+        spark.createDataFrame([(command,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/command")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder in spark.checkpoint.dir; where that is unset, in local mode only, below a new folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="corpusmill-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """df as a Parquet table at path: read if it is there, else written first. Keeps what is costly to make, such as tokens."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if overwrite or not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
