@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import release_memory, shared_path, spread
-from corpusmill.llm.tokens import parts_of, shared_encoder, with_end
+from corpusmill.llm.common import parts_of, release_memory, shared_path, spread
+from corpusmill.llm.tokens import shared_encoder, with_end
 
 _FEW = 8
 _LOG = logging.getLogger(__name__)

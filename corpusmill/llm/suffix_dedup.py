@@ -20,8 +20,13 @@ first thinned to those that can matter:
     boundaries: each block sends each distinct window once to a bucket dealt by the window's
     own hash.
 
-A block pre-aggregates: equal segments leave it once, with their smallest doc_id, so what one
-passage costs is bounded by the number of blocks and never by its copies squared.
+Blocks are whatever documents lie together in the input, packed where they are read and written
+once, compressed, to the shared folder: texts themselves are never shuffled, only packed blocks
+are. A block pre-aggregates: equal segments leave it once, with their smallest doc_id, so what
+one passage costs is bounded by the number of blocks and never by its copies squared.
+
+Splitters are bounded in number. Where more buckets are needed, each range is dealt further by
+a hash of the leading bytes, on which equal strings agree.
 """
 
 from __future__ import annotations
@@ -30,22 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import NO_ID, U64, buffers, cut, ids_of, mixed, release_memory, spread, text_bytes
+from corpusmill.llm.common import NO_ID, U64, buffers, cut, ids_of, mixed, parts_of, release_memory, shared_path, spread, text_bytes
 
 WINDOW = 50
 ANCHOR = 16
 _SPAN = WINDOW - ANCHOR + 1
 _TILE = 1 << 17
-_KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("low", pa.binary())])
-_REPLY = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()), ("lens", pa.binary()), ("anchors", pa.binary()), ("body", pa.binary())])
+_KEYS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("low", pa.binary())])
+_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("lens", pa.binary()), ("anchors", pa.binary()), ("body", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64())), ("kept", pa.binary())])
-_DDL = {_KEYS: "bucket int, block int, low binary", _REPLY: "block int, bucket int, bits binary", _SENT: "bucket int, block int, docs binary, lens binary, anchors binary, body binary", _RESULT: "doc_id long, n_bytes long, n_removed long, span_start array<long>, span_end array<long>, kept binary"}
+_DDL = {_KEYS: "bucket long, block long, low binary", _REPLY: "block long, bucket long, bits binary", _SENT: "bucket long, block long, docs binary, lens binary, anchors binary, body binary", _RESULT: "doc_id long, n_bytes long, n_removed long, span_start array<long>, span_end array<long>, kept binary"}
 
 
 def _words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
@@ -106,11 +114,11 @@ def leading(data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The documents of a block in id order, with their segments; equal for equal rows, whatever order they come in."""
+    """The documents of a block in id order, with their segments."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, body: pa.Scalar) -> None:
         release_memory()
-        table = table.drop_columns(["block"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = pa.ipc.open_stream(body.as_buffer()).read_all()
         self.carried = table.columns[2:]
         self.ids, self.docs = table.column("doc_id"), ids_of(table.column("doc_id"))
         self.data, self.offsets = buffers(table.column("text"))
@@ -135,15 +143,18 @@ class _Block:
         _, first = np.unique(uid, return_index=True)
         self.u_start, self.u_lens, self.u_docs = (x[self.live[first]] for x in (self.starts, self.lens, self.seg_docs))
 
-    def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each distinct segment its bucket and anchor, and whether a splitter names its anchor; the order of those that no splitter names."""
+    def dealt(self, splitters: np.ndarray, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct segment its bucket and anchor, and whether a splitter names its anchor; the order of those that no splitter names, by bucket."""
         at = anchors(self.data, self.u_start)
         key = leading(self.data, self.u_start + at, self.u_docs)
-        named = np.unique(np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, ANCHOR + 8)[:, :ANCHOR].copy().view(f"S{ANCHOR}").ravel())
-        lead = np.frombuffer(key.tobytes(), np.uint8).reshape(-1, ANCHOR + 8)[:, :ANCHOR].copy().view(f"S{ANCHOR}").ravel()
-        crossing = np.isin(lead, named)
+        lead = lambda keys: np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, ANCHOR + 8)[:, :ANCHOR].copy()
+        own = lead(key)
+        crossing = np.isin(own.view(f"S{ANCHOR}").ravel(), np.unique(lead(splitters).view(f"S{ANCHOR}").ravel()))
+        words = own.view("<u8").reshape(-1, 2)
+        bucket = np.searchsorted(splitters, key, "right") * fine + (mixed(_anchor_hash(words[:, 0], words[:, 1])) % U64(fine)).astype(np.int64)
         order = np.flatnonzero(~crossing)
-        return np.searchsorted(splitters, key, "right"), at, crossing, order[np.argsort(key[order], kind="stable")]
+        order = order[np.argsort(key[order], kind="stable")]
+        return bucket, at, crossing, order[np.argsort(bucket[order], kind="stable")]
 
     def windows(self, crossing: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Distinct windows of the segments that cross a boundary: bucket, two hashes, smallest document; and which one each window is."""
@@ -184,10 +195,38 @@ def _bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def _packed(block_bytes: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, body): documents of about block_bytes each, in id order, as a compressed Arrow stream."""
+        held, size, number, part = [], 0, 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                stream.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+
+        for batch in batches:
+            at = 0
+            for texts in parts_of(batch.column("text"), max(1, block_bytes // 2)):
+                held.append(batch.slice(at, len(texts)))
+                at, size = at + len(texts), size + (pc.sum(pc.binary_length(texts)).as_py() or 0)
+                if size >= block_bytes:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return packed
+
+
 def _send_keys(n_buckets: int):
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        block = _Block(table)
-        return _table([(k, key[0].as_py(), block.keys[a:b].astype(np.uint32).tobytes()) for k, a, b in _slices(block.key_buckets(n_buckets))], _KEYS)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for me, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+                block = _Block(body)
+                yield from _table([(k, me, block.keys[a:b].astype(np.uint32).tobytes()) for k, a, b in _slices(block.key_buckets(n_buckets))], _KEYS).to_batches()
 
     return send
 
@@ -205,19 +244,19 @@ def _find_twice(table: pa.Table) -> pa.Table:
     return _table([(block, bucket, np.packbits(twice[a // 4 : b // 4]).tobytes()) for block, bucket, a, b in zip(blocks, buckets, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], _REPLY)
 
 
-def _send_segments(n_keys: int, splitters: np.ndarray):
-    n = len(splitters) + 1
+def _send_segments(n_keys: int, splitters: np.ndarray, fine: int):
+    n = (len(splitters) + 1) * fine
 
     def send(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], _SENT)
-        block, me, got = _Block(table), key[0].as_py(), _replies(replies)
+        block, me, got = _Block(table.column("body")[0]), key[0].as_py(), _replies(replies)
         flags = block.twice.copy()
         for k, a, b in _slices(block.key_buckets(n_keys)):
             flags[a:b] |= _bits(got[k], b - a)
-        rows = [(2 * n + me, me, b"", b"", b"", np.packbits(flags).tobytes())]
+        rows = [(-1 - me, me, b"", b"", b"", np.packbits(flags).tobytes())]
         block.distinct(flags)
-        bucket, at, crossing, order = block.dealt(splitters)
+        bucket, at, crossing, order = block.dealt(splitters, fine)
         raw, packer = block.data, zstandard.ZstdCompressor(level=3)
         for k, a, b in _slices(bucket[order]):
             own = order[a:b]
@@ -305,7 +344,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
 def _answer(n: int):
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        if bucket >= 2 * n:
+        if bucket < 0:  # what a block tells itself
             return table.select(["block", "bucket", "body"]).rename_columns(_REPLY.names)
         return _match_windows(table) if bucket >= n else _sort_segments(table)
 
@@ -320,15 +359,15 @@ def _whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return ~left[character]
 
 
-def _finish(splitters: np.ndarray, characters: bool, names: list[str]):
-    n = len(splitters) + 1
+def _finish(splitters: np.ndarray, fine: int, characters: bool, names: list[str], carried: pa.Schema):
+    n = (len(splitters) + 1) * fine
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([pa.array([], f.type) for f in _RESULT] + [pa.array([], table.schema.field(c).type) for c in names], names=[*_RESULT.names, *names])
-        block, me, got = _Block(table), key[0].as_py(), _replies(replies)
-        block.distinct(_bits(got[2 * n + me], len(block.keys)))
-        bucket, _, crossing, order = block.dealt(splitters)
+            return pa.table([pa.array([], f.type) for f in _RESULT] + [pa.array([], carried.field(c).type) for c in names], names=[*_RESULT.names, *names])
+        block, me, got = _Block(table.column("body")[0]), key[0].as_py(), _replies(replies)
+        block.distinct(_bits(got[-1 - me], len(block.keys)))
+        bucket, _, crossing, order = block.dealt(splitters, fine)
         window = np.concatenate(([0], np.cumsum(block.u_lens)))[:-1]
         gone = np.zeros(int(block.u_lens.sum()), bool)
         for k, a, b in _slices(bucket[order]):
@@ -394,27 +433,35 @@ def splitters_of(docs: DataFrame, buckets: int, total: int, sample_bytes: int) -
     return np.unique(found[np.linspace(0, len(found) - 1, buckets + 1).astype(int)[1:-1]]) if len(found) >= buckets else np.unique(found)
 
 
-def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, sample_bytes: int = 16 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, carry: tuple[str, ...] = (), characters: bool = False, block_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, sample_bytes: int = 16 << 20, most_ranges: int = 1 << 16, part_bytes: int = 32 << 20) -> DataFrame:
     """For each row of docs (doc_id, text): n_bytes, n_removed, the removed byte runs and the bytes kept, then the columns in ``carry``.
 
     With ``characters``, a character goes only if all its bytes do. Null texts are
-    empty. Texts below 50 bytes lose nothing. Rows with the same doc_id don't remove each
-    other's strings (neither id is smaller); a null doc_id counts as larger than any. An empty
+    empty. Texts below 50 bytes lose nothing; a text of any length is read whole, in one block.
+    Rows with the same doc_id don't remove each other's strings (neither id is smaller), so
+    repeated rows all stay; a null doc_id counts as larger than any. An empty
     table gives an empty result. Carried columns may have any names, those of the result
-    included; other columns are ignored.
+    included; other columns are ignored. There are at most ``most_ranges`` ranges of leading
+    bytes, whatever the table's size.
     """
-    names = [f"_carried_{i}" for i in range(len(carry))]
+    spark, names = docs.sparkSession, [f"_carried_{i}" for i in range(len(carry))]
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)))
     docs = every.select("doc_id", "text")
     total = text_bytes(docs, "text")
-    n_blocks, n_keys, n_buckets = (max(1, total // size + 1) for size in (block_bytes, 16 * bucket_bytes, bucket_bytes))
-    splitters = splitters_of(docs, n_buckets, total, min(sample_bytes, n_buckets << 18))
-    n = len(splitters) + 1
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    blocks = docs.withColumn("block", number)
-    twice = blocks.groupBy("block").applyInArrow(_send_keys(n_keys), _DDL[_KEYS]).groupBy("bucket").applyInArrow(_find_twice, _DDL[_REPLY])
-    sent = blocks.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_send_segments(n_keys, splitters), _DDL[_SENT])
-    replies = cut(sent.groupBy("bucket").applyInArrow(_answer(n), _DDL[_REPLY]))
+    n_keys, wanted = (max(1, total // size + 1) for size in (16 * bucket_bytes, bucket_bytes))
+    n_ranges = min(wanted, most_ranges)
+    fine = -(-wanted // n_ranges)
+    splitters = splitters_of(docs, n_ranges, total, min(sample_bytes, n_ranges << 18))
+    n = (len(splitters) + 1) * fine
+    path = shared_path(spark, "blocks")
+    every.mapInArrow(_packed(block_bytes), "block long, body binary").write.option("compression", "none").parquet(path)
+    blocks = spark.read.schema("block long, body binary").parquet(path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // part_bytes)  # so that tasks don't grow with the table
+    dealt = lambda df, key: df.repartition(parts, key).groupBy(key)
+    twice = dealt(blocks.mapInArrow(_send_keys(n_keys), _DDL[_KEYS]), "bucket").applyInArrow(_find_twice, _DDL[_REPLY])
+    sent = dealt(blocks, "block").cogroup(dealt(twice, "block")).applyInArrow(_send_segments(n_keys, splitters, fine), _DDL[_SENT])
+    replies = cut(dealt(sent, "bucket").applyInArrow(_answer(n), _DDL[_REPLY]))
     schema = StructType([*StructType.fromDDL(_DDL[_RESULT]).fields, *(every.schema[x] for x in names)])
-    found = every.withColumn("block", number).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(splitters, characters, names), schema)
+    carried = to_arrow_schema(StructType([every.schema[x] for x in names]))
+    found = dealt(blocks, "block").cogroup(dealt(replies, "block")).applyInArrow(_finish(splitters, fine, characters, names, carried), schema)
     return found.toDF(*_RESULT.names, *carry)

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import NO_ID, U64, cut, ids_of, mixed, shared_path, spread, text_bytes
-from corpusmill.llm.tokens import parts_of, shared_encoder, with_end
+from corpusmill.llm.common import NO_ID, U64, cut, ids_of, mixed, parts_of, shared_path, spread, text_bytes
+from corpusmill.llm.tokens import shared_encoder, with_end
 
 MAGIC = b"TOKSHRD2"
 _SHARDS = "shard long, first_key long, last_key long, n_records long, n_ids long, body binary"

@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from corpusmill.llm.common import buffers, release_memory, spread
+from corpusmill.llm.common import buffers, parts_of, release_memory, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -74,16 +73,6 @@ class Recent:
         self.old = {}
 
 
-def parts_of(texts: pa.Array, size: int) -> Iterator[pa.Array]:
-    """The texts in turn, about ``size`` bytes at a time; a longer text is a part of its own."""
-    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, a = np.cumsum(lengths), 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield texts.slice(a, b - a)
-        a = b
-
-
 class Ids:
     """Lists of ids: ``flat`` holds them one after another, ``starts`` and ``lengths`` tell where each is."""
 

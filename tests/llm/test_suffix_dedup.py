@@ -37,7 +37,7 @@ def found(df, **sizes):
 ROWS = [*enumerate(texts(1, 80)), *enumerate(ODD, 500), *enumerate(ODD, 600), (None, "a" * 80), (None, texts(1, 80)[0]), (7, texts(1, 80)[7]), (7, "another text of the same id " * 4)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "bucket_bytes": 2000, "sample_bytes": 20_000}])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "bucket_bytes": 2000, "sample_bytes": 20_000}, {"block_bytes": 3000, "bucket_bytes": 2000, "sample_bytes": 20_000, "most_ranges": 3}])
 def test_like_brute_force(spark, sizes):
     assert found(frame(spark, ROWS), **sizes) == brute(ROWS)
 
