@@ -8,8 +8,10 @@ path has weight 0.
 For a giant document the state at a cut is the piece that starts before it and ends at or
 after it. Each chunk turns the states at its left cut into those at its right cut, a matrix of
 zeros and minus infinities that needs only the chunk and a few characters around it. The
-matrices of a document combine associatively; their product gives the one state at every cut,
-and each chunk is then backtraced on its own.
+matrices combine associatively, in pairs: those of neighbouring chunks in tasks of their own to
+one for each group of chunks, these to the document's. Products from the left and from the right
+give the one state at every cut, of the groups first and then of the chunks inside each, and
+each chunk is then backtraced on its own.
 
 Inside a chunk, and in documents below a chunk's size, text falls apart where two characters
 are neighbours in no piece. No piece crosses such a place, the matrix has rank one there, and
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,20 +195,39 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The products of the first 1, 2, ... matrices, from products of pairs."""
+    if len(matrices) == 1:
+        return matrices
+    pairs = scan([product(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)])
+    out = [matrices[0]]
+    for k in range(1, len(matrices)):
+        out.append(pairs[k // 2] if k % 2 else product(pairs[k // 2 - 1], matrices[k]))
+    return out
+
+
+def total(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of all matrices, from products of pairs."""
+    while len(matrices) > 1:
+        last = matrices[-1:] if len(matrices) % 2 else []
+        matrices = [product(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)] + last
+    return matrices[0]
+
+
+def between_cuts(matrices: list[np.ndarray], entry: int, exit_: int) -> list[tuple[int, int]]:
+    """The states at the two cuts of each matrix, on the one path from an entry of the first to an exit of the last."""
+    before = [m[entry] for m in scan(matrices)[:-1]]
+    after = [m.T[:, exit_] for m in scan([m.T for m in reversed(matrices)])[:-1]][::-1] if len(matrices) > 1 else []
+    at = [entry, *(int(np.argmax(a + b)) for a, b in zip(before, after, strict=True)), exit_]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def resolve(transfers: list[tuple[list[State], list[State], np.ndarray]], end: int) -> list[tuple[State, State]]:
     """The states at the two cuts of every chunk of a text of length ``end``, from the chunks' matrices in order."""
-    vector, before = np.zeros((1, 1)), []
-    for _, _, matrix in transfers:
-        before.append(vector)
-        vector = product(vector, matrix)
-    exits = transfers[-1][1]
-    at = next(k for k, s in enumerate(exits) if s[1] == end and vector[0, k] == 0)
-    out = []
-    for (entries, exits, matrix), vector in zip(reversed(transfers), reversed(before), strict=True):
-        found = int(np.argmax(vector[0] + matrix[:, at]))
-        out.append((entries[found], exits[at]))
-        at = found
-    return out[::-1]
+    matrices, exits = [m for _, _, m in transfers], transfers[-1][1]
+    ways = total(matrices)[0]
+    last = next(k for k, s in enumerate(exits) if s[1] == end and ways[k] == 0)
+    return [(entries[a], exits[b]) for (entries, exits, _), (a, b) in zip(transfers, between_cuts(matrices, 0, last), strict=True)]
 
 
 def _whole(path: str):
@@ -234,16 +256,62 @@ def _transfers(path: str):
     return transfers
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    rows = table.sort_by("chunk").to_pylist()
+def _matrices(table: pa.Table, order: str) -> tuple[list[dict], list[tuple[list[State], list[State], np.ndarray]]]:
+    rows = table.sort_by(order).to_pylist()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
-    transfers = []
+    out = []
     for r in rows:
         a, b = pairs(r["entries"]), pairs(r["exits"])
         ways = np.unpackbits(np.frombuffer(r["ways"], np.uint8), count=len(a) * len(b)).reshape(len(a), len(b))
-        transfers.append((a, b, np.where(ways, 0.0, NO_WAY)))
+        out.append((a, b, np.where(ways, 0.0, NO_WAY)))
+    return rows, out
+
+
+def _combined(table: pa.Table) -> pa.Table:
+    """A group of chunks as one matrix."""
+    rows, transfers = _matrices(table, "chunk")
+    matrix = total([m for _, _, m in transfers])
+    return pa.table({"row": [rows[0]["row"]], "block": [rows[0]["block"]], "size": [rows[0]["size"]], "entries": pa.array([rows[0]["entries"]], pa.list_(pa.int64())), "exits": pa.array([rows[-1]["exits"]], pa.list_(pa.int64())), "ways": pa.array([np.packbits(matrix == 0).tobytes()], pa.binary())})
+
+
+def _resolved(table: pa.Table) -> pa.Table:
+    """The states at the two cuts of each group of a document's chunks."""
+    rows, transfers = _matrices(table, "block")
     found = resolve(transfers, rows[0]["size"])
-    return pa.table({"row": [r["row"] for r in rows], "chunk": [r["chunk"] for r in rows], "states": pa.array([[*a, *b] for a, b in found], pa.list_(pa.int64()))})
+    return pa.table({"row": [r["row"] for r in rows], "block": [r["block"] for r in rows], "states": pa.array([[*a, *b] for a, b in found], pa.list_(pa.int64()))})
+
+
+def _inside(table: pa.Table, outer: pa.Table) -> pa.Table:
+    """The states at the two cuts of each chunk of a group."""
+    rows, transfers = _matrices(table, "chunk")
+    a, b, c, d = outer.column("states")[0].as_py()
+    places = between_cuts([m for _, _, m in transfers], transfers[0][0].index((a, b)), transfers[-1][1].index((c, d)))
+    states = [[*entries[x], *exits[y]] for (entries, exits, _), (x, y) in zip(transfers, places, strict=True)]
+    return pa.table({"row": [r["row"] for r in rows], "chunk": [r["chunk"] for r in rows], "states": pa.array(states, pa.list_(pa.int64()))})
+
+
+def _chunks(size: int, context: int):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each giant text's chunks with what is around them, each text cut in one pass."""
+        number, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = marked(text.as_py())
+                for chunk, left in enumerate(range(0, len(text), size)):
+                    right, base = min(left + size, len(text)), max(0, left - context)
+                    row = [(part << 32) + number, doc, len(text), chunk, left, right, base]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([text[base : right + context]], pa.string())], [c.split()[0] for c in _CHUNK.split(", ")])
+                number += 1
+
+    return chunks
+
+
+_CHUNK = "row long, doc_id long, size long, chunk long, left long, right long, base long, part string"
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    ordered = table.sort_by("chunk")
+    return pa.table({"row": [ordered.column("row")[0].as_py()], "ids": pa.array([b"".join(ordered.column("ids").to_pylist())], pa.binary())})
 
 
 def _backtrace(path: str):
@@ -259,26 +327,26 @@ def _backtrace(path: str):
     return backtrace
 
 
-def encode_pieces(docs: DataFrame, model: str, chunk_chars: int = 1 << 16, context: int = 64) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, chunk_chars: int = 1 << 16, context: int = 64, group: int = 64) -> DataFrame:
     """(doc_id, ids) of every row of docs (doc_id, text): the model's ids as little-endian 32-bit integers.
 
-    Texts of over chunk_chars characters are cut into chunks that separate tasks encode.
+    Texts of over chunk_chars characters are cut into chunks that separate tasks encode, and
+    ``group`` chunks' matrices are combined by a task of their own.
     ``context`` characters around a chunk must hold the longest piece twice. Null and empty
-    texts have no ids; repeated rows and null doc_ids keep their rows; other columns are ignored.
+    texts have no ids; repeated rows and null doc_ids keep their rows; other columns are
+    ignored, and an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(_whole(model), "doc_id long, ids binary")
-    giant = rows.where(F.length("text") > chunk_chars).select("doc_id", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)).alias("text")).withColumn("size", F.length("text").cast("long"))
-    places = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / chunk_chars))).alias("chunk")
-    left, right = F.col("chunk") * chunk_chars, F.least((F.col("chunk") + 1) * chunk_chars, F.col("size"))
-    base = F.greatest(left - context, F.lit(0))
-    chunks = giant.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "size", "text", places)
-    chunks = cut(chunks.select("row", "doc_id", "size", "chunk", left.alias("left"), right.alias("right"), base.alias("base"), F.substring("text", (base + 1).cast("int"), (right + context - base).cast("int")).alias("part")).repartition("row", "chunk"))
-    found = chunks.mapInArrow(_transfers(model), "row long, chunk long, size long, entries array<long>, exits array<long>, ways binary")
-    states = found.groupBy("row").applyInArrow(_resolve, "row long, chunk long, states array<long>")
+    giant = rows.where(F.length("text") > chunk_chars)
+    chunks = cut(giant.mapInArrow(_chunks(chunk_chars, context), _CHUNK).repartition("row", "chunk"))
+    found = chunks.mapInArrow(_transfers(model), "row long, chunk long, size long, entries array<long>, exits array<long>, ways binary").withColumn("block", F.floor(F.col("chunk") / group))
+    found = cut(found)
+    blocks = found.groupBy("row", "block").applyInArrow(_combined, "row long, block long, size long, entries array<long>, exits array<long>, ways binary")
+    outer = blocks.groupBy("row").applyInArrow(_resolved, "row long, block long, states array<long>")
+    states = found.groupBy("row", "block").cogroup(outer.groupBy("row", "block")).applyInArrow(_inside, "row long, chunk long, states array<long>")
     ids = chunks.join(states, ["row", "chunk"]).mapInArrow(_backtrace(model), "row long, chunk long, ids binary")
-    parts = ids.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = parts.select("row", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
+    joined = ids.groupBy("row").applyInArrow(_joined, "row long, ids binary")
     return short.union(chunks.where("chunk = 0").select("row", "doc_id").join(joined, "row").select("doc_id", "ids"))
 
 

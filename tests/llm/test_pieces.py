@@ -1,8 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
+import sentencepiece
 
+from corpusmill.llm import pieces
 from corpusmill.llm.pieces import Pieces, decode_pieces, encode_pieces, marked, resolve
 from tests.llm.helpers import ODD, frame, texts, vocabulary
 
@@ -54,3 +57,24 @@ def test_rows(spark, model, size):
     assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((i or -1, t or "") for i, t in rows)
     assert sorted(r.n_tokens for r in got) == sorted(len(model.model.encode(t or "")) for _, t in rows)
     assert encode_pieces(frame(spark, rows).limit(0), MODEL).count() == 0
+
+
+def test_pairs_of_matrices_like_a_fold():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 8, 65):
+        sizes = rng.integers(1, 6, n + 1)
+        matrices = [np.where(rng.random((a, b)) < 0.5, 0.0, rng.choice([-1.0, -2.5, pieces.NO_WAY], (a, b))) for a, b in itertools.pairwise(sizes)]
+        fold = [matrices[0]]
+        for m in matrices[1:]:
+            fold.append(pieces.product(fold[-1], m))
+        assert all(np.array_equal(a, b) for a, b in zip(pieces.scan(matrices), fold, strict=True))
+        assert np.array_equal(pieces.total(matrices), fold[-1])
+
+
+@pytest.mark.parametrize("group", [1, 2, 64])
+def test_giant_texts_in_groups_of_chunks(spark, group):
+    rows = [(1, " ".join(texts(9, 90))), (2, "x" * 3000), (None, " ".join(texts(10, 60))), (2, "short"), (3, None), (4, "é😀\n  " * 600)]
+    got = pieces.encode_pieces(frame(spark, rows), MODEL, chunk_chars=700, group=group).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert sorted((repr(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((repr(i), model.encode(t or "")) for i, t in rows)
+    assert pieces.encode_pieces(frame(spark, rows).limit(0), MODEL).count() == 0
