@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm.components import merged
 from corpusmill.llm.vector_dedup import vector_groups
@@ -27,7 +28,7 @@ def test_odd_vectors(spark):
     check(spark, [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0]), (10, [float("inf"), 1.0]), (11, [1e-30, 2e-30])])
 
 
-@pytest.mark.parametrize("sizes", [{"leaf": 40}, {"leaf": 40, "tile": 60}])
+@pytest.mark.parametrize("sizes", [{"leaf": 40}, {"leaf": 40, "branch_bytes": 60 * 32 * 8}, {"leaf": 40, "branch_bytes": 16 * 32 * 8}])
 def test_clusters_and_borderline_pairs(spark, sizes):
     rng, rows = np.random.default_rng(2), []
     for _ in range(250):
@@ -45,3 +46,22 @@ def test_clusters_and_borderline_pairs(spark, sizes):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_groups(df).count() == 0
+    assert vector_groups(df.select("vec_id", F.col("embedding").cast("array<double>"))).count() == 0
+
+
+def test_recall_at_table_size(spark):
+    """The table's vectors and pairs planted at cosines of 0.95 to 0.97, through deep trees: leaves of few rows, fitted on one in five."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toPandas()["embedding"].tolist()
+    rng, rows = np.random.default_rng(5), [list(map(float, v)) for v in table]
+    for v in rng.standard_normal((2000, 64)):
+        a = v / np.linalg.norm(v)
+        b = rng.standard_normal(64)
+        b -= b @ a * a
+        c = rng.uniform(0.951, 0.97)
+        rows += [a.tolist(), (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist()]
+    df = spark.createDataFrame([(i, v, "x", [1]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, leaves string, vector array<int>")
+    wanted = brute(list(enumerate(rows)))
+    got = {r.vec_id: r.n_links for r in vector_groups(df, leaf=16, sample_rows=1200).collect()}
+    links = sum(n for n, _, _ in wanted.values())
+    assert all(got[i] <= wanted[i][0] for i in got) and links >= 4000
+    assert sum(got.values()) >= 0.99 * links
