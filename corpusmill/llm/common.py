@@ -54,6 +54,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
+def written() -> set[str]:
+    """The folders from ``shared_path`` that are still there."""
+    return set(_WRITTEN)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that no frame still in use reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
