@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import packing, quality, secrets, simhash, suffix_dedup
-from corpusmill.llm.common import free_name, remove, shared_path
+from corpusmill.llm.common import free_name, remove, shared_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -73,17 +73,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written to the shared folder and read again.
 
-    A stage's folder goes once the next stage has read it; the pieces that the result reads
-    stay until ``clean_up``. An empty table gives an empty result. Null ids and repeated rows
-    pass through the stages as each of these states.
+    A stage's folders go once its result is written, and that result once the next stage has
+    read it; the pieces that the last result reads stay until ``clean_up``. An empty table gives
+    an empty result. Null ids and repeated rows pass through the stages as each of these states.
     """
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        before, path = path, shared_path(spark, name)
+        own, before = written(), path
+        path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
+        for old in (written() - own - {path}) | ({before} if before else set()):
+            remove(spark, old)
     packed = STAGES[-1][1](spark, docs, sf_dir)
     remove(spark, path)
     return packed
