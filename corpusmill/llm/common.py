@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,15 @@ NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
-def release_memory() -> None:
-    """Give back to the system what the allocators of this worker hold but don't use; workers outlive stages, and would keep the peak of each."""
+#: Caches that a worker keeps from task to task; each has ``drop``.
+CACHES: weakref.WeakSet = weakref.WeakSet()
+
+
+def release_memory(keep: object = None) -> None:
+    """Give back to the system what this worker holds but doesn't use, and drop other operators' caches than ``keep``; workers outlive stages, and would keep the peak of each."""
+    for cache in list(CACHES):
+        if cache is not keep:
+            cache.drop()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

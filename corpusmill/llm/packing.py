@@ -265,10 +265,10 @@ def _numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(path: str, style: str, end_id: int, size: int, part_bytes: int = 4 << 20):
+def _cut(path: str, style: str, end_id: int, size: int, part_bytes: int = 2 << 20):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         encode, seen, part = shared_encoder(path, style), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        release_memory(encode)
         for batch in batches:
             at = 0
             for texts in parts_of(batch.column("text").cast(pa.large_string()), part_bytes):

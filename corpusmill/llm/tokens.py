@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from corpusmill.llm.common import buffers, parts_of, release_memory, spread
+from corpusmill.llm.common import CACHES, buffers, parts_of, release_memory, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -120,7 +120,7 @@ class Encoder:
     ``special_as_text`` they are ordinary text.
     """
 
-    def __init__(self, path: str, style: str, limit: int = 250_000, special_as_text: bool = False, part_bytes: int = 4 << 20) -> None:
+    def __init__(self, path: str, style: str, limit: int = 120_000, special_as_text: bool = False, part_bytes: int = 2 << 20) -> None:
         if style not in ("words", "spaced"):
             raise ValueError(f"style {style!r} is neither 'words' nor 'spaced'")
         self.tokenizer = Tokenizer.from_file(path)
@@ -131,6 +131,7 @@ class Encoder:
         self.style, self.part_bytes, self.shown = style, part_bytes, _byte_letters()
         self.words, self.others, self.ends = Recent(limit), Recent(limit // 4), Recent(10_000)
         self.line = self._library(["\n"])[0]
+        CACHES.add(self)
 
     def _library(self, units: list[str]) -> list[bytes]:
         out = []
@@ -145,7 +146,11 @@ class Encoder:
     def forget(self) -> None:
         for cache in (self.words, self.others, self.ends):
             cache.forget()
-        release_memory()
+        release_memory(self)
+
+    def drop(self) -> None:
+        for cache in (self.words, self.others, self.ends):
+            cache.old, cache.new = {}, {}
 
     def _units(self, units: pa.Array) -> tuple[Ids, np.ndarray]:
         """The ids of distinct units, and which units have white space that doesn't stand alone (they get no ids).
