@@ -132,12 +132,12 @@ OBJECTIVE = f"WITH {_SEEDS} SELECT trial, seed, round(loss - 0.03 * ln(greatest(
 
 def stability_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("v", F.abs("value"))
-    runs = e.groupBy((F.col("user_id") % 40).alias("trial")).agg(F.array_sort(F.collect_list(F.when(F.col("event_id") % 10 == 0, F.struct("event_id", "v")))).alias("e"), F.collect_list(F.when(F.col("event_id") % 10 == 1, F.col("v"))).alias("t"), F.collect_list(F.when(F.col("event_id") % 10 == 2, F.col("v") / 40)).alias("g"), F.count_if(F.col("v") > 90).alias("clipped"), F.count("*").alias("steps"), F.max("v").alias("peak"))
+    runs = e.groupBy((F.col("user_id") % 40).alias("trial")).agg(F.array_sort(F.collect_list(F.when(F.col("event_id") % 3 == 0, F.struct("event_id", "v")))).alias("e"), F.collect_list(F.when(F.col("event_id") % 3 == 1, F.col("v"))).alias("t"), F.collect_list(F.when(F.col("event_id") % 3 == 2, F.col("v") / 40)).alias("g"), F.count_if(F.col("v") > 90).alias("clipped"), F.count("*").alias("steps"), F.max("v").alias("peak"))
     return runs.select("trial", F.round(metrics.stability_penalty(F.col("e.v"), F.col("t"), F.col("g"), F.col("clipped"), F.col("steps"), F.col("peak"), 1.0, 50.0), 6).alias("penalty"))
 
 
 STABILITY = """
-WITH e AS (SELECT user_id % 40 AS trial, event_id, abs(value) AS v, event_id % 10 AS kind FROM events),
+WITH e AS (SELECT user_id % 40 AS trial, event_id, abs(value) AS v, event_id % 3 AS kind FROM events),
 r AS (SELECT trial, min(v) FILTER (kind = 0) AS best, arg_max(v, event_id) FILTER (kind = 0) AS last, stddev_pop(v) FILTER (kind = 0) AS es, avg(v) FILTER (kind = 0) AS em, count(*) FILTER (kind = 0) AS en,
   stddev_pop(v) FILTER (kind = 1) AS ts, avg(v) FILTER (kind = 1) AS tm, count(*) FILTER (kind = 1) AS tn, avg(v / 40) FILTER (kind = 2) AS gm, max(v / 40) FILTER (kind = 2) AS gx, count(*) FILTER (v > 90) AS clipped, count(*) AS steps, max(v) AS peak FROM e GROUP BY trial)
 SELECT trial, round(clipped / steps + coalesce(0.10 * greatest(gm - 1, 0) + 0.05 * ln(greatest(gx, 1)), 0)

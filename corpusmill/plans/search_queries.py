@@ -107,7 +107,7 @@ CHECKED_LOSSES = "SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN 0 ELSE
 
 def language_model_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that predicts code point k from k - 1 of a text, but is wrong at each multiple of 40; texts' starts come from a prompt that differs in some."""
-    points = F.transform(F.split(F.substring("text", 1, 64), ""), F.ascii)  # an item's first 64 characters are its prompt and continuation
+    points = F.transform(F.split("text", ""), F.ascii)
     whole = F.when(F.size(points) > 8, points).otherwise(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i))
     d = read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", whole.alias("ids"))
     without = F.concat(F.slice("ids", 1, 5), F.when(F.col("doc_id") % 2 == 0, F.slice("ids", 6, 1)).otherwise(F.array(F.lit(-1))))
@@ -118,7 +118,7 @@ def language_model_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LM_MATCHES = """
-WITH d AS (SELECT doc_id, CASE WHEN length(text) > 8 THEN least(length(text), 64) ELSE 64 END AS n, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END AS s FROM documents WHERE text <> ''),
+WITH d AS (SELECT doc_id, CASE WHEN length(text) > 8 THEN length(text) ELSE 64 END AS n, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END AS s FROM documents WHERE text <> ''),
 e AS (SELECT doc_id, s, least(s + doc_id % 60, n) AS e FROM d)
 SELECT doc_id, s::BIGINT AS start, e > s AND NOT (40 >= s AND 40 < e) AS hit FROM e"""
 

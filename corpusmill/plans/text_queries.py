@@ -138,11 +138,11 @@ SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunk
 
 def translation_template_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.md5(translation(F.substring("text", 1, 40), F.col("source"), F.col("doc_id"))).alias("digest"))
+    return d.select("doc_id", F.md5(translation(F.col("text"), F.col("source"), F.col("doc_id"))).alias("digest"))
 
 
 TRANSLATION_ROTATION = r"""
-WITH p AS (SELECT doc_id, substr(text, 1, 40) AS zh, source AS en FROM documents)
+WITH p AS (SELECT doc_id, text AS zh, source AS en FROM documents)
 SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN '中文：' || zh || E'\n英文：' || en WHEN 1 THEN zh || E'\n翻译为英文是：\n' || en WHEN 2 THEN '英文：' || en || E'\n\n中文：' || zh
   WHEN 3 THEN en || E'\n该英文翻译为中文是：\n' || zh ELSE '请把下面这句中文翻译成英文：' || chr(10) || zh || chr(10) || '答：' || en END) AS digest FROM p"""
 
