@@ -3,13 +3,17 @@
 Fingerprints within the radius agree in at least one of radius + 1 blocks of bits (or in
 several of more blocks), so candidates share a key of whole blocks. Inside a key the
 fingerprints lie as vertical bit planes: one 64-bit word holds one bit of 64 fingerprints. A
-query's distances to all 64 grow together in carry-save counters of three words, plane by
-plane, and a word is abandoned once every distance in it exceeds the radius. Links leave a
-batch as stars, at most one edge a fingerprint, never as pairs.
+query's distances to all 64 grow together in carry-save counters, a word for each binary
+digit, plane by plane, and a word is abandoned once every distance in it exceeds the radius.
+Links leave a batch as stars, at most one edge a fingerprint, never as pairs.
+
+For a given similarity of texts, ``similar_groups`` takes wider fingerprints, and candidates
+share random samples of bits: blocks would need as many bits as the radius.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import NO_ID, U64, buffers, cut, release_memory, spread
+from corpusmill.llm.common import NO_ID, U64, buffers, cut, mixed, release_memory, spread
 from corpusmill.llm.components import components, merged
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SLAB = 1 << 15
+_SLAB = 1 << 14
+_STEP = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -58,29 +63,44 @@ def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _fingerprints(size: int, seed: int):
+def wide_fingerprints(hashes: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of 64 bits a word, (words, texts), over each text's distinct hashes; each word has its own mix of them."""
+    hashes = [np.unique(h) for h in hashes]
+    return np.stack([fingerprints_of([mixed(h + U64(w * _STEP & (1 << 64) - 1)) for h in hashes]) for w in range(words)])
+
+
+def names(words: int) -> list[str]:
+    """Columns of a fingerprint with that many words."""
+    return ["fp"] if words == 1 else [f"fp{w}" for w in range(words)]
+
+
+def _fingerprints(size: int, seed: int, words: int):
+    def of(held: list[np.ndarray]) -> np.ndarray:
+        return fingerprints_of(held)[None] if words == 1 else wide_fingerprints(held, words)
+
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
             column = batch.column("text")
             data, offsets = buffers(column)
-            raw, found, held, total = data.tobytes(), [], [], 0
+            raw, found, held, total = data.tobytes(), [np.zeros((words, 0), U64)], [], 0
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 held.append(shingle_hashes(raw[a:b], size, seed))
                 total += len(held[-1])
                 if total > 200_000:
-                    found.append(fingerprints_of(held))
+                    found.append(of(held))
                     held, total = [], 0
             if held:
-                found.append(fingerprints_of(held))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([*found, np.zeros(0, U64)]).view(np.int64))], ["doc_id", "fp"])
+                found.append(of(held))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(w.view(np.int64)) for w in np.concatenate(found, axis=1))], ["doc_id", *names(words)])
 
     return fingerprint
 
 
-def simhash(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of docs (doc_id, text); texts without a word, and nulls, have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+def simhash(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """(doc_id, fp long) of docs (doc_id, text), or fp0, fp1, ... for several words; texts without a word, and nulls, have fingerprint zero."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints(size, seed, words), ", ".join(f"{c} long" for c in ("doc_id", *names(words))))
 
 
 def block_masks(n: int, radius: int, bucket: int = 64) -> list[int]:
@@ -93,19 +113,55 @@ def block_masks(n: int, radius: int, bucket: int = 64) -> list[int]:
     return [sum(x) for x in combinations(parts, blocks - radius)]
 
 
+def similar_radius(similarity: float, words: int) -> int:
+    """Bits in which 95 of 100 pairs of that Jaccard similarity differ at most, by the angle between their sets."""
+    apart = _apart(similarity)
+    return int(64 * words * apart + 1.645 * math.sqrt(64 * words * apart * (1 - apart)))
+
+
+def _apart(similarity: float) -> float:
+    """Share of bits in which equally large sets of that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(n: int, similarity: float, words: int, found: float = 0.98, bucket: int = 256) -> list[tuple[int, ...]]:
+    """Masks (one for each word) of which pairs of that similarity share at least one with probability ``found``.
+
+    The masks take as many bits as keep buckets small for n fingerprints, in turn from random
+    orders of all bits; those from one order don't overlap. More fingerprints get more bits and
+    more masks. Up to ``bucket`` fingerprints there is one empty mask: all are compared.
+    """
+    size = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
+    if not size:
+        return [(0,) * words]
+    count = math.ceil(math.log(1 - found) / math.log1p(-((1 - _apart(similarity)) ** size)))
+    rng, masks = np.random.default_rng(size), []
+    while len(masks) < count:
+        order = rng.permutation(64 * words).tolist()
+        for a in range(0, 64 * words - size + 1, size):
+            mask = sum(1 << bit for bit in order[a : a + size])
+            masks.append(tuple(mask >> 64 * w & (1 << 64) - 1 for w in range(words)))
+    return masks[:count]
+
+
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the same group (sorted group numbers) at most radius bits apart, in slabs."""
-    n = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    """Index pairs i < j of the same group (sorted group numbers) at most radius bits apart, in slabs; fps is (words, fingerprints).
+
+    Counters begin so far below their end that a carry out of them means over the radius.
+    """
+    parts, n = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps.T).view(np.uint8).reshape(n, 8 * parts), axis=1, bitorder="little")
     words = -(-n // 64)
-    lanes = np.zeros((64, words * 64), np.uint8)
+    lanes = np.zeros((64 * parts, words * 64), np.uint8)
     lanes[:, :n] = bits.T
-    planes = np.packbits(lanes, axis=1, bitorder="little").view(U64).reshape(64, words)
+    planes = np.packbits(lanes, axis=1, bitorder="little").view(U64).reshape(64 * parts, words)
     end = np.searchsorted(group, group, "right")
     me = np.arange(n)
     first, last = (me + 1) // 64, (end - 1) // 64
     count = np.where(end > me + 1, last - first + 1, 0)
     edges = np.concatenate(([0], np.cumsum(count)))
+    width = max(1, radius.bit_length())
+    begin = (1 << width) - 1 - radius
     for a in range(0, int(edges[-1]), _SLAB):
         item = np.arange(a, min(a + _SLAB, int(edges[-1])))
         query = np.searchsorted(edges, item, "right") - 1
@@ -113,17 +169,17 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tup
         low, high = np.clip(query + 1 - 64 * word, 0, 64), np.clip(end[query] - 64 * word, 0, 64)
         full = np.full(len(item), ~U64(0))
         mask = np.where(high >= 64, full, (U64(1) << np.minimum(high, 63).astype(U64)) - U64(1)) & (full << np.minimum(low, 63).astype(U64))
-        over, c0, c1, c2 = ~mask, *(np.zeros(len(item), U64) for _ in range(3))
-        for p in range(64):
-            x = planes[p][word] ^ (U64(0) - ((fps[query] >> U64(p)) & U64(1)))
-            c0, x = c0 ^ x, c0 & x
-            c1, x = c1 ^ x, c1 & x
-            c2, x = c2 ^ x, c2 & x
-            over |= x | _exceeds(c0, c1, c2, radius)
+        over = ~mask
+        counters = [full.copy() if begin >> c & 1 else np.zeros(len(item), U64) for c in range(width)]
+        for p in range(64 * parts):
+            x = planes[p][word] ^ (U64(0) - ((fps[p // 64][query] >> U64(p % 64)) & U64(1)))
+            for c in range(width):
+                counters[c], x = counters[c] ^ x, counters[c] & x
+            over |= x
             if p % 8 == 7:
                 live = over != ~U64(0)
                 if not live.all():
-                    query, word, over, c0, c1, c2 = (v[live] for v in (query, word, over, c0, c1, c2))
+                    query, word, over, *counters = (v[live] for v in (query, word, over, *counters))
                 if not len(query):
                     break
         if len(query):
@@ -131,20 +187,13 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tup
             yield query[at], 64 * word[at] + lane
 
 
-def _exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over the radius (at most 6)."""
-    out = np.zeros_like(c0)
-    for value in range(radius + 1, 8):
-        out |= (c0 if value & 1 else ~c0) & (c1 if value & 2 else ~c1) & (c2 if value & 4 else ~c2)
-    return out if radius != 4 else c2 & (c0 | c1)
-
-
-def _links(radius: int):
+def _links(radius: int, words: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and tile; those of the last key wait for the next batch."""
+        release_memory()
         held = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + words)])
             held = rows if held is None else np.concatenate((held, rows), axis=1)
             tail = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))
             keep = int(tail[-1]) + 1 if len(tail) else 0
@@ -161,28 +210,33 @@ def _stars(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
         return
     group = np.cumsum(np.concatenate(([False], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     labels = np.arange(rows.shape[1])
-    for i, j in close_pairs(rows[3].view(U64), group, radius):
+    for i, j in close_pairs(np.ascontiguousarray(rows[4:]).view(U64), group, radius):
         labels = merged(labels, i, j)
     leaf = np.flatnonzero(labels != np.arange(len(labels)))
     if len(leaf):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[4][leaf]), pa.array(rows[4][labels[leaf]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[3][leaf]), pa.array(rows[3][labels[leaf]])], ["a", "b"])
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
+def fingerprint_links(classes: DataFrame, radius: int = 4, tile: int = 4096, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
     """Edges (a, b) that connect the nodes of classes (fp, node), one row for each distinct fp, as their links within the radius do.
 
-    A key with over ``tile`` fingerprints is dealt out as pairs of chunks, so no task holds
-    more than two chunks of it and every pair meets in a tile.
+    Wide fingerprints (fp0, fp1, ...) need ``masks``, by which those to compare are found. A
+    key with over ``tile`` fingerprints is dealt out as pairs of chunks, so no task holds more
+    than two chunks of it and every pair meets in a tile.
     """
-    n = classes.count()
-    masks = block_masks(n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = classes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "key"), "fp", "node").withColumn("part", F.col("part").cast("long"))
+    fps = [c for c in classes.columns if c != "node"]
+    masks = masks or [(m,) for m in block_masks(classes.count(), radius)]
+
+    def key(mask: tuple[int, ...]):
+        parts = [F.col(c).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in zip(fps, mask, strict=True)]
+        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+    keyed = classes.select(F.posexplode(F.array(*map(key, masks))).alias("part", "key"), *fps, "node").withColumn("part", F.col("part").cast("long"))
     large = keyed.groupBy("part", "key").count().where(F.col("count") > tile).withColumn("chunks", F.ceil(F.col("count") / tile)).drop("count")
-    mine = F.pmod(F.xxhash64("fp", "part"), F.col("chunks"))
+    mine = F.pmod(F.xxhash64(*fps, "part"), F.col("chunks"))
     tiles = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j)))
-    dealt = keyed.join(large, ["part", "key"], "left").select("part", "key", F.explode(tiles).alias("tile"), "fp", "node")
-    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile", "fp").mapInArrow(_links(radius), "a long, b long")
+    dealt = keyed.join(large, ["part", "key"], "left").select("part", "key", F.explode(tiles).alias("tile"), "node", *fps)
+    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile", *fps).mapInArrow(_links(radius, len(fps)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
@@ -192,19 +246,48 @@ def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
     or texts each keep their row. A null doc_id counts as larger than any: a component of
     nothing else has a null id. Other columns are ignored.
     """
-    rows = cut(simhash(docs, size, seed))
-    classes = cut(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")))
-    found = components(fingerprint_links(classes, radius))
-    labelled = classes.join(found, "node", "left").select("fp", F.nullif(F.coalesce("component", "node"), F.lit(NO_ID)).alias("component_id"))
-    return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(simhash(docs, size, seed), lambda classes: fingerprint_links(classes, radius))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
+    """(doc_id, fp0, ..., component_id) like ``simhash_groups``, for texts whose sets of word shingles have about that Jaccard similarity or more.
+
+    Links are fingerprints of ``words`` times 64 bits over distinct shingles, at most
+    ``similar_radius`` bits apart, among those that share one of ``sampled_masks``: of pairs of
+    just that similarity 95 of 100 lie within the radius and 98 of 100 of all share a mask; more
+    similar ones are found more surely. Pairs a little less similar can link as well. Nulls,
+    repeated rows and other columns count as in ``simhash_groups``; very long texts are held
+    whole, one at a time.
+    """
+
+    def links(classes: DataFrame) -> DataFrame:
+        return fingerprint_links(classes, similar_radius(similarity, words), masks=sampled_masks(classes.count(), similarity, words))
+
+    return _grouped(simhash(docs, size, seed, words), links)
+
+
+def _grouped(rows: DataFrame, links) -> DataFrame:
+    fps = [c for c in rows.columns if c != "doc_id"]
+    rows = cut(rows)
+    classes = cut(rows.groupBy(*fps).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")))
+    labelled = classes.join(components(links(classes)), "node", "left").select(*fps, F.nullif(F.coalesce("component", "node"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(labelled, fps).select("doc_id", *fps, "component_id")
 
 
 def simhash_keep_first(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id, and one row for each doc_id, with all their columns.
+    """docs without the rows whose group (``simhash_groups``) has a smaller doc_id, and one row for each doc_id, with all their columns.
 
     Rows without a doc_id stay, one for each text.
     """
-    found = simhash_groups(docs, radius, size, seed)
+    return _first(docs, simhash_groups(docs, radius, size, seed))
+
+
+def similar_keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
+    """Like ``simhash_keep_first``, with the groups of ``similar_groups``."""
+    return _first(docs, similar_groups(docs, similarity, size, seed, words))
+
+
+def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_simhash_id"))
     first = first.union(docs.sparkSession.range(1).select(F.lit(NO_ID))).distinct()
     text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))

@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from corpusmill.llm import common, queries, secrets
+from corpusmill.llm import common, queries, secrets, simhash
 from tests.compare import same
 from tests.llm.helpers import frame, texts, words_of
 from tests.llm.test_quality_urls_secrets import LIMITS, PATTERNS, measured
-from tests.llm.test_simhash import fingerprint
+from tests.llm.test_simhash import wide_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,10 +38,11 @@ def plain(rows):
             x = above[x]
         return x
 
-    fps = {i: fingerprint(t) for i, t in kept.items()}
+    fps = {i: wide_fingerprint(t) for i, t in kept.items()}
+    radius = simhash.similar_radius(0.8, 4)
     for a in kept:
         for b in kept:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= radius:
                 x, y = top(a), top(b)
                 above[max(x, y)] = min(x, y)
     kept = {i: t for i, t in kept.items() if top(i) == i}

@@ -17,6 +17,24 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def mix(x):
+    m = 0xD6E8FEB86659FD93
+    for k in (m, m, 1):
+        x = (x ^ x >> 32) * k & (1 << 64) - 1
+    return x
+
+
+def shingles_of(text):
+    words = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def wide_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles_of(text)]
+    mixed = [[mix(h + w * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for h in hashes] for w in range(4)]
+    return sum(1 << 64 * w + b for w in range(4) for b in range(64) if 2 * sum(h >> b & 1 for h in mixed[w]) > len(hashes))
+
+
 def groups(ids, linked):
     above = {i: i for i in ids}
 
@@ -58,6 +76,55 @@ def test_links_of_close_fingerprints(spark, tile, n, monkeypatch):
     assert {i: got.get(i, i) for i in wanted} == wanted
 
 
+def test_similar_like_brute_force(spark):
+    rows = [*enumerate(texts(6, 120)), *enumerate(ODD, 500)]
+    fps, radius = {i: wide_fingerprint(t) for i, t in rows}, simhash.similar_radius(0.8, 4)
+    wanted = groups(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= radius])
+    got = {r.doc_id: (sum((r[f"fp{w}"] & (1 << 64) - 1) << 64 * w for w in range(4)), r.component_id) for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: (fps[i], wanted[i]) for i in fps}
+
+
+def edited(rng, words, similarity):
+    """words with some of them changed, at least that similar by their sets of five-word strings."""
+    out, before = list(words), set(zip(*(words[i:] for i in range(5)), strict=False))
+    while True:
+        was, at = list(out), rng.randrange(len(words))
+        out[at] += "x"
+        now = set(zip(*(out[i:] for i in range(5)), strict=False))
+        if len(now & before) < similarity * len(now | before):
+            return was
+
+
+@pytest.mark.parametrize("n", [1 << 13, 1 << 18, 1 << 24])
+def test_similar_texts_are_found(spark, n, monkeypatch):
+    """Of texts at or just over the similarity, nearly all link; texts that share half of their strings or fewer don't."""
+    monkeypatch.setattr(simhash, "sampled_masks", lambda count, similarity, words, f=simhash.sampled_masks: f(n, similarity, words))
+    rng, rows = random.Random(8), []
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited(rng, words, 0.8))), (3 * k + 2, " ".join(words[:200] + [f"v{rng.randrange(5000)}" for _ in range(100)]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert sum(got[3 * k + 1] == 3 * k for k in range(150)) >= 130
+    assert all(got[3 * k + 2] == 3 * k + 2 for k in range(150))
+
+
+def test_similar_keep_first(spark):
+    rows = [(5, "one two three four five six"), (3, "ONE two three four five six"), (3, "one two three four five six"), (9, "something else"), (None, "alone here"), (8, None), (7, "")]
+    kept = simhash.similar_keep_first(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "n_words", "block", "kept"]
+    got = sorted(r.doc_id or -1 for r in kept.collect())
+    assert got == [-1, 3, 7, 9]
+    assert simhash.similar_keep_first(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_masks():
+    assert simhash.sampled_masks(256, 0.8, 4) == [(0, 0, 0, 0)]
+    few, many = simhash.sampled_masks(1 << 18, 0.8, 4), simhash.sampled_masks(1 << 28, 0.8, 4)
+    assert {sum(m.bit_count() for m in x) for x in few} == {10} and {sum(m.bit_count() for m in x) for x in many} == {20}
+    assert len(set(many)) == len(many) > len(few)
+    assert sum(m.bit_count() for m in (np.bitwise_or.reduce([np.uint64(x[w]) for x in few]).item() for w in range(4))) == 10 * len(few)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(7, 7)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
