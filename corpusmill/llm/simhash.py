@@ -5,10 +5,11 @@ several of more blocks), so candidates share a key of whole blocks. Inside a key
 fingerprints lie as vertical bit planes: one 64-bit word holds one bit of 64 fingerprints. A
 query's distances to all 64 grow together in carry-save counters, a word for each binary
 digit, plane by plane, and a word is abandoned once every distance in it exceeds the radius.
-Links leave a batch as stars, at most one edge a fingerprint, never as pairs.
+Links leave a batch as a forest of the shortest ones, fewer than its fingerprints, never as all pairs.
 
 For a given similarity of texts, ``similar_groups`` takes wider fingerprints, and candidates
-share random samples of bits: blocks would need as many bits as the radius.
+share random samples of bits (blocks would need as many as the radius), and the texts of a
+link are compared in full.
 """
 
 from __future__ import annotations
@@ -144,8 +145,8 @@ def sampled_masks(n: int, similarity: float, words: int, found: float = 0.98, bu
     return masks[:count]
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the same group (sorted group numbers) at most radius bits apart, in slabs; fps is (words, fingerprints).
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs i < j of the same group (sorted group numbers) at most radius bits apart, with their distances, in slabs; fps is (words, fingerprints).
 
     Counters begin so far below their end that a carry out of them means over the radius.
     """
@@ -184,7 +185,27 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tup
                     break
         if len(query):
             at, lane = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield query[at], 64 * word[at] + lane
+            apart = sum(((c[at] >> lane.astype(U64)) & U64(1)).astype(np.int64) << k for k, c in enumerate(counters)) - begin
+            yield query[at], 64 * word[at] + lane, apart
+
+
+def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Numbers of the edges that make up a minimum spanning forest: each tree takes its shortest way out (ties: the first edge), until none has one."""
+    order = np.argsort(apart, kind="stable")
+    labels, chosen = np.arange(n), []
+    while len(order):
+        a, b = labels[i[order]], labels[j[order]]
+        out = a != b
+        order, a, b = order[out], a[out], b[out]
+        if not len(order):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, np.arange(len(order)))
+        np.minimum.at(best, b, np.arange(len(order)))
+        take = np.unique(best[best < len(order)])
+        chosen.append(order[take])
+        labels = merged(labels, a[take], b[take])
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
 def _links(radius: int, words: int):
@@ -197,24 +218,25 @@ def _links(radius: int, words: int):
             held = rows if held is None else np.concatenate((held, rows), axis=1)
             tail = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))
             keep = int(tail[-1]) + 1 if len(tail) else 0
-            yield from _stars(held[:, :keep], radius)
+            yield from _edges(held[:, :keep], radius)
             held = held[:, keep:]
         if held is not None:
-            yield from _stars(held, radius)
+            yield from _edges(held, radius)
 
     return links
 
 
-def _stars(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+def _edges(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """The shortest links that connect the fingerprints of each group as all links within the radius do."""
     if not rows.shape[1]:
         return
     group = np.cumsum(np.concatenate(([False], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
-    labels = np.arange(rows.shape[1])
-    for i, j in close_pairs(np.ascontiguousarray(rows[4:]).view(U64), group, radius):
-        labels = merged(labels, i, j)
-    leaf = np.flatnonzero(labels != np.arange(len(labels)))
-    if len(leaf):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[3][leaf]), pa.array(rows[3][labels[leaf]])], ["a", "b"])
+    tree = np.zeros((3, 0), np.int64)
+    for pairs in close_pairs(np.ascontiguousarray(rows[4:]).view(U64), group, radius):
+        tree = np.concatenate((tree, np.stack(pairs)), axis=1)
+        tree = tree[:, nearest_forest(rows.shape[1], *tree)]
+    if tree.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(rows[3][tree[1]]), pa.array(rows[3][tree[0]])], ["a", "b"])
 
 
 def fingerprint_links(classes: DataFrame, radius: int = 4, tile: int = 4096, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
@@ -249,19 +271,49 @@ def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
     return _grouped(simhash(docs, size, seed), lambda classes: fingerprint_links(classes, radius))
 
 
+def _shingle_sets(size: int, seed: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 200):
+                some = batch.slice(part, 200)
+                data, offsets = buffers(some.column("text"))
+                raw = data.tobytes()
+                found = [np.unique(shingle_hashes(raw[a:b], size, seed)).view(np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column("node"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["node", "shingles"])
+
+    return sets
+
+
+def similar_links(docs: DataFrame, links: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
+    """The links (a, b) of documents whose sets of shingles have that Jaccard similarity or more, by the sets themselves; two without a word are alike."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
+    sets = cut(texts.mapInArrow(_shingle_sets(size, seed), "node long, shingles array<long>"))
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common, total = F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total")
+    return both.select("a", "b", common, total).where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("a", "b").distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
-    """(doc_id, fp0, ..., component_id) like ``simhash_groups``, for texts whose sets of word shingles have about that Jaccard similarity or more.
-
-    Links are fingerprints of ``words`` times 64 bits over distinct shingles, at most
-    ``similar_radius`` bits apart, among those that share one of ``sampled_masks``: of pairs of
-    just that similarity 95 of 100 lie within the radius and 98 of 100 of all share a mask; more
-    similar ones are found more surely. Pairs a little less similar can link as well. Nulls,
-    repeated rows and other columns count as in ``simhash_groups``; very long texts are held
-    whole, one at a time.
+    """(doc_id, fp0, ..., component_id) like ``simhash_groups``, for texts whose sets of word shingles have that Jaccard similarity or more.
+
+    Candidates are fingerprints of ``words`` times 64 bits over distinct shingles, at most
+    ``similar_radius`` bits apart, that share one of ``sampled_masks``: of pairs of just that
+    similarity 95 of 100 lie within the radius and 98 of 100 of all share a mask; more similar
+    ones are found more surely. The shortest candidates that connect those of a mask are then
+    checked by the sets themselves, so no pair below the similarity links.
+
+    Equal fingerprints always link. Rows without an id link with these only. Rows with equal
+    ids link if one of them does. Null and wordless texts have fingerprint zero. Repeated rows
+    keep their rows, other columns are ignored, an empty table gives an empty result. Very long
+    texts are held whole, a few at a time.
     """
 
     def links(classes: DataFrame) -> DataFrame:
-        return fingerprint_links(classes, similar_radius(similarity, words), masks=sampled_masks(classes.count(), similarity, words))
+        known = classes.where(F.col("node") != NO_ID)
+        near = fingerprint_links(known, similar_radius(similarity, words), masks=sampled_masks(known.count(), similarity, words))
+        return similar_links(docs, cut(near.distinct()), similarity, size, seed)
 
     return _grouped(simhash(docs, size, seed, words), links)
 

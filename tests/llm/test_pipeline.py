@@ -10,7 +10,7 @@ from corpusmill.llm import common, queries, secrets, simhash
 from tests.compare import same
 from tests.llm.helpers import frame, texts, words_of
 from tests.llm.test_quality_urls_secrets import LIMITS, PATTERNS, measured
-from tests.llm.test_simhash import wide_fingerprint
+from tests.llm.test_simhash import jaccard, wide_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +42,7 @@ def plain(rows):
     radius = simhash.similar_radius(0.8, 4)
     for a in kept:
         for b in kept:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= radius:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= radius and jaccard(kept[a], kept[b]) >= 0.8:
                 x, y = top(a), top(b)
                 above[max(x, y)] = min(x, y)
     kept = {i: t for i, t in kept.items() if top(i) == i}

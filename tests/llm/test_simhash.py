@@ -76,12 +76,37 @@ def test_links_of_close_fingerprints(spark, tile, n, monkeypatch):
     assert {i: got.get(i, i) for i in wanted} == wanted
 
 
+def jaccard(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    return len(x & y) / len(x | y) if x | y else 1
+
+
 def test_similar_like_brute_force(spark):
     rows = [*enumerate(texts(6, 120)), *enumerate(ODD, 500)]
-    fps, radius = {i: wide_fingerprint(t) for i, t in rows}, simhash.similar_radius(0.8, 4)
-    wanted = groups(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= radius])
+    fps, text, radius = {i: wide_fingerprint(t) for i, t in rows}, dict(rows), simhash.similar_radius(0.8, 4)
+    wanted = groups(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= radius and jaccard(text[a], text[b]) >= 0.8])
     got = {r.doc_id: (sum((r[f"fp{w}"] & (1 << 64) - 1) << 64 * w for w in range(4)), r.component_id) for r in simhash.similar_groups(frame(spark, rows)).collect()}
     assert got == {i: (fps[i], wanted[i]) for i in fps}
+    assert len(set(wanted.values())) < len(wanted) - 20
+
+
+def test_nearest_forest():
+    rng = random.Random(3)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.randrange(9)) for _ in range(120)]
+    edges = [e for e in edges if e[0] != e[1]]
+    found = simhash.nearest_forest(50, *(np.array(x) for x in zip(*edges, strict=True)))
+    above, total, count = {i: i for i in range(50)}, 0, 0
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b, w in sorted(edges, key=lambda e: e[2]):
+        if top(a) != top(b):
+            above[top(a)], total, count = top(b), total + w, count + 1
+    assert (len(found), sum(edges[k][2] for k in found)) == (count, total)
+    assert len(simhash.nearest_forest(3, *np.zeros((3, 0), np.int64))) == 0
 
 
 def edited(rng, words, similarity):
@@ -97,12 +122,12 @@ def edited(rng, words, similarity):
 
 @pytest.mark.parametrize("n", [1 << 13, 1 << 18, 1 << 24])
 def test_similar_texts_are_found(spark, n, monkeypatch):
-    """Of texts at or just over the similarity, nearly all link; texts that share half of their strings or fewer don't."""
+    """Of texts at or just over the similarity, nearly all link; texts below it don't."""
     monkeypatch.setattr(simhash, "sampled_masks", lambda count, similarity, words, f=simhash.sampled_masks: f(n, similarity, words))
     rng, rows = random.Random(8), []
     for k in range(150):
         words = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited(rng, words, 0.8))), (3 * k + 2, " ".join(words[:200] + [f"v{rng.randrange(5000)}" for _ in range(100)]))]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited(rng, words, 0.8))), (3 * k + 2, " ".join(words[:250] + [f"v{rng.randrange(5000)}" for _ in range(50)]))]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
     assert sum(got[3 * k + 1] == 3 * k for k in range(150)) >= 130
     assert all(got[3 * k + 2] == 3 * k + 2 for k in range(150))
