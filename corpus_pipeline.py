@@ -16,6 +16,7 @@ from corpusmill.llm.common import free_name, remove, shared_path, written
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+SIMILARITY = 0.8
 
 
 def _columns(docs: DataFrame) -> list:
@@ -34,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
-    return simhash.simhash_keep_first(docs)
+    """One document of each group that shares 0.8 or more of its five-word strings, that with the smallest doc_id."""
+    return simhash.similar_keep_first(docs, SIMILARITY)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
