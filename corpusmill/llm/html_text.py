@@ -10,8 +10,11 @@ with C characters, LC of them in links, T tags, LT of them links, and LCb, Cb th
 page without links it is C / T. A node's density sum adds its children's densities. The node
 with the largest sum is the centre of the article, and the least density on its path to the
 body is the threshold: from the body down, through nodes at or above the threshold, each gives
-the subtree of largest density sum below it, and these subtrees hold the text. Tags such as
-``article`` have no part in the choice.
+the subtree of largest density sum below it. The smallest subtree that holds all of these is the
+article's core. Short blocks of an article are thin by their nature (a title, an introduction, a
+last line), so thinness alone drops nothing: in the core only lists of links and lines on copyright
+go, and beside it what is links for the most part as well. Tags such as ``article`` have no part
+in the choice.
 """
 
 from __future__ import annotations
@@ -29,23 +32,24 @@ from pyspark.sql import functions as F
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")  # up to the end of a tag; a > in quotes doesn't end it
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_LEGAL = re.compile(r"\s*(?:©|\(c\) ?\d{4}|copyright (?:©|\(c\)|\d{4})|all rights reserved)", re.I)  # how a line on copyright begins
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # Elements of HTML by how they behave, and the names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript xmp iframe noembed noframes svg math canvas object".split())
+RAW = frozenset("script style textarea title template noscript xmp iframe noembed noframes svg canvas object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav search select".split()) | RAW
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 DROPPED_NAMES = frozenset(
-    """ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promoted banner breadcrumb breadcrumbs byline
-    comment comments commentlist discussion disqus respond reply replies consent cookie cookies gdpr privacy notice notices alert footer header masthead topbar
+    """ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promoted banner breadcrumb breadcrumbs
+    comment comments commentlist disqus reply replies consent cookie cookies gdpr notice notices alert footer header masthead topbar
     login signin signup register menu menus nav navbar navigation navi newsletter subscribe subscription modal overlay popup pagination pager
     related recommended recommendations recirc search share sharing social sidebar sidebars sidenav skip toolbar widget widgets teaser teasers""".split()
 )
 # Words that only say where or what kind of box a named element is.
 NEUTRAL_NAMES = frozenset(
     """area article bar big block blog body bottom box button buttons card col column container content desktop element entry fixed float global grid group holder icon icons inline inner
-    item items layout left line link links list lower main mobile module my outer page panel part post primary reader readers region right row secondary section site slot small sticky strip
+    item items layout left line link links list lower main mobile module my outer page panel part post primary privacy reader readers region right row secondary section site slot small sticky strip
     tab tabs text top unit upper user users view wide wrap wrapper zone""".split()
 )
 _CLOSES_P = BLOCK - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
@@ -54,11 +58,12 @@ _BARRIER = frozenset("article aside blockquote body div footer form header main
 
 
 class _Node:
-    __slots__ = ("chars", "children", "closed", "density", "drop", "holds_title", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "closed", "density", "drop", "holds_title", "legal", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent, self.children, self.drop, self.closed = tag, parent, [], 0, False
         self.holds_title = tag in ("h1", "article", "main")
+        self.legal = False
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
         if parent:
@@ -240,6 +245,7 @@ def main_text(page: str) -> str:
     for node, text in texts:
         if text and node not in gone:
             node.chars += len(text) - text.count(" ") - text.count("\n")
+            node.legal = node.legal or _LEGAL.match(text) is not None
     linked = set()
     for node in nodes:  # parents first
         if node.tag == "a" or node.parent in linked:
@@ -253,15 +259,12 @@ def main_text(page: str) -> str:
             above.link_chars += node.link_chars
             above.tags += node.tags + 1
             above.link_tags += node.link_tags
+            above.legal = above.legal or node.legal
     for node in nodes:
         node.density = _density(node, root)
     for node in reversed(nodes):
         node.sum = sum(c.density for c in node.children if c not in gone)
-    kept = _selected(root, nodes, gone)
-    for node in nodes:
-        if node.parent in kept:
-            kept.add(node)
-    return _blocks(texts, kept)
+    return _blocks(texts, _held(root, nodes, gone, _selected(root, nodes, gone)))
 
 
 def _path(node: _Node) -> Iterator[_Node]:
@@ -300,6 +303,58 @@ def _selected(root: _Node, nodes: list[_Node], gone: set[_Node]) -> set[_Node]:
     return kept
 
 
+def _core(root: _Node, nodes: list[_Node], marked: set[_Node]) -> list[_Node]:
+    """The way from the root to the smallest subtree that holds all marked nodes."""
+    below = dict.fromkeys(nodes, 0)
+    for node in reversed(nodes):
+        below[node] += node in marked
+        if node.parent:
+            below[node.parent] += below[node]
+    way = [root]
+    while way[-1] not in marked:
+        inner = next((c for c in way[-1].children if below.get(c) == below[root]), None)
+        if not inner:
+            break
+        way.append(inner)
+    return way
+
+
+def _only_links(node: _Node, least: int) -> bool:
+    """Whether an element has ``least`` links or more, and more of its characters in links than outside."""
+    return node.link_tags >= least and 2 * node.link_chars > node.chars
+
+
+def _held(root: _Node, nodes: list[_Node], gone: set[_Node], marked: set[_Node]) -> set[_Node]:
+    """The nodes whose own text is the article's."""
+    way = _core(root, nodes, marked)
+    core, above = way[-1], set(way[:-1])
+    bare = set()  # of the nodes above the core, those whose own lines are links for the most part
+    for node in above:
+        own = [c for c in node.children if c not in gone and c not in above and c is not core]
+        inline = [c for c in own if c.tag not in BLOCK]
+        chars = node.chars - sum(c.chars for c in node.children if c not in gone) + sum(c.chars for c in inline)
+        if 2 * sum(c.link_chars for c in inline) > chars:
+            bare.add(node)
+    held, inside, out = set(), set(), set()
+    for node in nodes:  # parents first
+        parent = node.parent
+        if node is core or parent in inside:
+            inside.add(node)
+            menu = node not in marked and node.tag in BLOCK - {"p"} and _only_links(node, 3)
+            dropped = parent in out or node is not core and (menu or node.tag in ("div", "section") and node.chars < 200 and node.legal)
+        elif node in above:
+            dropped = False
+        elif parent in above and node.tag not in BLOCK:
+            dropped = parent in bare
+        else:
+            dropped = parent in out or node.tag in BLOCK and (_only_links(node, 1) or node.chars < 200 and node.legal)
+        if dropped:
+            out.add(node)
+        elif node not in bare:
+            held.add(node)
+    return held
+
+
 def _blocks(texts: list[tuple[_Node, str | None]], kept: set[_Node]) -> str:
     blocks, held = [], []
     for node, text in [*texts, (None, None)]:

@@ -63,6 +63,42 @@ class Plain(HTMLParser):
         self.open[-1].append(data)
 
 
+def held_parts(root, kept, below, chars, link_chars):
+    """Ids of the elements whose own text belongs to the article around the marked ones."""
+    marked = {id(x) for x in kept}
+    holds = lambda n: marked <= {id(y) for y in (n, *below(n))}
+    way = [root]
+    while id(way[-1]) not in marked:
+        inner = [x for x in way[-1][1:] if isinstance(x, list) and holds(x)]
+        if not inner:
+            break
+        way.append(inner[0])
+    block = lambda n: n[0] not in ("a", "b")
+    links = lambda n: sum(x[0] == "a" for x in (n, *below(n)))
+    heavy = lambda n, least: links(n) >= least and 2 * link_chars(n) > chars(n)
+    held = set()
+
+    def walk(node, where):
+        on_way = any(node is x for x in way[:-1])
+        if node is way[-1]:
+            where = "core"
+        elif where == "core" and block(node) and node[0] != "p" and id(node) not in marked and heavy(node, 3):
+            return
+        elif where == "beside" and not on_way and block(node) and heavy(node, 1):
+            return
+        inline = [x for x in node[1:] if isinstance(x, list) and not block(x)]
+        own = sum(len(x.replace(" ", "")) for x in node[1:] if not isinstance(x, list)) + sum(map(chars, inline))
+        bare = on_way and 2 * sum(map(link_chars, inline)) > own
+        if not bare:
+            held.add(id(node))
+        for x in node[1:]:
+            if isinstance(x, list) and not (bare and not block(x)):
+                walk(x, "core" if where == "core" else "beside")
+
+    walk(root, "beside")
+    return held
+
+
 def plain_text(page):
     """Composite text density by its definition, with no regard to speed."""
     parser = Plain()
@@ -111,7 +147,7 @@ def plain_text(page):
                     mark(x)
 
     mark(root)
-    inside = {id(y) for x in kept for y in (x, *below(x))}
+    inside = held_parts(root, kept, below, chars, link_chars)
     blocks = [""]
 
     def show(node):
@@ -161,6 +197,33 @@ def test_density_leaves_out_unnamed_menus():
     assert main_text(page) == f"{text}\n{text}\n{text} more"
 
 
+W = "It is a long paragraph of plain words that goes on for a while, and then for some more."
+LINKS = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        # title, introduction, ends and sections of an article, with its core elsewhere
+        (f"<article><h1>T</h1><p>Intro para.</p><div><p>{W}</p><p>{W}</p></div></article>", ["T", "Intro para.", W, W]),
+        (f"<article><h1>T</h1><div><p>{W}</p><p>{W}</p></div><div><p>Short end.</p></div></article>", ["T", W, W, "Short end."]),
+        (f'<article><h1>T</h1><p>{W}</p><section id="discussion"><h2>Discussion</h2><p>{W}</p></section></article>', ["T", W, "Discussion", W]),
+        (f'<article><h1>T</h1><p class="byline">By A. Writer</p><section id="privacy"><p>{W}</p></section><p id="respond">{W}</p></article>', ["T", "By A. Writer", W, W]),
+        (f"<article><p>{W}</p><p>Let <math><mi>x</mi></math> be.</p></article>", [W, "Let x be."]),
+        (f"<h1>T</h1><div><div><p>{W}</p></div><div><p>{W}</p><p>See <a href=1>this</a>.</p></div></div><p>End.</p>", ["T", W, W, "See this .".replace(" .", "."), "End."]),
+        (f"<div><h1>T</h1><div>By A.</div><p>{W}</p><p>{W}</p><p><a href=1>The whole paper</a></p></div>", ["T", "By A.", W, W, "The whole paper"]),
+        # no name, tag or role tells what to leave out
+        (f"<div>{LINKS}</div><div><h1>T</h1><p>{W}</p><p>{W}</p></div><div><div>{LINKS}</div></div>", ["T", W, W]),
+        (f"<div><div><div>Site</div>{LINKS}</div><div><h1>T</h1><p>Intro.</p><div><p>{W}</p><p>{W}</p></div></div><div><h3>More</h3>{LINKS}</div><div>&copy; 2024 Site. All rights reserved.</div></div>", ["T", "Intro.", W, W]),
+        (f"<a href=1>Home</a> | <a href=2>About us</a> | <a href=3>Contact</a><div><h1>T</h1><p>{W}</p><p>{W}</p></div>", ["T", W, W]),
+        (f"<table><tr><td>{LINKS}</td><td><h1>T</h1><p>{W}</p>{LINKS}<p>{W}</p></td><td><a href=1>Buy this now</a></td></tr></table>", ["T", W, W]),
+        (f"<div><p>{W}</p><ul><li>one</li><li>two <a href=2>b</a></li></ul><pre>code</pre><blockquote>q</blockquote><p>{W}</p></div>", [W, "one", "two b", "code", "q", W]),
+    ],
+)
+def test_hand_written_truth(page, wanted):
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == wanted
+
+
 @pytest.mark.parametrize("page", ["<a" * 100_000, "<b>x" * 20_000 + "</i>" * 20_000, "<a href=\"" * 20_000, "<a href='\">" * 20_000, "<a " + "a" * 200_000 + " b=>x", "<h1><header>" * 10_000, "<i>" + "<div><b>" * 10_000 + "</i>" * 10_000, "<!--" * 50_000, "<li>x" * 20_000, "<p>" + "word " * 1_000_000])
 def test_odd_and_very_long_pages_take_linear_time(page):
     started = time.process_time()
