@@ -2,12 +2,14 @@
 
 Only the lengths matter, and there are at most ``size`` different ones, so the plan is made on
 their histogram. Bin completion takes the largest length that is left and tries the
-undominated ways to fill the rest of its block, one by one in order of waste; a
-branch-and-bound search runs over these choices, with best-fit decreasing as the first
-incumbent, and leaves a branch once its waste shows that it can't use fewer blocks than the
-incumbent. A filling is first laid out as often as its lengths last, so the plan's size follows
-the number of different lengths and not the number of documents. The search ends with an
-optimal plan or at its limit of steps; then the gap to the lower bound is logged.
+undominated ways to fill the rest of its block, one by one in order of waste. The first
+incumbent is best-fit decreasing. A branch-and-bound search runs over the choices from the
+largest length on, and leaves a branch once its waste shows that it can't use fewer blocks than
+the incumbent. Where it doesn't end, the incumbent is completed again in parts: a few blocks,
+the emptiest among them, are taken apart and filled by completion, and stay so if that gathers
+the waste in fewer of them. A filling is laid out as often as its lengths last, so the plan's
+size follows the number of different lengths and not that of documents. The gap to the lower
+bound is logged.
 
 Documents then find their place without a loop: each is numbered among those of its length,
 and the plan gives ranges of these numbers their blocks and offsets.
@@ -16,7 +18,9 @@ and the plan gives ranges of these numbers their blocks and offsets.
 from __future__ import annotations
 
 import logging
+import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -171,10 +175,63 @@ def _branches(left: dict[int, int], size: int, branch: tuple | None) -> Iterator
             yield items, n
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 20_000) -> Plan:
-    """A plan for counts (length -> items, lengths up to size): optimal if the search ends, the best found after ``nodes`` steps.
+def _completed(counts: dict[int, int], size: int) -> Plan:
+    """Blocks around the largest length left, each with its least wasteful filling of fewest items."""
+    out: dict[tuple[int, ...], int] = {}
+    while counts:
+        largest = max(counts)
+        items = (largest, *next(candidates(_without(counts, (largest,), 1), size - largest)))
+        n = _used(counts, items)
+        out[items] = out.get(items, 0) + n
+        counts = _without(counts, items, n)
+    return list(out.items())
 
-    A step is a candidate looked at or a branch taken. Every undominated filling is tried, each
+
+def _gathered(plan: Plan) -> tuple[int, int]:
+    """Larger for fewer blocks, then for waste that lies in fewer of them."""
+    return -sum(n for _, n in plan), sum(n * sum(items) ** 2 for items, n in plan)
+
+
+def completed_in_parts(plan: Plan, size: int, least: int, rounds: int, seed: int = 1, most: int = 5) -> Plan:
+    """The plan after ``rounds`` attempts, or at ``least`` blocks.
+
+    An attempt takes apart a block of each of some kinds: the emptiest kind, up to ``most`` of
+    those with waste and up to ``most`` of those with several items. It is made for as many blocks
+    as the kinds have at least, so a plan of many blocks needs no more attempts than one of few.
+    """
+    bins: dict[tuple[int, ...], int] = {}
+    for items, n in plan:
+        kind = tuple(sorted(items, reverse=True))
+        bins[kind] = bins.get(kind, 0) + n
+    rng, blocks = random.Random(seed), sum(bins.values())
+    while blocks > least and rounds:
+        rounds -= 1
+        wasteful = [k for k in bins if sum(k) < size]
+        several = [k for k in bins if len(k) > 1]
+        chosen = {min(wasteful, key=sum)}
+        for kinds in (wasteful, several):
+            chosen |= set(rng.sample(kinds, min(len(kinds), rng.randint(1, most))))
+        chosen = sorted(chosen)
+        found = _completed(dict(Counter(x for k in chosen for x in k)), size)
+        if _gathered(found) < _gathered([(k, 1) for k in chosen]):
+            continue
+        n = min(bins[k] for k in chosen)
+        for k in chosen:
+            bins[k] -= n
+            if not bins[k]:
+                del bins[k]
+        for items, times in found:
+            kind = tuple(sorted(items, reverse=True))
+            bins[kind] = bins.get(kind, 0) + n * times
+        blocks = sum(bins.values())
+    return list(bins.items())
+
+
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 5_000, rounds: int = 3_000) -> Plan:
+    """A plan for counts (length -> items, lengths up to size): optimal if the search ends within ``nodes`` steps.
+
+    If it doesn't, parts of the best plan found are completed again, up to ``rounds`` times. A
+    step is a candidate looked at or a branch taken. Every undominated filling is tried, each
     as often as it lasts and then less often. ``gap`` tells how far a plan may be from the optimum.
     """
     counts = {k: n for k, n in counts.items() if n}
@@ -208,7 +265,7 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = 20_000) -> Pl
                 stack[-33][4] = None
         elif bins < best:
             incumbent, best = _plan(branch), bins
-    return incumbent
+    return completed_in_parts(incumbent, size, least, rounds) if stack and best > least else incumbent
 
 
 def gap(plan: Plan, size: int) -> int:
