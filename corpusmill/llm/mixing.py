@@ -198,7 +198,7 @@ def place_documents(docs: DataFrame, mix: Mix, source: str = "source") -> Places
     numbers = spark.createDataFrame([(r["source"], k) for k, r in enumerate(found)], "name string, source_at long")
     keyed = distinct.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     keyed = keyed.withColumn("key", F.xxhash64(F.lit(mix.seed), "doc_id", "tie"))
-    placed = with_offsets(keyed, F.col("size") * F.col("copies"), "key", ("source_at",), "first", bucket=1 << 48)
+    placed = with_offsets(keyed, F.col("size") * F.col("copies"), "key", ("source_at",), "first", bucket=1 << 53)
     every = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     path = shared_path(spark, "mix-places")
     every.select("doc_id", "source", "source_at", "tie", "size", (F.col("first") + F.col("copy") * F.col("size")).alias("start")).write.parquet(path)
@@ -224,7 +224,7 @@ def mix_places(spark: SparkSession, places: Places, mix: Mix) -> DataFrame:
     pieces = dealt.select("source", "source_at", "block", "doc_id", "tie", "start", (begin - F.col("start")).alias("from_word"), (begin - F.col("block") * block).alias("part"), (F.least(F.col("start") + size, (F.col("block") + 1) * block) - begin).alias("n"))
     slots = draw_slots(spark, places.recipe, mix)
     ranked = slots.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("draw", "source_at", "turn", "block")) - 1)
-    joined = ranked.join(pieces, ["source_at", "block"]).where(F.col("part") < F.col("take"))
+    joined = ranked.join(pieces.hint("merge"), ["source_at", "block"]).where(F.col("part") < F.col("take"))
     words = F.least(F.col("n"), F.col("take") - F.col("part"))
     return joined.select("shard", "slot", "part", "source", "source_at", "turn", "block", "doc_id", "tie", "start", "from_word", words.alias("n_words"))
 
@@ -254,6 +254,6 @@ def mix_summary(docs: DataFrame, mix: Mix = Mix(), source: str = "source") -> Da
     taken = mix_places(spark, places, mix).groupBy("source_at", "start").agg(F.sum("n_words").alias("n"))
     recipes = spark.createDataFrame([(k, int(own.sizes[k]), float(own.targets[k])) for k in range(len(own.names))], "source_at long, source_size long, target double")
     rows = places.documents.join(F.broadcast(recipes), "source_at")
-    sized = rows.where("size > 0").join(taken, ["source_at", "start"], "left").withColumn("taken", F.coalesce("n", F.lit(0)))
+    sized = rows.where("size > 0").join(taken.hint("merge"), ["source_at", "start"], "left").withColumn("taken", F.coalesce("n", F.lit(0)))
     columns = ("doc_id", "source", "size", "source_size", "target")
     return sized.select(*columns, "taken").union(rows.where("size = 0").select(*columns, F.lit(0).cast("long")))
