@@ -79,17 +79,34 @@ JSONL_QUESTIONS = "SELECT md5(source || chr(10) || coalesce(text, '')) AS digest
 
 
 def json_array_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as one array, with records of four kinds."""
+    """The benchmark's items as three arrays, with records of four kinds."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     one = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
     t, kind = F.col("text"), F.col("item_id") % 4
     record = F.when(kind == 0, one(completion=t, text=F.lit("no"))).when(kind == 1, one(query=t, thought=F.lit("why"), answer=F.lit("so"))).when(kind == 2, one(text=t, source=F.lit("own"))).otherwise(one(content=t))
-    array = b.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", record.alias("r")))), lambda x: x["r"]), ",").alias("a"))
-    path = _written(array.coalesce(1), F.concat(F.lit("["), "a", F.lit("]")), "array")
+    path = sinks.scratch_path(spark, "array")
+    sinks.write_json_arrays(b, path, record, "item_id", 3)
     return readers.read_json_arrays(spark, path).select("row_idx", F.md5("text").alias("digest"), F.when(F.col("source") == "own", "own").otherwise("file").alias("source"))
 
 
-JSON_ARRAY = "SELECT (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS row_idx, md5(CASE WHEN item_id % 4 = 1 THEN coalesce(text, '') || chr(10) || 'why' || chr(10) || 'so' ELSE coalesce(text, '') END) AS digest, CASE WHEN item_id % 4 = 2 THEN 'own' ELSE 'file' END AS source FROM benchmark"
+JSON_ARRAY = """
+SELECT row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) - 1 AS row_idx,
+  md5(CASE WHEN item_id % 4 = 1 THEN coalesce(text, '') || chr(10) || 'why' || chr(10) || 'so' ELSE coalesce(text, '') END) AS digest,
+  CASE WHEN item_id % 4 = 2 THEN 'own' ELSE 'file' END AS source
+FROM benchmark"""
+
+
+def json_array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as eight JSON arrays, read back by as many tasks as these have splits; their places are those of all records, texts that are empty too."""
+    path = sinks.scratch_path(spark, "arrays")
+    record = F.to_json(F.struct("text", F.struct("lang", F.array("doc_id").alias("ids")).alias("nested"), F.concat("source", F.lit("}\"")).alias("source")))
+    sinks.write_json_arrays(_documents(spark, sf_dir), path, record, "doc_id", 8)
+    return readers.read_json_arrays(spark, path).select("row_idx", F.md5("text").alias("digest"), "source", "whole")
+
+
+JSON_ARRAY_DOCUMENTS = """
+SELECT row_idx, md5(text) AS digest, source || '}"' AS source, true AS whole
+FROM (SELECT row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS row_idx, text, source FROM documents) WHERE text <> ''"""
 
 
 def corpus_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,13 +232,13 @@ SOURCE_LIMITS = "SELECT source, doc_id FROM documents QUALIFY row_number() OVER
 
 QUERIES = {
     "lines_round_trip": lines_round_trip, "jsonl_translations": jsonl_translations, "jsonl_segments": jsonl_segments, "jsonl_forum": jsonl_forum, "jsonl_instructions": jsonl_instructions,
-    "jsonl_questions": jsonl_questions, "json_array_records": json_array_records, "corpus_jsonl": corpus_jsonl, "chat_jsonl": chat_jsonl, "parquet_upper_text": parquet_upper_text,
+    "jsonl_questions": jsonl_questions, "json_array_records": json_array_records, "json_array_documents": json_array_documents, "corpus_jsonl": corpus_jsonl, "chat_jsonl": chat_jsonl, "parquet_upper_text": parquet_upper_text,
     "parquet_translations": parquet_translations, "written_text": written_text, "written_and_counted": written_and_counted, "json_lines_safe": json_lines_safe, "footer_counts": footer_counts,
     "packed_written": packed_written, "sft_written": sft_written, "sharded_texts": sharded_texts, "stored_tokens": stored_tokens, "source_limits": source_limits,
 }
 ORACLES = {
     "lines_round_trip": LINES, "jsonl_translations": JSONL_TRANSLATIONS, "jsonl_segments": JSONL_SEGMENTS, "jsonl_forum": JSONL_FORUM, "jsonl_instructions": JSONL_INSTRUCTIONS,
-    "jsonl_questions": JSONL_QUESTIONS, "json_array_records": JSON_ARRAY, "corpus_jsonl": CORPUS_JSONL, "chat_jsonl": CHAT_JSONL, "parquet_upper_text": PARQUET_TEXT,
+    "jsonl_questions": JSONL_QUESTIONS, "json_array_records": JSON_ARRAY, "json_array_documents": JSON_ARRAY_DOCUMENTS, "corpus_jsonl": CORPUS_JSONL, "chat_jsonl": CHAT_JSONL, "parquet_upper_text": PARQUET_TEXT,
     "parquet_translations": PARQUET_TEXT, "written_text": PARQUET_TEXT, "written_and_counted": COUNTED, "json_lines_safe": JSON_SAFE, "footer_counts": FOOTERS,
     "packed_written": sequence_queries.PACK_BLOCKS, "sft_written": SFT_WRITTEN, "sharded_texts": SHARDED_TEXTS, "stored_tokens": STORED_TOKENS, "source_limits": SOURCE_LIMITS,
 }

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
 from corpusmill.operators.checks import SFT_COLUMNS, sft_sample
+from corpusmill.operators.intervals import with_offsets
 from corpusmill.operators.rows import buffered_place, shard
+from corpusmill.sources.json_arrays import array_objects
 from corpusmill.sources.render import translation
 
 _FILE = "_metadata.file_name"
@@ -125,18 +127,23 @@ def read_jsonl_text(spark: SparkSession, path: str, limit: int | None = None) ->
 
 
 def read_json_arrays(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Texts of files that each hold one JSON array of records; files of anything else give no rows. A record's own source overrides the file's name.
+    """(text, source, row_idx, file, whole) of the objects of files that each hold one JSON array (``array_objects``).
 
-    An array is one value and no line begins a record for sure, so a file is read by one task;
-    ``limit`` keeps the first records of each.
+    A record's own source overrides the file's name; records without text are left out.
+    ``limit`` keeps the first records with text of each file. Where ``whole`` is false the array
+    is broken after these records: what is left of their texts beyond the last full chunk is no
+    chunk (``chunk_records`` leaves it out).
     """
-    files = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("file"), "value").where(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\["))
-    rows = files.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("row_idx", "record"))
-    rows = rows if limit is None else rows.where(F.col("row_idx") < limit)
-    r = rows.withColumn("r", F.from_json("record", _RECORD)).withColumn("k", F.json_object_keys("record"))
+    found = array_objects(spark, path)
+    r = found.withColumn("r", F.from_json("record", _RECORD)).withColumn("k", F.json_object_keys("record"))
     has, text = (lambda k: F.array_contains("k", k)), (lambda c: F.coalesce(F.col(f"r.{c}"), F.lit("")))
-    found = F.when(has("completion"), text("completion")).when(has("query"), F.concat_ws("\n", text("query"), text("thought"), F.coalesce(F.get_json_object("record", "$.answer"), F.lit("")))).when(has("text"), text("text")).when(has("content"), text("content")).otherwise("")
-    return r.select(found.alias("text"), F.coalesce(F.nullif(text("source"), F.lit("")), F.col("file")).alias("source"), "row_idx")
+    asked = has("query") | has("thought") | has("answer")
+    answer = F.concat_ws("\n", text("query"), text("thought"), F.coalesce(F.get_json_object("record", "$.answer"), F.lit("")))
+    body = F.when(has("completion"), text("completion")).when(asked, answer).when(has("text"), text("text")).when(has("content"), text("content")).otherwise("")
+    rows = r.select(body.alias("text"), F.coalesce(F.nullif(text("source"), F.lit("")), F.col("file")).alias("source"), "row_idx", "file", "whole", "path").where("text <> ''")
+    if limit is not None:
+        rows = with_offsets(rows, F.lit(1), "row_idx", ("path",), "_before").where(F.col("_before") < limit).drop("_before")
+    return rows.drop("path")
 
 
 def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.metrics import json_safe
@@ -43,6 +43,17 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.select(*(safe[c] for c in sorted(df.columns))).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, record: Column, order: str, files: int) -> None:
+    """``record``, JSON as text, of all rows as ``files`` JSON arrays: row ``order`` (an integer) goes to file order % files, at its place by order. Each file is written by a task of its own."""
+    part = F.pmod(F.col(order), F.lit(files)).cast("int")
+    lines = df.select(part.alias("part"), F.lit(1).alias("kind"), F.col(order).alias("at"), record.alias("value"))
+    firsts = lines.groupBy("part").agg(F.min("at").alias("first"))
+    lines = lines.join(F.broadcast(firsts), "part").withColumn("value", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), "value")).drop("first")
+    ends = df.sparkSession.range(files).select(F.col("id").cast("int").alias("part"), F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(2)), F.array(F.lit("["), F.lit("]")))).alias("kind", "value"))
+    rows = lines.unionByName(ends.withColumn("at", F.lit(None).cast(lines.schema["at"].dataType)))
+    rows.repartitionById(files, "part").sortWithinPartitions("part", "kind", "at").select("value").write.text(path)
+
+
 def write_verified(df: DataFrame, path: str) -> int:
     """Write Parquet and compare the rows that went in, counted while they are written, with those read back; RuntimeError if they differ."""
     seen = Observation()
