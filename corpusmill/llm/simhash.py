@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import NO_ID, U64, buffers, cut, mixed, release_memory, spread
@@ -208,29 +208,64 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> n
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of whole numbers as rows of an array, whole tiles at a time: rows come sorted by part, key and tile, and those of the last tile wait for the next batch."""
+    release_memory()
+    held = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        held = rows if held is None else np.concatenate((held, rows), axis=1)
+        tail = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))
+        keep = int(tail[-1]) + 1 if len(tail) else 0
+        yield held[:, :keep]
+        held = held[:, keep:]
+    if held is not None:
+        yield held
+
+
+def _tiles_of(rows: np.ndarray) -> np.ndarray:
+    """Each column's tile, from 0."""
+    return np.cumsum(np.concatenate(([False], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+
+
 def _links(radius: int, words: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and tile; those of the last key wait for the next batch."""
-        release_memory()
-        held = None
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + words)])
-            held = rows if held is None else np.concatenate((held, rows), axis=1)
-            tail = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0))
-            keep = int(tail[-1]) + 1 if len(tail) else 0
-            yield from _edges(held[:, :keep], radius)
-            held = held[:, keep:]
-        if held is not None:
-            yield from _edges(held, radius)
+        for rows in _whole_tiles(batches):
+            yield from _edges(rows, radius)
 
     return links
 
 
+def _crossing(radius: int):
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (part, key, tile, node, label, fingerprint) that are within the radius of a row of their tile with another label."""
+        for rows in _whole_tiles(batches):
+            if not rows.shape[1]:
+                continue
+            tile, label = _tiles_of(rows), rows[4]
+            several = np.zeros(int(tile[-1]) + 1, bool)
+            several[tile[1:][(tile[1:] == tile[:-1]) & (label[1:] != label[:-1])]] = True
+            rows = rows[:, several[tile]]
+            if not rows.shape[1]:
+                continue
+            found = np.zeros(rows.shape[1], bool)
+            for i, j, _ in close_pairs(np.ascontiguousarray(rows[5:]).view(U64), _tiles_of(rows), radius):
+                apart = rows[4][i] != rows[4][j]
+                found[i[apart]] = found[j[apart]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(r[found]) for r in rows], [c.split()[0] for c in _crossed(len(rows) - 5).split(", ")])
+
+    return crossing
+
+
+def _crossed(words: int) -> str:
+    return ", ".join(f"{c} long" for c in ("part", "key", "tile", "node", "label", *names(words)))
+
+
 def _edges(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     """The shortest links that connect the fingerprints of each group as all links within the radius do."""
     if not rows.shape[1]:
         return
-    group = np.cumsum(np.concatenate(([False], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+    group = _tiles_of(rows)
     tree = np.zeros((3, 0), np.int64)
     for pairs in close_pairs(np.ascontiguousarray(rows[4:]).view(U64), group, radius):
         tree = np.concatenate((tree, np.stack(pairs)), axis=1)
@@ -239,26 +274,39 @@ def _edges(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[3][tree[1]]), pa.array(rows[3][tree[0]])], ["a", "b"])
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 4, tile: int = 4096, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """Edges (a, b) that connect the nodes of classes (fp, node), one row for each distinct fp, as their links within the radius do.
+def _dealt(classes: DataFrame, fps: list[str], masks: list[tuple[int, ...]], tile: int) -> DataFrame:
+    """The rows of classes for each mask, with part, key and tile, sorted by these.
 
-    Wide fingerprints (fp0, fp1, ...) need ``masks``, by which those to compare are found. A
-    key with over ``tile`` fingerprints is dealt out as pairs of chunks, so no task holds more
+    A key with over ``tile`` fingerprints is dealt out as pairs of chunks, so no task holds more
     than two chunks of it and every pair meets in a tile.
     """
-    fps = [c for c in classes.columns if c != "node"]
-    masks = masks or [(m,) for m in block_masks(classes.count(), radius)]
+    others = [c for c in classes.columns if c not in (*fps, "node")]
 
     def key(mask: tuple[int, ...]):
         parts = [F.col(c).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in zip(fps, mask, strict=True)]
         return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
 
-    keyed = classes.select(F.posexplode(F.array(*map(key, masks))).alias("part", "key"), *fps, "node").withColumn("part", F.col("part").cast("long"))
-    large = keyed.groupBy("part", "key").count().where(F.col("count") > tile).withColumn("chunks", F.ceil(F.col("count") / tile)).drop("count")
-    mine = F.pmod(F.xxhash64(*fps, "part"), F.col("chunks"))
+    keyed = classes.select(F.posexplode(F.array(*map(key, masks))).alias("part", "key"), *fps, "node", *others).withColumn("part", F.col("part").cast("long"))
+    dealt = in_tiles(keyed, ["part", "key"], F.xxhash64(*fps, "part"), tile).select("part", "key", "tile", "node", *others, *fps)
+    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile", *fps)
+
+
+def in_tiles(rows: DataFrame, by: list[str], draw: Column, most: int) -> DataFrame:
+    """rows with tile: where a group of ``by`` has over ``most`` rows these are dealt to chunks by ``draw``, and each row goes to a tile for its chunk and every chunk."""
+    large = rows.groupBy(*by).count().where(F.col("count") > most).withColumn("chunks", F.ceil(F.col("count") / most)).drop("count")
+    mine = F.pmod(draw, F.col("chunks"))
     tiles = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j)))
-    dealt = keyed.join(large, ["part", "key"], "left").select("part", "key", F.explode(tiles).alias("tile"), "node", *fps)
-    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile", *fps).mapInArrow(_links(radius, len(fps)), "a long, b long")
+    return rows.join(large, by, "left").select(*rows.columns, F.explode(tiles).alias("tile"))
+
+
+def fingerprint_links(classes: DataFrame, radius: int = 4, tile: int = 4096, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """Edges (a, b) that connect the nodes of classes (fp, node), one row for each distinct fp, as their links within the radius do.
+
+    Wide fingerprints (fp0, fp1, ...) need ``masks``, by which those to compare are found.
+    """
+    fps = [c for c in classes.columns if c != "node"]
+    masks = masks or [(m,) for m in block_masks(classes.count(), radius)]
+    return _dealt(classes, fps, masks, tile).mapInArrow(_links(radius, len(fps)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
@@ -266,7 +314,8 @@ def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
 
     Null and wordless texts have fingerprint zero and link like any other. Rows with equal ids
     or texts each keep their row. A null doc_id counts as larger than any: a component of
-    nothing else has a null id. Other columns are ignored.
+    nothing else has a null id. Texts of any length are read whole, a batch at a time; other
+    columns are ignored, and an empty table gives an empty result.
     """
     return _grouped(simhash(docs, size, seed), lambda classes: fingerprint_links(classes, radius))
 
@@ -285,24 +334,68 @@ def _shingle_sets(size: int, seed: int):
     return sets
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
+    """(node, shingles) of the documents that are nodes (one column, distinct), written to the shared folder."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
+    return cut(texts.mapInArrow(_shingle_sets(size, seed), "node long, shingles array<long>"))
+
+
 def similar_links(docs: DataFrame, links: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
     """The links (a, b) of documents whose sets of shingles have that Jaccard similarity or more, by the sets themselves; two without a word are alike."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
-    sets = cut(texts.mapInArrow(_shingle_sets(size, seed), "node long, shingles array<long>"))
+    sets = _sets_of(docs, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size, seed)
     both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common, total = F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total")
     return both.select("a", "b", common, total).where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
+def _compared(similarity: float, radius: int):
+    def compared(table: pa.Table) -> pa.Table:
+        """A forest of links between rows of a tile with different labels, by their sets."""
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        fps = np.stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("fp")]).view(U64)
+        shingles = table.column("shingles").combine_chunks()
+        flat, ends = shingles.flatten().to_numpy(), np.concatenate(([0], np.cumsum(shingles.value_lengths().to_numpy())))
+        sets = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sizes, labels, found = np.array([len(s) for s in sets]), np.unique(label, return_inverse=True)[1], []
+        joined = np.arange(len(sets))
+        for i in range(len(sets) - 1):
+            apart = np.bitwise_count(fps[:, i : i + 1] ^ fps[:, i + 1 :]).sum(axis=0) <= radius
+            least, most = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+            for j in (i + 1 + np.flatnonzero(apart & (labels[i] != labels[i + 1 :]) & (least >= similarity * most))).tolist():
+                if joined[labels[i]] == joined[labels[j]]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similarity * (sizes[i] + sizes[j] - common):
+                    found.append((node[i], node[j]))
+                    joined = merged(joined, np.array([labels[i]]), np.array([labels[j]]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compared
+
+
+def crossing_links(docs: DataFrame, labelled: DataFrame, radius: int, masks: list[tuple[int, ...]], similarity: float, size: int, seed: int, tile: int = 4096, small: int = 256) -> DataFrame:
+    """Links (a, b) of that similarity between nodes of labelled (fp0, ..., node, label) with different labels that are within the radius and share a mask.
+
+    Only nodes that have such a partner take their sets of shingles along; the sets are
+    compared in tiles of at most 2 * ``small`` nodes, which give a forest of the links they find.
+    """
+    fps = [c for c in labelled.columns if c not in ("node", "label")]
+    rows = cut(_dealt(labelled.select("node", "label", *fps), fps, masks, tile).mapInArrow(_crossing(radius), _crossed(len(fps))))
+    sets = _sets_of(docs, rows.select("node").distinct(), size, seed)
+    dealt = in_tiles(rows.withColumnRenamed("tile", "outer"), ["part", "key", "outer"], F.xxhash64("node", "part"), small)
+    return dealt.join(sets, "node").groupBy("part", "key", "outer", "tile").applyInArrow(_compared(similarity, radius), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
     """(doc_id, fp0, ..., component_id) like ``simhash_groups``, for texts whose sets of word shingles have that Jaccard similarity or more.
 
     Candidates are fingerprints of ``words`` times 64 bits over distinct shingles, at most
     ``similar_radius`` bits apart, that share one of ``sampled_masks``: of pairs of just that
     similarity 95 of 100 lie within the radius and 98 of 100 of all share a mask; more similar
-    ones are found more surely. The shortest candidates that connect those of a mask are then
-    checked by the sets themselves, so no pair below the similarity links.
+    ones are found more surely. The shortest candidates that connect those of a mask are checked
+    by the sets themselves first, and join large groups with few checks; then all candidates
+    between groups are. No pair below the similarity links, and no candidate of it is lost.
 
     Equal fingerprints always link. Rows without an id link with these only. Rows with equal
     ids link if one of them does. Null and wordless texts have fingerprint zero. Repeated rows
@@ -312,8 +405,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed
 
     def links(classes: DataFrame) -> DataFrame:
         known = classes.where(F.col("node") != NO_ID)
-        near = fingerprint_links(known, similar_radius(similarity, words), masks=sampled_masks(known.count(), similarity, words))
-        return similar_links(docs, cut(near.distinct()), similarity, size, seed)
+        radius, masks = similar_radius(similarity, words), sampled_masks(known.count(), similarity, words)
+        near = fingerprint_links(known, radius, masks=masks)
+        checked = cut(similar_links(docs, cut(near.distinct()), similarity, size, seed))
+        labelled = known.join(components(checked), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        return checked.union(crossing_links(docs, labelled, radius, masks, similarity, size, seed))
 
     return _grouped(simhash(docs, size, seed, words), links)
 
@@ -329,7 +425,8 @@ def _grouped(rows: DataFrame, links) -> DataFrame:
 def simhash_keep_first(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
     """docs without the rows whose group (``simhash_groups``) has a smaller doc_id, and one row for each doc_id, with all their columns.
 
-    Rows without a doc_id stay, one for each text.
+    Rows without a doc_id stay, one for each text. Texts of any length stay as they are, and an
+    empty table gives an empty one.
     """
     return _first(docs, simhash_groups(docs, radius, size, seed))
 
@@ -340,8 +437,8 @@ def similar_keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5,
 
 
 def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_simhash_id"))
-    first = first.union(docs.sparkSession.range(1).select(F.lit(NO_ID))).distinct()
-    text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    rows = docs.withColumn("_simhash_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_simhash_text", text)
-    return rows.join(first, "_simhash_id", "left_semi").dropDuplicates(["_simhash_id", "_simhash_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_simhash_id")).distinct()
+    known = docs.where("doc_id is not null").withColumn("_simhash_id", F.col("doc_id").cast("long")).join(first, "_simhash_id", "left_semi").dropDuplicates(["_simhash_id"])
+    others = docs.where("doc_id is null").withColumn("_simhash_id", F.sha2("text", 256)).dropDuplicates(["_simhash_id"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return known.select(*columns).union(others.select(*columns))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import simhash
 from corpusmill.llm.components import components
@@ -174,3 +175,28 @@ def test_bit_counts():
     hashes = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 254, 255, 256, 1000)]
     wanted = [sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)) for h in hashes]
     assert simhash.fingerprints_of(hashes).tolist() == wanted
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_no_candidate_is_lost_where_fingerprints_and_sets_rank_differently(spark, most):
+    """Chains of texts around the similarity: the shortest candidate of many a text is no link by the sets, and a longer one is."""
+    rng, rows, doc = random.Random(12), [], 0
+    for _ in range(25):
+        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for _ in range(8):
+            rows.append((doc, " ".join(words)))
+            doc += 1
+            for _ in range(rng.choice([1, 1, 2])):
+                words[rng.randrange(60)] += "y"
+    fps, radius = {i: wide_fingerprint(t) for i, t in rows}, simhash.similar_radius(0.8, 4)
+    texts_of = dict(rows)
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= radius]
+    links = [(a, b) for a, b in near if jaccard(texts_of[a], texts_of[b]) >= 0.8]
+    wanted = groups(set(fps), links)
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == wanted and len(near) > len(links) + 50
+    # between groups alone, in small tiles: every node its own label
+    classes = simhash.simhash(docs, 5, 42, 4).withColumnRenamed("doc_id", "node").withColumn("label", F.col("node"))
+    found = simhash.crossing_links(docs, classes, radius, [(0, 0, 0, 0)], 0.8, 5, 42, tile=64, small=most)
+    assert groups(set(fps), [tuple(r) for r in found.collect()]) == wanted
