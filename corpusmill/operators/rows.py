@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The constants of splitmix64, as signed 64-bit numbers.
-_GOLDEN, _FIRST, _SECOND = (x - (1 << 64) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+# The constants of splitmix64.
+_GOLDEN, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def dedup_first(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("stage_ord", "row_idx")) -> DataFrame:
@@ -23,21 +26,43 @@ def file_seed(seed: int, name: str) -> int:
     return mixed - (1 << 64) if mixed >> 63 else mixed
 
 
-def splitmix64(spark: SparkSession, df: DataFrame, value: Column, name: str = "key") -> DataFrame:
-    """df with splitmix64 of a long. The products wrap, so the plan is analysed with ANSI arithmetic off."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        shift = F.shiftrightunsigned
-        z = value + F.lit(_GOLDEN)
-        out = df.withColumn(name, z)
-        for bits, factor in ((30, _FIRST), (27, _SECOND)):
-            out = out.withColumn(name, F.col(name).bitwiseXOR(shift(name, bits)) * F.lit(factor))
-        out = out.withColumn(name, F.col(name).bitwiseXOR(shift(name, 31)))
-        out.schema  # noqa: B018  analysed here
-        return out
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+def _halves(x: Column) -> tuple[Column, Column]:
+    """The upper and lower 32 bits of a long."""
+    return F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _of_halves(high: Column, low: Column) -> Column:
+    """A long of sums that may exceed 32 bits: what low carries goes to high, and what is above 64 bits goes."""
+    return F.shiftleft(high + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def wrapped_sum(x: Column, y: int) -> Column:
+    """x + y on 64 bits, without overflow."""
+    high, low = _halves(x)
+    return _of_halves(high + (y >> 32 & 0xFFFFFFFF), low + (y & 0xFFFFFFFF))
+
+
+def wrapped_product(x: Column, y: int) -> Column:
+    """x * y on 64 bits, without overflow: y is multiplied in by 16 bits at a time."""
+    high, low = _halves(x)
+    a, b, c, d = (y >> k & 0xFFFF for k in (0, 16, 32, 48))
+    first, second = low * a, low * b
+    upper = F.shiftrightunsigned(second, 16) + low * c + high * a + F.shiftleft((low * d + high * b).bitwiseAND(F.lit(0xFFFF)), 16)
+    return _of_halves(upper, first + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16))
+
+
+def splitmix64(df: DataFrame, value: Column, name: str = "key") -> DataFrame:
+    """df with splitmix64 of a long, as a signed long."""
+    out = df.withColumn(name, wrapped_sum(value, _GOLDEN))
+    for bits, factor in ((30, _FIRST), (27, _SECOND)):
+        out = out.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, bits))).withColumn(name, wrapped_product(F.col(name), factor))
+    return out.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, 31)))
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket of an unsigned 64-bit key, held as a long: key * buckets / 2 ** 64, so buckets are ranges of keys in order; ``buckets`` is below 2 ** 31."""
+    high, low = _halves(F.col(key))
+    return F.shiftrightunsigned(high * buckets + F.shiftrightunsigned(low * buckets, 32), 32).cast("int")
 
 
 def unsigned_order(key: str = "key") -> Column:
@@ -47,7 +72,7 @@ def unsigned_order(key: str = "key") -> Column:
 
 def shuffle_rows(df: DataFrame, seed: int, name: str, order: str = "row_idx") -> DataFrame:
     """df in a random order that depends on nothing but seed, file name and row number: a range sort by each row's key."""
-    keyed = splitmix64(df.sparkSession, df, F.lit(file_seed(seed, name)) + F.col(order), "_key")
+    keyed = splitmix64(df, wrapped_sum(F.col(order), file_seed(seed, name)), "_key")
     return keyed.orderBy(unsigned_order("_key")).drop("_key")
 
 
@@ -125,7 +150,41 @@ def limit_by_source(df: DataFrame, most: int, order: str = "row_idx") -> DataFra
     return df.where(F.col(order) < most)
 
 
-def buffered_place(order: str, seed: int, epoch: int = 0, index: int = 0, buffer: int = 10_000) -> Column:
-    """A place for a row of a shard that is shuffled through a buffer: rows move by less than ``buffer`` places, another way for each seed, epoch and shard."""
-    draw = F.pmod(F.xxhash64(F.lit(seed + epoch * 1009 + index), F.col(order)), F.lit(buffer))
-    return F.col(order) + draw
+def _popped(seed: int, epoch: int, buffer: int):
+    def popped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, index) come sorted; a full buffer gives one of its rows at random for each that comes, and what is left at the end is shuffled."""
+        own, held, place, draw = None, [], 0, random.Random()
+
+        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["shard", "place", "index"])
+
+        for batch in batches:
+            out = []
+            for shard, index in zip(batch.column("shard").to_pylist(), batch.column("index").to_pylist(), strict=True):
+                if shard != own:
+                    draw.shuffle(held)
+                    out += [(own, place + k, x) for k, x in enumerate(held)]
+                    own, held, place, draw = shard, [], 0, random.Random(seed + epoch * 1009 + shard)
+                held.append(index)
+                if len(held) >= buffer:
+                    out.append((own, place, held.pop(draw.randrange(len(held)))))
+                    place += 1
+            if out:
+                yield batch_of(out)
+        if held:
+            draw.shuffle(held)
+            yield batch_of([(own, place + k, x) for k, x in enumerate(held)])
+
+    return popped
+
+
+def buffered_order(df: DataFrame, count: int, seed: int, epoch: int = 0, buffer: int = 10_000, order: str = "row_idx") -> DataFrame:
+    """df (rows numbered from 0 by ``order``) with shard, row number modulo ``count``, and place, where a row comes out of its shard's buffer.
+
+    A shard's generator is seeded by seed, epoch and shard, and its buffer of ``buffer`` rows is
+    carried through the shard in order. Only row numbers go through it, by shards and not by
+    tasks, so places don't depend on the table's partitions; the rows then join them.
+    """
+    at = df.select(F.pmod(F.col(order), F.lit(count)).cast("long").alias("shard"), F.col(order).cast("long").alias("index"))
+    places = at.repartition("shard").sortWithinPartitions("shard", "index").mapInArrow(_popped(seed, epoch, buffer), "shard long, place long, index long")
+    return df.join(places, F.col(order) == F.col("index")).drop("index")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import record_queries, score_queries, search_queries, sequence_queries, source_queries, text_queries
+from corpusmill.plans import file_queries, record_queries, score_queries, search_queries, sequence_queries, source_queries, text_queries
 from corpusmill.plans.text_queries import clean_chunk_summary as clean_chunk_summary
 
-QUERIES = text_queries.QUERIES | sequence_queries.QUERIES | score_queries.QUERIES | source_queries.QUERIES | record_queries.QUERIES | search_queries.QUERIES
-ORACLES = text_queries.ORACLES | sequence_queries.ORACLES | score_queries.ORACLES | source_queries.ORACLES | record_queries.ORACLES | search_queries.ORACLES
+_MODULES = (text_queries, sequence_queries, score_queries, source_queries, record_queries, search_queries, file_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

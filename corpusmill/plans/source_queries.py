@@ -203,12 +203,12 @@ FROM next GROUP BY win"""
 
 
 def sharded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of each of three shards after a buffered shuffle, with how many moved less than the buffer."""
-    frames = [readers.read_text_shard(spark, f"{sf_dir}/documents.parquet", "text", 3, i, seed=7, buffer=50).select(F.lit(i).alias("shard"), F.md5("text").alias("digest")) for i in range(3)]
-    return frames[0].union(frames[1]).union(frames[2]).groupBy("digest").agg(F.count("*").alias("copies"))
+    """Texts of each of three shards, with their row numbers, after a shuffle through a buffer."""
+    frames = [readers.read_text_shard(spark, f"{sf_dir}/documents.parquet", "text", 3, i, seed=7, buffer=50).select(F.lit(i).cast("long").alias("shard"), "row_idx", F.md5("text").alias("digest")) for i in range(3)]
+    return frames[0].union(frames[1]).union(frames[2])
 
 
-SHARDED_TEXTS = "SELECT md5(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"
+SHARDED_TEXTS = "SELECT n % 3 AS shard, n AS row_idx, md5(text) AS digest FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE text IS NOT NULL"
 
 
 def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

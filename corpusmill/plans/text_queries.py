@@ -211,9 +211,9 @@ def _mul(z: str, k: int) -> str:
 
 
 def shuffle_splitmix64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's key, as 16 hexadecimal digits, and the neighbours' order that it gives is that of the digits."""
+    """Each document's key, as 16 hexadecimal digits."""
     d = documents(spark, sf_dir)
-    keyed = rows.splitmix64(spark, d, F.lit(rows.file_seed(SEED, "documents.parquet")) + F.col("doc_id"))
+    keyed = rows.splitmix64(d, rows.wrapped_sum(F.col("doc_id"), rows.file_seed(SEED, "documents.parquet")))
     return keyed.select("doc_id", F.lpad(F.hex("key"), 16, "0").alias("key"))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import strip
 from corpusmill.operators.checks import SFT_COLUMNS, sft_sample
 from corpusmill.operators.intervals import with_offsets
-from corpusmill.operators.rows import buffered_place, shard
+from corpusmill.operators.rows import buffered_order
+from corpusmill.sources.files import footer_values, with_row_numbers
 from corpusmill.sources.json_arrays import array_objects
 from corpusmill.sources.render import translation
 
@@ -182,10 +183,13 @@ def detect_format(df: DataFrame, wanted: str = "auto") -> str:
 
 
 def read_packed(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """Packed rows; ValueError if the manifest beside them has another block size, and a failed read for rows of another length."""
+    """Packed rows; ValueError if the manifest beside them, or the footer of any file, has another block size, and a failed read for rows of another length."""
     manifest = read_manifest(spark, path)
     if manifest.get("block_size", block) != block:
         raise ValueError(f"the shard has block_size={manifest['block_size']}, not {block}")
+    others = footer_values(spark, path).where((F.col("key") == "block_size") & (F.col("value") != str(block))).select("file", "value").first()
+    if others:
+        raise ValueError(f"{others['file']} has block_size={others['value']}, not {block}")
     df = spark.read.parquet(path)
     missing = {"token_ids", "seq_ids", "position_ids", "sequence_starts"} - set(df.columns)
     if missing:
@@ -204,10 +208,13 @@ def read_packed_sft(spark: SparkSession, path: str, block: int) -> DataFrame:
 
 
 def read_text_shard(spark: SparkSession, path: str, column: str = "text", count: int = 1, index: int = 0, seed: int = 0, epoch: int = 0, buffer: int = 10_000) -> DataFrame:
-    """(place, text): every count-th text of a Parquet table from ``index`` on, at its place after a buffered shuffle. Only this column is read."""
-    rows = spark.read.parquet(path).select(F.col(column).alias("text"), F.concat_ws("/", _FILE, F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")).alias("_at"), F.col("_metadata.row_index").alias("_row")).where("text is not null")
-    own = shard(rows, count, index, "_row")
-    return own.select(F.struct(buffered_place("_row", seed, epoch, index, buffer).alias("at"), F.xxhash64(F.lit(seed), "_at").alias("tie")).alias("place"), "text")
+    """(place, row_idx, text): every count-th text of a Parquet table from ``index`` on, counted over all its files, at its place after a shuffle through a buffer (``buffered_order``).
+
+    Only this column is read. Null texts keep their row numbers and are left out in the end.
+    """
+    rows = with_row_numbers(spark, path, (column,)).withColumnRenamed(column, "text")
+    own = buffered_order(rows, count, seed, epoch, buffer).where(F.col("shard") == index)
+    return own.where("text is not null").select("place", "row_idx", "text")
 
 
 def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

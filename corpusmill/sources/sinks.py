@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.metrics import json_safe
+from corpusmill.sources.files import noted
 
 
 def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -32,6 +33,7 @@ def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False,
         first = F.array_min(F.filter("seq_ids", lambda s: s >= 0))
         df = df.withColumn("seq_ids", F.transform("seq_ids", lambda s: F.when(s >= 0, s - first).otherwise(s)))
     checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long, or its spans have no end"))))
+    checked = noted(checked, arrays[0], block_size=block, format=form)  # in the footer of every file
     checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
     note = json.dumps({"format": form, "block_size": block, **manifest}, sort_keys=True)
     df.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")

@@ -153,12 +153,6 @@ def test_pareto_front_by_groups(spark, most):
     assert {r.trial for r in metrics.pareto_front(df, parts=4, most=most).collect()} == wanted
 
 
-def test_buffered_places(spark):
-    place = rows.buffered_place("id", 3, buffer=10)
-    moved = [r.id for r in spark.range(200).orderBy(place, "id").collect()]
-    assert moved != list(range(200)) and all(abs(i - x) < 10 for i, x in enumerate(moved))
-
-
 def test_views_and_command_line(spark, tmp_path, capsys):
     assert set(register_views(spark, SF, ("candidates",))) == {*source_queries.TABLES, "q_candidates"}
     assert spark.sql("SELECT count(*) FROM q_candidates JOIN part USING (p_partkey)").first()[0] == 200
