@@ -132,31 +132,6 @@ def failed_trial(reason: Column) -> Column:
     return F.struct(F.lit(FAILED).alias("loss"), F.lit(0.0).alias("speed"), F.lit(FAILED).alias("stability"), reason.alias("failure"), F.lower(reason).contains("out of memory").alias("out_of_memory"))
 
 
-def pareto_front(trials: DataFrame, low: tuple[str, ...] = ("loss_mean", "stability_mean"), high: tuple[str, ...] = ("speed_mean",), parts: int = 64, most: int = 100_000) -> DataFrame:
-    """Trials that no other beats in one goal and equals in all others.
-
-    What is beaten inside one of ``parts`` groups can't be on the front, so groups drop their own
-    losers first, for as long as that helps; a front of up to ``most`` trials is then compared
-    with itself by broadcast, and a larger one by way of the groups.
-    """
-    better_of = lambda a, b: [(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in low] + [(F.col(f"{b}.{c}"), F.col(f"{a}.{c}")) for c in high]
-
-    def beaten(a: str, b: str) -> Column:
-        no_worse, better = F.lit(True), F.lit(False)
-        for mine, other in better_of(a, b):
-            no_worse, better = no_worse & (other <= mine), better | (other < mine)
-        return no_worse & better
-
-    grouped = trials.withColumn("_part", F.pmod(F.xxhash64(*low, *high), F.lit(parts)))
-    small = trials.count() <= most
-    left = trials if small else grouped.alias("a").join(grouped.alias("b"), (F.col("a._part") == F.col("b._part")) & beaten("a", "b"), "left_anti").drop("_part")
-    if small or left.count() <= most:
-        return left.alias("a").join(F.broadcast(left.alias("b")), beaten("a", "b"), "left_anti")
-    others = left.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    mine = left.withColumn("_part", F.pmod(F.xxhash64(*low, *high), F.lit(parts)))
-    return mine.alias("a").join(others.alias("b"), (F.col("a._part") == F.col("b._part")) & beaten("a", "b"), "left_anti").drop("_part")
-
-
 def exact_match(predicted: Column, ids: Column, begin: Column, end: Column) -> Column:
     """Whether a language model's predictions for places begin to end (each made one place before) are the ids there; an empty range, or one from 0, is wrong."""
     part = lambda x, a, b: F.slice(x, a + 1, F.greatest(b - a, F.lit(0)))

@@ -1,4 +1,4 @@
-"""Small kernels over arrays: rotary positions, mixing of residual states, and a recurrence with resets."""
+"""Kernels over arrays: rotary positions, mixing of residual states, and a recurrence with resets as a scan over affine maps."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
+from corpusmill.sources.sinks import written
 
 
 def rotary(x: Column, position: Column, size: int, theta: float = 10_000.0) -> Column:
@@ -30,33 +32,139 @@ def residual_mix(states: Column, query: Column, weight: Column, eps: float = 1e-
     return let(shares, lambda w: F.aggregate(F.arrays_zip(states.alias("s"), w.alias("w")), zero, lambda acc, x: F.zip_with(acc, x["s"], lambda p, q: p + x["w"] * q)))
 
 
-def _recur(width: int):
-    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition holds whole sequences in order; the state is carried over its batches."""
-        state, last = np.zeros((width, width)), object()
-        for batch in batches:
-            fields = [np.array(batch.column(c).to_pylist(), float).reshape(-1, width) for c in ("r", "k", "v", "w", "a", "b")]
-            out = []
-            for row, (seq, reset) in enumerate(zip(batch.column("seq").to_pylist(), batch.column("reset").to_pylist(), strict=True)):
-                if seq != last or reset:
-                    state, last = np.zeros((width, width)), seq
-                r, k, v, w, a, b = (x[row] for x in fields)
-                state = state * w[None, :] + np.outer(state @ a, b) + np.outer(v, k)
-                out.append(state @ r)
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("t"), pa.array(out, pa.list_(pa.float64()))], ["seq", "t", "out"])
+_FIELDS = ("r", "k", "v", "w", "a", "b")
+_MAP = "seq long, at long, m binary, g binary"
+_STATE = "seq long, at long, state binary"
 
-    return recur
 
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows come sorted by seq and chunk; those of the last chunk wait for the next batch."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        seq, chunk = held.column("seq").to_numpy(), held.column("chunk").to_numpy()
+        tail = np.flatnonzero((seq != seq[-1]) | (chunk != chunk[-1])) if len(seq) else seq
+        keep = int(tail[-1]) + 1 if len(tail) else 0
+        if keep:
+            yield held.slice(0, keep)
+            held = held.slice(keep)
+    if held is not None and len(held):
+        yield held
 
-def recurrence(steps: DataFrame, width: int) -> DataFrame:
+
+class _Steps:
+    """Chunks of steps side by side: place p of every chunk is one step of all of them."""
+
+    def __init__(self, table: pa.Table, width: int) -> None:
+        self.seq, self.chunk = table.column("seq").to_numpy(), table.column("chunk").to_numpy()
+        new = np.concatenate(([True], (self.seq[1:] != self.seq[:-1]) | (self.chunk[1:] != self.chunk[:-1])))
+        self.first = np.flatnonzero(new)
+        self.row = np.cumsum(new) - 1
+        self.place = np.arange(len(new)) - self.first[self.row]
+        self.size, self.width, self.longest = len(self.first), width, int(self.place.max()) + 1
+        self.live = self._spread(np.ones(len(new), bool))
+        self.keep = self._spread(~np.array(table.column("reset").to_numpy(zero_copy_only=False), bool)).astype(float)
+        self.fields = {c: self._spread(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)) for c in _FIELDS}
+
+    def _spread(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.longest, self.size, *rows.shape[1:]), rows.dtype)
+        out[self.place, self.row] = rows
+        return out
+
+    def moved(self, state: np.ndarray, p: int, gain: bool) -> np.ndarray:
+        """States of all chunks after place p; without the gain it is the step's linear part."""
+        x = {c: f[p] for c, f in self.fields.items()}
+        before = state * self.keep[p][:, None, None]
+        after = before * x["w"][:, None, :] + np.einsum("nij,nj->ni", before, x["a"])[:, :, None] * x["b"][:, None, :]
+        if gain:
+            after = after + x["v"][:, :, None] * x["k"][:, None, :]
+        return np.where(self.live[p][:, None, None], after, state)
+
+
+def _maps(width: int):
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each chunk makes of a state s: s m + g."""
+        for table in _whole_chunks(batches):
+            steps = _Steps(table, width)
+            m, g = np.tile(np.eye(width), (steps.size, 1, 1)), np.zeros((steps.size, width, width))
+            for p in range(steps.longest):
+                m, g = steps.moved(m, p, gain=False), steps.moved(g, p, gain=True)
+            columns = [pa.array(steps.seq[steps.first]), pa.array(steps.chunk[steps.first]), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in g], pa.binary())]
+            yield pa.record_batch(columns, names=["seq", "at", "m", "g"])
+
+    return maps
+
+
+def _matrices(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(x).reshape(width, width) for x in column.to_pylist()])
+
+
+def _composed(width: int):
+    def composed(table: pa.Table) -> pa.Table:
+        """A group of maps in order as one."""
+        table = table.sort_by("at")
+        m, g = np.eye(width), np.zeros((width, width))
+        for a, b in zip(_matrices(table.column("m"), width), _matrices(table.column("g"), width), strict=True):
+            m, g = m @ a, g @ a + b
+        return pa.table([table.column("seq").slice(0, 1), table.column("up").slice(0, 1), pa.array([m.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["seq", "at", "m", "g"])
+
+    return composed
+
+
+def _entered(width: int):
+    def entered(maps: pa.Table, above: pa.Table) -> pa.Table:
+        """The state before each map of a group, from that before the group (zero at a sequence's begin)."""
+        maps = maps.sort_by("at")
+        state = _matrices(above.column("state"), width)[0] if len(above) else np.zeros((width, width))
+        out = []
+        for a, b in zip(_matrices(maps.column("m"), width), _matrices(maps.column("g"), width), strict=True):
+            out.append(state.tobytes())
+            state = state @ a + b
+        return pa.table([maps.column("seq"), maps.column("at"), pa.array(out, pa.binary())], names=["seq", "at", "state"])
+
+    return entered
+
+
+def _outputs(width: int):
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's first row holds the state before it and no step."""
+        for table in _whole_chunks(batches):
+            heads = table.filter(pa.compute.is_valid(table.column("state")))
+            table = table.filter(pa.compute.is_null(table.column("state")))
+            steps, state = _Steps(table, width), _matrices(heads.column("state"), width)
+            out = np.zeros((steps.longest, steps.size, width))
+            for p in range(steps.longest):
+                state = steps.moved(state, p, gain=True)
+                out[p] = np.einsum("nij,nj->ni", state, steps.fields["r"][p])
+            flat = out[steps.place, steps.row].ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
+            for batch in pa.table([table.column("seq"), table.column("t"), lists], names=["seq", "t", "out"]).to_batches():
+                yield batch
+
+    return outputs
+
+
+def recurrence(steps: DataFrame, width: int, chunk: int = 64, group: int = 64) -> DataFrame:
     """(seq, t, out) of steps (seq, t, reset, r, k, v, w, a, b): a matrix state decays by w, is projected by a onto b and gains v k; out is the state times r.
 
-    A reset clears the state before its step, so a sequence splits at resets into segments that
-    need nothing of each other: each is a group of its own for the shuffle, and one long packed
-    sequence is no single task unless it never resets.
+    A step is an affine map of the state, and a reset one that forgets it, so maps compose: steps
+    become chunks of ``chunk`` numbers t, ``group`` chunks one map, and so on until a sequence is
+    one group. On the way back each gets the state before it, and chunks give their outputs by
+    themselves. A sequence of any length, with resets or without, is as many tasks as it has
+    chunks. t is a whole number from 0 that orders a sequence, gaps are allowed; arrays have
+    ``width`` values, none of them null. An empty table gives an empty result.
     """
-    from pyspark.sql import Window
-
-    part = F.sum(F.col("reset").cast("long")).over(Window.partitionBy("seq").orderBy("t"))
-    rows = steps.withColumn("segment", part).repartition("seq", "segment").sortWithinPartitions("seq", "segment", "t")
-    return rows.select("seq", "t", (F.col("reset") | (F.lag("segment", 1, -1).over(Window.partitionBy("seq", "segment").orderBy("t")) == -1)).alias("reset"), *"rkvwab").mapInArrow(_recur(width), "seq long, t long, out array<double>")
+    rows = written(steps.select("seq", "t", F.floor(F.col("t") / chunk).alias("chunk"), F.coalesce("reset", F.lit(False)).alias("reset"), *_FIELDS), "steps")
+    dealt = rows.repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", "t")
+    levels = [written(dealt.mapInArrow(_maps(width), _MAP), "maps")]
+    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= group:
+        up = levels[-1].withColumn("up", F.floor(F.col("at") / group))
+        levels.append(written(up.groupBy("seq", "up").applyInArrow(_composed(width), _MAP), "maps"))
+    states = steps.sparkSession.createDataFrame([], _STATE)
+    for maps in reversed(levels):
+        below = maps.withColumn("up", F.floor(F.col("at") / group)).groupBy("seq", "up")
+        states = below.cogroup(states.withColumnRenamed("at", "up").groupBy("seq", "up")).applyInArrow(_entered(width), _STATE)
+    heads = states.select("seq", F.col("at").alias("chunk"), "state")
+    both = rows.unionByName(heads, allowMissingColumns=True).repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", F.col("t").asc_nulls_first())
+    return both.mapInArrow(_outputs(width), "seq long, t long, out array<double>")

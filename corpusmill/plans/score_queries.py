@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chat, metrics, rows
+from corpusmill.operators import chat, metrics, rows, skyline
 from corpusmill.plans.text_queries import documents, read
 
 
@@ -146,7 +146,7 @@ SELECT trial, round(clipped / steps + coalesce(0.10 * greatest(gm - 1, 0) + 0.05
 
 def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = metrics.aggregate_trials(seeds(spark, sf_dir)).where("failures = 0")
-    return metrics.pareto_front(good).select("trial")
+    return skyline.pareto_front(good).select("trial")
 
 
 PARETO = f"""

@@ -134,41 +134,59 @@ NORMS = f"WITH {_EMB}, m AS (SELECT vec_id, v, sqrt(list_avg(list_transform(v, l
 
 
 def rotary_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of all turned components and of their products with their places, and the length, which turning keeps."""
     v = F.col("embedding").cast("array<double>")
-    found = numerics.rotary(v, (F.col("vec_id") % 50).cast("double"), 64)
-    return read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.round(found[2], 6).alias("low"), F.round(found[40], 6).alias("high"))
+    found = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", numerics.rotary(v, (F.col("vec_id") % 50).cast("double"), 64).alias("t"))
+    placed = F.transform("t", lambda x, i: x * (i + 1))
+    return found.select("vec_id", F.round(_total(F.col("t")), 6).alias("total"), F.round(_total(placed), 5).alias("placed"), F.round(_total(F.transform("t", lambda x: x * x)), 6).alias("squares"))
 
 
-ROTARY = f"""WITH {_EMB}, a AS (SELECT vec_id, v, (vec_id % 50) / pow(10000::DOUBLE, 2 * 2 / 64.0::DOUBLE) AS a2, (vec_id % 50) / pow(10000::DOUBLE, 8 * 2 / 64.0::DOUBLE) AS a8 FROM e)
-SELECT vec_id, round(v[3] * cos(a2) - v[35] * sin(a2), 6) AS low, round(v[41] * cos(a8) + v[9] * sin(a8), 6) AS high FROM a"""
+ROTARY = f"""
+WITH {_EMB}, a AS (SELECT vec_id, v, i, (vec_id % 50) / pow(10000::DOUBLE, ((i - 1) % 32) * 2 / 64.0::DOUBLE) AS angle FROM e, unnest(range(1, 65)) AS u(i)),
+t AS (SELECT vec_id, i, v[i] * cos(angle) + CASE WHEN i <= 32 THEN -v[i + 32] ELSE v[i - 32] END * sin(angle) AS t FROM a)
+SELECT vec_id, round(sum(t), 6) AS total, round(sum(t * i), 5) AS placed, round(sum(t * t), 6) AS squares FROM t GROUP BY vec_id"""
 
 
 def residual_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    """The mean of three states of all 64 components, by sums that each component enters with its place."""
+    v = F.col("embedding").cast("array<double>")
     states = F.array(v, F.reverse(v), F.transform(v, lambda x: x * 2.0 + 0.1))
-    found = numerics.residual_mix(states, F.array(*map(F.lit, (0.5, -1.0, 2.0, 0.25))), F.array(*map(F.lit, (1.0, 1.0, 0.5, 2.0))))
-    return read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.round(found[0], 6).alias("a"), F.round(found[3], 6).alias("d"))
+    query = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(i * 7, F.lit(11)) / 4.0 - 1.0)
+    weight = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(0.5) + F.pmod(i, F.lit(3)) / 2.0)
+    found = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", numerics.residual_mix(states, query, weight).alias("m"))
+    return found.select("vec_id", F.round(_total(F.col("m")), 6).alias("total"), F.round(_total(F.transform("m", lambda x, i: x * (i + 1))), 5).alias("placed"))
 
 
 RESIDUAL = f"""
-WITH {_EMB}, s AS (SELECT vec_id, unnest([1, 2, 3]) AS k, v[1:4] AS v FROM e),
-t AS (SELECT vec_id, CASE k WHEN 1 THEN v WHEN 2 THEN list_reverse(v) ELSE list_transform(v, lambda x: x * 2 + 0.1::DOUBLE) END AS s FROM s),
-g AS (SELECT vec_id, s, exp((s[1] * 0.5::DOUBLE - s[2] + s[3] + s[4] * 0.5::DOUBLE) / sqrt((s[1] * s[1] + s[2] * s[2] + s[3] * s[3] + s[4] * s[4]) / 4 + 1e-6::DOUBLE)) AS w FROM t)
-SELECT vec_id, round(sum(w * s[1]) / sum(w), 6) AS a, round(sum(w * s[4]) / sum(w), 6) AS d FROM g GROUP BY vec_id"""
+WITH {_EMB}, s AS (SELECT vec_id, k, i, CASE k WHEN 1 THEN v[i] WHEN 2 THEN v[65 - i] ELSE v[i] * 2 + 0.1::DOUBLE END AS x FROM e, unnest(range(1, 65)) AS u(i), unnest([1, 2, 3]) AS w(k)),
+g AS (SELECT vec_id, k, exp(sum(x * ((i * 7 % 11) / 4.0::DOUBLE - 1) * (0.5::DOUBLE + (i % 3) / 2.0::DOUBLE)) / sqrt(sum(x * x) / 64 + 1e-6::DOUBLE)) AS w FROM s GROUP BY vec_id, k)
+SELECT vec_id, round(sum(w * x) / any_value(t), 6) AS total, round(sum(w * x * i) / any_value(t), 5) AS placed
+FROM s JOIN g USING (vec_id, k) JOIN (SELECT vec_id, sum(w) AS t FROM g GROUP BY vec_id) USING (vec_id) GROUP BY vec_id"""
 
 
 def reset_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state of width one over each order's lines, cleared at every third: s = 0.5 s + v, out = s r."""
-    one = lambda x: F.array(x.cast("double"))
+    """A state of width two over each order's lines, cleared at every fifth: it decays, is projected, and gains what a line holds."""
+    two = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     li = read(spark, sf_dir, "lineitem").withColumn("t", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1).cast("long"))
-    steps = li.select(F.col("l_orderkey").alias("seq"), "t", (F.col("t") % 3 == 0).alias("reset"), one(F.lit(2.0)).alias("r"), one(F.lit(1.0)).alias("k"), one(F.col("l_quantity")).alias("v"), one(F.lit(0.5)).alias("w"), one(F.lit(0.0)).alias("a"), one(F.lit(0.0)).alias("b"))
-    return numerics.recurrence(steps, 1).select("seq", "t", F.round(F.col("out")[0], 6).alias("out"))
+    q, s = F.col("l_quantity") / 7, F.col("l_linenumber") / 2.7
+    fields = {"r": two(q, F.lit(1)), "k": two(s, F.lit(0.5)), "v": two(q, s), "w": two(F.lit(0.5), F.lit(0.75)), "a": two(F.lit(0.1), s / 8), "b": two(F.lit(0.5), F.lit(-0.25))}
+    steps = li.select(F.col("l_orderkey").alias("seq"), "t", (F.col("t") % 5 == 0).alias("reset"), *(x.alias(c) for c, x in fields.items()))
+    return numerics.recurrence(steps, 2).select("seq", "t", F.round(F.col("out")[0], 5).alias("first"), F.round(F.col("out")[1], 5).alias("second"))
 
 
 RECURRENCE = """
-WITH r AS (SELECT l_orderkey AS seq, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS t FROM lineitem),
-s AS (SELECT *, t // 3 AS seg, t % 3 AS i FROM r)
-SELECT a.seq, a.t::BIGINT AS t, round(2 * sum(b.v * pow(0.5::DOUBLE, a.i - b.i)), 6) AS out FROM s a JOIN s b ON a.seq = b.seq AND a.seg = b.seg AND b.i <= a.i GROUP BY a.seq, a.t"""
+WITH RECURSIVE r AS (
+  SELECT l_orderkey AS seq, l_quantity::DOUBLE / 7 AS q, l_linenumber / 2.7::DOUBLE AS s,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS t
+  FROM lineitem),
+st AS (
+  SELECT seq, t, q, q * s AS a, q * 0.5::DOUBLE AS b, s * s AS c, s * 0.5::DOUBLE AS d FROM r WHERE t = 0
+  UNION ALL
+  SELECT r.seq, r.t, r.q,
+    k * (a * 0.5::DOUBLE + (a * 0.1::DOUBLE + b * s / 8) * 0.5::DOUBLE) + r.q * s, k * (b * 0.75::DOUBLE - (a * 0.1::DOUBLE + b * s / 8) * 0.25::DOUBLE) + r.q * 0.5::DOUBLE,
+    k * (c * 0.5::DOUBLE + (c * 0.1::DOUBLE + d * s / 8) * 0.5::DOUBLE) + s * s, k * (d * 0.75::DOUBLE - (c * 0.1::DOUBLE + d * s / 8) * 0.25::DOUBLE) + s * 0.5::DOUBLE
+  FROM st JOIN r ON r.seq = st.seq AND r.t = st.t + 1, LATERAL (SELECT CASE WHEN r.t % 5 = 0 THEN 0 ELSE 1 END::DOUBLE AS k))
+SELECT seq, t::BIGINT AS t, round(a * q + b, 5) AS first, round(c * q + d, 5) AS second FROM st"""
 
 QUERIES = {
     "candidates": candidates, "parameter_draws": parameter_draws, "seeds_until_failure": seeds_until_failure, "good_trials": good_trials, "run_summary": run_summary, "probe_best": probe_best,

@@ -83,6 +83,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as written to a new path below the shared folder and read again: worked out once, and tasks that run again read the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """df as a Parquet table at path: read if it is there, else written first. Keeps what is costly to make, such as tokens."""
     spark = df.sparkSession

@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +125,6 @@ def test_special_tokens(spark):
 
 
 def test_recurrence_like_a_loop(spark):
-    import numpy as np
 
     rng, d, steps = np.random.default_rng(1), 3, []
     for seq in range(2):
@@ -139,20 +139,35 @@ def test_recurrence_like_a_loop(spark):
         assert np.allclose(got[seq, t], state @ r)
 
 
+def test_recurrence_is_a_scan_over_chunks(spark):
+    """One sequence without resets, over three levels of groups, and one with gaps; as many tasks as chunks fill."""
+    rng, d, n = np.random.default_rng(7), 3, 3000
+    x = {c: rng.standard_normal((n, d)) * (0.3 if c in "ab" else 1) for c in "rkvab"} | {"w": rng.uniform(0.5, 0.99, (n, d))}
+    steps = [(s, t * (1 + s), bool(s and t % 700 == 5), *(x[c][t].tolist() for c in "rkvwab")) for s in (0, 1) for t in range(n)]
+    df = spark.createDataFrame(steps, "seq long, t long, reset boolean, r array<double>, k array<double>, v array<double>, w array<double>, a array<double>, b array<double>")
+    found = numerics.recurrence(df.repartition(5), d, chunk=16, group=4)
+    got = {(r.seq, r.t): r.out for r in found.collect()}
+    assert len(got) == 2 * n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found.withColumn("task", F.spark_partition_id()).where("seq = 0").select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in (0, 1):
+        state = np.zeros((d, d))
+        for t in range(n):
+            state = state * (not (s and t % 700 == 5))
+            state = state * x["w"][t] + np.outer(state @ x["a"][t], x["b"][t]) + np.outer(x["v"][t], x["k"][t])
+            assert np.allclose(got[s, t * (1 + s)], state @ x["r"][t], rtol=1e-9, atol=1e-9)
+    assert numerics.recurrence(df.limit(0), d).count() == 0
+
+
 def test_rotary_keeps_lengths(spark):
     x = F.array(*(F.lit(float(i)) for i in range(8)))
     got = value(spark, numerics.rotary(x, F.lit(5.0), 8))
     assert math.isclose(sum(v * v for v in got), sum(i * i for i in range(8))) and value(spark, numerics.rotary(x, F.lit(0.0), 8)) == [float(i) for i in range(8)]
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_pareto_front_by_groups(spark, most):
-    rows_ = [(i, float(i % 13), float(i % 7), float(i % 5)) for i in range(60)]
-    df = spark.createDataFrame(rows_, "trial int, loss_mean double, stability_mean double, speed_mean double")
-    wanted = {a[0] for a in rows_ if not any(b[1] <= a[1] and b[2] <= a[2] and b[3] >= a[3] and b[1:] != a[1:] for b in rows_)}
-    assert {r.trial for r in metrics.pareto_front(df, parts=4, most=most).collect()} == wanted
-
-
 def test_views_and_command_line(spark, tmp_path, capsys):
     assert set(register_views(spark, SF, ("candidates",))) == {*source_queries.TABLES, "q_candidates"}
     assert spark.sql("SELECT count(*) FROM q_candidates JOIN part USING (p_partkey)").first()[0] == 200
