@@ -1,22 +1,25 @@
-"""The same operators over streams of files: chat records, exact dedup, and packing with a carried-over tail."""
+"""The same operators over streams of files: chat records, exact dedup, and packing in the order of rows with a carried-over tail."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.functions.text import clean_rows
 from corpusmill.operators.chat import MESSAGES, for_storage, storage_error
 
 
-def chat_feed(spark: SparkSession, path: str, include_think: bool = False) -> DataFrame:
-    """Storable conversations of JSONL files as they arrive."""
-    records = spark.readStream.schema(f"messages {MESSAGES}").json(path)
-    ready = records.select(for_storage(F.col("messages"), include_think).alias("messages"))
+def chat_feed(spark: SparkSession, path: str, include_think: bool = False, extra: str = "", files_a_batch: int | None = None) -> DataFrame:
+    """Storable conversations of JSONL files as they arrive, with the fields of ``extra`` (a schema), at most so many files at a time."""
+    reader = spark.readStream.schema(f"{extra}, messages {MESSAGES}" if extra else f"messages {MESSAGES}")
+    records = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(path)
+    ready = records.withColumn("messages", for_storage(F.col("messages"), include_think))
     return ready.where(storage_error(F.col("messages")).isNull())
 
 
@@ -27,19 +30,92 @@ def clean_feed(texts: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return hashed.dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
-def pack_feed(tokens: DataFrame, block: int) -> DataFrame:
-    """A stream (source, row_idx, tokens array<int>) cut into windows of block + 1 ids for each source; a short tail waits in the state."""
+_WINDOW = "shard long, window long, token_ids array<int>"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, window = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = []
-        for frame in frames:
-            for ids in frame.sort_values("row_idx")["tokens"]:
-                held.extend(int(x) for x in ids)
-                while len(held) >= block + 1:
-                    rows.append((key[0], window, held[: block + 1]))
-                    held, window = held[block:], window + 1
-        state.update((held, window))
-        yield pd.DataFrame(rows, columns=["source", "window", "token_ids"])
 
-    return tokens.groupBy("source").applyInPandasWithState(step, "source string, window long, token_ids array<int>", "held array<int>, window long", "append", GroupStateTimeout.NoTimeout)
+class _Packer(StatefulProcessor):
+    """A shard's rows in the order of their numbers, however files arrive: rows ahead of the next number wait in the state, and so does the tail of an unfinished window."""
+
+    def __init__(self, block: int, count: int, patience: float | None) -> None:
+        self.block, self.count, self.patience = block, count, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, window long, tail array<int>, timer long")
+        self.waiting = handle.getMapState("waiting", "row long", "tokens array<int>")
+
+    def _packed(self, key: tuple, new: dict[int, np.ndarray], now: int | None, skip: bool = False) -> Iterator[pd.DataFrame]:
+        at, window, tail, timer = self.place.get() if self.place.exists() else (int(key[0]), 0, [], None)
+        at, window, parts = int(at), int(window), [np.array(tail, np.int32)]
+        held = {int(k[0]) for k in self.waiting.keys()} - new.keys()
+        if skip and held:  # the rows before these are given up
+            at = min(held)
+        while at in new or at in held:
+            if at in new:
+                parts.append(new.pop(at))
+            else:
+                parts.append(np.array(self.waiting.getValue((at,))[0], np.int32))
+                self.waiting.removeKey((at,))
+                held.discard(at)
+            at += self.count
+        for row, ids in new.items():
+            if row > at:  # rows that were given up, or came before, are dropped
+                self.waiting.updateValue((row,), (ids.tolist(),))
+        stream = np.concatenate(parts)
+        n = max(0, (len(stream) - 1) // self.block)
+        stuck = bool(held) or any(row > at for row in new)
+        if self.patience is not None and now is not None:
+            if timer:
+                self.handle.deleteTimer(int(timer))
+            timer = now + int(1000 * self.patience) if stuck else None
+            if timer:
+                self.handle.registerTimer(timer)
+        self.place.update((at, window + n, stream[n * self.block :].tolist(), timer))
+        if n:
+            rows = [(int(key[0]), window + k, stream[k * self.block : (k + 1) * self.block + 1]) for k in range(n)]
+            yield pd.DataFrame(rows, columns=["shard", "window", "token_ids"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = {int(r): np.asarray(t if t is not None else [], np.int32) for frame in rows for r, t in zip(frame["row_idx"], frame["tokens"], strict=True)}
+        yield from self._packed(key, new, timerValues.getCurrentProcessingTimeInMs() if self.patience is not None else None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._packed(key, {}, timerValues.getCurrentProcessingTimeInMs(), skip=True)
+
+    def close(self) -> None:
+        pass
+
+
+def pack_feed(tokens: DataFrame, block: int, count: int = 1, patience: float | None = None) -> DataFrame:
+    """A stream (row_idx, tokens array<int>) cut into windows of block + 1 ids, one token apart from the next by ``block``: shard, window, token_ids.
+
+    Row r, numbered from 0 without gaps over all files, is of shard r % count, and each shard is
+    a stream of its own in the order of its rows. Rows may arrive in any order: those ahead of
+    the next one wait. With ``patience`` (seconds) a shard that waits longer for a row goes on
+    without it, and the row is dropped if it comes later. Null and empty tokens add nothing.
+    The state needs a store that can hold maps (``state_store``).
+    """
+    mode = "None" if patience is None else "ProcessingTime"
+    keyed = tokens.select(F.pmod("row_idx", F.lit(count)).cast("long").alias("shard"), "row_idx", "tokens")
+    return keyed.groupBy("shard").transformWithStateInPandas(_Packer(block, count, patience), _WINDOW, "Append", mode)
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB; the session's own store is set again after."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """(the table at path, micro-batches): what has arrived is processed and appended, from where the checkpoint left off."""
+    spark = stream.sparkSession
+    with state_store(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+        query.awaitTermination()
+    batches = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    return spark.read.schema(stream.schema).parquet(path), batches

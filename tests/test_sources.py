@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,21 +105,71 @@ def test_synthetic_batches(spark):
         assert all((p == 0) == (i == 0 or r.seq_ids[i] != r.seq_ids[i - 1]) for i, p in enumerate(r.position_ids))
 
 
-def run(stream, spark, tmp_path, name):
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    return spark.table(name)
+def run(stream, tmp_path, name):
+    return feeds.run_available(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/cp-{name}")
 
 
 def test_feeds(spark, tmp_path):
     (tmp_path / "chat").mkdir()
     (tmp_path / "chat/a.json").write_text('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"<think>x</think>b"}]}\n{"messages":[{"role":"user","content":"a"}]}\n')
-    got = run(feeds.chat_feed(spark, f"{tmp_path}/chat"), spark, tmp_path, "chats").collect()
+    got = run(feeds.chat_feed(spark, f"{tmp_path}/chat"), tmp_path, "chats")[0].collect()
     assert [[(m.role, m.content) for m in r.messages] for r in got] == [[("user", "a"), ("assistant", "b")]]
-    spark.createDataFrame([("s", 0, [1, 2, 3]), ("s", 1, [4, 5, 6])], "source string, row_idx long, tokens array<int>").coalesce(1).write.parquet(f"{tmp_path}/toks")
-    stream = spark.readStream.schema("source string, row_idx long, tokens array<int>").parquet(f"{tmp_path}/toks")
-    got = run(feeds.pack_feed(stream, 2), spark, tmp_path, "packs").orderBy("window").collect()
-    assert [r.token_ids for r in got] == [[1, 2, 3], [3, 4, 5]]
     spark.createDataFrame([("plain words repeated here", "s")] * 2, "text string, source string").withColumn("ts", F.current_timestamp()).coalesce(1).write.parquet(f"{tmp_path}/docs")
     stream = spark.readStream.schema("text string, source string, ts timestamp").parquet(f"{tmp_path}/docs")
-    assert run(feeds.clean_feed(stream), spark, tmp_path, "cleans").count() == 1
+    assert run(feeds.clean_feed(stream), tmp_path, "cleans")[0].count() == 1
+
+
+def plain_windows(rows, count, block):
+    out = {}
+    for shard in range(count):
+        stream = [x for r, ids in sorted(rows) if r % count == shard for x in ids or []]
+        out |= {(shard, k): stream[k * block : (k + 1) * block + 1] for k in range(max(0, len(stream) - 1) // block)}
+    return out
+
+
+TOKENS = "row_idx long, tokens array<int>"
+
+
+def test_packing_waits_for_rows_and_restarts(spark, tmp_path):
+    """Rows arrive out of order over several micro-batches; a run stops after some files and the next one goes on."""
+    rng = random.Random(4)
+    rows = [(r, [rng.randrange(100) for _ in range(rng.randrange(9))] if r % 11 else None) for r in range(120)]
+    order = rng.sample(rows, len(rows))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def add(part):
+        spark.createDataFrame(part, TOKENS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/tokens")
+
+    def packed():
+        stream = spark.readStream.schema(TOKENS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/tokens")
+        found, batches = run(feeds.pack_feed(stream, 5, 2), tmp_path, "packs")
+        return [((r.shard, r.window), r.token_ids) for r in found.collect()], batches
+
+    for k in range(3):
+        add(order[k * 25 : (k + 1) * 25])
+    first, batches = packed()
+    assert batches == 3
+    for k in range(3, 5):
+        add(order[k * 25 : (k + 1) * 25])
+    second, batches = packed()
+    wanted = plain_windows(rows, 2, 5)
+    assert batches == 2 and dict(second) == wanted and len(second) == len(wanted)
+    assert set(map(repr, first)) < set(map(repr, second))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_packing_goes_on_without_a_row_after_a_while(spark, tmp_path):
+    rows = [(r, [r, r]) for r in range(6) if r != 2]
+    spark.createDataFrame(rows, TOKENS).coalesce(1).write.parquet(f"{tmp_path}/tokens")
+    stream = spark.readStream.schema(TOKENS).parquet(f"{tmp_path}/tokens")
+    with feeds.state_store(spark):
+        query = feeds.pack_feed(stream, 2, 1, patience=1).writeStream.format("memory").queryName("patient").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            found = {r.window: r.token_ids for r in spark.table("patient").collect()}
+            if len(found) == 4:
+                break
+    finally:
+        query.stop()
+    assert found == {0: [0, 0, 1], 1: [1, 1, 3], 2: [3, 3, 4], 3: [4, 4, 5]}
