@@ -223,17 +223,11 @@ def encode_sft(messages: Column, think_weight: float = 0.1, boundary_weight: flo
 
 
 def answer_spans(encoded: Column, least: int = 3) -> Column:
-    """Runs [begin, end) of at least ``least`` answer tokens, thinking and marks apart."""
-    roles = F.transform(encoded, lambda t, i: F.struct(t["role"].alias("role"), i.alias("i")))
-    mine = F.filter(roles, lambda r: r["role"] == ROLE_IDS["assistant"])
-    none = "array<struct<begin:int,end:int>>"
-
-    def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["begin"].alias("begin"), (r["i"] + 1).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == r["i"]), grown).otherwise(F.concat(acc, F.array(F.struct(r["i"].alias("begin"), (r["i"] + 1).alias("end"))))).cast(none)
-
-    return F.filter(F.aggregate(mine, F.array().cast(none), add), lambda s: s["end"] - s["begin"] >= least)
+    """Runs [begin, end) of at least ``least`` answer tokens, thinking and marks apart. Each edge is told by a token and its neighbour."""
+    answer = lambda i: F.coalesce(F.get(encoded, i)["role"] == ROLE_IDS["assistant"], F.lit(False))
+    edges = lambda other: F.filter(F.transform(encoded, lambda t, i: F.when((t["role"] == ROLE_IDS["assistant"]) & ~answer(other(i)), i)), lambda i: i.isNotNull())
+    runs = F.zip_with(edges(lambda i: i - 1), edges(lambda i: i + 1), lambda b, e: F.struct(b.alias("begin"), (e + 1).alias("end")))
+    return F.filter(runs, lambda s: s["end"] - s["begin"] >= least)
 
 
 def padded(encoded: Column, block: int) -> tuple[Column, Column, Column]:

@@ -110,6 +110,31 @@ def visible_keys(seqs: Column, width: int | None = None) -> Column:
     return out if width is None else F.transform(out, lambda n: F.least(n, F.lit(width).cast("long")))
 
 
+def segments(seqs: Column) -> Column:
+    """Runs of equal sequence numbers from 0 up, in order, as structs (begin, end); padding, below 0, is none."""
+    starts = F.filter(F.transform(seqs, lambda s, i: F.when((i == 0) | (s != F.get(seqs, i - 1)), i)), lambda i: i.isNotNull())
+    runs = let(starts, lambda b: F.transform(b, lambda x, k: F.struct(x.alias("begin"), F.coalesce(F.get(b, k + 1), F.size(seqs)).alias("end"))))
+    return F.filter(runs, lambda r: F.get(seqs, r["begin"]) >= 0)
+
+
+def mask_tiles(df: DataFrame, key: str, seqs: Column, tile: int = 128, width: int | None = None) -> DataFrame:
+    """(key, q_tile, k_tile, whole): the tiles of ``tile`` x ``tile`` inputs and keys in which a packed causal mask shows anything, whole where it shows all.
+
+    An input sees the earlier inputs of its sequence and itself, at most ``width`` of them. What
+    a row becomes has a row for each of its sequences and each tile that is live, so long blocks
+    never need the mask itself.
+    """
+    runs = df.select(key, F.inline(segments(seqs)))
+    q = runs.withColumn("q_tile", F.explode(F.sequence(F.floor(F.col("begin") / tile), F.floor((F.col("end") - 1) / tile))))
+    q = q.withColumn("q_low", F.greatest("begin", F.col("q_tile") * tile)).withColumn("q_high", F.least(F.col("end") - 1, (F.col("q_tile") + 1) * tile - 1))
+    first = F.col("begin") if width is None else F.greatest(F.col("begin"), F.col("q_low") - (width - 1))
+    k = q.withColumn("k_tile", F.explode(F.sequence(F.floor(first / tile), F.col("q_tile"))))
+    k_low, k_high = F.greatest("begin", F.col("k_tile") * tile), F.least(F.col("end") - 1, (F.col("k_tile") + 1) * tile - 1)
+    covered = (F.col("q_high") - F.col("q_low") == tile - 1) & (k_high - k_low == tile - 1) & (F.col("k_tile") < F.col("q_tile"))
+    covered = covered if width is None else covered & (F.col("q_high") - k_low < width)
+    return k.groupBy(key, "q_tile", "k_tile").agg(F.max(covered).alias("whole"))
+
+
 def sample_windows(tokens: Column, start: Column, block: int) -> Column:
     """Inputs and targets of one window of a flat stream: block tokens from ``start`` (from 0), and the same one token on."""
     return F.struct(F.slice(tokens, start + 1, F.lit(block)).alias("inputs"), F.slice(tokens, start + 2, F.lit(block)).alias("targets"))

@@ -97,6 +97,39 @@ def tube_loss(s: Column, r: Column, t: Column) -> Column:
     return 1 - cosine(minus(t, r), minus(r, s))
 
 
+def tube_triples(spans: DataFrame, key: tuple[str, ...], samples: int = 1, max_width: int | None = None, seed: int = 0) -> DataFrame:
+    """key, begin, end, draw, s, r and t: ``samples`` draws of three places s < r < t inside each span [begin, end), at most ``max_width`` from s to t.
+
+    Draws come from a hash of seed, key, begin and draw. Spans of fewer than three places give
+    none, and neither does a draw that max_width leaves no room for.
+    """
+    if samples < 1 or max_width is not None and max_width < 2:
+        raise ValueError("samples must be 1 at least, and max_width 2")
+    rows = spans.where("end - begin >= 3").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key), F.col("begin").cast("string"), F.col("draw").cast("string")))
+    number = lambda k: F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("long")
+    drawn = lambda low, high, k: (low + F.pmod(number(k), F.greatest(high - low, F.lit(1)))).cast("long")
+    last = F.col("end") - 2 if max_width is None else F.greatest(F.col("begin") + 1, F.col("end") - 2)
+    rows = rows.withColumn("_digest", digest).withColumn("s", drawn(F.col("begin"), last, 0))
+    rows = rows.withColumn("_stop", F.col("end") if max_width is None else F.least(F.col("end"), F.col("s") + max_width + 1)).where("_stop - s >= 3")
+    rows = rows.withColumn("r", drawn(F.col("s") + 1, F.col("_stop") - 1, 1))
+    return rows.withColumn("t", drawn(F.col("r") + 1, F.col("_stop"), 2)).select(*key, "begin", "end", "draw", "s", "r", "t")
+
+
+def tube_losses(hidden: DataFrame, triples: DataFrame, key: tuple[str, ...], place: str = "place", vector: str = "vector") -> DataFrame:
+    """triples with loss, from the vectors of hidden (key, place, vector) at s, r and t. The vectors meet by key and place; a triple without one of them is dropped."""
+    rows = triples.withColumn("_id", F.struct(*key, "begin", "draw")).select("*", F.posexplode(F.array("s", "r", "t")).alias("_which", "_at"))
+    own = hidden.select(*key, F.col(place).alias("_at"), F.col(vector).alias("_vector"))
+    gathered = rows.join(own, [*key, "_at"]).groupBy(*triples.columns).agg(F.map_from_entries(F.collect_list(F.struct("_which", "_vector"))).alias("_v"))
+    loss = tube_loss(*(F.col("_v")[k] for k in range(3)))
+    return gathered.where(F.size("_v") == 3).withColumn("loss", loss).drop("_v")
+
+
+def mean_tube_loss(losses: DataFrame) -> DataFrame:
+    """(loss, n): the mean over all draws, 0 if there are none."""
+    return losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"), F.count("*").alias("n"))
+
+
 def rms_norm(x: Column, weight: Column, eps: float = 1e-6) -> Column:
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v) / F.size(x)
     return F.zip_with(x, weight, lambda v, w: v * w / F.sqrt(mean + eps))

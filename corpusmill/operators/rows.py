@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.intervals import with_offsets
+
 # The constants of splitmix64.
 _GOLDEN, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -120,14 +122,31 @@ def stage_union(frames: list[DataFrame], order: str, limit: int | None = None) -
     return out.orderBy("stage_ord", order).limit(limit) if limit is not None else out
 
 
+def _shots(n: int, k: int, seed: int):
+    def shots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each item's own generator picks places among all others."""
+        for batch in batches:
+            rows = []
+            for item, at in zip(batch.column("item").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                picked = random.Random(seed + at).sample(range(n - 1), min(k, n - 1))
+                rows += [(item, rank, p + (p >= at)) for rank, p in enumerate(picked, 1)]
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["item", "rank", "to"])
+
+    return shots
+
+
 def few_shot(items: DataFrame, k: int, seed: int = 1234, item: str = "item_id") -> DataFrame:
-    """(item, rank, shot): k other items for each item, drawn by hash around the item's own place on a ring, so no pair of all items is formed."""
-    w = Window.orderBy(F.xxhash64(F.lit(seed), item))
-    ring = items.select(item, (F.row_number().over(w) - 1).alias("at"))
-    n = ring.count()
-    picks = ring.select(item, F.explode(F.sequence(F.lit(1), F.lit(min(k, max(0, n - 1))))).alias("rank"), "at") if n > 1 else ring.select(item, F.lit(0).alias("rank"), "at").limit(0)
-    there = ring.select(F.col(item).alias("shot"), F.col("at").alias("to"))
-    return picks.withColumn("to", F.pmod(F.col("at") + F.col("rank"), F.lit(max(1, n)))).join(there, "to").select(item, "rank", "shot")
+    """(item, rank, shot): k other items for each item (whole numbers, each once), or all others if there are fewer.
+
+    Items are numbered in their order, and item number i samples with a generator that starts
+    from seed + i, so its shots depend on nothing but i and the number of items. No task sees
+    more of the items than its own, and no pairs of all items are formed.
+    """
+    numbered = with_offsets(items.select(F.col(item).cast("long").alias("item")), F.lit(1), "item", name="at")
+    n = items.count()
+    picks = numbered.mapInArrow(_shots(n, k, seed), "item long, rank long, to long") if n > 1 and k > 0 else numbered.select("item", F.col("at").alias("rank"), F.col("at").alias("to")).limit(0)
+    there = numbered.select(F.col("item").alias("shot"), F.col("at").alias("to"))
+    return picks.join(there, "to").select(F.col("item").alias(item), "rank", "shot")
 
 
 def prefix_split(df: DataFrame, ratio: float, order: str = "row_idx") -> DataFrame:

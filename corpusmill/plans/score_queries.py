@@ -184,17 +184,25 @@ LOSS_CURVE = "SELECT event_type, round(arg_min(value, event_id) - arg_max(value,
 
 
 def lr_schedule_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(200).select(F.col("id").alias("step"), rounded(metrics.cosine_schedule(F.col("id"), 20, 160)).alias("lr"), rounded(metrics.momentum_warmup(F.col("id"), 50, 0.85, 0.95)).alias("momentum"))
+    """The rate and momentum at each event, as steps of a run."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    return e.select("step", rounded(metrics.cosine_schedule(F.col("step"), 200, 1600)).alias("lr"), rounded(metrics.momentum_warmup(F.col("step"), 500, 0.85, 0.95)).alias("momentum"))
 
 
-COSINE = "SELECT s AS step, round(CASE WHEN s < 20 THEN (s + 1) / 20 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((s - 20) / 140, 0), 1))) END, 9) AS lr, round(CASE WHEN s >= 50 THEN 0.95::DOUBLE ELSE 0.85::DOUBLE + 0.1::DOUBLE * s / 50 END, 9) AS momentum FROM range(200) r(s)"
+COSINE = """
+SELECT event_id AS step, round(CASE WHEN event_id < 200 THEN (event_id + 1) / 200 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((event_id - 200) / 1400, 0), 1))) END, 9) AS lr,
+  round(CASE WHEN event_id >= 500 THEN 0.95::DOUBLE ELSE 0.85::DOUBLE + 0.1::DOUBLE * event_id / 500 END, 9) AS momentum
+FROM events"""
 
 
 def lr_schedule_wsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(200).select(F.col("id").alias("step"), rounded(metrics.stable_decay_schedule(F.col("id"), 20, 160, 60, 0.2)).alias("lr"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    return e.select("step", rounded(metrics.stable_decay_schedule(F.col("step"), 200, 1600, 600, 0.2)).alias("lr"))
 
 
-WSD = "SELECT s AS step, round(CASE WHEN s < 20 THEN (s + 1) / 20 WHEN s < 80 THEN 1 ELSE 0.2::DOUBLE + 0.8::DOUBLE * (1 - least(greatest((s - 80) / 80, 0), 1)) END, 9) AS lr FROM range(200) r(s)"
+WSD = """
+SELECT event_id AS step, round(CASE WHEN event_id < 200 THEN (event_id + 1) / 200 WHEN event_id < 800 THEN 1 ELSE 0.2::DOUBLE + 0.8::DOUBLE * (1 - least(greatest((event_id - 800) / 800, 0), 1)) END, 9) AS lr
+FROM events"""
 
 
 def topk_topp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

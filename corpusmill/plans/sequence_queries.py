@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import code_points
-from corpusmill.operators import chat, intervals
+from corpusmill.operators import chat, intervals, metrics
 from corpusmill.plans.text_queries import documents, read
 
 BLOCK, SFT_BLOCK = 2048, 512
@@ -105,6 +105,29 @@ seen AS (SELECT w, row_number() OVER (PARTITION BY w, d ORDER BY j) AS n FROM wi
 SELECT w AS window, sum(n)::BIGINT AS visible, sum(least(n, 256))::BIGINT AS sliding FROM seen GROUP BY w"""
 
 
+def live_mask_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles in which each window's masks, plain and sliding, show anything, and those that they show as a whole."""
+    inputs, place = F.slice("seq_ids", 1, BLOCK), F.col("q_tile") * 1000 + F.col("k_tile")
+    out = None
+    for name, width in (("plain", None), ("sliding", 300)):
+        own = intervals.mask_tiles(packed(spark, sf_dir), "window", inputs, width=width).groupBy("window").agg(F.count("*").alias("live"), F.count_if("whole").alias("whole"), F.sum(place).alias("places")).withColumn("mask", F.lit(name))
+        out = own if out is None else out.union(own)
+    return out
+
+
+def _tiles(name: str, width: int) -> str:
+    return f"""
+SELECT w AS "window", count(*) AS live, count(*) FILTER (whole) AS whole, sum(qt * 1000 + kt)::BIGINT AS places, '{name}' AS mask FROM (
+  SELECT q.w, q.t AS qt, k.t AS kt, bool_or(q.n = 128 AND k.n = 128 AND k.t < q.t AND q.hi - k.lo < {width}) AS whole
+  FROM runs q JOIN runs k ON q.w = k.w AND q.d = k.d AND k.t <= q.t AND q.lo - k.hi < {width} GROUP BY ALL) GROUP BY w"""
+
+
+MASK_TILES = f"""
+WITH {_STREAM}, {_windows(BLOCK, f"k < (total - 1) // {BLOCK}")},
+runs AS (SELECT w, d, j // 128 AS t, min(j) AS lo, max(j) AS hi, count(*) AS n FROM windows WHERE j < {BLOCK} GROUP BY ALL)
+{_tiles("plain", BLOCK)} UNION ALL {_tiles("sliding", 300)}"""
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.gather_messages(read(spark, sf_dir, "conversations"))
 
@@ -219,12 +242,7 @@ FROM next GROUP BY win"""
 
 
 def sft_span_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encoded(spark, sf_dir)
-    placed = intervals.with_offsets(rows, F.size("e"), "conv_id")
-    spans = placed.select(F.col("offset"), F.explode(chat.answer_spans(F.col("e"))).alias("s")).select((F.col("offset") + F.col("s.begin")).alias("begin"), (F.col("offset") + F.col("s.end")).alias("end"))
-    total = rows.agg(F.sum(F.size("e"))).first()[0] or 0
-    clipped = intervals.clip_spans(spans, SFT_BLOCK, total)
-    return clipped.groupBy("window").agg(F.count("*").alias("n"), F.sum("begin").alias("begins"), F.sum("end").alias("ends"))
+    return _clipped_spans(spark, sf_dir).groupBy("window").agg(F.count("*").alias("n"), F.sum("begin").alias("begins"), F.sum("end").alias("ends"))
 
 
 SFT_SPANS = f"""
@@ -235,6 +253,41 @@ cut AS (SELECT win, greatest(b, win * {SFT_BLOCK}) AS b, least(e, win * {SFT_BLO
 SELECT win AS window, count(*) AS n, sum(b - win * {SFT_BLOCK})::BIGINT AS begins, sum(e - win * {SFT_BLOCK})::BIGINT AS ends FROM cut WHERE e - b >= 3 GROUP BY win"""
 
 
+def _clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encoded(spark, sf_dir)
+    placed = intervals.with_offsets(rows, F.size("e"), "conv_id")
+    spans = placed.select(F.col("offset"), F.explode(chat.answer_spans(F.col("e"))).alias("s")).select((F.col("offset") + F.col("s.begin")).alias("begin"), (F.col("offset") + F.col("s.end")).alias("end"))
+    return intervals.clip_spans(spans, SFT_BLOCK, rows.agg(F.sum(F.size("e"))).first()[0] or 0)
+
+
+def tube_loss_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of two draws in each answer's span of the packed windows; a place's state is a vector of the table, taken in turn."""
+    triples = metrics.tube_triples(_clipped_spans(spark, sf_dir), ("window",), samples=2, max_width=40, seed=3)
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    places = triples.select("window", F.explode(F.array("s", "r", "t")).alias("place")).distinct()
+    hidden = places.withColumn("vec_id", F.pmod(F.col("window") * 31 + F.col("place"), F.lit(max(n, 1)))).join(vectors, "vec_id").select("window", "place", F.col("embedding").alias("vector"))
+    return metrics.tube_losses(hidden, triples, ("window",)).select("window", "begin", "draw", "s", "r", "t", F.round("loss", 6).alias("loss"))
+
+
+_DRAW = "(low + ('0x' || substr(digest, {at}, 8))::BIGINT % greatest(high - low, 1))"
+TUBE_SPANS = f"""
+WITH source AS (SELECT conv_id, turn, role, text FROM conversations), {_ENCODED},
+stream AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, p, k) - 1 AS g, count(*) OVER () AS total FROM encoded),
+runs AS (SELECT min(g) AS b, max(g) + 1 AS e, min(total) AS total FROM stream WHERE role = 4 GROUP BY conv_id, turn HAVING count(*) >= 3),
+cut AS (SELECT win, greatest(b, win * {SFT_BLOCK}) - win * {SFT_BLOCK} AS b, least(e, win * {SFT_BLOCK} + {SFT_BLOCK}, total - 1) - win * {SFT_BLOCK} AS e FROM runs, unnest(range(b // {SFT_BLOCK}, (e - 1) // {SFT_BLOCK} + 1)) AS u(win)),
+draws AS (SELECT win, b, e, draw, md5('3:' || win || ':' || b || ':' || draw) AS digest, b AS low, greatest(b + 1, e - 2) AS high FROM cut, unnest([0, 1]) AS u(draw) WHERE e - b >= 3),
+s AS (SELECT *, {_DRAW.format(at=1)} AS s FROM draws),
+stops AS (SELECT win, b, e, draw, digest, s, least(e, s + 41) AS stop FROM s WHERE least(e, s + 41) - s >= 3),
+r AS (SELECT *, {_DRAW.format(at=9)} AS r FROM (SELECT *, s + 1 AS low, stop - 1 AS high FROM stops)),
+t AS (SELECT win, b, draw, s, r, {_DRAW.format(at=17)} AS t FROM (SELECT * EXCLUDE (low, high), r + 1 AS low, stop AS high FROM r)),
+n AS (SELECT count(*) AS n FROM embeddings),
+v AS (SELECT t.*, x.embedding AS x, y.embedding AS y, z.embedding AS z FROM t, n, embeddings x, embeddings y, embeddings z
+  WHERE x.vec_id = (win * 31 + s) % n.n AND y.vec_id = (win * 31 + r) % n.n AND z.vec_id = (win * 31 + t) % n.n),
+d AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: z[i]::DOUBLE - y[i]::DOUBLE) AS f, list_transform(range(1, len(x) + 1), lambda i: y[i]::DOUBLE - x[i]::DOUBLE) AS p FROM v)
+SELECT win AS "window", b AS begin, draw, s, r, t, round(1 - list_dot_product(f, p) / greatest(sqrt(list_dot_product(f, f)) * sqrt(list_dot_product(p, p)), 1e-8), 6) AS loss FROM d"""
+
+
 def assistant_mask_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = encoded(spark, sf_dir).select("conv_id", F.explode("e").alias("t"))
     return flat.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("t.w") > 0).alias("active"))
@@ -264,10 +317,10 @@ UNDO_TURN = 'WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER
 QUERIES = {
     "pack_blocks": pack_blocks, "pack_counts": pack_counts, "pack_labels_masked": pack_labels_masked, "pack_flat": pack_flat, "causal_mask_visible_keys": causal_mask_visible_keys,
     "chat_render": chat_render, "chat_normalize": chat_normalize, "chat_strict_validate": chat_strict_validate, "chat_strip_think": chat_strip_think, "sft_encode_roles": sft_encode_roles,
-    "sft_pack_blocks": sft_pack_blocks, "sft_span_clip": sft_span_clip, "assistant_mask_ratio": assistant_mask_ratio, "unpacked_padding": unpacked_padding, "undo_turn": undo_turn,
+    "sft_pack_blocks": sft_pack_blocks, "sft_span_clip": sft_span_clip, "live_mask_tiles": live_mask_tiles, "tube_loss_spans": tube_loss_spans, "assistant_mask_ratio": assistant_mask_ratio, "unpacked_padding": unpacked_padding, "undo_turn": undo_turn,
 }
 ORACLES = {
     "pack_blocks": PACK_BLOCKS, "pack_counts": PACK_COUNTS, "pack_labels_masked": PACK_LABELS, "pack_flat": PACK_FLAT, "causal_mask_visible_keys": VISIBLE_KEYS,
     "chat_render": CHAT_RENDER, "chat_normalize": CHAT_NORMALIZE, "chat_strict_validate": CHAT_STRICT, "chat_strip_think": CHAT_STRIP_THINK, "sft_encode_roles": SFT_ROLES,
-    "sft_pack_blocks": SFT_BLOCKS, "sft_span_clip": SFT_SPANS, "assistant_mask_ratio": ASSISTANT_MASK, "unpacked_padding": UNPACKED, "undo_turn": UNDO_TURN,
+    "sft_pack_blocks": SFT_BLOCKS, "sft_span_clip": SFT_SPANS, "live_mask_tiles": MASK_TILES, "tube_loss_spans": TUBE_SPANS, "assistant_mask_ratio": ASSISTANT_MASK, "unpacked_padding": UNPACKED, "undo_turn": UNDO_TURN,
 }
