@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import rows
+from corpusmill.operators.intervals import with_offsets
 from corpusmill.plans import sequence_queries
 from corpusmill.plans.text_queries import read
 from corpusmill.sources import readers, sinks
@@ -36,14 +37,26 @@ def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = r"SELECT length(l)::BIGINT AS n_chars, count(*) AS n_lines FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS l FROM documents) WHERE l <> '' GROUP BY 1"
 
 
+def _both_sides(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+    """Documents with a translation (their source and language) for two of three, dealt to files by their ids."""
+    d = _documents(spark, sf_dir).withColumn("en", F.when(F.col("doc_id") % 3 > 0, F.concat_ws(" ", "source", "lang")).otherwise(""))
+    return d.repartitionById(files, F.pmod("doc_id", F.lit(files)).cast("int")).sortWithinPartitions("doc_id")
+
+
 def jsonl_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir)
-    path = _written(d, F.to_json(F.struct(F.col("text").alias("zh_text"), F.lit("").alias("en_text"))), "translations")
+    """Pairs with both sides take the templates in turn, by their number among the accepted records of their file."""
+    d = _both_sides(spark, sf_dir)
+    path = _written(d, F.to_json(F.struct(F.col("text").alias("zh_text"), F.col("en").alias("en_text"))), "translations")
     return _digest(readers.read_jsonl_text(spark, path))
 
 
 _TRIM = r"E' \t\n\r\x0b\x0c'"
-JSONL_TRANSLATIONS = rf"SELECT md5(trim(coalesce(text, ''), {_TRIM})) AS digest FROM documents WHERE trim(coalesce(text, ''), {_TRIM}) <> ''"
+_TEMPLATES = r"""CASE n % 5 WHEN 0 THEN '中文：' || zh || E'\n英文：' || en WHEN 1 THEN zh || E'\n翻译为英文是：\n' || en WHEN 2 THEN '英文：' || en || E'\n\n中文：' || zh
+  WHEN 3 THEN en || E'\n该英文翻译为中文是：\n' || zh ELSE '请把下面这句中文翻译成英文：' || chr(10) || zh || chr(10) || '答：' || en END"""
+JSONL_TRANSLATIONS = rf"""
+WITH d AS (SELECT doc_id, trim(coalesce(text, ''), {_TRIM}) AS zh, CASE WHEN doc_id % 3 > 0 THEN concat_ws(' ', source, lang) ELSE '' END AS en FROM documents),
+k AS (SELECT zh, trim(en, {_TRIM}) AS en, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS n FROM d WHERE zh <> '')
+SELECT md5(CASE WHEN en = '' THEN zh ELSE {_TEMPLATES} END) AS digest FROM k"""
 
 
 def jsonl_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +151,18 @@ PARQUET_TEXT = "SELECT md5(text) AS digest FROM documents WHERE text <> ''"
 
 
 def parquet_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of which one side is empty, so that no template is used."""
-    path, even = sinks.scratch_path(spark, "pairs"), F.col("doc_id") % 2 == 0
-    _documents(spark, sf_dir).select(F.when(even, F.col("text")).otherwise("").alias("og_full_text"), F.when(~even, F.col("text")).alias("translated_text")).write.parquet(path)
+    """Pairs of which either side may be empty; those with both take the templates in turn, by their number in their file."""
+    path = sinks.scratch_path(spark, "pairs")
+    _both_sides(spark, sf_dir).select(F.col("en").alias("og_full_text"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("translated_text")).write.parquet(path)
     return _digest(readers.read_parquet_text(spark, path))
 
 
+PARQUET_TRANSLATIONS = f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN coalesce(text, '') ELSE '' END AS zh, CASE WHEN doc_id % 3 > 0 THEN concat_ws(' ', source, lang) ELSE '' END AS en FROM documents),
+k AS (SELECT zh, en, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS n FROM d WHERE zh <> '' OR en <> '')
+SELECT md5(CASE WHEN en = '' THEN zh WHEN zh = '' THEN en ELSE {_TEMPLATES} END) AS digest FROM k"""
+
+
 def written_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.scratch_path(spark, "text")
     sinks.write_text(_documents(spark, sf_dir), path)
@@ -224,7 +243,7 @@ STORED_TOKENS = "SELECT doc_id, length(text)::BIGINT + 1 AS n FROM documents WHE
 
 def source_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 20 rows of each source, the feature of a per-source limit."""
-    d = readers._numbered(_documents(spark, sf_dir), ("doc_id",))
+    d = with_offsets(_documents(spark, sf_dir), F.lit(1), "doc_id", ("source",), "row_idx")
     return rows.limit_by_source(d, 20).select("source", "doc_id")
 
 
@@ -239,6 +258,6 @@ QUERIES = {
 ORACLES = {
     "lines_round_trip": LINES, "jsonl_translations": JSONL_TRANSLATIONS, "jsonl_segments": JSONL_SEGMENTS, "jsonl_forum": JSONL_FORUM, "jsonl_instructions": JSONL_INSTRUCTIONS,
     "jsonl_questions": JSONL_QUESTIONS, "json_array_records": JSON_ARRAY, "json_array_documents": JSON_ARRAY_DOCUMENTS, "corpus_jsonl": CORPUS_JSONL, "chat_jsonl": CHAT_JSONL, "parquet_upper_text": PARQUET_TEXT,
-    "parquet_translations": PARQUET_TEXT, "written_text": PARQUET_TEXT, "written_and_counted": COUNTED, "json_lines_safe": JSON_SAFE, "footer_counts": FOOTERS,
+    "parquet_translations": PARQUET_TRANSLATIONS, "written_text": PARQUET_TEXT, "written_and_counted": COUNTED, "json_lines_safe": JSON_SAFE, "footer_counts": FOOTERS,
     "packed_written": sequence_queries.PACK_BLOCKS, "sft_written": SFT_WRITTEN, "sharded_texts": SHARDED_TEXTS, "stored_tokens": STORED_TOKENS, "source_limits": SOURCE_LIMITS,
 }

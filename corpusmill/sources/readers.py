@@ -23,9 +23,24 @@ from corpusmill.sources.render import translation
 _FILE = "_metadata.file_name"
 
 
-def _numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """row_idx from 0 within each source, in the order given."""
-    return df.withColumn("row_idx", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1)
+def _placed(df: DataFrame) -> DataFrame:
+    """df, a scan of files, with its rows' file, path and split."""
+    return df.withColumns({"source": F.col(_FILE), "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+
+
+def _numbered(df: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Rows of a scan (``_placed``, then filtered and joined with broadcast tables only) numbered from 0 in each file.
+
+    A task reads its splits in order, so ids of the rows that are left ascend by one inside a
+    split. A row's number is its id less the split's first, and the rows of the file's splits
+    before: the rows themselves are neither moved nor sorted, however large a file is.
+    """
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    splits = rows.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    # a row for each split of the files, whose list the driver holds anyway
+    return rows.join(F.broadcast(bases), ["_path", "_block"]).withColumn(name, F.col("_base") + F.col("_at")).drop("_at", "_base")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -43,26 +58,17 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt", repl
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     try:
         text = F.make_valid_utf8(as_text) if replace else F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode("content", "GB18030"))
-        out = files.select(text.alias("text"), F.element_at(F.split("path", "/"), -1).alias("source"), "path")
+        out = files.select(text.alias("text"), F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(0).cast("long").alias("row_idx"))
         out.schema  # noqa: B018  analysed here
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", before)
-    return _numbered(out, ("path",)).select("text", "source", "row_idx")
+    return out
 
 
 def line_rows(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(source, row_idx, line): every line of the files at path, numbered from 0 in each file.
-
-    Files are split like any Spark text scan. A line's number is its place in its split plus
-    the lines of the splits before, so no task sees more than a split.
-    """
-    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("_path"), F.col(_FILE).alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    splits = rows.groupBy("_path", "_block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = splits.select("_path", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at")) - 1
-    return rows.withColumn("_in", inside).join(bases, ["_path", "_block"]).select("_path", "source", (F.col("_base") + F.col("_in")).alias("row_idx"), "line")
+    """(_path, _block, source, row_idx, line): every line of the files at path, numbered from 0 in each file. Files are split like any Spark text scan, and lines aren't shuffled."""
+    lines = _placed(spark.read.option("recursiveFileLookup", recursive).text(path)).select("_path", "_block", "source", F.col("value").alias("line"))
+    return _numbered(lines)
 
 
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -75,22 +81,23 @@ def read_parquet_text(spark: SparkSession, path: str) -> DataFrame:
     """Texts of a Parquet table by its columns: TEXT, a pair of original and translation, text, or en and ch; others raise ValueError."""
     df = spark.read.parquet(path)
     names = df.columns
-    rows = df.withColumn("source", F.col(_FILE)).withColumn("_at", F.col("_metadata.row_index"))
+    rows, own = _placed(df), ("source", "_path", "_block")
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     if "TEXT" in names:
-        kept = rows.select(filled("TEXT").alias("text"), "source", "_at")
+        kept = rows.select(filled("TEXT").alias("text"), *own)
     elif {"og_full_text", "translated_text"} <= set(names):
-        pairs = _numbered(rows.where(filled("og_full_text").isNotNull() | filled("translated_text").isNotNull()), ("_at",))
+        pairs = _numbered(rows.where(filled("og_full_text").isNotNull() | filled("translated_text").isNotNull()))
         zh, en = filled("translated_text"), filled("og_full_text")
-        kept = pairs.select(F.when(zh.isNotNull() & en.isNotNull(), translation(zh, en, F.col("row_idx"))).otherwise(F.coalesce(zh, en)).alias("text"), "source", "_at")
+        kept = pairs.select(F.when(zh.isNotNull() & en.isNotNull(), translation(zh, en, F.col("row_idx"))).otherwise(F.coalesce(zh, en)).alias("text"), "source", "row_idx")
     elif "text" in names:
-        kept = rows.select(filled("text").alias("text"), "source", "_at")
+        kept = rows.select(filled("text").alias("text"), *own)
     elif {"en", "ch"} <= set(names):
-        pairs = _numbered(rows.where("en is not null and ch is not null"), ("_at",))
-        kept = pairs.select(translation(F.col("ch"), F.col("en"), F.col("row_idx")).alias("text"), "source", "_at")
+        pairs = _numbered(rows.where("en is not null and ch is not null"))
+        kept = pairs.select(translation(F.col("ch"), F.col("en"), F.col("row_idx")).alias("text"), "source", "row_idx")
     else:
         raise ValueError(f"no known text column among {names}")
-    return _numbered(kept.where("text is not null"), ("_at",)).select("text", "source", "row_idx")
+    kept = kept.where("text is not null")
+    return (kept if "row_idx" in kept.columns else _numbered(kept)).select("text", "source", "row_idx")
 
 
 _RECORD = "zh_text string, en_text string, `段落` array<struct<`内容`:string>>, `主题` string, `回复` array<struct<`回复`:string>>, instruction string, input string, output string, `问` string, `答` string, ID string, completion string, query string, thought string, text string, content string, source string"
@@ -107,14 +114,15 @@ def read_jsonl_text(spark: SparkSession, path: str, limit: int | None = None) ->
     Blank and malformed lines and non-objects are skipped, and files of another kind as a whole.
     ``limit`` keeps the first accepted records of each file.
     """
-    lines = line_rows(spark, path).withColumnRenamed("row_idx", "_at").where(strip(F.col("line")) != "")
-    first = lines.groupBy("source").agg(F.min_by("line", "_at").alias("head")).select("source", _jsonl_kind(F.col("head")).alias("kind"))
-    good = lines.where(F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"^\s*\{")).join(first.where("kind is not null"), "source")
+    lines = line_rows(spark, path).where(strip(F.col("line")) != "")
+    first = lines.groupBy("_path").agg(F.min_by("line", "row_idx").alias("head")).select("_path", _jsonl_kind(F.col("head")).alias("kind"))
+    object_ = F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"^\s*\{")
+    good = lines.drop("row_idx").where(object_).join(F.broadcast(first.where("kind is not null")), "_path")  # a row for each file
     r = good.withColumn("r", F.from_json("line", _RECORD))
     text = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
     zh, en = strip(text("zh_text")), strip(text("en_text"))
     accepted = r.where((F.col("kind") != "translation") | (zh != ""))
-    rows = _numbered(accepted, ("_at",))
+    rows = _numbered(accepted)
     joined = lambda array, field: F.array_join(F.filter(F.transform(F.col(f"r.`{array}`"), lambda x: x[field]), lambda x: x.isNotNull() & (x != "")), "\n")
     rendered = (
         F.when(F.col("kind") == "translation", F.when(en != "", translation(zh, en, F.col("row_idx"))).otherwise(zh))
