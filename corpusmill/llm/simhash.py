@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import NO_ID, U64, buffers, cut, mixed, release_memory, spread
+from corpusmill.llm.common import NO_ID, U64, buffers, cut, free_name, mixed, release_memory, spread
 from corpusmill.llm.components import components, merged
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -334,9 +334,19 @@ def _shingle_sets(size: int, seed: int):
     return sets
 
 
+#: Ids that are broadcast to filter a table by (16 bytes each); more of them are joined by a shuffle.
+MOST_IDS = 4_000_000
+
+
+def _with_ids(rows: DataFrame, name: str, ids: DataFrame, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) the ids, one column of that name, written to the shared folder first so that their number is known."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, name, how)
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
     """(node, shingles) of the documents that are nodes (one column, distinct), written to the shared folder."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
+    texts = _with_ids(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node", nodes, "left_semi")
     return cut(texts.mapInArrow(_shingle_sets(size, seed), "node long, shingles array<long>"))
 
 
@@ -437,8 +447,15 @@ def similar_keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5,
 
 
 def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_simhash_id")).distinct()
-    known = docs.where("doc_id is not null").withColumn("_simhash_id", F.col("doc_id").cast("long")).join(first, "_simhash_id", "left_semi").dropDuplicates(["_simhash_id"])
-    others = docs.where("doc_id is null").withColumn("_simhash_id", F.sha2("text", 256)).dropDuplicates(["_simhash_id"])
+    """docs without the ids that aren't their component's; of the rows of an id, or of a text without an id, one stays."""
+    name = free_name(docs, "simhash_id")
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("own"), F.count("*").alias("rows"))
+    by_id = cut(by_id)
+    known = docs.where("doc_id is not null").withColumn(name, F.col("doc_id").cast("long"))
+    known = _with_ids(known, name, by_id.where("not own").select(F.col("doc_id").alias(name)), "left_anti")
+    several = cut(by_id.where("own and rows > 1").select(F.col("doc_id").alias(name)))
+    repeated = _with_ids(known, name, several, "left_semi").dropDuplicates([name])
+    single = _with_ids(known, name, several, "left_anti")
+    others = docs.where("doc_id is null").withColumn(name, F.sha2("text", 256)).dropDuplicates([name])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return known.select(*columns).union(others.select(*columns))
+    return single.select(*columns).union(repeated.select(*columns)).union(others.select(*columns))
