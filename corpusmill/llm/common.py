@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers outlive stages: Arrow's own pools keep what a stage has freed, the system's gives large buffers back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
