@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from corpusmill.operators import rows
 from corpusmill.operators.intervals import with_offsets
 from corpusmill.plans import sequence_queries
+from corpusmill.plans.tables import TABLES
 from corpusmill.plans.text_queries import read
 from corpusmill.sources import readers, sinks
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
