@@ -39,6 +39,25 @@ def chunk_texts(df: DataFrame, size: int = 2000, suffix: str = "\n\n", by: tuple
     return joined.select(*by, "chunk", strip(F.array_join(F.col("p.piece"), "")).alias("text")).where("text <> ''")
 
 
+def chunk_records(df: DataFrame, size: int = 2000, suffix: str = "\n\n", by: tuple[str, ...] = ("file",), order: str = "row_idx", label: str = "source", whole: str | None = None) -> DataFrame:
+    """Like ``chunk_texts``, with the label of the record that completes each chunk (for a last, short one the last record).
+
+    Where the column ``whole`` is false, the records were cut off, and what they leave beyond
+    full chunks is no chunk.
+    """
+    flag = F.coalesce(F.col(whole), F.lit(True)) if whole else F.lit(True)
+    rows = df.where("text <> ''").select(*by, order, F.col(label).alias("_label"), flag.alias("_whole"), F.concat("text", F.lit(suffix)).alias("text"))
+    placed = with_offsets(rows, F.length("text"), order, by)
+    end = F.col("offset") + F.length("text")
+    dealt = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((end - 1) / size))))
+    low = F.greatest(F.col("chunk") * size - F.col("offset"), F.lit(0))
+    high = F.least((F.col("chunk") + 1) * size - F.col("offset"), F.length("text"))
+    pieces = dealt.select(*by, "chunk", "_label", "_whole", "offset", F.substring("text", (low + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    joined = pieces.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("p"), F.max_by("_label", "offset").alias(label), F.bool_and("_whole").alias("_whole"))
+    text = joined.withColumn("text", F.array_join(F.col("p.piece"), "")).where(F.col("_whole") | (F.length("text") == size))
+    return text.select(*by, "chunk", label, strip(F.col("text")).alias("text")).where("text <> ''")
+
+
 def pack_tokens(df: DataFrame, block: int, order: str = "row_idx", tokens: str = "tokens", pad: int | None = None, least: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
     """Windows of block + 1 tokens, one token apart from the next by ``block``, over the documents in order.
 

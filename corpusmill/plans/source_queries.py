@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import rows
-from corpusmill.operators.intervals import with_offsets
+from corpusmill.operators.intervals import chunk_records, with_offsets
 from corpusmill.plans import sequence_queries
 from corpusmill.plans.tables import TABLES
 from corpusmill.plans.text_queries import read
@@ -121,6 +121,22 @@ SELECT row_idx, md5(text) AS digest, source || '}"' AS source, true AS whole
 FROM (SELECT row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS row_idx, text, source FROM documents) WHERE text <> ''"""
 
 
+def json_array_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of four JSON arrays in chunks, with the source of the record that completes each."""
+    path = sinks.scratch_path(spark, "chunked")
+    sinks.write_json_arrays(_documents(spark, sf_dir), path, F.to_json(F.struct("text", "source")), "doc_id", 4)
+    chunks = chunk_records(readers.read_json_arrays(spark, path), whole="whole")
+    return chunks.select(F.substring("file", 6, 5).cast("long").alias("file"), "chunk", "source", F.md5("text").alias("digest"))
+
+
+JSON_ARRAY_CHUNKS = r"""
+WITH d AS (SELECT doc_id % 4 AS file, doc_id, source, text || E'\n\n' AS t FROM documents WHERE text <> ''),
+o AS (SELECT *, sum(length(t)) OVER w - length(t) AS b, sum(length(t)) OVER w AS e FROM d WINDOW w AS (PARTITION BY file ORDER BY doc_id)),
+j AS (SELECT file, string_agg(t, '' ORDER BY doc_id) AS t FROM d GROUP BY file),
+c AS (SELECT file, k AS chunk, substr(t, (k * 2000 + 1)::BIGINT, 2000) AS t, least((k + 1) * 2000, length(t)) AS stop FROM j, unnest(range(0, (length(t) - 1) // 2000 + 1)) AS u(k))
+SELECT c.file, c.chunk, o.source, md5(trim(c.t, E' \t\n')) AS digest FROM c JOIN o ON o.file = c.file AND o.b < c.stop AND o.e >= c.stop WHERE trim(c.t, E' \t\n') <> ''"""
+
+
 def corpus_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir)
     path = sinks.scratch_path(spark, "corpus")
@@ -250,13 +266,13 @@ SOURCE_LIMITS = "SELECT source, doc_id FROM documents QUALIFY row_number() OVER
 
 QUERIES = {
     "lines_round_trip": lines_round_trip, "jsonl_translations": jsonl_translations, "jsonl_segments": jsonl_segments, "jsonl_forum": jsonl_forum, "jsonl_instructions": jsonl_instructions,
-    "jsonl_questions": jsonl_questions, "json_array_records": json_array_records, "json_array_documents": json_array_documents, "corpus_jsonl": corpus_jsonl, "chat_jsonl": chat_jsonl, "parquet_upper_text": parquet_upper_text,
+    "jsonl_questions": jsonl_questions, "json_array_records": json_array_records, "json_array_documents": json_array_documents, "json_array_chunks": json_array_chunks, "corpus_jsonl": corpus_jsonl, "chat_jsonl": chat_jsonl, "parquet_upper_text": parquet_upper_text,
     "parquet_translations": parquet_translations, "written_text": written_text, "written_and_counted": written_and_counted, "json_lines_safe": json_lines_safe, "footer_counts": footer_counts,
     "packed_written": packed_written, "sft_written": sft_written, "sharded_texts": sharded_texts, "stored_tokens": stored_tokens, "source_limits": source_limits,
 }
 ORACLES = {
     "lines_round_trip": LINES, "jsonl_translations": JSONL_TRANSLATIONS, "jsonl_segments": JSONL_SEGMENTS, "jsonl_forum": JSONL_FORUM, "jsonl_instructions": JSONL_INSTRUCTIONS,
-    "jsonl_questions": JSONL_QUESTIONS, "json_array_records": JSON_ARRAY, "json_array_documents": JSON_ARRAY_DOCUMENTS, "corpus_jsonl": CORPUS_JSONL, "chat_jsonl": CHAT_JSONL, "parquet_upper_text": PARQUET_TEXT,
+    "jsonl_questions": JSONL_QUESTIONS, "json_array_records": JSON_ARRAY, "json_array_documents": JSON_ARRAY_DOCUMENTS, "json_array_chunks": JSON_ARRAY_CHUNKS, "corpus_jsonl": CORPUS_JSONL, "chat_jsonl": CHAT_JSONL, "parquet_upper_text": PARQUET_TEXT,
     "parquet_translations": PARQUET_TRANSLATIONS, "written_text": PARQUET_TEXT, "written_and_counted": COUNTED, "json_lines_safe": JSON_SAFE, "footer_counts": FOOTERS,
     "packed_written": sequence_queries.PACK_BLOCKS, "sft_written": SFT_WRITTEN, "sharded_texts": SHARDED_TEXTS, "stored_tokens": STORED_TOKENS, "source_limits": SOURCE_LIMITS,
 }

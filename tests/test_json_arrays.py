@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from corpusmill.operators.intervals import chunk_records
 from corpusmill.sources import readers
 from corpusmill.sources.json_arrays import array_objects
 
@@ -84,3 +85,12 @@ def test_a_file_is_many_tasks(spark, small_splits, tmp_path):
     assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 10
     assert sorted((r.row_idx, r.text, r.source) for r in found.collect()) == [(i, f"text {i} }}", "s" if i % 2 else "a.json") for i in range(80)]
     assert sorted(r.row_idx for r in readers.read_json_arrays(spark, str(tmp_path), limit=7).collect()) == list(range(7))
+
+
+def test_chunks_of_broken_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text":"abcd","source":"x"},{"text":"efgh","source":"y"},{"text":"i","source":"z"}]')
+    (tmp_path / "b.json").write_text('[{"text":"abcd","source":"x"},{"text":"efgh","source":"y"},{"text":"i","source":"z"},{"te')
+    chunks = chunk_records(readers.read_json_arrays(spark, str(tmp_path)), size=6, whole="whole")
+    whole = [(0, "x", "abcd"), (1, "y", "efgh"), (2, "z", "i")]
+    got = {(r.file, r.chunk, r.source, r.text) for r in chunks.collect()}
+    assert got == {("a.json", *c) for c in whole} | {("b.json", *c) for c in whole[:2]}
