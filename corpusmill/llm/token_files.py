@@ -205,21 +205,38 @@ def _dealt(shards: np.ndarray, first: np.ndarray, last: np.ndarray):
     return dealt
 
 
+def _records(shard_body: pa.Buffer, number: int, keys: np.ndarray) -> list[tuple]:
+    """(key, shard, ids) of the keys that a shard holds, read in place."""
+    shard = Shard(shard_body)
+    found = zip(keys.tolist(), shard.find(keys).tolist(), strict=True)
+    return [(key, number, shard.ids(record).astype(np.int64)) for key, record in found if record >= 0 and shard.keys[record] == key]
+
+
+def _record_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "shard", "ids"])
+
+
 def _lookup(table: pa.Table, wanted: pa.Table) -> pa.Table:
-    keys, rows = ids_of(wanted.column("key")), []
-    for number, body in zip(table.column("shard").to_pylist(), table.column("body"), strict=True):
-        shard = Shard(body.as_buffer())
-        for key, record in zip(keys.tolist(), shard.find(keys).tolist(), strict=True):
-            if record >= 0 and shard.keys[record] == key:
-                rows.append((key, number, shard.ids(record).astype(np.int64)))
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "shard", "ids"])
+    keys = ids_of(wanted.column("key"))
+    return _record_table([r for number, body in zip(table.column("shard").to_pylist(), table.column("body"), strict=True) for r in _records(body.as_buffer(), number, keys)])
 
 
-def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame, most_ranges: int = 1 << 20) -> DataFrame:
+def _lookup_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, body, keys in zip(batch.column("shard").to_pylist(), batch.column("body"), batch.column("keys").to_pylist(), strict=True):
+            yield from _record_table(_records(body.as_buffer(), number, np.array(keys, np.int64))).to_batches()
+
+
+def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame, most_ranges: int = 1 << 20, most_keys: int = 2_000_000, most_literals: int = 1000) -> DataFrame:
     """(doc_id, ids) of the keys in wanted (doc_id) that the files at path hold, by the shards' indexes; repeated keys give their first record.
 
     The shards' key ranges are sent to tasks up to ``most_ranges`` of them (24 MB) and joined
-    beyond. Only the shards whose range holds a wanted key are read and moved.
+    beyond. Up to ``most_keys`` pairs of a key and a shard that may hold it are broadcast: then
+    only files with such a shard are read, up to ``most_literals`` shards are named in the
+    scan's own filter, and bodies are read where they are, not moved. More keys meet the shards by
+    a shuffle of those that match. Null and unknown keys give no row, and neither does an empty
+    table of keys.
     """
     shards = spark.read.schema(_SHARDS).parquet(path)
     keys = wanted.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
@@ -232,8 +249,20 @@ def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame, most_ranges
         blocks = F.explode(F.sequence(F.floor(F.col("first_key") / width), F.floor(F.col("last_key") / width))).alias("block")
         met = keys.withColumn("block", F.floor(F.col("key") / width)).join(spark.read.schema(_SHARDS).parquet(path).select("shard", "first_key", "last_key", blocks), "block")
         dealt = cut(met.where("key between first_key and last_key").select("shard", "key").distinct())
-    matched = shards.select("shard", "body").join(dealt.select("shard").distinct(), "shard", "left_semi")
-    found = matched.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_lookup, "doc_id long, shard long, ids array<long>")
+    by_shard = dealt.groupBy("shard").agg(F.collect_list("key").alias("keys"))
+    pairs = dealt.count()
+    if not pairs:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    if pairs <= most_keys:
+        matched = by_shard.select("shard")
+        held = shards.select("shard", F.col("_metadata.file_path").alias("file")).join(F.broadcast(matched), "shard").select("file").distinct()
+        some = spark.read.schema(_SHARDS).parquet(*(r["file"] for r in held.collect()))  # as many files as shards at most
+        numbers = [r["shard"] for r in matched.limit(most_literals + 1).collect()]
+        some = some.where(F.col("shard").isin(numbers)) if len(numbers) <= most_literals else some
+        found = some.select("shard", "body").join(F.broadcast(by_shard), "shard").mapInArrow(_lookup_in_place, "doc_id long, shard long, ids array<long>")
+    else:
+        moved = shards.select("shard", "body").join(by_shard.select("shard"), "shard", "left_semi")
+        found = moved.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_lookup, "doc_id long, shard long, ids array<long>")
     return found.groupBy("doc_id").agg(F.min_by("ids", "shard").alias("ids"))
 
 

@@ -77,9 +77,14 @@ def test_lookup(spark, tmp_path):
     rows = [(i * i, t) for i, t in enumerate(texts(8, 50))]
     token_files.write_token_files(frame(spark, rows), f"{tmp_path}/t", vocabulary("word_bpe_49k.json"), "words", 2, partition_bytes=3000, shard_bytes=500)
     wanted = spark.createDataFrame([(0,), (49,), (50,), (2401,), (None,), (-1,)], "doc_id long")
-    for most in (100, 0):
-        got = {r.doc_id: r.ids for r in token_files.lookup_tokens(spark, f"{tmp_path}/t", wanted, most).collect()}
-        assert got == {k: library("word_bpe_49k.json", [dict(rows)[k]])[0] + [2] for k in (0, 49, 2401)}
+    for sizes in ({}, {"most_ranges": 0}, {"most_keys": 0}, {"most_literals": 0}, {"most_ranges": 0, "most_keys": 0}):
+        found = token_files.lookup_tokens(spark, f"{tmp_path}/t", wanted, **sizes)
+        assert {r.doc_id: r.ids for r in found.collect()} == {k: library("word_bpe_49k.json", [dict(rows)[k]])[0] + [2] for k in (0, 49, 2401)}
+        if not sizes:  # few files are read, shards are named in the scan, and their bodies aren't shuffled
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert 0 < len(found.inputFiles()) <= 3 < len(spark.read.parquet(f"{tmp_path}/t").inputFiles())
+            assert "PushedFilters: [" in plan and "In(shard, [" in plan and "SortMergeJoin" not in plan
+    assert token_files.lookup_tokens(spark, f"{tmp_path}/t", wanted.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
