@@ -39,12 +39,9 @@ def _positions(key: Column, depth: int, bits: int, hashes: int) -> list[Column]:
 
 
 def _passes(key: Column, depth: int, level: Level) -> Column:
-    words = F.lit(level.words)
-    found = F.lit(True)
-    for at in _positions(key, depth, level.bits, level.hashes):
-        byte = F.conv(F.hex(F.substring(words, (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
-        found = found & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-    return found
+    """Whether all of a key's bits are on. The plan names a level's bytes once, however many hashes it has."""
+    byte = lambda at: F.conv(F.hex(F.substring(F.lit(level.words), (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    return F.forall(F.array(*_positions(key, depth, level.bits, level.hashes)), lambda at: F.getbit(byte(at), F.pmod(at, F.lit(8)).cast("int")) == 1)
 
 
 def _level(keys: DataFrame, depth: int, n: int, rate: float) -> Level:
