@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import code_points
-from corpusmill.operators import chat, intervals, metrics
+from corpusmill.operators import chat, intervals, metrics, sft
 from corpusmill.plans.text_queries import documents, read
 
 BLOCK, SFT_BLOCK = 2048, 512
@@ -74,7 +74,9 @@ PACK_COUNTS = f"SELECT count(*) AS docs_seen, count(*) FILTER (text <> '') AS do
 
 def pack_labels_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = intervals.shifted_labels(F.col("token_ids"), F.col("seq_ids"), BLOCK)
-    return packed(spark, sf_dir).select("window", _weighed(labels).alias("labels"), _total(F.transform(labels, lambda x: (x == -100).cast("int"))).alias("masked"), _total(intervals.loss_mask(F.col("seq_ids"), BLOCK)).alias("active"), _total(intervals.start_mask(F.col("sequence_starts"), BLOCK).cast("array<int>")).alias("starts"))
+    rows = packed(spark, sf_dir).select("window", "seq_ids", "sequence_starts", labels.alias("labels"))  # worked out once
+    masked, starts = F.transform("labels", lambda x: (x == -100).cast("int")), intervals.start_mask(F.col("sequence_starts"), BLOCK)
+    return rows.select("window", _weighed(F.col("labels")).alias("labels"), _total(masked).alias("masked"), _total(intervals.loss_mask(F.col("seq_ids"), BLOCK)).alias("active"), _total(starts.cast("array<int>")).alias("starts"))
 
 
 PACK_LABELS = f"""
@@ -217,8 +219,7 @@ SFT_ROLES = f"WITH {_THINK}, source AS (SELECT * FROM thinking), {_ENCODED} SELE
 
 
 def sft_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encoded(spark, sf_dir).select(F.col("conv_id").alias("row_idx"), F.col("e.tok").alias("tokens"), F.col("e.w").alias("target_loss_weights"), F.col("e.role").alias("target_role_ids"))
-    return intervals.pack_tokens(rows, SFT_BLOCK, pad=0, extra=("target_loss_weights", "target_role_ids"))
+    return sft.pack_sft(encoded(spark, sf_dir), SFT_BLOCK, "conv_id")
 
 
 def sft_pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +255,7 @@ SELECT win AS window, count(*) AS n, sum(b - win * {SFT_BLOCK})::BIGINT AS begin
 
 
 def _clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encoded(spark, sf_dir)
-    placed = intervals.with_offsets(rows, F.size("e"), "conv_id")
-    spans = placed.select(F.col("offset"), F.explode(chat.answer_spans(F.col("e"))).alias("s")).select((F.col("offset") + F.col("s.begin")).alias("begin"), (F.col("offset") + F.col("s.end")).alias("end"))
-    return intervals.clip_spans(spans, SFT_BLOCK, rows.agg(F.sum(F.size("e"))).first()[0] or 0)
+    return sft.answer_spans_in_windows(encoded(spark, sf_dir), SFT_BLOCK, "conv_id")
 
 
 def tube_loss_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,21 +219,25 @@ def packed_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed conversations written, checked on the way back, and made into samples."""
+    """Packed conversations with their answers' spans written, checked on the way back, and made into samples."""
     block, path = sequence_queries.SFT_BLOCK, sinks.scratch_path(spark, "sft")
-    none = F.array().cast("array<int>")
-    sinks.write_packed(sequence_queries.sft_packed(spark, sf_dir).withColumns({"stp_span_starts": none, "stp_span_ends": none}), path, block, form="packed-sft-v1")
+    sinks.write_packed(sequence_queries.sft_packed(spark, sf_dir), path, block, form="packed-sft-v1")
     found = readers.read_packed_sft(spark, path, block)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
-    return found.select("window", total(F.col("labels")).alias("labels"), F.round(F.aggregate("loss_mask", F.lit(0.0), lambda s, v: s + v), 6).alias("weight"), total(F.col("target_role_ids")).alias("roles"))
+    weight = F.round(F.aggregate("loss_mask", F.lit(0.0), lambda s, v: s + v), 6).alias("weight")
+    spans = F.size("spans").cast("long").alias("spans"), total(F.col("spans.begin")).alias("begins"), total(F.col("spans.end")).alias("ends")
+    return found.select("window", total(F.col("labels")).alias("labels"), weight, total(F.col("target_role_ids")).alias("roles"), *spans)
 
 
 SFT_WRITTEN = f"""
 WITH {sequence_queries._SFT_WINDOWS},
-next AS (SELECT *, lead(tok) OVER o AS t1, lead(d) OVER o AS d1, lead(w) OVER o AS w1 FROM windows WINDOW o AS (PARTITION BY win ORDER BY j))
-SELECT win AS window, sum(CASE WHEN j = {sequence_queries.SFT_BLOCK} THEN 0 WHEN d1 = d AND d >= 0 THEN t1 ELSE -100 END)::BIGINT AS labels,
-  round(sum(CASE WHEN j < {sequence_queries.SFT_BLOCK} AND d1 = d AND d >= 0 THEN w1 ELSE 0 END), 6) AS weight, sum(CASE WHEN j > 0 THEN role ELSE 0 END)::BIGINT AS roles
-FROM next GROUP BY win"""
+next AS (SELECT *, lead(tok) OVER o AS t1, lead(d) OVER o AS d1, lead(w) OVER o AS w1 FROM windows WINDOW o AS (PARTITION BY win ORDER BY j)),
+rows_ AS (
+  SELECT win AS "window", sum(CASE WHEN j = {sequence_queries.SFT_BLOCK} THEN 0 WHEN d1 = d AND d >= 0 THEN t1 ELSE -100 END)::BIGINT AS labels,
+    round(sum(CASE WHEN j < {sequence_queries.SFT_BLOCK} AND d1 = d AND d >= 0 THEN w1 ELSE 0 END), 6) AS weight, sum(CASE WHEN j > 0 THEN role ELSE 0 END)::BIGINT AS roles
+  FROM next GROUP BY win),
+s AS ({sequence_queries.SFT_SPANS})
+SELECT "window", labels, weight, roles, coalesce(n, 0) AS spans, coalesce(begins, 0)::BIGINT AS begins, coalesce(ends, 0)::BIGINT AS ends FROM rows_ LEFT JOIN s USING ("window")"""
 
 
 def sharded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

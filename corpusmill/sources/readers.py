@@ -165,13 +165,13 @@ def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_jsonl(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Chat records in the order of files and lines, at most ``most``; a malformed line or one without messages fails the read with its number."""
+    """Chat records (_path, at, messages) in the order of files and lines, at most ``most``; a malformed line or one without messages fails the read with its number."""
     lines = line_rows(spark, path).withColumnRenamed("row_idx", "at").where(strip(F.col("line")) != "").orderBy("_path", "at")
     lines = lines.limit(most) if most is not None else lines
     bad = F.try_parse_json("line").isNull()
     missing = ~F.array_contains(F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>")), "messages")
     checked = F.when(bad, F.raise_error(F.concat(F.lit("line "), F.col("at") + 1, F.lit(": invalid JSON")))).when(missing, F.raise_error(F.concat(F.lit("line "), F.col("at") + 1, F.lit(": no messages")))).otherwise(F.col("line"))
-    return lines.select("at", F.from_json(checked, "messages array<struct<role:string,content:string>>")["messages"].alias("messages"))
+    return lines.select("_path", "at", F.from_json(checked, "messages array<struct<role:string,content:string>>")["messages"].alias("messages"))
 
 
 def is_packed(df: DataFrame) -> bool:

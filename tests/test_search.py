@@ -181,3 +181,19 @@ def test_views_and_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/split").where("is_val").count() == round(0.25 * spark.read.parquet(f"{tmp_path}/split").count())
     command_line.main(["sql", "SELECT r_name FROM region", SF, "--out", f"{tmp_path}/sql"])
     assert spark.read.parquet(f"{tmp_path}/sql").count() == 5
+
+
+def test_build_and_pack_sft_commands(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text":"abcd","source":"x"},{"text":"efgh","source":"y"}]')
+    command_line.main(["build", "json", f"{tmp_path}/a.json", f"{tmp_path}/chunks", "--chunk-size", "6"])
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/chunks").collect()} == {("abcd", "x"), ("efgh", "y")}
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"问": f"q{i}", "答": "a"}, ensure_ascii=False) + "\n" for i in range(5)), encoding="utf-8")
+    command_line.main(["build", "jsonl", f"{tmp_path}/b.jsonl", f"{tmp_path}/lines", "--limit", "2"])
+    assert [r.text for r in spark.read.parquet(f"{tmp_path}/lines").collect()] == ["q0\na\n\nq1\na"]
+    chats = [[{"role": "user", "content": f"u{i}"}, {"role": "assistant", "content": "answer " * 5}] for i in range(10)] + [[{"role": "user", "content": "alone"}]]
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"messages": m}) + "\n" for m in chats))
+    command_line.main(["pack-sft", f"{tmp_path}/c.jsonl", f"{tmp_path}/sft", "--block-size", "64", "--val-ratio", "0.2"])
+    samples = {n: readers.read_packed_sft(spark, f"{tmp_path}/sft/{n}", 64).collect() for n in ("train", "val")}
+    assert len(samples["train"]) > len(samples["val"]) > 0
+    for r in samples["train"] + samples["val"]:
+        assert r.spans and all(set(r.target_role_ids[s.begin : s.end - 1]) <= {4} for s in r.spans)
