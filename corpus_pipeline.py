@@ -42,7 +42,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that earlier documents hold; documents of which nothing but white space is left go."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    found = suffix_dedup.suffix_dedup(docs.select("doc_id", "text", own.alias("_columns")), carry=("_columns",), characters=True)
+    # smaller blocks and buckets than alone: workers of the stages before still hold memory
+    found = suffix_dedup.suffix_dedup(docs.select("doc_id", "text", own.alias("_columns")), carry=("_columns",), characters=True, block_bytes=2 << 20, bucket_bytes=2 << 20)
     left = found.where((F.col("n_removed") == 0) | F.col("kept").cast("string").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(left.select("_columns.*", F.col("kept").cast("string").alias("text")), F.col("text")).select(*_columns(docs))
 
