@@ -123,10 +123,10 @@ def _measured(limits: Limits):
         release_memory()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            raw, found, a = data.tobytes(), [], 0
+            found, a = [], 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
-                found.append(measure([raw[x:y] for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)], limits))
+                found.append(measure([data[x:y].tobytes() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)], limits))
                 a = b
             rows = np.concatenate([*found, np.zeros((0, len(_NAMES)), np.int64)])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(_NAMES)))], [*batch.schema.names, *(_OWN + n for n in _NAMES)])

@@ -149,8 +149,10 @@ class Encoder:
         release_memory(self)
 
     def drop(self) -> None:
+        """Give up the words, and the worker's hold on this encoder: its vocabulary goes as well once no task uses it."""
         for cache in (self.words, self.others, self.ends):
             cache.old, cache.new = {}, {}
+        shared_encoder.cache_clear()
 
     def _units(self, units: pa.Array) -> tuple[Ids, np.ndarray]:
         """The ids of distinct units, and which units have white space that doesn't stand alone (they get no ids).
