@@ -143,7 +143,7 @@ def mask_tiles(df: DataFrame, key: str, seqs: Column, tile: int = 128, width: in
     a row becomes has a row for each of its sequences and each tile that is live, so long blocks
     never need the mask itself.
     """
-    runs = df.select(key, F.inline(segments(seqs)))
+    runs = df.select(key, seqs.alias("_seqs")).select(key, F.inline(segments(F.col("_seqs"))))  # a column, so that lambdas don't work it out again
     q = runs.withColumn("q_tile", F.explode(F.sequence(F.floor(F.col("begin") / tile), F.floor((F.col("end") - 1) / tile))))
     q = q.withColumn("q_low", F.greatest("begin", F.col("q_tile") * tile)).withColumn("q_high", F.least(F.col("end") - 1, (F.col("q_tile") + 1) * tile - 1))
     first = F.col("begin") if width is None else F.greatest(F.col("begin"), F.col("q_low") - (width - 1))
