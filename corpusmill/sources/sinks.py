@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
 from corpusmill.operators.metrics import json_safe
 from corpusmill.sources.files import noted
 
@@ -31,7 +32,7 @@ def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False,
         right = right & (F.size("stp_span_starts") == F.size("stp_span_ends"))
     if "seq_ids" in df.columns:  # padding, below 0, stays
         first = F.array_min(F.filter("seq_ids", lambda s: s >= 0))
-        df = df.withColumn("seq_ids", F.transform("seq_ids", lambda s: F.when(s >= 0, s - first).otherwise(s)))
+        df = df.withColumn("seq_ids", let(first, lambda f: F.transform("seq_ids", lambda s: F.when(s >= 0, s - f).otherwise(s))))
     checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long, or its spans have no end"))))
     checked = noted(checked, arrays[0], block_size=block, format=form)  # in the footer of every file
     checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
