@@ -328,8 +328,8 @@ def _cut(path: str, style: str, end_id: int, size: int, part_bytes: int = 2 << 2
         release_memory(encode)
         for batch in batches:
             at = 0
-            for texts in parts_of(batch.column("text").cast(pa.large_string()), part_bytes):
-                flat, offsets = with_end(*encode(texts), end_id)
+            for texts in parts_of(batch.column("text"), part_bytes):
+                flat, offsets = with_end(*encode(texts.cast(pa.large_string())), end_id)
                 doc, piece, start, length = pieces_of(np.diff(offsets), size)
                 edges = np.append(offsets[doc] + start, len(flat))
                 raw = memoryview(flat.astype("<u4", copy=False).view(np.uint8))

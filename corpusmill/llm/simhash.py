@@ -84,9 +84,9 @@ def _fingerprints(size: int, seed: int, words: int):
         for batch in batches:
             column = batch.column("text")
             data, offsets = buffers(column)
-            raw, found, held, total = data.tobytes(), [np.zeros((words, 0), U64)], [], 0
+            found, held, total = [np.zeros((words, 0), U64)], [], 0
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                held.append(shingle_hashes(raw[a:b], size, seed))
+                held.append(shingle_hashes(data[a:b].tobytes(), size, seed))
                 total += len(held[-1])
                 if total > 200_000:
                     found.append(of(held))
@@ -317,11 +317,12 @@ def simhash_groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
     nothing else has a null id. Texts of any length are read whole, a batch at a time; other
     columns are ignored, and an empty table gives an empty result.
     """
-    return _grouped(simhash(docs, size, seed), lambda classes: fingerprint_links(classes, radius))
+    return _grouped(simhash(docs, size, seed), lambda classes: components(fingerprint_links(classes, radius)))
 
 
 def _shingle_sets(size: int, seed: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for part in range(0, batch.num_rows, 200):
                 some = batch.slice(part, 200)
@@ -413,22 +414,27 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, seed
     texts are held whole, a few at a time.
     """
 
-    def links(classes: DataFrame) -> DataFrame:
+    def connected(classes: DataFrame) -> DataFrame:
         known = classes.where(F.col("node") != NO_ID)
         radius, masks = similar_radius(similarity, words), sampled_masks(known.count(), similarity, words)
         near = fingerprint_links(known, radius, masks=masks)
         checked = cut(similar_links(docs, cut(near.distinct()), similarity, size, seed))
-        labelled = known.join(components(checked), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        return checked.union(crossing_links(docs, labelled, radius, masks, similarity, size, seed))
+        first = components(checked)
+        labelled = known.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        crossing = cut(crossing_links(docs, labelled, radius, masks, similarity, size, seed))
+        if not crossing.head(1):
+            return first
+        stars = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return components(stars.union(crossing))
 
-    return _grouped(simhash(docs, size, seed, words), links)
+    return _grouped(simhash(docs, size, seed, words), connected)
 
 
-def _grouped(rows: DataFrame, links) -> DataFrame:
+def _grouped(rows: DataFrame, connected) -> DataFrame:
     fps = [c for c in rows.columns if c != "doc_id"]
     rows = cut(rows)
     classes = cut(rows.groupBy(*fps).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")))
-    labelled = classes.join(components(links(classes)), "node", "left").select(*fps, F.nullif(F.coalesce("component", "node"), F.lit(NO_ID)).alias("component_id"))
+    labelled = classes.join(connected(classes), "node", "left").select(*fps, F.nullif(F.coalesce("component", "node"), F.lit(NO_ID)).alias("component_id"))
     return rows.join(labelled, fps).select("doc_id", *fps, "component_id")
 
 
