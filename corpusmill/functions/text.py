@@ -6,6 +6,9 @@ assigned since then count as unassigned and are removed by ``normalize``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +126,11 @@ def code_points(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ""), F.ascii))
 
 
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """How many of ``lists.flatten()`` each list has; none where it is null."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def splitlines(c: Column) -> Column:
     """Lines as Python's ``str.splitlines`` cuts them, without a last empty one."""
     return F.split(F.regexp_replace(c, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)

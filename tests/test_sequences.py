@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import code_points
 from corpusmill.operators import intervals, rows
 
 PACKED = ([10, 11, 1, 20, 21, 1, 30], [0, 0, 0, 1, 1, 1, 2], [True, False, False, True, False, False, True])
@@ -87,3 +88,25 @@ def test_split_and_shards(spark):
 def test_dedup_keeps_the_first_stage(spark):
     df = spark.createDataFrame([("x", 1, 0, "s1"), ("x", 0, 5, "s-init"), ("y", 1, 1, "s1")], "text string, stage_ord int, row_idx int, source string")
     assert {(r.text, r.source) for r in rows.dedup_first(df).collect()} == {("x", "s-init"), ("y", "s1")}
+
+
+def test_tokens_made_after_offsets_pack_alike(spark):
+    docs = spark.createDataFrame([(0, "abc"), (600, "d"), (5000, "efghij"), (5001, "")], "row_idx long, text string")
+    ids = F.concat(code_points(F.col("text")), F.array(F.lit(1)))
+    late = intervals.pack_tokens(docs, 4, tokens=ids, size=F.length("text") + 1)
+    early = intervals.pack_tokens(docs.select("row_idx", ids.alias("tokens")), 4)
+    assert late.columns == early.columns and sorted(late.collect()) == sorted(early.collect()) and late.count() == 3
+
+
+def test_places_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(0, [1, 2, 3])], "row_idx long, tokens array<int>")
+    plan = intervals.pack_tokens(docs, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(offset" in plan and "low" in plan and ", p, " not in plan
+
+
+def test_visible_keys_of_null_and_empty_rows(spark):
+    rows = spark.createDataFrame([(0, [7, 7, 8, -1]), (1, None), (2, []), (3, [8, 8])], "k int, s array<int>")
+    got = {r.k: r for r in rows.select("k", intervals.visible_keys(F.col("s")).alias("v"), intervals.visible_keys(F.col("s"), 1).alias("w"), intervals.loss_mask(F.col("s"), 3).alias("m")).collect()}
+    assert [got[k].v for k in range(4)] == [[1, 2, 1, 0], None, [], [1, 2]]
+    assert got[0].w == [1, 1, 1, 0] and got[3].w == [1, 1]
+    assert got[0].m == [1.0, 0.0, 0.0] and got[1].m is None and got[3].m == [1.0]
