@@ -12,14 +12,16 @@ from corpusmill.plans.text_queries import CLEAN_CTE, documents
 from corpusmill.sources import sinks
 from corpusmill.streaming import feeds
 
-BLOCK, SHARDS, FILES = 512, 3, 4
+BLOCK, SHARDS, BATCHES, ROWS = 512, 3, 4, 4096
 
 
-def _files(df: DataFrame, key: str, name: str, form: str = "parquet") -> str:
-    """df in FILES files, rows dealt by a hash of their key, so that each file has rows from all over the table."""
-    path = sinks.scratch_path(df.sparkSession, name)
-    df.repartitionById(FILES, F.pmod(F.xxhash64(key), F.lit(FILES)).cast("int")).write.format(form).save(path)
-    return path
+def _files(df: DataFrame, key: str, name: str, form: str = "parquet") -> tuple[str, int]:
+    """(path, files a batch): df in files of about ROWS rows, dealt by a hash of their key, so that each file has rows from all over the table; BATCHES batches take them all."""
+    spark, path = df.sparkSession, sinks.scratch_path(df.sparkSession, name)
+    each = max(1, -(-df.select(key).count() // (BATCHES * ROWS)))
+    n = BATCHES * each
+    df.repartitionById(n, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).write.format(form).save(path)
+    return path, each
 
 
 def _run(stream: DataFrame, name: str) -> DataFrame:
@@ -27,15 +29,15 @@ def _run(stream: DataFrame, name: str) -> DataFrame:
     return feeds.run_available(stream, sinks.scratch_path(spark, name), sinks.scratch_path(spark, f"{name}-state"))[0]
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _read(spark: SparkSession, found: tuple[str, int], schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", found[1]).parquet(found[0])
 
 
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose rows arrive out of order, packed by shards in the order of their numbers."""
     ids = F.when(F.col("text") != "", F.concat(code_points(F.col("text")), F.array(F.lit(1))))
-    rows = with_offsets(documents(spark, sf_dir), F.lit(1), "doc_id", name="row_idx").select("row_idx", ids.alias("tokens"))
-    stream = _read(spark, _files(rows, "row_idx", "stream-tokens"), "row_idx long, tokens array<int>")
+    rows = with_offsets(documents(spark, sf_dir), F.lit(1), "doc_id", name="row_idx", bucket=512).select("row_idx", "text")
+    stream = _read(spark, _files(rows, "row_idx", "stream-tokens"), "row_idx long, text string").select("row_idx", ids.alias("tokens"))
     packed = _run(feeds.pack_feed(stream, BLOCK, SHARDS), "stream-packed")
     return packed.select("shard", "window", sequence_queries._weighed(F.col("token_ids")).alias("tokens"))
 
@@ -62,8 +64,8 @@ STREAM_DEDUP = f"WITH {CLEAN_CTE} SELECT DISTINCT md5(text) AS digest, 1::BIGINT
 
 def stream_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with thinking that arrive as JSON lines, as they are stored."""
-    path = _files(sequence_queries.with_think(spark, sf_dir), "conv_id", "stream-chats", "json")
-    stored = _run(feeds.chat_feed(spark, path, extra="conv_id long", files_a_batch=1), "stream-stored")
+    path, each = _files(sequence_queries.with_think(spark, sf_dir), "conv_id", "stream-chats", "json")
+    stored = _run(feeds.chat_feed(spark, path, extra="conv_id long", files_a_batch=each), "stream-stored")
     return stored.select("conv_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")).alias("digest"))
 
 

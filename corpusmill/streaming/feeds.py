@@ -30,57 +30,107 @@ def clean_feed(texts: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return hashed.dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
+_MOST, _PIECE = 1 << 22, 1 << 18
 _WINDOW = "shard long, window long, token_ids array<int>"
 
 
 class _Packer(StatefulProcessor):
-    """A shard's rows in the order of their numbers, however files arrive: rows ahead of the next number wait in the state, and so does the tail of an unfinished window."""
+    """A shard's rows in the order of their numbers, however files arrive: rows ahead of the next number wait in the state, and so does the tail of an unfinished window.
+
+    Rows wait in pieces of about ``_PIECE`` ids, sorted by their numbers, since each access to the
+    state costs about as much as moving a piece. A piece is read when its first row's turn comes
+    and goes when its last row's is over. Windows leave by about ``_MOST`` ids.
+    """
 
     def __init__(self, block: int, count: int, patience: float | None) -> None:
         self.block, self.count, self.patience = block, count, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, window long, tail array<int>, timer long")
-        self.waiting = handle.getMapState("waiting", "row long", "tokens array<int>")
-
-    def _packed(self, key: tuple, new: dict[int, np.ndarray], now: int | None, skip: bool = False) -> Iterator[pd.DataFrame]:
-        at, window, tail, timer = self.place.get() if self.place.exists() else (int(key[0]), 0, [], None)
-        at, window, parts = int(at), int(window), [np.array(tail, np.int32)]
-        held = {int(k[0]) for k in self.waiting.keys()} - new.keys()
-        if skip and held:  # the rows before these are given up
-            at = min(held)
-        while at in new or at in held:
-            if at in new:
-                parts.append(new.pop(at))
-            else:
-                parts.append(np.array(self.waiting.getValue((at,))[0], np.int32))
-                self.waiting.removeKey((at,))
-                held.discard(at)
-            at += self.count
-        for row, ids in new.items():
-            if row > at:  # rows that were given up, or came before, are dropped
-                self.waiting.updateValue((row,), (ids.tolist(),))
-        stream = np.concatenate(parts)
+        self.place = handle.getValueState("place", "next long, window long, tail binary, timer long, pieces binary")
+        self.waiting = handle.getMapState("waiting", "piece long", "rows binary, sizes binary, ids binary")
+
+    def _wait(self, rows: list[int], lists: list[np.ndarray]) -> None:
+        """Rows in order, to the state."""
+        sizes = np.array([len(x) for x in lists], np.int64)
+        part = np.cumsum(sizes) // _PIECE
+        for k in np.unique(part).tolist():
+            a, b = np.searchsorted(part, [k, k + 1]).tolist()
+            number = int(self.pieces[:, 0].max(initial=-1)) + 1
+            self.waiting.updateValue((number,), (np.array(rows[a:b], np.int64).tobytes(), sizes[a:b].tobytes(), np.concatenate(lists[a:b]).tobytes()))
+            self.pieces = np.vstack((self.pieces, [[number, rows[a], rows[b - 1]]]))
+
+    def _piece(self, number: int) -> dict[int, np.ndarray]:
+        rows, sizes, ids = self.waiting.getValue((int(number),))
+        return dict(zip(np.frombuffer(rows, np.int64).tolist(), np.split(np.frombuffer(ids, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]), strict=True))
+
+    def _drain(self, key: tuple) -> Iterator[pd.DataFrame]:
+        """Rows whose turn has come, from the pieces that may hold them."""
+        order = self.pieces[np.argsort(self.pieces[:, 1], kind="stable")]
+        ready, taken = {}, 0
+        while True:
+            while taken < len(order) and order[taken, 1] <= self.at:
+                if order[taken, 2] >= self.at:
+                    ready |= {r: x for r, x in self._piece(order[taken, 0]).items() if r >= self.at}
+                taken += 1
+            if self.at not in ready:
+                break
+            yield from self._take(key, ready.pop(self.at))
+        for number in self.pieces[self.pieces[:, 2] < self.at, 0].tolist():
+            self.waiting.removeKey((number,))
+        self.pieces = self.pieces[self.pieces[:, 2] >= self.at]
+
+    def _windows(self, key: tuple) -> Iterator[pd.DataFrame]:
+        """The whole windows of what came in turn, which leaves their tail."""
+        stream = np.concatenate([self.tail, *self.parts])
         n = max(0, (len(stream) - 1) // self.block)
-        stuck = bool(held) or any(row > at for row in new)
+        self.tail, self.parts, self.size = stream[n * self.block :], [], 0
+        if n:
+            rows = [(int(key[0]), self.window + k, stream[k * self.block : (k + 1) * self.block + 1]) for k in range(n)]
+            self.window += n
+            yield pd.DataFrame(rows, columns=["shard", "window", "token_ids"])
+
+    def _take(self, key: tuple, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append(ids)
+        self.size += len(ids)
+        self.at += self.count
+        if self.size >= _MOST:
+            yield from self._windows(key)
+
+    def _packed(self, key: tuple, frames: Iterator[pd.DataFrame], now: int | None, skip: bool = False) -> Iterator[pd.DataFrame]:
+        at, window, tail, timer, pieces = self.place.get() if self.place.exists() else (int(key[0]), 0, b"", None, b"")
+        self.at, self.window, self.tail, self.parts, self.size = int(at), int(window), np.frombuffer(tail, np.int32), [], 0
+        self.pieces = np.frombuffer(pieces, np.int64).reshape(-1, 3)
+        if skip and len(self.pieces):  # the rows before these are given up
+            late = self.pieces[self.pieces[:, 1] < self.at, 0].tolist()
+            self.at = min([*self.pieces[self.pieces[:, 1] >= self.at, 1].tolist(), *(r for p in late for r in self._piece(p) if r >= self.at)])
+        for frame in frames:
+            frame = frame.sort_values("row_idx", kind="stable").drop_duplicates("row_idx", keep="last")
+            rows, lists = [], []
+            for row, t in zip(frame["row_idx"].tolist(), frame["tokens"], strict=True):
+                ids = np.asarray(t if t is not None else [], np.int32)
+                if row == self.at:
+                    yield from self._take(key, ids)
+                elif row > self.at:  # rows that were given up, or came before, are dropped
+                    rows.append(row)
+                    lists.append(ids)
+            if rows:
+                self._wait(rows, lists)
+        yield from self._drain(key)
+        yield from self._windows(key)
         if self.patience is not None and now is not None:
             if timer:
                 self.handle.deleteTimer(int(timer))
-            timer = now + int(1000 * self.patience) if stuck else None
+            timer = now + int(1000 * self.patience) if len(self.pieces) else None
             if timer:
                 self.handle.registerTimer(timer)
-        self.place.update((at, window + n, stream[n * self.block :].tolist(), timer))
-        if n:
-            rows = [(int(key[0]), window + k, stream[k * self.block : (k + 1) * self.block + 1]) for k in range(n)]
-            yield pd.DataFrame(rows, columns=["shard", "window", "token_ids"])
+        self.place.update((self.at, self.window, self.tail.tobytes(), timer, self.pieces.tobytes()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = {int(r): np.asarray(t if t is not None else [], np.int32) for frame in rows for r, t in zip(frame["row_idx"], frame["tokens"], strict=True)}
-        yield from self._packed(key, new, timerValues.getCurrentProcessingTimeInMs() if self.patience is not None else None)
+        yield from self._packed(key, rows, timerValues.getCurrentProcessingTimeInMs() if self.patience is not None else None)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._packed(key, {}, timerValues.getCurrentProcessingTimeInMs(), skip=True)
+        yield from self._packed(key, iter(()), timerValues.getCurrentProcessingTimeInMs(), skip=True)
 
     def close(self) -> None:
         pass

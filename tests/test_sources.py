@@ -3,6 +3,7 @@ import random
 import time
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.sources import readers, sinks
@@ -173,3 +174,38 @@ def test_packing_goes_on_without_a_row_after_a_while(spark, tmp_path):
     finally:
         query.stop()
     assert found == {0: [0, 0, 1], 1: [1, 1, 3], 2: [3, 3, 4], 3: [4, 4, 5]}
+
+
+def test_waiting_rows_cost_few_accesses_to_the_state():
+    class State(dict):
+        puts = 0
+
+        def exists(self):
+            return "v" in self
+
+        def get(self):
+            return self["v"]
+
+        def update(self, v):
+            self["v"] = v
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.puts += 1
+            self[k] = v
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k]
+
+    packer = feeds._Packer(4, 2, None)
+    packer.place, packer.waiting = State(), State()
+    rows = list(range(1, 2001, 2))
+    found = []
+    for part in (rows[1::2], rows[::2]):  # every other row first: all of them wait
+        for frame in packer._packed((1,), iter([pd.DataFrame({"row_idx": part[::-1], "tokens": [[r, r] for r in part[::-1]]})]), None):
+            found += frame["token_ids"].tolist()
+    stream = [r for r in rows for _ in (0, 1)]
+    assert [list(x) for x in found] == [stream[a : a + 5] for a in range(0, len(stream) - 4, 4)]
+    assert packer.waiting.puts <= 4 and not dict(packer.waiting)
