@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -128,11 +129,15 @@ def _entered(width: int):
 
 def _outputs(width: int):
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's first row holds the state before it and no step."""
+        """A chunk's first row, but for a sequence's first chunk, holds the state before it and no step."""
         for table in _whole_chunks(batches):
             heads = table.filter(pa.compute.is_valid(table.column("state")))
             table = table.filter(pa.compute.is_null(table.column("state")))
-            steps, state = _Steps(table, width), _matrices(heads.column("state"), width)
+            steps = _Steps(table, width)
+            state = np.zeros((steps.size, width, width))  # at a sequence's begin there is no head
+            if len(heads):
+                chunks = pd.MultiIndex.from_arrays([steps.seq[steps.first], steps.chunk[steps.first]])
+                state[chunks.get_indexer(pd.MultiIndex.from_arrays([heads.column("seq").to_numpy(), heads.column("chunk").to_numpy()]))] = _matrices(heads.column("state"), width)
             out = np.zeros((steps.longest, steps.size, width))
             for p in range(steps.longest):
                 state = steps.moved(state, p, gain=True)
@@ -156,7 +161,9 @@ def recurrence(steps: DataFrame, width: int, chunk: int = 64, group: int = 64) -
     ``width`` values, none of them null. An empty table gives an empty result.
     """
     rows = written(steps.select("seq", "t", F.floor(F.col("t") / chunk).alias("chunk"), F.coalesce("reset", F.lit(False)).alias("reset"), *_FIELDS), "steps")
-    dealt = rows.repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", "t")
+    # a sequence of one chunk begins with no state, which its outputs need no map for
+    long = rows.join(rows.where("chunk > 0").select("seq").distinct(), "seq", "left_semi")
+    dealt = long.repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", "t")
     levels = [written(dealt.mapInArrow(_maps(width), _MAP), "maps")]
     while (levels[-1].agg(F.max("at")).first()[0] or 0) >= group:
         up = levels[-1].withColumn("up", F.floor(F.col("at") / group))
@@ -165,6 +172,6 @@ def recurrence(steps: DataFrame, width: int, chunk: int = 64, group: int = 64) -
     for maps in reversed(levels):
         below = maps.withColumn("up", F.floor(F.col("at") / group)).groupBy("seq", "up")
         states = below.cogroup(states.withColumnRenamed("at", "up").groupBy("seq", "up")).applyInArrow(_entered(width), _STATE)
-    heads = states.select("seq", F.col("at").alias("chunk"), "state")
+    heads = states.where("at > 0").select("seq", F.col("at").alias("chunk"), "state")
     both = rows.unionByName(heads, allowMissingColumns=True).repartition("seq", "chunk").sortWithinPartitions("seq", "chunk", F.col("t").asc_nulls_first())
     return both.mapInArrow(_outputs(width), "seq long, t long, out array<double>")

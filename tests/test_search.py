@@ -197,3 +197,12 @@ def test_build_and_pack_sft_commands(spark, tmp_path):
     assert len(samples["train"]) > len(samples["val"]) > 0
     for r in samples["train"] + samples["val"]:
         assert r.spans and all(set(r.target_role_ids[s.begin : s.end - 1]) <= {4} for s in r.spans)
+
+
+def test_sequences_of_one_chunk_need_no_map(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(numerics, "written", lambda df, name: seen.append((name, df.localCheckpoint())) or seen[-1][1])
+    one = lambda x: F.array(F.lit(x))
+    df = spark.range(40).select((F.col("id") % 20).alias("seq"), F.floor(F.col("id") / 20).alias("t"), F.lit(False).alias("reset"), *(one(x).alias(c) for c, x in zip("rkvwab", (1.0, 1.0, 2.0, 0.5, 0.0, 0.0), strict=True)))
+    assert {(r.t, r.out[0]) for r in numerics.recurrence(df, 1).collect()} == {(0, 2.0), (1, 3.0)}
+    assert sum(x.count() for name, x in seen if name == "maps") == 0
