@@ -54,11 +54,11 @@ BUFFERED_SHARDS = f"SELECT n % {SHARDS} AS shard, count(*) AS n, count(*) AS pla
 
 
 def footer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the footers of packed rows in four files say of their block size."""
+    """What the footers of packed rows in four groups say of their block size. A group is as many files as tasks had rows of it, whose footers' counts add up."""
     path = sinks.scratch_path(spark, "footers")
-    sinks.write_packed(sequence_queries.packed(spark, sf_dir).repartitionById(4, F.pmod("window", F.lit(4)).cast("int")), path, sequence_queries.BLOCK)
+    sinks.write_packed(sequence_queries.packed(spark, sf_dir).withColumn("group", F.pmod("window", F.lit(4))), path, sequence_queries.BLOCK, by=("group",))
     found = files.footer_values(spark, path).where("key in ('block_size', 'format')")
-    return found.select(F.substring("file", 6, 5).cast("long").alias("file"), "n_rows", "key", "value")
+    return found.groupBy(F.regexp_extract("folder", r"^group=(\d+)$", 1).cast("long").alias("file"), "key", "value").agg(F.sum("n_rows").alias("n_rows"))
 
 
 FOOTER_VALUES = f"""

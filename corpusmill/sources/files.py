@@ -59,19 +59,20 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = {k.decode(errors="replace"): v.decode(errors="replace") for k, v in (footer.metadata or {}).items()}
             for field in json.loads(found.get(SPARK_SCHEMA, "{}")).get("fields", []):
                 found |= {k: str(v) for k, v in field["metadata"].items()}
-            rows += [{"file": path.rsplit("/", 1)[1], "n_rows": footer.num_rows, "key": k, "value": v} for k, v in sorted(found.items())]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("n_rows", pa.int64()), ("key", pa.string()), ("value", pa.string())]))
+            folder, name = path.rsplit("/", 1)
+            rows += [{"folder": folder.rsplit("/", 1)[1], "file": name, "n_rows": footer.num_rows, "key": k, "value": v} for k, v in sorted(found.items())]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("folder", pa.string()), ("file", pa.string()), ("n_rows", pa.int64()), ("key", pa.string()), ("value", pa.string())]))
 
 
 def footer_values(spark: SparkSession, path: str, files_a_task: int = 64) -> DataFrame:
-    """(file, n_rows, key, value) of the key-values in the footer of each file of a Parquet table, and of the notes that its columns carry.
+    """(folder, file, n_rows, key, value) of the key-values in the footer of each file of a Parquet table, and of the notes that its columns carry; folder is the name of the one that the file lies in.
 
     Tasks open ``files_a_task`` files and read their footers alone; stores are those that Arrow
     opens. A file without key-values gives no row.
     """
     names = spark.read.parquet(path).inputFiles()
     files = spark.createDataFrame([(n,) for n in names], "path string")
-    return files.repartition(max(1, -(-len(names) // files_a_task))).mapInArrow(_footers, "file string, n_rows long, key string, value string")
+    return files.repartition(max(1, -(-len(names) // files_a_task))).mapInArrow(_footers, "folder string, file string, n_rows long, key string, value string")
 
 
 def noted(df: DataFrame, column: str, **notes) -> DataFrame:

@@ -19,10 +19,10 @@ def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.select("text", "source").write.mode("overwrite" if overwrite else "errorifexists").option("compression", "snappy").parquet(path)
 
 
-def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False, form: str = "packed-v1", **manifest) -> None:
-    """Packed rows as zstd Parquet with a manifest, each row's sequences numbered from 0.
+def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False, form: str = "packed-v1", by: tuple[str, ...] = (), **manifest) -> None:
+    """Packed rows as zstd Parquet with a manifest, each row's sequences numbered from 0; with ``by`` in a folder for each value of these columns.
 
-    Rows whose arrays aren't block + 1 long, or whose span arrays differ in length, fail the write.
+    Every task writes the rows it has, so a folder's files are as many as tasks. Rows whose arrays aren't block + 1 long, or whose span arrays differ in length, fail the write.
     """
     arrays = [c for c in ("token_ids", "seq_ids", "position_ids", "sequence_starts", "target_loss_weights", "target_role_ids") if c in df.columns]
     right = F.lit(True)
@@ -32,10 +32,12 @@ def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False,
         right = right & (F.size("stp_span_starts") == F.size("stp_span_ends"))
     if "seq_ids" in df.columns:  # padding, below 0, stays
         first = F.array_min(F.filter("seq_ids", lambda s: s >= 0))
-        df = df.withColumn("seq_ids", let(first, lambda f: F.transform("seq_ids", lambda s: F.when(s >= 0, s - f).otherwise(s))))
+        moved = let(first, lambda f: F.transform("seq_ids", lambda s: F.when(s >= 0, s - f).otherwise(s)))
+        df = df.withColumn("seq_ids", F.when(F.array_min("seq_ids") == 0, F.col("seq_ids")).otherwise(moved))  # most rows begin at 0, and lambdas are slow
     checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long, or its spans have no end"))))
     checked = noted(checked, arrays[0], block_size=block, format=form)  # in the footer of every file
-    checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
+    writer = checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     note = json.dumps({"format": form, "block_size": block, **manifest}, sort_keys=True)
     df.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
 

@@ -74,3 +74,11 @@ def test_block_sizes_in_footers(spark, tmp_path):
     with pytest.raises(ValueError, match="block_size=9"):
         readers.read_packed(spark, f"{tmp_path}/p", 2)
     assert files.footer_values(spark, f"{tmp_path}/p").where("key = 'org.apache.spark.version'").count() >= 4
+
+
+def test_footers_of_groups_that_several_tasks_wrote(spark, tmp_path):
+    df = spark.range(40, numPartitions=5).select(*(F.array(F.lit(v), F.lit(v), F.lit(v)).alias(c) for c, v in (("token_ids", 1), ("seq_ids", 0), ("position_ids", 0), ("sequence_starts", False))), (F.col("id") % 2).alias("group"))
+    sinks.write_packed(df, f"{tmp_path}/g", 2, by=("group",))
+    found = files.footer_values(spark, f"{tmp_path}/g").where("key = 'format'").collect()
+    assert {g: sorted(r.n_rows for r in found if r.folder == f"group={g}") for g in (0, 1)} == {0: [4] * 5, 1: [4] * 5}
+    assert readers.read_packed(spark, f"{tmp_path}/g", 2).count() == 40
