@@ -48,9 +48,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.select(*(safe[c] for c in sorted(df.columns))).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, record: Column, order: str, files: int) -> None:
-    """``record``, JSON as text, of all rows as ``files`` JSON arrays: row ``order`` (an integer) goes to file order % files, at its place by order. Each file is written by a task of its own."""
-    part = F.pmod(F.col(order), F.lit(files)).cast("int")
+def write_json_arrays(df: DataFrame, path: str, record: Column, order: str, files: int, part: Column | None = None) -> None:
+    """``record``, JSON as text, of all rows as ``files`` JSON arrays: row ``order`` (an integer) goes to file ``part``, order % files by default, at its place by order. Each file is written by a task of its own."""
+    part = (F.pmod(F.col(order), F.lit(files)) if part is None else part).cast("int")
     lines = df.select(part.alias("part"), F.lit(1).alias("kind"), F.col(order).alias("at"), record.alias("value"))
     firsts = lines.groupBy("part").agg(F.min("at").alias("first"))
     lines = lines.join(F.broadcast(firsts), "part").withColumn("value", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), "value")).drop("first")
