@@ -49,10 +49,12 @@ def sft_sample(df: DataFrame, block: int, least: int = 3) -> DataFrame:
     )
 
 
-def collate(df: DataFrame, batch: str, order: str, fields: tuple[str, ...]) -> DataFrame:
-    """One row for each batch with its rows' fields stacked in order; a batch is bounded by its size."""
-    rows = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("_rows"))
-    return rows.select(batch, *(F.col(f"_rows.{f}").alias(f) for f in fields))
+def collate(df: DataFrame, batch: str | tuple[str, ...], order: str, fields: tuple[str, ...]) -> DataFrame:
+    """One row for each batch (of one or several columns) with its rows' fields stacked in order; a batch is bounded by its size, so stack one that isn't in parts."""
+    by = (batch,) if isinstance(batch, str) else batch
+    # sort_array compares structs without a lambda; the generator keeps the sort from being copied to each use of a field
+    rows = df.groupBy(*by).agg(F.collect_list(F.struct(order, *fields)).alias("_rows")).select(*by, F.explode(F.array(F.sort_array("_rows"))).alias("_rows"))
+    return rows.select(*by, *(F.col(f"_rows.{f}").alias(f) for f in fields))
 
 
 def register_tokens(vocabulary: DataFrame, wanted: list[str]) -> DataFrame:
