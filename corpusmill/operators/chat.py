@@ -23,8 +23,9 @@ IM_START, IM_END, EOS, PAD = 2, 3, 1, 0
 
 def gather_messages(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """One row for each conversation with its messages in turn order, from rows (conversation, turn, role, text)."""
-    rows = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", F.col("text").alias("content")))).alias("m"))
-    return rows.select(conversation, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    rows = turns.groupBy(conversation).agg(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", F.col("text").alias("content"))).alias("m"))
+    messages = F.transform(F.sort_array("m"), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return rows.select(conversation, F.explode(F.array(messages)).alias("messages"))  # a generator, so that each use doesn't sort again
 
 
 def message_content(value: Column) -> Column:
@@ -82,26 +83,37 @@ def remove_fences(text: Column) -> Column:
     return strip(F.array_join(F.filter(splitlines(F.coalesce(text, F.lit(""))), lambda x: ~strip(x).startswith("```")), "\n"))
 
 
-def parse_output(df: DataFrame, text: str = "text", least: int = 2, most: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Conversations and errors in a model's output: (index, messages) and (index, error) beside df's other columns.
-
-    The output is a JSON array of records or one record on each line, perhaps in a code fence.
-    """
+def judge_output(df: DataFrame, text: str = "text", least: int = 2, most: int = 4) -> DataFrame:
+    """(index, messages, error) of the records and faults in a model's output beside df's other columns, error null for what is right; df is read once."""
     keep = [c for c in df.columns if c != text]
-    record = f"struct<messages:{MESSAGES}>"
-    clean = df.select(*keep, remove_fences(F.col(text)).alias("_t"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator, so that each use doesn't work it out again
+    clean = df.select(*keep, once(remove_fences(F.col(text))).alias("_t"))
     array = F.when(F.col("_t").startswith("["), F.from_json("_t", "array<string>"))
     lines = F.filter(F.transform(splitlines(F.col("_t")), lambda x, i: F.struct(strip(x).alias("line"), (i + 1).alias("at"))), lambda x: x["line"] != "")
-    parsed = clean.withColumn("_array", array).withColumn("_lines", F.when(F.coalesce(F.size("_array"), F.lit(0)) <= 0, lines))
+    parsed = clean.withColumn("_array", once(array)).withColumn("_lines", once(F.when(F.coalesce(F.size("_array"), F.lit(0)) <= 0, lines)))
+    item = lambda at, record, error: F.struct(at.cast("int").alias("index"), record.alias("_r"), error.alias("_e"))
+    none = F.lit(None).cast("string")
     good = F.coalesce("_array", F.transform(F.filter("_lines", lambda x: F.try_parse_json(x["line"]).isNotNull()), lambda x: x["line"]))
-    records = parsed.select(*keep, F.posexplode(good).alias("_i", "_r")).select(*keep, (F.col("_i") + 1).alias("index"), "_r", F.from_json("_r", record)["messages"].alias("messages"))
+    bad = F.filter("_lines", lambda x: F.try_parse_json(x["line"]).isNull())
+    found = F.array(
+        F.transform(good, lambda r, i: item(i + 1, r, none)),
+        F.transform(bad, lambda x: item(x["at"], none, F.concat(F.lit("line "), x["at"], F.lit(": invalid JSON")))),
+        F.when(F.col("_t") == "", F.array(item(F.lit(0), none, F.lit("empty output")))),
+        F.when(F.col("_t").startswith("[") & F.try_parse_json("_t").isNull(), F.array(item(F.lit(0), none, F.lit("invalid JSON array")))),
+    )
+    items = parsed.select(*keep, F.inline(F.flatten(F.filter(found, lambda x: x.isNotNull()))))
+    records = items.withColumn("messages", once(F.from_json("_r", f"struct<messages:{MESSAGES}>")["messages"]))
     fault = F.when(~F.coalesce(F.col("_r").rlike(r"^\s*\{"), F.lit(False)), "record is not an object").otherwise(strict_error(F.col("messages"), least, most))
-    judged = records.withColumn("_e", fault)
-    bad_lines = parsed.select(*keep, F.explode("_lines").alias("x")).where(F.try_parse_json("x.line").isNull()).select(*keep, F.col("x.at").alias("index"), F.concat(F.lit("line "), F.col("x.at"), F.lit(": invalid JSON")).alias("error"))
-    empty = clean.where("_t = ''").select(*keep, F.lit(0).alias("index"), F.lit("empty output").alias("error"))
-    broken = parsed.where(F.col("_t").startswith("[") & F.try_parse_json("_t").isNull()).select(*keep, F.lit(0).alias("index"), F.lit("invalid JSON array").alias("error"))
-    errors = judged.where("_e is not null").select(*keep, "index", F.concat(F.lit("record "), F.col("index"), F.lit(": "), F.col("_e")).alias("error"))
-    return judged.where("_e is null").select(*keep, "index", "messages"), errors.unionByName(bad_lines).unionByName(empty).unionByName(broken)
+    return records.select(*keep, "index", "messages", F.coalesce("_e", F.concat(F.lit("record "), F.col("index"), F.lit(": "), fault)).alias("error"))
+
+
+def parse_output(df: DataFrame, text: str = "text", least: int = 2, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Conversations and errors in a model's output: (index, messages) and (index, error) beside df's other columns.
+
+    The output is a JSON array of records or one record on each line, perhaps in a code fence.
+    """
+    judged = judge_output(df, text, least, most)
+    return judged.where("error is null").drop("error"), judged.where("error is not null").drop("messages")
 
 
 def render(messages: Column, prompt: bool = False) -> Column:

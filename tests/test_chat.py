@@ -104,3 +104,11 @@ def test_padding_by_position(spark):
 
 def test_undo(spark):
     assert plain(value(spark, chat.undo_last_turn(messages(("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"))))) == [("user", "a"), ("assistant", "b")]
+
+
+def test_a_models_output_is_read_once(spark, tmp_path):
+    """Records and faults come from one scan; each kind had its own before."""
+    spark.createDataFrame([(1, "no json\n[1"), (2, "")], "id int, text string").write.parquet(f"{tmp_path}/o")
+    judged = chat.judge_output(spark.read.parquet(f"{tmp_path}/o"))
+    assert judged._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {(r["id"], r["index"], r["error"]) for r in judged.collect()} == {(1, 1, "line 1: invalid JSON"), (1, 2, "line 2: invalid JSON"), (2, 0, "empty output")}
