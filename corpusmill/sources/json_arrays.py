@@ -69,7 +69,7 @@ class _Events:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         quotes = _quotes(data, offsets)
-        opens, closes = np.isin(data, list(_OPENS)), np.isin(data, list(_CLOSES))
+        opens, closes = ((data == pair[0]) | (data == pair[1]) for pair in (_OPENS, _CLOSES))  # a byte each, where isin takes eight
         brackets = np.flatnonzero(opens | closes)
         places = np.concatenate((brackets, offsets[1:]))
         order = np.argsort(np.concatenate((2 * brackets + 1, 2 * offsets[1:])), kind="stable")
