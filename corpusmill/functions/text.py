@@ -6,6 +6,8 @@ assigned since then count as unassigned and are removed by ``normalize``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, markers and limits of the cleaning rules.
-WIDE_SPACES, ZERO_WIDTH = "　 ", "﻿"
+WIDE_SPACES = "　 "
 CONTROL = r"[\p{C}&&[^\n\t]]"
 DISPLAY_STYLE = r"(?sU)\{\\displaystyle\s+(.+?)\}"
 HAN = "㐀-鿿豈-﫿"
-SOFT_WRAP = f"([{HAN}，。；：、！？）」』])\n([{HAN}（「『])"
+SOFT_WRAP = f"\n(?<=[{HAN}，。；：、！？）」』]\n)(?<!\\G\n)([{HAN}（「『])"  # a line feed first, which is rare; not right after the last match, which took the character before
 BOOK_MARKERS = ("---开始阅读---", "---结束阅读---")
 BOOK_PREFIXES = ("【书名】", "【作者】", "【类别】", "【状态】", "【更新】", "【本册章节】", "【简介】")
 CHAPTER_TAG = r"(?U)^\[\d+\][一二三四五六七八九十百千〇零０-９0-9]+[ 　]"
@@ -46,18 +48,30 @@ def lstrip(c: Column) -> Column:
     return F.ltrim(c, F.lit(SPACE))
 
 
+def _replaced(c: Column, characters: str, by: str) -> Column:
+    """c with each of these few characters replaced; a search of bytes, where translate looks up every character."""
+    for x in characters:
+        c = F.replace(c, F.lit(x), F.lit(by))
+    return c
+
+
+def _where(c: Column, parts: tuple[str, ...], use) -> Column:
+    """use(c) where c holds one of these parts, else c: most texts need no pass of a pattern that can't match."""
+    return let(c, lambda t: F.when(reduce(Column.__or__, [t.contains(x) for x in parts]), use(t)).otherwise(t))
+
+
 def normalize(c: Column) -> Column:
     """Wide spaces become spaces; zero-width, control, format, private and unassigned characters go, but for line feeds and tabs."""
-    return F.regexp_replace(F.translate(c, WIDE_SPACES + ZERO_WIDTH, "  "), CONTROL, "")
+    return F.regexp_replace(_replaced(c, WIDE_SPACES, " "), CONTROL, "")
 
 
 def unwrap_display_style(c: Column) -> Column:
-    return F.regexp_replace(c, DISPLAY_STYLE, "$1")
+    return _where(c, ("{\\displaystyle",), lambda t: F.regexp_replace(t, DISPLAY_STYLE, "$1"))
 
 
 def join_soft_wraps(c: Column) -> Column:
     """Line feeds between two Han characters (or the punctuation beside them) go."""
-    return F.regexp_replace(c, SOFT_WRAP, "$1$2")
+    return _where(c, ("\n",), lambda t: F.regexp_replace(t, SOFT_WRAP, "$1"))
 
 
 def _is_noise(line: Column, bare: Column) -> Column:
@@ -81,27 +95,26 @@ def without_noise(lines: Column) -> Column:
     return F.transform(F.filter(pairs, lambda x: ~_is_noise(x["line"], x["bare"])), lambda x: x["line"])
 
 
-def collapse_padding(line: Column) -> Column:
-    """One blank after and before each pipe, and for each longer run of blanks."""
-    line = F.regexp_replace(line, r"\|[ \t]+", "| ")
-    line = F.regexp_replace(line, r"[ \t]+\|", " |")
-    return F.regexp_replace(line, r"[ \t]{2,}", " ")
+def collapse_padding(c: Column) -> Column:
+    """One blank after and before each pipe, and for each longer run of blanks; lines stay apart, so a whole text may come at once."""
+    piped = _where(c, ("|",), lambda t: F.regexp_replace(F.regexp_replace(t, r"\|[ \t]+", "| "), r"[ \t]+\|", " |"))
+    return _where(piped, ("  ", "\t"), lambda t: F.regexp_replace(t, r"[ \t]{2,}", " "))
 
 
 def clean(c: Column) -> Column:
     """The cleaned text; null for null."""
     lines = F.split(join_soft_wraps(unwrap_display_style(normalize(c))), "\n", -1)
-    kept = F.transform(without_noise(lines), lambda x: collapse_padding(rstrip(x)))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    kept = F.array_join(F.transform(without_noise(lines), rstrip), "\n")
+    return strip(_where(collapse_padding(kept), ("\n\n\n",), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")))
 
 
 def share_of(c: Column, characters: str) -> Column:
-    return (F.length(c) - F.length(F.translate(c, characters, ""))).cast("double") / F.length(c)
+    return (F.length(c) - F.length(_replaced(c, characters, ""))).cast("double") / F.length(c)
 
 
 def letters_share(c: Column) -> Column:
     """Letters and numbers of any script, as a part of all characters."""
-    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")).cast("double") / F.length(c)
+    return F.length(F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), r"[^\p{L}\p{N}]+", "")).cast("double") / F.length(c)
 
 
 def gate_reason(c: Column) -> Column:

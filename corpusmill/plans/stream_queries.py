@@ -24,9 +24,9 @@ def _files(df: DataFrame, key: str, name: str, form: str = "parquet") -> tuple[s
     return path, each
 
 
-def _run(stream: DataFrame, name: str) -> DataFrame:
+def _run(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     spark = stream.sparkSession
-    return feeds.run_available(stream, sinks.scratch_path(spark, name), sinks.scratch_path(spark, f"{name}-state"))[0]
+    return feeds.run_available(stream, sinks.scratch_path(spark, name), sinks.scratch_path(spark, f"{name}-state"), partitions)[0]
 
 
 def _read(spark: SparkSession, found: tuple[str, int], schema) -> DataFrame:
@@ -55,8 +55,9 @@ SELECT shard, k AS "window", sum(tok * (j + 1))::BIGINT AS tokens FROM windows W
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned and gated as they arrive, each text once; their times lie within the watermark."""
     d = documents(spark, sf_dir).select("doc_id", "text", "source", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("doc_id", F.lit(3600))).alias("ts"))
-    stream = _read(spark, _files(d, "doc_id", "stream-texts"), "doc_id long, text string, source string, ts timestamp")
-    return _run(feeds.clean_feed(stream.drop("doc_id"), "2 hours"), "stream-cleaned").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
+    files = _files(d, "doc_id", "stream-texts")
+    stream = _read(spark, files, "doc_id long, text string, source string, ts timestamp")
+    return _run(feeds.clean_feed(stream.drop("doc_id"), "2 hours"), "stream-cleaned", files[1]).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
 
 
 STREAM_DEDUP = f"WITH {CLEAN_CTE} SELECT DISTINCT md5(text) AS digest, 1::BIGINT AS copies FROM gated WHERE reason IS NULL"

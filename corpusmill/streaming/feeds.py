@@ -151,20 +151,39 @@ def pack_feed(tokens: DataFrame, block: int, count: int = 1, patience: float | N
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB; the session's own store is set again after."""
-    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Streams that start inside keep these settings; the session's own are set again after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_store(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB; the session's own store is set again after."""
+    store = "spark.sql.streaming.stateStore"
+    return _settings(spark, {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"})
+
+
+def _dealt(spark: SparkSession, partitions: int | None):
+    """Streams that start inside read a batch by four tasks or more a core (by one each, a task left over for a second turn doubles the batch's time) and keep at most so many partitions of state, each of which costs about as much as a few MB of texts in every batch."""
+    least = 4 * spark.sparkContext.defaultParallelism
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = shuffled if partitions is None else min(shuffled, max(least, partitions))
+    return _settings(spark, {"spark.sql.files.minPartitionNum": str(least), "spark.sql.shuffle.partitions": str(shuffled)})
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
-    """(the table at path, micro-batches): what has arrived is processed and appended, from where the checkpoint left off."""
+def run_available(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> tuple[DataFrame, int]:
+    """(the table at path, micro-batches): what has arrived is processed and appended, from where the checkpoint left off.
+
+    With ``partitions``, such as the files of a batch, a new stream's state has so many, or four a core, but no more than the session's shuffles.
+    """
     spark = stream.sparkSession
-    with state_store(spark):
+    with state_store(spark), _dealt(spark, partitions):
         query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
         query.awaitTermination()
     batches = sum(p["numInputRows"] > 0 for p in query.recentProgress)

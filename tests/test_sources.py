@@ -6,6 +6,7 @@ import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusmill.plans import stream_queries
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import feeds
 
@@ -120,6 +121,19 @@ def test_feeds(spark, tmp_path):
     assert run(feeds.clean_feed(stream), tmp_path, "cleans")[0].count() == 1
 
 
+def test_dedup_state_has_few_partitions(spark, tmp_path, monkeypatch):
+    """Each partition of state costs about as much as a few MB of texts in every batch."""
+    monkeypatch.setattr(sinks, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream_queries.stream_dedup(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in (tmp_path / "stream-cleaned-state/state/0").iterdir() if p.name.isdigit()]) == 16
+
+
 def plain_windows(rows, count, block):
     out = {}
     for shard in range(count):

@@ -62,3 +62,14 @@ def test_white_space_is_pythons(spark):
 def test_splitlines(spark):
     value = "a\r\nb\x0bc\x85d e\n"
     assert one(spark, value, T.splitlines) == value.splitlines()
+
+
+def test_soft_wraps_of_one_character(spark):
+    assert one(spark, "字\n字\n字\n字", T.join_soft_wraps) == "字字\n字字"  # a character that ended one match can't begin the next
+    assert one(spark, "字\n\n字\n字。\n「", T.join_soft_wraps) == "字\n\n字字。「"
+    assert one(spark, "字\nA\n字", T.join_soft_wraps) == "字\nA\n字"
+
+
+def test_cleaning_looks_up_no_character_alone(spark):
+    plan = T.clean_rows(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "contains(" in plan.lower()
