@@ -13,6 +13,8 @@ from corpusmill.functions.text import let
 from corpusmill.operators.metrics import json_safe
 from corpusmill.sources.files import noted
 
+ROW_GROUP = 512  # packed rows
+
 
 def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """text and source as snappy Parquet; an existing table is an error unless ``overwrite``."""
@@ -37,7 +39,8 @@ def write_packed(df: DataFrame, path: str, block: int, overwrite: bool = False,
     checked = df.withColumn(arrays[0], F.when(right, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"a row isn't {block + 1} tokens long, or its spans have no end"))))
     checked = noted(checked, arrays[0], block_size=block, format=form)  # in the footer of every file
     writer = checked.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd")
-    writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")  # places follow each other, so differences are smaller and faster than a dictionary
+    # places follow each other, so differences are smaller and faster than a dictionary; a batch that is read holds one row group at most, whose lists are long
+    writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.row.count.limit", ROW_GROUP)
     (writer.partitionBy(*by) if by else writer).parquet(path)
     note = json.dumps({"format": form, "block_size": block, **manifest}, sort_keys=True)
     df.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")

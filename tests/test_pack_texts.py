@@ -55,3 +55,10 @@ def test_written_windows_have_no_dictionaries_and_sum_alike(spark, tmp_path):
         for g in range(footer.num_row_groups):
             assert not any(footer.row_group(g).column(c).has_dictionary_page for c in range(footer.num_columns))
     same(q.pack_sums(readers.read_packed(spark, path, q.BLOCK)), SF, q.PACK_BLOCKS)
+
+
+def test_row_groups_are_small(spark, tmp_path):
+    df = spark.range(0, 1100, 1, 1).select(F.array(*[F.col("id").cast("int")] * 3).alias("token_ids"), F.array(*[F.lit(0)] * 3).alias("seq_ids"))
+    sinks.write_packed(df, f"{tmp_path}/g", 2)
+    (name,) = glob.glob(f"{tmp_path}/g/*.parquet")
+    assert [pq.read_metadata(name).row_group(g).num_rows for g in range(3)] == [512, 512, 76]
