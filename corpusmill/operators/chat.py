@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import code_points, let, rstrip, splitlines, strip
+from corpusmill.functions.text import code_points, rstrip, splitlines, strip
 
 MESSAGES = "array<struct<role:string,content:string>>"
 # Roles, tags, weights and texts of the formats.
@@ -244,9 +244,6 @@ def answer_spans(encoded: Column, least: int = 3) -> Column:
 
 def padded(encoded: Column, block: int) -> tuple[Column, Column, Column]:
     """One record alone in a block: inputs, labels and mask. Labels past the record are -100, by position."""
-    ids = F.slice(F.concat(encoded["tok"], F.array_repeat(F.lit(EOS), block + 1)), 1, block + 1)
-    weights = F.slice(F.concat(encoded["w"], F.array_repeat(F.lit(0.0), block + 1)), 1, block + 1)
-    last = F.least(F.size(encoded), F.lit(block + 1)) - 1
-    labels = let(last, lambda n: F.transform(F.slice(ids, 2, block), lambda x, i: F.when(i < n, x).otherwise(-100)))
-    mask = let(last, lambda n: F.transform(F.slice(weights, 2, block), lambda x, i: F.when(i < n, x).otherwise(0.0)))
-    return F.slice(ids, 1, block), labels, mask
+    filled = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), block - F.size(c)))
+    tokens, weights = encoded["tok"], encoded["w"]
+    return filled(F.slice(tokens, 1, block), EOS), filled(F.slice(tokens, 2, block), -100), filled(F.slice(weights, 2, block), 0.0)

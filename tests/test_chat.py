@@ -1,7 +1,10 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chat
+from corpusmill.plans import sequence_queries as q
+from tests.compare import same
 
 
 def value(spark, column):
@@ -112,3 +115,12 @@ def test_a_models_output_is_read_once(spark, tmp_path):
     judged = chat.judge_output(spark.read.parquet(f"{tmp_path}/o"))
     assert judged._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     assert {(r["id"], r["index"], r["error"]) for r in judged.collect()} == {(1, 1, "line 1: invalid JSON"), (1, 2, "line 2: invalid JSON"), (2, 0, "empty output")}
+
+
+def test_records_as_long_as_a_block_are_padded_as_in_sql(spark, tmp_path):
+    """The query failed: a Python function over labels cut inside nested lambdas was never taken out of its projection."""
+    rows = [(n, t, r, c) for n in (0, 1, *range(229, 241), 600) for t, (r, c) in enumerate((("user", "q"), ("assistant", "é" * n)))]  # 256 tokens at 233
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/made")
+    made = pq.read_table(f"{tmp_path}/made")
+    pq.write_table(made, f"{tmp_path}/conversations.parquet")
+    same(q.unpacked_padding(spark, str(tmp_path)), str(tmp_path), q.UNPACKED)
