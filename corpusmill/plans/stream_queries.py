@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import code_points
 from corpusmill.operators.intervals import with_offsets
 from corpusmill.plans import sequence_queries
 from corpusmill.plans.text_queries import CLEAN_CTE, documents
@@ -20,7 +19,9 @@ def _files(df: DataFrame, key: str, name: str, form: str = "parquet") -> tuple[s
     spark, path = df.sparkSession, sinks.scratch_path(df.sparkSession, name)
     each = max(1, -(-df.select(key).count() // (BATCHES * ROWS)))
     n = BATCHES * each
-    df.repartitionById(n, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).write.format(form).save(path)
+    dealt = df.repartitionById(n, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).write.format(form)
+    with feeds.shuffles_removed(spark):
+        (dealt.option("compression", "zstd") if form == "parquet" else dealt).save(path)
     return path, each
 
 
@@ -35,9 +36,9 @@ def _read(spark: SparkSession, found: tuple[str, int], schema) -> DataFrame:
 
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose rows arrive out of order, packed by shards in the order of their numbers."""
-    ids = F.when(F.col("text") != "", F.concat(code_points(F.col("text")), F.array(F.lit(1))))
+    ended = F.when(F.col("text") != "", F.concat(F.make_valid_utf8(F.col("text")), F.lit("\x01")))
     rows = with_offsets(documents(spark, sf_dir), F.lit(1), "doc_id", name="row_idx", bucket=512).select("row_idx", "text")
-    stream = _read(spark, _files(rows, "row_idx", "stream-tokens"), "row_idx long, text string").select("row_idx", ids.alias("tokens"))
+    stream = _read(spark, _files(rows, "row_idx", "stream-tokens"), "row_idx long, text string").select("row_idx", ended.alias("tokens"))
     packed = _run(feeds.pack_feed(stream, BLOCK, SHARDS), "stream-packed")
     return packed.select("shard", "window", sequence_queries._weighed(F.col("token_ids")).alias("tokens"))
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -34,6 +35,20 @@ _MOST, _PIECE = 1 << 22, 1 << 18
 _WINDOW = "shard long, window long, token_ids array<int>"
 
 
+def _ids(tokens) -> np.ndarray:
+    return np.frombuffer(tokens.encode("utf-32-le"), np.int32) if isinstance(tokens, str) else np.asarray(tokens if tokens is not None else [], np.int32)
+
+
+def _squeezed(ids: np.ndarray) -> bytes:
+    """Ids compressed by planes of bytes, of which the upper ones are nearly empty for most texts."""
+    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T), asbytes=True)
+
+
+def _unsqueezed(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32)
+
+
 class _Packer(StatefulProcessor):
     """A shard's rows in the order of their numbers, however files arrive: rows ahead of the next number wait in the state, and so does the tail of an unfinished window.
 
@@ -57,12 +72,13 @@ class _Packer(StatefulProcessor):
         for k in np.unique(part).tolist():
             a, b = np.searchsorted(part, [k, k + 1]).tolist()
             number = int(self.pieces[:, 0].max(initial=-1)) + 1
-            self.waiting.updateValue((number,), (np.array(rows[a:b], np.int64).tobytes(), sizes[a:b].tobytes(), np.concatenate(lists[a:b]).tobytes()))
+            self.waiting.updateValue((number,), (np.array(rows[a:b], np.int64).tobytes(), sizes[a:b].tobytes(), _squeezed(np.concatenate(lists[a:b]))))
             self.pieces = np.vstack((self.pieces, [[number, rows[a], rows[b - 1]]]))
 
     def _piece(self, number: int) -> dict[int, np.ndarray]:
         rows, sizes, ids = self.waiting.getValue((int(number),))
-        return dict(zip(np.frombuffer(rows, np.int64).tolist(), np.split(np.frombuffer(ids, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]), strict=True))
+        ends = np.cumsum(np.frombuffer(sizes, np.int64))
+        return dict(zip(np.frombuffer(rows, np.int64).tolist(), np.split(_unsqueezed(ids, int(ends[-1])), ends[:-1]), strict=True))
 
     def _drain(self, key: tuple) -> Iterator[pd.DataFrame]:
         """Rows whose turn has come, from the pieces that may hold them."""
@@ -108,7 +124,7 @@ class _Packer(StatefulProcessor):
             frame = frame.sort_values("row_idx", kind="stable").drop_duplicates("row_idx", keep="last")
             rows, lists = [], []
             for row, t in zip(frame["row_idx"].tolist(), frame["tokens"], strict=True):
-                ids = np.asarray(t if t is not None else [], np.int32)
+                ids = _ids(t)
                 if row == self.at:
                     yield from self._take(key, ids)
                 elif row > self.at:  # rows that were given up, or came before, are dropped
@@ -137,12 +153,13 @@ class _Packer(StatefulProcessor):
 
 
 def pack_feed(tokens: DataFrame, block: int, count: int = 1, patience: float | None = None) -> DataFrame:
-    """A stream (row_idx, tokens array<int>) cut into windows of block + 1 ids, one token apart from the next by ``block``: shard, window, token_ids.
+    """A stream (row_idx, tokens array<int>, or string for its characters' code points) cut into windows of block + 1 ids, one token apart from the next by ``block``: shard, window, token_ids.
 
     Row r, numbered from 0 without gaps over all files, is of shard r % count, and each shard is
     a stream of its own in the order of its rows. Rows may arrive in any order: those ahead of
     the next one wait. With ``patience`` (seconds) a shard that waits longer for a row goes on
     without it, and the row is dropped if it comes later. Null and empty tokens add nothing.
+    Strings take a fraction of the disk of arrays where they are shuffled and sorted.
     The state needs a store that can hold maps (``state_store``).
     """
     mode = "None" if patience is None else "ProcessingTime"
@@ -163,6 +180,11 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def shuffles_removed(spark: SparkSession):
+    """What runs inside removes a query's or batch's shuffle files at its end, where they wait for a collection of the driver's memory else."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def state_store(spark: SparkSession):
     """Streams that start inside keep their state in RocksDB; the session's own store is set again after."""
     store = "spark.sql.streaming.stateStore"
@@ -183,8 +205,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, partitions: int
     With ``partitions``, such as the files of a batch, a new stream's state has so many, or four a core, but no more than the session's shuffles.
     """
     spark = stream.sparkSession
-    with state_store(spark), _dealt(spark, partitions):
-        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+    with state_store(spark), shuffles_removed(spark), _dealt(spark, partitions):
+        query = stream.writeStream.format("parquet").option("compression", "zstd").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
         query.awaitTermination()
     batches = sum(p["numInputRows"] > 0 for p in query.recentProgress)
     return spark.read.schema(stream.schema).parquet(path), batches

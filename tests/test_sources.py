@@ -1,7 +1,9 @@
 import json
 import random
+import re
 import time
 
+import numpy as np
 import pytest
 import pandas as pd
 from pyspark.sql import functions as F
@@ -190,6 +192,58 @@ def test_packing_goes_on_without_a_row_after_a_while(spark, tmp_path):
     assert found == {0: [0, 0, 1], 1: [1, 1, 3], 2: [3, 3, 4], 3: [4, 4, 5]}
 
 
+class Puts(dict):
+    def updateValue(self, k, v):  # noqa: N802
+        self[k] = v
+
+    def getValue(self, k):  # noqa: N802
+        return self[k]
+
+
+def test_waiting_ids_take_few_bytes_and_come_back():
+    """They took four bytes each; a stream of texts gives the ids of arrays."""
+    text = "words of a text, and é€😀 " * 4000
+    ids = np.frombuffer(text.encode("utf-32-le"), np.int32)
+    for x in (ids, -ids, ids[:0], np.array([-1, 2**31 - 1, -(2**31)], np.int32)):
+        assert (feeds._unsqueezed(feeds._squeezed(x), len(x)) == x).all()
+    states = []
+    for tokens in (text, ids.tolist()):
+        packer = feeds._Packer(4, 2, None)
+        packer.waiting, packer.pieces = Puts(), np.empty((0, 3), np.int64)
+        packer._wait([5, 7, 9], [feeds._ids(tokens), feeds._ids(None), feeds._ids("")])
+        states.append(packer.waiting)
+        back = packer._piece(0)
+        assert list(back) == [5, 7, 9] and (back[5] == ids).all() and not len(back[7]) and not len(back[9])
+    assert states[0] == states[1] and sum(map(len, states[0][(0,)])) < len(ids)
+
+
+def test_a_stream_of_texts_packs_as_one_of_ids(spark, tmp_path):
+    texts = ["ab\x01", "", None, "x", "é€😀\x00" * 40, "long" * 300, *("w" * k for k in range(30))]
+    rows = [(r, t) for r, t in enumerate(texts)]
+    schema, found = "row_idx long, text string", []
+    spark.createDataFrame(rows[::-1], schema).repartition(3).write.parquet(f"{tmp_path}/texts")
+    for k, tokens in enumerate((F.col("text"), F.expr("transform(split(text, ''), c -> ascii(c))"))):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/texts")
+        packed, _ = run(feeds.pack_feed(stream.select("row_idx", F.when(F.col("text") != "", tokens).alias("tokens")), 5, 2), tmp_path, f"texts{k}")
+        found.append(sorted(map(repr, packed.collect())))
+    assert found[0] == found[1] and len(found[0]) > 300
+
+
+def test_a_stream_leaves_no_shuffle_files(spark, tmp_path):
+    """They stayed until the driver collected its memory, those of all batches at once."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().toString()))
+    spark.createDataFrame([(r, "text") for r in range(100)], "row_idx long, tokens string").repartition(4).write.parquet(f"{tmp_path}/texts")
+    before = files()
+    stream = spark.readStream.schema("row_idx long, tokens string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/texts")
+    _, batches = run(feeds.pack_feed(stream, 5, 2), tmp_path, "removed")
+    for _ in range(40):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert batches == 4 and not files() - before
+
+
 def test_waiting_rows_cost_few_accesses_to_the_state():
     class State(dict):
         puts = 0
